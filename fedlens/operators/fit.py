@@ -54,33 +54,43 @@ def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
     return with_predictions(scored)
 
 
-def predict_personal(rows: DataFrame, heads: DataFrame, key: str = "client_id") -> DataFrame:
+def predict_personal(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Scores every row with the head of its own client."""
-    return with_predictions(
-        rows.join(heads, key).withColumn("scores", scores(F.col("features"), F.col("head"))).drop("head")
-    )
+    scored = rows.join(heads, "client_id").withColumn("scores", scores(F.col("features"), F.col("head")))
+    return with_predictions(scored.drop("head"))
 
 
 def personal_heads(clients: DataFrame, saved: DataFrame, shared: DataFrame) -> DataFrame:
     """The saved head of each client, or the shared one where none was saved."""
     return (
-        clients.join(saved.withColumnRenamed("head", "_saved"), "client_id", "left")
-        .withColumn("head", F.coalesce("_saved", shared.scalar()))
-        .drop("_saved")
+        with_head(clients, shared)
+        .join(saved.withColumnRenamed("head", "_saved"), "client_id", "left")
+        .select(*clients.columns, F.coalesce("_saved", "head").alias("head"))
     )
 
 
-def client_gradient(rows: DataFrame, head: DataFrame, n_classes: int) -> DataFrame:
+def clients_without_head(clients: DataFrame, saved: DataFrame) -> DataFrame:
+    return clients.join(saved, "client_id", "left_anti")
+
+
+def head_to_long(heads: DataFrame, *keys: str) -> DataFrame:
+    """Array heads -> (keys, cls, pos, w) rows."""
+    return heads.select(*keys, F.posexplode("head").alias("cls", "_row")).select(
+        *keys, "cls", F.posexplode("_row").alias("pos", "w")
+    )
+
+
+def client_gradient(rows: DataFrame, n_classes: int) -> DataFrame:
     """Mean cross-entropy gradient of every client: (client_id, cls, pos, g, n).
 
-    Each row adds (p - y) x to its client. Sums combine before the shuffle, so a client of any
-    size costs classes x positions partial rows per task.
+    ``rows`` carry the head they are scored with. Each row adds (p - y) x to its client; sums
+    combine before the shuffle, so a client of any size sends classes x positions partial rows
+    per task.
     """
     logits, norm = F.col("scores"), F.col("_norm")
     residual = F.transform(logits, lambda s, i: F.exp(s - norm) - (F.col("label") == i).cast("double"))
     long = (
-        with_head(rows, head)
-        .select("client_id", "label", "features", scores(F.col("features"), F.col("head")).alias("scores"))
+        rows.select("client_id", "label", "features", scores(F.col("features"), F.col("head")).alias("scores"))
         .withColumn("_norm", log_sum_exp(logits))
         .select("client_id", "features", residual.alias("r"))
         .select("client_id", "r", F.posexplode("features").alias("pos", "x"))
@@ -91,13 +101,13 @@ def client_gradient(rows: DataFrame, head: DataFrame, n_classes: int) -> DataFra
     return wide.select("client_id", "pos", "n", F.inline(entries)).select("client_id", "cls", "pos", "g", "n")
 
 
-def gradient_step(gradient: DataFrame, head: DataFrame, lr: float, mu: float = 0.0) -> DataFrame:
-    """One descent step per client from the global head.
-
-    The proximal term mu (w - w_global) vanishes at the first step, where w is the global head.
-    """
-    return gradient.join(head, ["cls", "pos"]).select(
-        "client_id", "cls", "pos", (F.col("w") - F.lit(lr) * F.col("g")).alias("w"), "n"
+def proximal_step(gradient: DataFrame, local: DataFrame, shared: DataFrame, lr: float, mu: float) -> DataFrame:
+    """One descent step of every client with the pull mu (w - w_shared) towards the shared head."""
+    w, x = F.col("w"), F.col("_x")
+    return (
+        gradient.join(local, ["client_id", "cls", "pos"])
+        .join(shared.select("cls", "pos", F.col("w").alias("_x")), ["cls", "pos"])
+        .select("client_id", "cls", "pos", (w - F.lit(lr) * (F.col("g") + F.lit(mu) * (w - x))).alias("w"), "n")
     )
 
 
@@ -126,14 +136,15 @@ FIT_SCHEMA = "client_id int, unit bigint, weights array<array<double>>, train_lo
 
 
 def fit_units(
-    rows: DataFrame, head: DataFrame, *, seed: int, epochs: int = 1, batch_size: int = 32, lr: float = 0.01,
+    rows: DataFrame, *, seed: int, epochs: int = 1, batch_size: int = 32, lr: float = 0.01,
     momentum: float = 0.9, mu: float = 0.0, unit_rows: int = 32768,
 ) -> DataFrame:
     """Local minibatch training, one task per work unit of at most ``unit_rows`` rows.
 
-    Rows of a client are put in seeded random order and cut into units. A client that fits one
-    unit is trained exactly as on a single machine; a larger one is trained as several workers
-    that start from the same head, and ``merge_units`` averages them by examples.
+    ``rows`` carry the head they start from. Rows of a client are put in seeded random order
+    and cut into units. A client that fits one unit is trained exactly as on a single machine;
+    a larger one is trained as several workers that start from the same head, and
+    ``merge_units`` averages them by examples.
     """
     ranked = rank_by_draw(rows, draw(seed, "fit", "sample_id"), "sample_id", ["client_id"])
     units = ranked.select(
@@ -141,7 +152,7 @@ def fit_units(
         F.floor((F.col("rank") - 1) / unit_rows).alias("unit"),
         "rank", "label", "features",
         # the head travels once per unit, on its first row
-        F.when((F.col("rank") - 1) % unit_rows == 0, head.scalar()).alias("head"),
+        F.when((F.col("rank") - 1) % unit_rows == 0, F.col("head")).alias("head"),
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

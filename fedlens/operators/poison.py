@@ -44,6 +44,19 @@ def inject_backdoor(df: DataFrame, attacked: Column, width: int, target: int, ra
     ).withColumn("label", F.when(F.col("poisoned"), F.lit(target)).otherwise(F.col("label")))
 
 
+ATTACKS = ("label_flipping", "backdoor", "byzantine")
+
+
+def effective_attack(configured: Column, malicious_ids: Sequence[int]) -> Column:
+    """The attack a client carries out: the configured one if it is malicious, else none."""
+    return F.when(is_malicious(malicious_ids) & configured.isin(*ATTACKS), configured).otherwise(F.lit("none"))
+
+
+def trains(effective: Column) -> Column:
+    """Byzantine clients skip local training."""
+    return effective != "byzantine"
+
+
 def poison_samples(df: DataFrame, config: Mapping[str, Any], width: int) -> DataFrame:
     """Applies the configured data attack to the training rows of malicious clients."""
     seed = config.get("seed", 42)

@@ -97,15 +97,27 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def saved_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Private heads of the clients that have trained before: ids below 7."""
-    return (
-        long_features(parts(spark, sf_dir).where("client_id < 7"), "client_id", "label")
+def client_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full head per client: its own class means, the shared ones for classes it lacks."""
+    own = (
+        long_features(parts(spark, sf_dir), "client_id", "label")
         .groupBy("client_id", F.col("label").alias("cls"), "pos")
-        .agg(F.avg("x").alias("w"))
+        .agg(F.avg("x").alias("own"))
+    )
+    clients = F.explode(F.sequence(F.lit(0), F.lit(N_CLIENTS - 1)))
+    return (
+        head_long(spark, sf_dir)
+        .withColumn("client_id", clients)
+        .join(own, ["client_id", "cls", "pos"], "left")
+        .select("client_id", "cls", "pos", F.coalesce("own", "w").alias("w"))
     )
 
 
+def saved_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private heads of the clients that have trained before: ids below 7."""
+    return client_heads(spark, sf_dir).where("client_id < 7")
+
+
 def _pick(index: Column, *values) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -144,8 +156,9 @@ def run_configs(run: Column) -> list[Column]:
     clean = _pick(strategy, "FedAvg", "FedProx", "FedAvgM", "FedAdam", "FedYogi", "FedMedian", "TrimmedAvg", "MultiKrum")
     scenario = F.concat(
         F.when(~attacked, F.lit("")).when(backdoor, F.lit("Backdoor_Attack_")).otherwise(F.lit("LabelFlip_Attack_")),
+        F.when(attacked & (strategy == 6), F.lit("Fed")).otherwise(F.lit("")),
         clean,
-        F.when(iid, F.lit("_IID")).otherwise(F.lit("_nonIID_a0_1")),
+        F.when(iid, F.lit("_IID")).when(attacked, F.lit("_nonIID_a01")).otherwise(F.lit("_nonIID_a0_1")),
         F.when(personal, F.lit("_personalized")).otherwise(F.lit("")),
         F.when(full, F.lit("")).otherwise(F.lit("_frac08")),
     )

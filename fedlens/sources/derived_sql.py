@@ -91,8 +91,17 @@ REPLIES = """replies AS (
          l_extendedprice / 10000 AS train_loss, l_extendedprice / 20000 AS eval_loss,
          1 - l_discount AS eval_acc, l_tax AS backdoor_asr FROM lineitem)"""
 
-SAVED_HEADS = """saved_heads AS (
-  SELECT client_id, label AS cls, pos, avg(x) AS w FROM parts_long WHERE client_id < 7 GROUP BY client_id, label, pos)"""
+CLIENT_HEADS = """own_means AS (
+  SELECT client_id, label AS cls, pos, avg(x) AS own FROM parts_long GROUP BY client_id, label, pos),
+client_heads AS (
+  SELECT c.client_id, h.cls, h.pos, coalesce(o.own, h.w) AS w
+  FROM head h CROSS JOIN (SELECT unnest(range(10))::INT AS client_id) c
+  LEFT JOIN own_means o ON o.client_id = c.client_id AND o.cls = h.cls AND o.pos = h.pos),
+saved_heads AS (SELECT * FROM client_heads WHERE client_id < 7),
+personal AS (
+  SELECT c.client_id, h.cls, h.pos, coalesce(s.w, h.w) AS w
+  FROM head h CROSS JOIN (SELECT DISTINCT client_id FROM parts) c
+  LEFT JOIN saved_heads s ON s.client_id = c.client_id AND s.cls = h.cls AND s.pos = h.pos)"""
 
 RAW_CONFIG = """raw_config AS (
   SELECT c_custkey AS run_id,
@@ -117,8 +126,8 @@ RAW_METRICS = f"""cells AS (
 raw_metrics AS (
   SELECT 'run_' || run_no AS run_id,
     (CASE WHEN (run_no // 8) % 2 = 0 THEN '' WHEN (run_no // 64) % 2 = 1 THEN 'Backdoor_Attack_' ELSE 'LabelFlip_Attack_' END)
-      || {CLEAN_NAMES}[run_no % 8 + 1]
-      || (CASE WHEN (run_no // 16) % 2 = 0 THEN '_IID' ELSE '_nonIID_a0_1' END)
+      || (CASE WHEN (run_no // 8) % 2 = 1 AND run_no % 8 = 6 THEN 'Fed' ELSE '' END) || {CLEAN_NAMES}[run_no % 8 + 1]
+      || (CASE WHEN (run_no // 16) % 2 = 0 THEN '_IID' WHEN (run_no // 8) % 2 = 1 THEN '_nonIID_a01' ELSE '_nonIID_a0_1' END)
       || (CASE WHEN run_no >= 128 THEN '_personalized' ELSE '' END)
       || (CASE WHEN (run_no // 32) % 2 = 0 THEN '' ELSE '_frac08' END) AS scenario_name,
     {RAW_NAMES}[run_no % 8 + 1] AS strategy_name,
