@@ -88,6 +88,25 @@ def macro_f1(spark, sf):
     return _rounded(M.macro_f1(scoped, ["scope"]), "scope")
 
 
+def client_report(spark, sf):
+    """Loss, accuracy and macro F1 of every client and of all clients together."""
+    cells = (
+        D.predictions(spark, sf)
+        .groupBy("client_id", F.col("label").alias("actual"), "predicted")
+        .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
+    )
+    scope = F.explode(F.array(F.concat(F.lit("client_"), F.col("client_id").cast("string")), F.lit("all")))
+    scoped = cells.withColumn("scope", scope)
+    hits = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    means = scoped.groupBy("scope").agg(
+        (F.sum("loss") / F.sum("n")).alias("eval_loss"), (hits / F.sum("n")).alias("eval_acc"),
+        F.sum("n").alias("num_examples"),
+    )
+    summed = scoped.groupBy("scope", "actual", "predicted").agg(F.sum("n").alias("n"))
+    rows = means.join(M.macro_f1(summed, ["scope"]), "scope")
+    return _rounded(rows, "scope", counts=["num_examples"])
+
+
 def eval_scores(spark, sf):
     scored = P.split_train_val(D.predictions(spark, sf), 0.2)
     return _rounded(M.eval_scores(scored, ["client_id", "split"]), "client_id", "split", counts=["num_examples"])
@@ -116,7 +135,7 @@ QUERIES = {
     for f in (
         partition_iid, partition_iid_balanced, train_val_split, train_val_split_exact, partition_dirichlet,
         label_distribution, sample_clients, malicious_flag, predict_labels, confusion_matrix,
-        confusion_matrix_global, per_class_f1, macro_f1, eval_scores, attack_success_rate,
+        confusion_matrix_global, per_class_f1, macro_f1, client_report, eval_scores, attack_success_rate,
         agg_train_metrics, agg_eval_metrics,
     )
 }
@@ -174,6 +193,12 @@ SQL = {
         FROM classes WHERE scope = 'all'""",
     "macro_f1": f"""{_PRED}, {_F1} SELECT scope, round(avg(coalesce(2 * tp / nullif(p + a, 0), 0)), 6) AS macro_f1
         FROM classes GROUP BY scope""",
+    "client_report": f"""{_PRED}, {_F1}, scoped AS (
+          SELECT 'client_' || client_id AS scope, loss, (predicted = label)::INT AS hit FROM predictions
+          UNION ALL SELECT 'all', loss, (predicted = label)::INT FROM predictions),
+        f AS (SELECT scope, avg(coalesce(2 * tp / nullif(p + a, 0), 0)) AS macro_f1 FROM classes GROUP BY scope)
+        SELECT scope, round(avg(loss), 6) AS eval_loss, round(avg(hit), 6) AS eval_acc, count(*) AS num_examples,
+          round(any_value(f.macro_f1), 6) AS macro_f1 FROM scoped JOIN f USING (scope) GROUP BY scope""",
     "eval_scores": f"""{_PRED} SELECT client_id, {_SPLIT} AS split, round(avg(loss), 6) AS eval_loss,
         round(avg((predicted = label)::INT::DOUBLE), 6) AS eval_acc, count(*) AS num_examples
         FROM predictions GROUP BY ALL""",

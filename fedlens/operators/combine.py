@@ -162,7 +162,9 @@ def clip_updates(updates: DataFrame, current: DataFrame, clip: float) -> DataFra
     )
 
 
-def add_noise(model: DataFrame, noise_multiplier: float, clip: float, n_sampled: int, seed: int) -> DataFrame:
+def add_noise(
+    model: DataFrame, noise_multiplier: float, clip: float, n_sampled: int, seed: int, column: str = "v"
+) -> DataFrame:
     """Gaussian noise of deviation noise_multiplier x clip / sampled clients on every parameter."""
     std = noise_multiplier * clip / n_sampled
-    return model.withColumn("v", F.col("v") + F.lit(std) * gaussian(seed, "dp", "layer", "pos"))
+    return model.withColumn(column, F.col(column) + F.lit(std) * gaussian(seed, "dp", "layer", "pos"))

@@ -136,18 +136,20 @@ FIT_SCHEMA = "client_id int, unit bigint, weights array<array<double>>, train_lo
 
 
 def fit_units(
-    rows: DataFrame, *, seed: int, epochs: int = 1, batch_size: int = 32, lr: float = 0.01,
-    momentum: float = 0.9, mu: float = 0.0, unit_rows: int = 32768,
+    rows: DataFrame, heads: DataFrame, *, personal: bool = False, seed: int, epochs: int = 1, batch_size: int = 32,
+    lr: float = 0.01, momentum: float = 0.9, mu: float = 0.0, unit_rows: int = 32768,
 ) -> DataFrame:
     """Local minibatch training, one task per work unit of at most ``unit_rows`` rows.
 
-    ``rows`` carry the head they start from. Rows of a client are put in seeded random order
-    and cut into units. A client that fits one unit is trained exactly as on a single machine;
-    a larger one is trained as several workers that start from the same head, and
-    ``merge_units`` averages them by examples.
+    ``heads`` is the one shared head, or one head per client if ``personal``. Rows of a client
+    are put in seeded random order and cut into units. A client that fits one unit is trained
+    exactly as on a single machine; a larger one is trained as several workers that start from
+    the same head, and ``merge_units`` averages them by examples.
     """
+    rows = rows.select("sample_id", "client_id", "label", "features")
     ranked = rank_by_draw(rows, draw(seed, "fit", "sample_id"), "sample_id", ["client_id"])
-    units = ranked.select(
+    headed = ranked.join(heads, "client_id") if personal else with_head(ranked, heads)
+    units = headed.select(
         "client_id",
         F.floor((F.col("rank") - 1) / unit_rows).alias("unit"),
         "rank", "label", "features",

@@ -61,38 +61,25 @@ def dense_confusion(cells: DataFrame, keys: Sequence[str] = (), n_classes: int =
 def per_class_scores(cells: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
     """Precision, recall and F1 of every class of the label domain; 0/0 counts as 0.
 
-    Each cell is counted once as its actual and once as its predicted class, so one grouped
-    pass gives hits, predicted and actual totals.
+    Each cell counts once for its actual and once for its predicted class, so one grouped pass
+    over the cells gives hits, actual and predicted totals. Classes that never occur are added
+    as zero rows of each key.
     """
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("actual").alias("cls"), F.col("n").alias("actual_n"), F.lit(0).cast("bigint").alias("predicted_n")),
-            F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("bigint").alias("actual_n"), F.col("n").alias("predicted_n")),
-        )
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    hit = F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero)
+    part = lambda cls, tp, actual_n, predicted_n: F.struct(
+        cls.alias("cls"), tp.alias("tp"), actual_n.alias("actual_n"), predicted_n.alias("predicted_n")
     )
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
-    zero = F.lit(0).cast("bigint")
-    domain = (
-        cells.select(*keys).distinct()
-        .withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
-        .withColumns({"tp": zero, "actual_n": zero, "predicted_n": zero})
-    ) if keys else (
-        cells.sparkSession.range(n_classes)
-        .select(F.col("id").cast("int").alias("cls"), zero.alias("tp"), zero.alias("actual_n"), zero.alias("predicted_n"))
+    counted = cells.select(
+        *keys, F.inline(F.array(part(F.col("actual"), hit, n, zero), part(F.col("predicted"), zero, zero, n)))
     )
-    counted = (
-        cells.select(*keys, hit.alias("hit"), sides.alias("side"))
-        .select(
-            *keys,
-            F.col("side.cls"),
-            # a hit cell is listed twice, once per side: keep the one from the actual side
-            F.when(F.col("side.actual_n") > 0, F.col("hit")).otherwise(zero).alias("tp"),
-            F.col("side.actual_n"),
-            F.col("side.predicted_n"),
-        )
-    )
-    totals = counted.unionByName(domain).groupBy(*keys, "cls").agg(
-        F.sum("tp").alias("tp"), F.sum("actual_n").alias("actual_n"), F.sum("predicted_n").alias("predicted_n")
+    labels = F.sequence(F.lit(0), F.lit(n_classes - 1))
+    groups = cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).select()
+    domain = groups.select(*keys, F.inline(F.transform(labels, lambda c: part(c, zero, zero, zero))))
+    totals = (
+        counted.unionByName(domain)
+        .groupBy(*keys, "cls")
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "actual_n", "predicted_n")])
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return totals.select(

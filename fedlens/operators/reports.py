@@ -47,6 +47,12 @@ def mean_std_by_round(metrics: DataFrame, series: Sequence[str], columns: Sequen
     return rows.withColumns({"lo": lo, "hi": hi})
 
 
+def _matched(metrics: DataFrame, hits: Sequence[Column]) -> DataFrame:
+    """One row per hit. The outer explode keeps the hit list from being evaluated again in a
+    filter that Spark would derive from a plain explode."""
+    return metrics.withColumn("_hit", F.explode_outer(F.array_compact(F.array(*hits)))).where("_hit IS NOT NULL")
+
+
 # --- series reports -------------------------------------------------------------------------
 
 def series_label(report: SeriesReport) -> Column:
@@ -74,9 +80,7 @@ def report_rows(metrics: DataFrame, reports: Sequence[SeriesReport]) -> DataFram
         baseline = report.baseline_filters()
         if baseline is not None:
             hits.append(F.when(predicate(baseline, metrics.columns), hit(F.lit(report.baseline_name), True)))
-    return metrics.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(
-        "_hit.*", *metrics.columns
-    )
+    return _matched(metrics, hits).select("_hit.*", *metrics.columns)
 
 
 def report_series(metrics: DataFrame, reports: Sequence[SeriesReport]) -> DataFrame:
@@ -171,11 +175,7 @@ def table_cells(metrics: DataFrame, tables: Sequence[TableReport], target_round:
         )
         for t in tables
     ]
-    rows = (
-        metrics.where(F.col("round") == target_round)
-        .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-        .select("_hit.*", *TABLE_COLUMNS.values())
-    )
+    rows = _matched(metrics.where(F.col("round") == target_round), hits).select("_hit.*", *TABLE_COLUMNS.values())
     stats = [
         a
         for name, c in TABLE_COLUMNS.items()
