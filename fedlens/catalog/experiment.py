@@ -17,13 +17,9 @@ ROUNDS = 3
 SHAPE = Shape(D.N_CLASSES, D.N_DIMS, D.HEAD_START, D.SIDE)
 
 
-def _shared(spark, sf):
-    return M.head_from_long(D.head_long(spark, sf))
-
-
 def client_gradient(spark, sf):
-    rows = M.with_head(D.parts(spark, sf), _shared(spark, sf))
-    return M.client_gradient(rows, D.N_CLASSES).withColumn("g", F.round("g", 6))
+    gradient = M.client_gradient(D.parts(spark, sf), D.N_CLASSES, M.head_matrix(D.head_long(spark, sf)))
+    return gradient.withColumn("g", F.round("g", 6))
 
 
 def fedprox_step(spark, sf):
@@ -35,14 +31,15 @@ def fedprox_step(spark, sf):
 
 
 def client_fit(spark, sf):
-    weights, _ = M.merge_units(M.fit_units(D.parts(spark, sf), _shared(spark, sf), seed=D.SEED, mu=MU))
+    head = M.head_matrix(D.head_long(spark, sf))
+    weights, _ = M.merge_units(M.fit_units(D.parts(spark, sf), head, seed=D.SEED, mu=MU))
     return weights.withColumn("w", F.round("w", 6))
 
 
 def _personal(spark, sf):
     clients = D.parts(spark, sf).select("client_id").distinct()
     saved = M.head_from_long(D.saved_heads(spark, sf), ["client_id"])
-    return M.personal_heads(clients, saved, _shared(spark, sf))
+    return M.personal_heads(clients, saved, M.head_from_long(D.head_long(spark, sf)))
 
 
 def personal_head(spark, sf):

@@ -99,7 +99,8 @@ def series_labels(spark, sf):
     by_count = next(r for r in SERIES if r.name == "fig_attack_backdoor_1_vs_2_clients")
     runs = D.metrics(spark, sf).groupBy("run_id", "strategy_name", "num_malicious_clients").agg(F.count("*").alias("n_rounds"))
     return runs.select(
-        "run_id", R.series_label(by_strategy).alias("strategy_label"), R.series_label(by_count).alias("count_label"), "n_rounds"
+        "run_id", F.expr(R.series_label(by_strategy)).alias("strategy_label"),
+        F.expr(R.series_label(by_count)).alias("count_label"), "n_rounds",
     )
 
 

@@ -6,22 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def array_total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return array_total(F.zip_with(a, b, lambda x, y: x * y))
-
-
 def squared_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
-
-
-def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda acc, s: acc + F.exp(s - top)))

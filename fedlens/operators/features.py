@@ -27,12 +27,19 @@ def flip_drawn(seed: int, id_col: str = "sample_id") -> Column:
 
 
 def crop_and_flip(features: Column, side: int, padding: int, dy: Column, dx: Column, flip: Column) -> Column:
-    """Random crop of the zero-padded picture, then an optional horizontal flip."""
-
-    def pixel(i: Column) -> Column:
-        row = F.floor(i / F.lit(side)) + dy - F.lit(padding)
-        col = F.when(flip, F.lit(side - 1) - i % F.lit(side)).otherwise(i % F.lit(side)) + dx - F.lit(padding)
-        inside = row.between(0, side - 1) & col.between(0, side - 1)
-        return F.when(inside, F.get(features, (row * F.lit(side) + col).cast("int"))).otherwise(F.lit(0.0))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pixel)
+    """Random crop of the zero-padded picture, then an optional horizontal flip.
+
+    Whole picture rows are moved: a shifted row is its kept slice between two runs of zeros.
+    """
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    shift = dx - F.lit(padding)
+    skipped, blank = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
+
+    def picture_row(row: Column) -> Column:
+        source = row + dy - F.lit(padding)
+        kept = F.slice(features, (source * side + skipped + 1).cast("int"), (F.lit(side) - F.abs(shift)).cast("int"))
+        moved = F.concat(zeros(blank), kept, zeros(skipped))
+        inside = source.between(0, side - 1) & (F.abs(shift) < side)
+        return F.when(inside, F.when(flip, F.reverse(moved)).otherwise(moved)).otherwise(zeros(F.lit(side)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), picture_row))

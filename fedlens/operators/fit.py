@@ -1,4 +1,9 @@
-"""Scoring and fitting of a multinomial linear head on feature arrays."""
+"""Scoring and fitting of a multinomial linear head on feature arrays.
+
+A head is one model: classes x positions weights, a size the configuration fixes. It goes from
+the driver to the tasks the way a server sends its model to its clients. Rows never leave the
+executors; inside a task, whole Arrow batches are scored with one matrix product.
+"""
 
 from __future__ import annotations
 
@@ -6,58 +11,84 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fedlens.functions.arrays import dot, log_sum_exp
 from fedlens.functions.hashing import draw
 from fedlens.operators.ranking import rank_by_draw
 
+SCORE_TYPE = "struct<predicted:int, loss:double, residual:array<double>>"
 
-def head_from_long(head: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(cls, pos, w) rows -> one row holding the head as an array of class vectors.
 
-    The row is one model (classes x positions), so its size does not depend on the data.
-    """
+def head_from_long(head: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, cls, pos, w) rows -> one row per key holding the head as an array of class vectors."""
     ordered = lambda items, field: F.transform(F.array_sort(items), lambda s: s[field])
     by_class = head.groupBy(*keys, "cls").agg(ordered(F.collect_list(F.struct("pos", "w")), "w").alias("weights"))
     return by_class.groupBy(*keys).agg(ordered(F.collect_list(F.struct("cls", "weights")), "weights").alias("head"))
 
 
-def scores(features: Column, head: Column) -> Column:
-    return F.transform(head, lambda w: dot(w, features))
+def head_matrix(head: DataFrame) -> np.ndarray:
+    """(cls, pos, w) rows of one model -> matrix on the driver, to be sent with the tasks."""
+    cells = head.select("cls", "pos", "w").toPandas()
+    return cells.pivot(index="cls", columns="pos", values="w").sort_index().sort_index(axis=1).to_numpy()
 
 
-def with_predictions(df: DataFrame) -> DataFrame:
-    """Adds ``predicted`` and the cross-entropy ``loss`` from ``scores``.
+def _matrix(arrays: pa.Array, *shape: int) -> np.ndarray:
+    flat = arrays.flatten()
+    while pa.types.is_list(flat.type):
+        flat = flat.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(arrays), *shape)
 
-    The largest score is a column of its own, so it is found once per row and not once per class.
-    """
-    logits, top = F.col("scores"), F.col("_top")
-    shifted = F.aggregate(logits, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
-    return (
-        df.withColumn("_top", F.array_max(logits))
-        .withColumn("predicted", (F.array_position(logits, top) - 1).cast("int"))
-        .withColumn("loss", top + F.ln(shifted) - F.element_at(logits, F.col("label") + 1))
-        .drop("_top")
-    )
 
+def _judge(logits: np.ndarray, labels: np.ndarray, with_residual: bool) -> pa.Array:
+    """Predicted class (lowest on ties), cross-entropy, and softmax minus the label indicator."""
+    top = logits.max(axis=1)
+    norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    valid = (labels >= 0) & (labels < logits.shape[1])
+    rows, own = np.arange(len(labels)), np.where(valid, labels, 0).astype(int)
+    loss = pa.array(norm - logits[rows, own], mask=~valid)
+    residual = pa.nulls(len(labels), pa.list_(pa.float64()))
+    if with_residual:
+        r = np.exp(logits - norm[:, None])
+        r[rows[valid], own[valid]] -= 1.0
+        offsets = pa.array(np.arange(len(labels) + 1, dtype=np.int32) * logits.shape[1])
+        residual = pa.ListArray.from_arrays(offsets, pa.array(r.ravel()))
+    predicted = pa.array(logits.argmax(axis=1).astype(np.int32))
+    return pa.StructArray.from_arrays([predicted, loss, residual], ["predicted", "loss", "residual"])
 
-def with_head(rows: DataFrame, head: DataFrame) -> DataFrame:
-    """Adds the one-row ``head`` to every row as a scalar subquery: no join, no shuffle."""
-    return rows.withColumn("head", head.scalar())
 
+def _judged(rows: DataFrame, head: np.ndarray | None, with_residual: bool = False) -> DataFrame:
+    """``rows`` with the judgement ``_s``, under the given head or each row's ``head`` column."""
 
-def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
-    """Scores ``rows`` with a single head."""
-    scored = with_head(rows, head).withColumn("scores", scores(F.col("features"), F.col("head"))).drop("head")
-    return with_predictions(scored)
+    @F.arrow_udf(SCORE_TYPE)
+    def shared(features: pa.Array, labels: pa.Array) -> pa.Array:
+        logits = _matrix(features, -1) @ head.T
+        return _judge(logits, labels.to_numpy(zero_copy_only=False), with_residual)
+
+    @F.arrow_udf(SCORE_TYPE)
+    def own(features: pa.Array, labels: pa.Array, heads: pa.Array) -> pa.Array:
+        x = _matrix(features, -1)
+        logits = np.einsum("nd,ncd->nc", x, _matrix(heads, -1, x.shape[1]))
+        return _judge(logits, labels.to_numpy(zero_copy_only=False), with_residual)
+
+    score = shared("features", "label") if head is not None else own("features", "label", "head")
+    return rows.withColumn("_s", score)
+
+
+def predict(rows: DataFrame, head: np.ndarray) -> DataFrame:
+    """Adds ``predicted`` and the cross-entropy ``loss`` under one shared head."""
+    return _judged(rows, head).select(*rows.columns, "_s.predicted", "_s.loss")
 
 
 def predict_personal(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Scores every row with the head of its own client."""
-    scored = rows.join(heads, "client_id").withColumn("scores", scores(F.col("features"), F.col("head")))
-    return with_predictions(scored.drop("head"))
+    """As ``predict``, every row under the head of its own client."""
+    return _judged(rows.join(heads, "client_id"), None).select(*rows.columns, "_s.predicted", "_s.loss")
+
+
+def with_head(clients: DataFrame, head: DataFrame) -> DataFrame:
+    """Adds the one-row ``head`` to every client as a scalar subquery: no join."""
+    return clients.withColumn("head", head.scalar())
 
 
 def personal_heads(clients: DataFrame, saved: DataFrame, shared: DataFrame) -> DataFrame:
@@ -80,19 +111,16 @@ def head_to_long(heads: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def client_gradient(rows: DataFrame, n_classes: int) -> DataFrame:
+def client_gradient(rows: DataFrame, n_classes: int, head: np.ndarray | None = None) -> DataFrame:
     """Mean cross-entropy gradient of every client: (client_id, cls, pos, g, n).
 
-    ``rows`` carry the head they are scored with. Each row adds (p - y) x to its client; sums
-    combine before the shuffle, so a client of any size sends classes x positions partial rows
-    per task.
+    Rows are scored with ``head``, or with their own ``head`` column. Each row adds (p - y) x to
+    its client; sums combine before the shuffle, so a client of any size sends classes x
+    positions partial rows per task.
     """
-    logits, norm = F.col("scores"), F.col("_norm")
-    residual = F.transform(logits, lambda s, i: F.exp(s - norm) - (F.col("label") == i).cast("double"))
     long = (
-        rows.select("client_id", "label", "features", scores(F.col("features"), F.col("head")).alias("scores"))
-        .withColumn("_norm", log_sum_exp(logits))
-        .select("client_id", "features", residual.alias("r"))
+        _judged(rows, head, with_residual=True)
+        .select("client_id", F.col("_s.residual").alias("r"), "features")
         .select("client_id", "r", F.posexplode("features").alias("pos", "x"))
     )
     per_class = [F.avg(F.col("x") * F.element_at("r", c + 1)).alias(f"g{c}") for c in range(n_classes)]
@@ -136,30 +164,30 @@ FIT_SCHEMA = "client_id int, unit bigint, weights array<array<double>>, train_lo
 
 
 def fit_units(
-    rows: DataFrame, heads: DataFrame, *, personal: bool = False, seed: int, epochs: int = 1, batch_size: int = 32,
+    rows: DataFrame, head: np.ndarray | DataFrame, *, seed: int, epochs: int = 1, batch_size: int = 32,
     lr: float = 0.01, momentum: float = 0.9, mu: float = 0.0, unit_rows: int = 32768,
 ) -> DataFrame:
     """Local minibatch training, one task per work unit of at most ``unit_rows`` rows.
 
-    ``heads`` is the one shared head, or one head per client if ``personal``. Rows of a client
-    are put in seeded random order and cut into units. A client that fits one unit is trained
-    exactly as on a single machine; a larger one is trained as several workers that start from
-    the same head, and ``merge_units`` averages them by examples.
+    ``head`` is the shared head, or a frame with one head per client. Rows of a client are put
+    in seeded random order and cut into units. A client that fits one unit is trained exactly as
+    on a single machine; a larger one is trained as several workers that start from the same
+    head, and ``merge_units`` averages them by examples.
     """
     rows = rows.select("sample_id", "client_id", "label", "features")
     ranked = rank_by_draw(rows, draw(seed, "fit", "sample_id"), "sample_id", ["client_id"])
-    headed = ranked.join(heads, "client_id") if personal else with_head(ranked, heads)
-    units = headed.select(
-        "client_id",
-        F.floor((F.col("rank") - 1) / unit_rows).alias("unit"),
-        "rank", "label", "features",
+    unit = F.floor((F.col("rank") - 1) / unit_rows).alias("unit")
+    columns = ["client_id", unit, "rank", "label", "features"]
+    personal = isinstance(head, DataFrame)
+    if personal:
         # the head travels once per unit, on its first row
-        F.when((F.col("rank") - 1) % unit_rows == 0, F.col("head")).alias("head"),
-    )
+        ranked = ranked.join(head, "client_id")
+        columns.append(F.when((F.col("rank") - 1) % unit_rows == 0, F.col("head")).alias("head"))
+    shared = None if personal else head  # a task must not carry a frame
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        start = np.array([np.asarray(w, dtype=float) for w in pdf["head"].iloc[0]])
+        start = np.array(pdf["head"].iloc[0].tolist(), dtype=float) if shared is None else shared
         weights, loss = _sgd_unit(
             np.stack(pdf["features"].to_numpy()), pdf["label"].to_numpy(), start, epochs, batch_size, lr, momentum, mu
         )
@@ -168,7 +196,7 @@ def fit_units(
             columns=["client_id", "unit", "weights", "train_loss", "num_examples"],
         )
 
-    return units.groupBy("client_id", "unit").applyInPandas(fit, FIT_SCHEMA)
+    return ranked.select(*columns).groupBy("client_id", "unit").applyInPandas(fit, FIT_SCHEMA)
 
 
 def merge_units(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:

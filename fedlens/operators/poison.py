@@ -31,9 +31,15 @@ def flipped_label(attacked: Column, probability: float, seed: int, flip_map: Map
 
 
 def stamp_trigger(features: Column, width: int) -> Column:
-    """The picture with the trigger patch set."""
-    inside = lambda i: (F.floor(i / F.lit(width)) < TRIGGER_SIZE) & (i % F.lit(width) < TRIGGER_SIZE)
-    return F.transform(features, lambda x, i: F.when(inside(i), F.lit(TRIGGER_VALUE)).otherwise(x))
+    """The picture with the trigger patch set: the first rows rebuilt, the rest taken over whole."""
+    patch = F.array_repeat(F.lit(TRIGGER_VALUE), TRIGGER_SIZE)
+    top = [
+        piece
+        for row in range(TRIGGER_SIZE)
+        for piece in (patch, F.slice(features, row * width + TRIGGER_SIZE + 1, width - TRIGGER_SIZE))
+    ]
+    rest = F.slice(features, TRIGGER_SIZE * width + 1, F.size(features) - TRIGGER_SIZE * width)
+    return F.concat(*top, rest)
 
 
 def inject_backdoor(df: DataFrame, attacked: Column, width: int, target: int, rate: float, seed: int) -> DataFrame:

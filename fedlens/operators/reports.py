@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fedlens.functions.text import mean_std_text, title_words
-from fedlens.operators.filters import column_name, predicate
+from fedlens.operators.filters import column_name, condition, literal
 from fedlens.plans.reports import (
     LAYOUTS, NO_DATA, SERVER_METRICS, STRATEGY_ORDER, TABLE_COLUMNS, TABLE_KINDS, SeriesReport, TableReport,
 )
@@ -47,22 +48,26 @@ def mean_std_by_round(metrics: DataFrame, series: Sequence[str], columns: Sequen
     return rows.withColumns({"lo": lo, "hi": hi})
 
 
-def _matched(metrics: DataFrame, hits: Sequence[Column]) -> DataFrame:
-    """One row per hit. The outer explode keeps the hit list from being evaluated again in a
-    filter that Spark would derive from a plain explode."""
-    return metrics.withColumn("_hit", F.explode_outer(F.array_compact(F.array(*hits)))).where("_hit IS NOT NULL")
+def _matched(metrics: DataFrame, hits: Sequence[str]) -> DataFrame:
+    """One row per hit; ``hits`` are SQL texts that give a struct or null.
+
+    The outer explode keeps the hit list from being evaluated again in a filter that Spark would
+    derive from a plain explode.
+    """
+    listed = F.expr(f"explode_outer(array_compact(array({', '.join(hits)})))")
+    return metrics.withColumn("_hit", listed).where("_hit IS NOT NULL")
 
 
 # --- series reports -------------------------------------------------------------------------
 
-def series_label(report: SeriesReport) -> Column:
-    key = F.col(column_name(report.series_key))
-    label = key.cast("string")
-    for value, text in report.legend.items():
-        label = F.when(key == value, F.lit(text)).otherwise(label)
+def series_label(report: SeriesReport) -> str:
+    """SQL text of the label a row gets in a report."""
+    key = column_name(report.series_key)
+    label = f"cast({key} AS string)"
+    cases = [f"WHEN {key} = {literal(v)} THEN {literal(text)}" for v, text in report.legend.items()]
     if report.is_attack:
-        label = F.when(label == "FedAvg", F.lit("FedAvg (Under Attack)")).otherwise(label)
-    return label
+        cases.append(f"WHEN {label} = 'FedAvg' THEN 'FedAvg (Under Attack)'")
+    return f"CASE {' '.join(cases)} ELSE {label} END" if cases else label
 
 
 def report_rows(metrics: DataFrame, reports: Sequence[SeriesReport]) -> DataFrame:
@@ -70,16 +75,19 @@ def report_rows(metrics: DataFrame, reports: Sequence[SeriesReport]) -> DataFram
 
     All filters are evaluated in one pass over the rows; there is no join and no scan per report.
     """
+
+    def hit(report: SeriesReport, filters: Mapping[str, Any], label: str, is_baseline: bool) -> str:
+        return (
+            f"CASE WHEN {condition(filters, metrics.columns)} THEN named_struct('report', {literal(report.name)}, "
+            f"'series', {label}, 'is_baseline', {literal(is_baseline)}, 'layout', {literal(report.layout)}) END"
+        )
+
     hits = []
     for report in reports:
-        hit = lambda label, base: F.struct(
-            F.lit(report.name).alias("report"), label.alias("series"), F.lit(base).alias("is_baseline"),
-            F.lit(report.layout).alias("layout"),
-        )
-        hits.append(F.when(predicate(report.filters, metrics.columns), hit(series_label(report), False)))
+        hits.append(hit(report, report.filters, series_label(report), False))
         baseline = report.baseline_filters()
         if baseline is not None:
-            hits.append(F.when(predicate(baseline, metrics.columns), hit(F.lit(report.baseline_name), True)))
+            hits.append(hit(report, baseline, literal(report.baseline_name), True))
     return _matched(metrics, hits).select("_hit.*", *metrics.columns)
 
 
@@ -166,13 +174,8 @@ def table_cells(metrics: DataFrame, tables: Sequence[TableReport], target_round:
     A metric the table does not list, or that is null in all of its runs, gives a null column.
     """
     hits = [
-        F.when(
-            predicate(t.filters, metrics.columns),
-            F.struct(
-                F.lit(t.number).alias("number"), F.lit(t.kind).alias("kind"),
-                F.col(column_name(t.index)).alias("key"), F.lit(t.index).alias("index"),
-            ),
-        )
+        f"CASE WHEN {condition(t.filters, metrics.columns)} THEN named_struct('number', {t.number}, "
+        f"'kind', {literal(t.kind)}, 'key', {column_name(t.index)}, 'index', {literal(t.index)}) END"
         for t in tables
     ]
     rows = _matched(metrics.where(F.col("round") == target_round), hits).select("_hit.*", *TABLE_COLUMNS.values())

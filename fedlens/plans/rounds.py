@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,23 +63,19 @@ def initial_model(spark, shape: Shape, seed: int) -> DataFrame:
     )
 
 
-def head_array(model: DataFrame, shape: Shape, *keys: str) -> DataFrame:
-    """Parameter rows -> head arrays, one per key."""
-    return M.head_from_long(
-        model.select(
-            *keys, F.expr(f"pos div {shape.row}").alias("cls"), (F.col("pos") % shape.row).alias("pos"), F.col("v").alias("w")
-        ),
-        keys,
-    )
+def head_cells(model: DataFrame, shape: Shape, *keys: str) -> DataFrame:
+    """Parameter rows -> (keys, cls, pos, w)."""
+    cls, pos = F.expr(f"pos div {shape.row}").alias("cls"), (F.col("pos") % shape.row).alias("pos")
+    return model.select(*keys, cls, pos, F.col("v").alias("w"))
 
 
 def with_bias(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat("features", F.array(F.lit(1.0))))
 
 
-def _cells(rows: DataFrame, heads: DataFrame, personal: bool) -> DataFrame:
+def _cells(rows: DataFrame, heads: np.ndarray | DataFrame) -> DataFrame:
     """Confusion cells with summed loss of every side and client, from one scoring pass."""
-    scored = M.predict_personal(rows, heads) if personal else M.predict(rows, heads)
+    scored = M.predict_personal(rows, heads) if isinstance(heads, DataFrame) else M.predict(rows, heads)
     return scored.groupBy("side", "client_id", F.col("label").alias("actual"), "predicted").agg(
         F.count("*").alias("n"), F.sum("loss").alias("loss")
     )
@@ -151,12 +148,12 @@ def run_rounds(samples: DataFrame, test: DataFrame, config: Mapping[str, Any], s
     unshared = first.where("layer LIKE 'fc2.%'")
     private = None  # heads of the clients that have trained
 
-    def heads(current: DataFrame) -> DataFrame:
+    def heads(current: DataFrame) -> np.ndarray | DataFrame:
         """The shared head, or one per client: shared body beside its own (or the first) private layer."""
         model = model_of(current)
         if not personal:
-            return head_array(model, shape)
-        shared = M.with_head(clients, head_array(model.unionByName(unshared), shape))
+            return M.head_matrix(head_cells(model, shape))
+        shared = M.with_head(clients, M.head_from_long(head_cells(model.unionByName(unshared), shape)))
         if private is None:
             return shared
         cut = shape.head_start
@@ -170,22 +167,25 @@ def run_rounds(samples: DataFrame, test: DataFrame, config: Mapping[str, Any], s
     def append(df: DataFrame, path: str, round_number: int) -> None:
         df.withColumn("round", F.lit(round_number)).write.mode("append").parquet(path)
 
+    def taking_part(rows: DataFrame, fraction: float, r: int, salt: int) -> DataFrame:
+        """Rows of the clients drawn for round ``r``; with full participation nothing is drawn."""
+        if fraction >= 1.0:
+            return rows
+        drawn = sample_clients(clients.withColumn("round", F.lit(r)), fraction, config["total-nodes"], seed + salt)
+        return rows.join(drawn.select("client_id"), "client_id", "left_semi")
+
+    now = heads(state)
     if not personal:
-        append(_cells(central, heads(state), False), cell_path, 0)
+        append(_cells(central, now), cell_path, 0)
 
     for r in range(1, rounds + 1):
-        at_round = clients.withColumn("round", F.lit(r))
-        chosen = sample_clients(at_round, config["fraction-train"], config["total-nodes"], seed).select("client_id")
-        rows = train.join(chosen, "client_id", "left_semi")
-        honest = rows.where(~is_malicious(byzantine))
-        fitted = cut_lineage(
-            spark,
-            M.fit_units(
-                honest, heads(state), personal=personal, seed=seed + r, epochs=config["local-epochs"], batch_size=config["batch-size"], lr=config["lr"],
-                momentum=config["momentum"], mu=config["proximal-mu"],
-            ),
-            "fitted",
+        rows = taking_part(train, config["fraction-train"], r, 0)
+        honest = rows.where(~is_malicious(byzantine)) if byzantine else rows
+        fit = M.fit_units(
+            honest, now, seed=seed + r, epochs=config["local-epochs"], batch_size=config["batch-size"],
+            lr=config["lr"], momentum=config["momentum"], mu=config["proximal-mu"],
         )
+        fitted = cut_lineage(spark, fit, "fitted")
         weights, replies = M.merge_units(fitted)
         updates = weights.select(
             F.lit(r).alias("round"), "client_id", shape.layer(F.col("pos")).alias("layer"),
@@ -202,18 +202,19 @@ def run_rounds(samples: DataFrame, test: DataFrame, config: Mapping[str, Any], s
                 absent.select("client_id", F.lit(0.0).alias("train_loss"), F.col("n").alias("num_examples"))
             )
         if personal:
-            fresh = head_array(updates, shape, "client_id")
+            fresh = M.head_from_long(head_cells(updates, shape, "client_id"), ["client_id"])
             kept = fresh if private is None else fresh.unionByName(private.join(fresh, "client_id", "left_anti"))
             private = cut_lineage(spark, kept, "private")
-        replied = chosen.count() if config["strategy-name"] == "multikrum" else config["total-nodes"]
-        step = {**config, "n_params": shape.n_params, "replied": replied, "round": r}
+        append(replies, reply_path, r)
+        step = {**config, "n_params": shape.n_params, "round": r}
+        if config["strategy-name"] == "multikrum":
+            step["replied"] = replies.count()
         state = cut_lineage(spark, rule.combine(shared_body(updates) if personal else updates, state, step), "state")
 
-        append(replies, reply_path, r)
-        judged = sample_clients(at_round, config["fraction-evaluate"], config["total-nodes"], seed + 1).select("client_id")
-        rows = val.join(judged, "client_id", "left_semi")
+        now = heads(state)
+        judged = taking_part(val, config["fraction-evaluate"], r, 1)
         if not personal:
-            rows = rows.unionByName(central, allowMissingColumns=True)
-        append(_cells(rows, heads(state), personal), cell_path, r)
+            judged = judged.unionByName(central)
+        append(_cells(judged, now), cell_path, r)
     cells = spark.read.schema(CELL_SCHEMA).parquet(cell_path)
     return round_log(cells, spark.read.schema(REPLY_SCHEMA).parquet(reply_path), target, shape.n_classes)

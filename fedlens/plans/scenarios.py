@@ -162,20 +162,25 @@ def scenarios_frame(spark: SparkSession, definitions: list[dict[str, Any]] | Non
 
 
 def overlay(base: Column, overrides: Column) -> Column:
-    """Base entries replaced by overrides, and the overrides the base lacks."""
-    return F.map_zip_with(
-        base, overrides, lambda k, old, new: F.when(F.map_contains_key(overrides, k), new).otherwise(old)
-    )
+    """Overrides, and the base entries they do not name."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(overrides, k)), overrides)
 
 
 def run_manifest(
     scenarios: DataFrame, base: dict[str, Any] = BASE_CONFIG, repetitions: int = REPETITIONS
 ) -> DataFrame:
-    """One row per scenario and repetition with its full configuration; the seed grows by one."""
-    base_map = F.create_map(*[F.lit(_text(v)) for pair in base.items() for v in pair])
-    repeated = scenarios.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    """One row per scenario and repetition with its full configuration; the seed grows by one.
+
+    Maps are merged once per scenario; a repetition only adds its seed.
+    """
+    shared = F.create_map(*[F.lit(_text(v)) for k, v in base.items() if k != "seed" for v in (k, v)])
+    overrides = F.map_filter("overrides", lambda k, _: k != "seed")
     seed = (F.lit(base["seed"]) + F.col("repetition")).cast("int")
-    with_seed = F.map_from_arrays(F.array(F.lit("seed")), F.array(seed.cast("string")))
-    return repeated.withColumn("seed", seed).withColumn(
-        "config", overlay(overlay(base_map, F.col("overrides")), with_seed)
-    ).drop("overrides")
+    return (
+        scenarios.withColumn("overrides", overrides)
+        .withColumn("config", overlay(shared, F.col("overrides")))
+        .drop("overrides")
+        .withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+        .withColumn("seed", seed)
+        .withColumn("config", F.map_concat("config", F.create_map(F.lit("seed"), F.col("seed").cast("string"))))
+    )

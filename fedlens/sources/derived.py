@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fedlens.functions.hashing import draw
 from fedlens.operators.cleaning import canonical_strategy
-from fedlens.operators.fit import head_from_long, predict
+from fedlens.operators.fit import head_matrix, predict
 from fedlens.sources.tables import table
 
 N_CLIENTS = 10
@@ -54,7 +54,7 @@ def head_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """``parts`` (or ``rows``) with class scores and the predicted label of the class-mean head."""
     rows = parts(spark, sf_dir) if rows is None else rows
-    return predict(rows, head_from_long(head_long(spark, sf_dir)))
+    return predict(rows, head_matrix(head_long(spark, sf_dir)))
 
 
 def layer_of(pos: Column) -> Column:
