@@ -244,6 +244,10 @@ def markdown_lines(cells: DataFrame, tables: Sequence[TableReport]) -> DataFrame
 
 
 def write_markdown(lines: DataFrame, folder: str) -> None:
-    """One directory of text per table. Lines are finished report text, so each table is small."""
-    ordered = lines.repartition("number").sortWithinPartitions("number", "line_no")
-    ordered.select("number", F.col("line").alias("value")).write.partitionBy("number").text(folder)
+    """One text file per table, in a directory of its number.
+
+    A table has one finished line per strategy or scenario, so its text fits one row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    documents = lines.groupBy("number").agg(F.array_join(ordered["line"], "\n").alias("value"))
+    documents.write.partitionBy("number").text(folder)
