@@ -163,25 +163,25 @@ def _unrolled(moments: str, step1: str, step2: str) -> str:
       s0 AS (SELECT layer, pos, v AS x, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM global_params),
       s1 AS (SELECT layer, pos, {step1} FROM s0 JOIN avg1 USING (layer, pos)),
       s2 AS (SELECT layer, pos, {step2} FROM s1 JOIN avg2 USING (layer, pos))
-      SELECT layer, pos, round(x, 6) AS x, {moments} FROM s2"""
+      SELECT layer, pos, round(x, 6) + 0.0 AS x, {moments} FROM s2"""
 
 
 def _avgm() -> str:
     m = f"({AVGM['beta']} * m + (x - a))"
     step = f"x - {AVGM['lr']} * {m} AS x, {m} AS m"
-    return _unrolled("round(m, 6) AS m", step, step)
+    return _unrolled("round(m, 6) + 0.0 AS m", step, step)
 
 
 def _adaptive(p: dict, second: str) -> str:
     m = f"({p['beta_1']} * m + (1 - {p['beta_1']}) * (a - x))"
     step = f"x + {p['eta']} * {m} / (sqrt({second}) + {p['tau']}) AS x, {m} AS m, {second} AS v"
-    return _unrolled("round(m, 6) AS m, round(v, 6) AS v", step, step)
+    return _unrolled("round(m, 6) + 0.0 AS m, round(v, 6) + 0.0 AS v", step, step)
 
 
 _D2 = "((a - x) * (a - x))"
 
 SQL = {
-    "client_delta": f"{_P}, {_DELTA} SELECT round, client_id, layer, pos, round(v, 6) AS v FROM delta",
+    "client_delta": f"{_P}, {_DELTA} SELECT round, client_id, layer, pos, round(v, 6) + 0.0 AS v FROM delta",
     "update_norms": f"{_P}, {_DELTA} SELECT round, client_id, round(norm, 6) AS norm FROM norms",
     "update_norm_stats": f"""{_P}, {_DELTA} SELECT round, round(min(norm), 6) AS norm_min, round(max(norm), 6) AS norm_max,
         round(median(norm), 6) AS norm_median, round(quantile_cont(norm, 0.9), 6) AS norm_p90 FROM norms GROUP BY round""",
@@ -196,7 +196,7 @@ SQL = {
     "fedavgm_2rounds": _avgm(),
     "fedadam_2rounds": _adaptive(ADAM, f"({ADAM['beta_2']} * v + (1 - {ADAM['beta_2']}) * {_D2})"),
     "fedyogi_2rounds": _adaptive(YOGI, f"(v - (1 - {YOGI['beta_2']}) * {_D2} * sign(v - {_D2}))"),
-    "dp_clip": f"{_P}, {_DELTA}, {_CLIPPED} SELECT layer, pos, round(v, 6) AS v FROM clipped",
+    "dp_clip": f"{_P}, {_DELTA}, {_CLIPPED} SELECT layer, pos, round(v, 6) + 0.0 AS v FROM clipped",
     "dp_noise": f"""{_P}, {_DELTA}, {_CLIPPED} SELECT layer, pos,
         round(v + {NOISE * CLIP / D.N_CLIENTS!r}::DOUBLE * {S.gaussian(42, 'dp', 'layer', 'pos')}, 6) AS v FROM clipped""",
     "krum_pairwise": f"{_P}, {_PAIRS} SELECT round, client_a, client_b, round(sq_dist, 6) AS sq_dist FROM pairs",

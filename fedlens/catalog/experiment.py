@@ -112,11 +112,11 @@ _OWN_SCORES = lambda heads: f"""logits AS (SELECT l.sample_id, l.client_id, l.la
 
 SQL = {
     "client_gradient": f"""{_BASE}, {_SHARED_SCORES}, {_gradient("logits")}
-        SELECT client_id, cls, pos, round(g, 6) AS g, n FROM gradient""",
+        SELECT client_id, cls, pos, round(g, 6) + 0.0 AS g, n FROM gradient""",
     "fedprox_step": f"""{_BASE}, {_OWN_SCORES("client_heads")}, {_gradient("logits")}
         SELECT g.client_id, g.cls, g.pos, round(c.w - {LR} * (g.g + {MU} * (c.w - h.w)), 6) AS w, g.n
         FROM gradient g JOIN client_heads c USING (client_id, cls, pos) JOIN head h ON h.cls = g.cls AND h.pos = g.pos""",
-    "personal_head": f"{_BASE} SELECT client_id, cls, pos, round(w, 6) AS w FROM personal",
+    "personal_head": f"{_BASE} SELECT client_id, cls, pos, round(w, 6) + 0.0 AS w FROM personal",
     "clients_without_head": f"""{_BASE} SELECT client_id, count(*) AS n_rows FROM parts
         WHERE client_id NOT IN (SELECT client_id FROM saved_heads) GROUP BY client_id""",
     "personal_eval": f"""{_BASE}, {_OWN_SCORES("personal")}, best AS (

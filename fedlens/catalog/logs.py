@@ -32,22 +32,23 @@ def _log_folder(spark, sf):
     Folder ``a`` has the runs; ``b`` has a second copy of each, a cut-off file, a file without a
     scenario and one without rounds per personalised run.
     """
-    docs = L.log_documents(D.raw_metrics(spark, sf))
-    text = F.to_json(F.struct("config", "rounds"))
-    personal = docs.where("config.personalization = 'true'")
-    named = lambda prefix: F.concat(F.lit(prefix), "run_id").alias("run_id")
-    frames = [
-        docs.select(F.lit("a").alias("copy"), "run_id", text.alias("value")),
-        docs.select(F.lit("b").alias("copy"), "run_id", text.alias("value")),
-        personal.select(F.lit("b").alias("copy"), named("cut_"), F.expr("left(to_json(struct(config, rounds)), 400)").alias("value")),
-        personal.select(F.lit("b").alias("copy"), named("anonymous_"), F.to_json(F.struct("rounds")).alias("value")),
-        personal.select(F.lit("b").alias("copy"), named("empty_"), F.to_json(F.struct("config", F.array().alias("rounds"))).alias("value")),
+    whole = "to_json(struct(config, rounds))"
+    files = [
+        f"struct('a' AS copy, run_id, {whole} AS value)",
+        f"struct('b' AS copy, run_id, {whole} AS value)",
     ]
-    everything = frames[0]
-    for frame in frames[1:]:
-        everything = everything.unionByName(frame)
+    irregular = {
+        "cut_": f"left({whole}, 400)",
+        "anonymous_": "to_json(struct(rounds))",
+        "empty_": "to_json(struct(config, array() AS rounds))",
+    }
+    files += [
+        f"CASE WHEN config.personalization = 'true' THEN struct('b' AS copy, concat('{prefix}', run_id) AS run_id, {text} AS value) END"
+        for prefix, text in irregular.items()
+    ]
+    docs = L.log_documents(D.raw_metrics(spark, sf)).select(F.expr(f"inline(array_compact(array({', '.join(files)})))"))
     folder = workspace(spark, "run-logs")
-    L.write_documents(everything, folder)
+    L.write_documents(docs, folder)
     return folder
 
 

@@ -94,7 +94,7 @@ _STAMPED = "list_transform(features, lambda x, i: CASE WHEN (i - 1) // 8 < 3 AND
 
 def _unnested(source: str, *keep: str, features: str = "features") -> str:
     cols = "".join(f", {k}" for k in keep)
-    return f"""SELECT sample_id{cols}, pos, round(x, 6) AS x FROM (
+    return f"""SELECT sample_id{cols}, pos, round(x, 6) + 0.0 AS x FROM (
       SELECT sample_id{cols}, unnest({features}) AS x, (generate_subscripts({features}, 1) - 1)::INT AS pos FROM {source})"""
 
 
@@ -110,7 +110,7 @@ SQL = {
     "trigger_eval": f"""{_BASE}, {_ROWS}, stamped AS (SELECT sample_id, label, {_STAMPED} AS features
         FROM split_parts WHERE split = 'val') {_unnested("stamped", "label")}""",
     "byzantine_update": f"""WITH {S.PARAM_CTES} SELECT client_id, layer, pos, round(CASE WHEN client_id IN {_IDS}
-        THEN g.v + 0.5 * {S.gaussian(42, 'byzantine', 'client_id', 'round', 'layer', 'pos')} ELSE c.v END, 6) AS v
+        THEN g.v + 0.5 * {S.gaussian(42, 'byzantine', 'client_id', 'round', 'layer', 'pos')} ELSE c.v END, 6) + 0.0 AS v
         FROM client_params c JOIN global_params g USING (layer, pos)""",
     "poison_dispatch": f"""{_BASE}, {_ROWS}, acting AS (SELECT client_id, label, configured,
           CASE WHEN client_id IN {_IDS} THEN configured ELSE 'none' END AS attack

@@ -7,7 +7,7 @@ re-read and the plan of a round does not grow with the rounds before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -73,7 +73,7 @@ def with_bias(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat("features", F.array(F.lit(1.0))))
 
 
-def _cells(rows: DataFrame, heads: np.ndarray | DataFrame) -> DataFrame:
+def score_cells(rows: DataFrame, heads: np.ndarray | DataFrame) -> DataFrame:
     """Confusion cells with summed loss of every side and client, from one scoring pass."""
     scored = M.predict_personal(rows, heads) if isinstance(heads, DataFrame) else M.predict(rows, heads)
     return scored.groupBy("side", "client_id", F.col("label").alias("actual"), "predicted").agg(
@@ -120,10 +120,20 @@ def round_log(cells: DataFrame, replies: DataFrame, target: int, n_classes: int)
     return round_metrics(evaluated.join(trained, "round", "left"))
 
 
-def run_rounds(samples: DataFrame, test: DataFrame, config: Mapping[str, Any], shape: Shape, rounds: int | None = None) -> DataFrame:
+def run_rounds(
+    samples: DataFrame,
+    test: DataFrame,
+    config: Mapping[str, Any],
+    shape: Shape,
+    rounds: int | None = None,
+    fit: Callable[..., DataFrame] = M.fit_units,
+    evaluate: Callable[[DataFrame, Any], DataFrame] = score_cells,
+) -> DataFrame:
     """Runs the rounds of one configuration and returns its log, one row per round.
 
-    ``samples`` carry client_id and split; ``test`` is the central test set.
+    ``samples`` carry client_id and split; ``test`` is the central test set. ``fit`` trains the
+    clients (signature and result of ``fit_units``) and ``evaluate`` turns rows and a head into
+    confusion cells (as ``score_cells``); both can be replaced.
     """
     spark = samples.sparkSession
     seed, personal = config.get("seed", 42), bool(config.get("personalization"))
@@ -176,16 +186,16 @@ def run_rounds(samples: DataFrame, test: DataFrame, config: Mapping[str, Any], s
 
     now = heads(state)
     if not personal:
-        append(_cells(central, now), cell_path, 0)
+        append(evaluate(central, now), cell_path, 0)
 
     for r in range(1, rounds + 1):
         rows = taking_part(train, config["fraction-train"], r, 0)
         honest = rows.where(~is_malicious(byzantine)) if byzantine else rows
-        fit = M.fit_units(
+        trained = fit(
             honest, now, seed=seed + r, epochs=config["local-epochs"], batch_size=config["batch-size"],
             lr=config["lr"], momentum=config["momentum"], mu=config["proximal-mu"],
         )
-        fitted = cut_lineage(spark, fit, "fitted")
+        fitted = cut_lineage(spark, trained, "fitted")
         weights, replies = M.merge_units(fitted)
         updates = weights.select(
             F.lit(r).alias("round"), "client_id", shape.layer(F.col("pos")).alias("layer"),
@@ -215,6 +225,6 @@ def run_rounds(samples: DataFrame, test: DataFrame, config: Mapping[str, Any], s
         judged = taking_part(val, config["fraction-evaluate"], r, 1)
         if not personal:
             judged = judged.unionByName(central)
-        append(_cells(judged, now), cell_path, r)
+        append(evaluate(judged, now), cell_path, r)
     cells = spark.read.schema(CELL_SCHEMA).parquet(cell_path)
     return round_log(cells, spark.read.schema(REPLY_SCHEMA).parquet(reply_path), target, shape.n_classes)

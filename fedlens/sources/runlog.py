@@ -149,8 +149,14 @@ def log_documents(flat: DataFrame) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:
-    """Text documents (column ``value``) into one directory per run id."""
-    docs.write.partitionBy(*[c for c in docs.columns if c != "value"]).text(folder)
+    """Text documents (column ``value``) into one directory per run id.
+
+    A file per run is mostly file handling, so the documents are spread over all cores; a stated
+    number of partitions is not folded together for being small in bytes.
+    """
+    keys = [c for c in docs.columns if c != "value"]
+    spread = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, *keys)
+    spread.write.partitionBy(*keys).text(folder)
 
 
 # --- growing a log --------------------------------------------------------------------------
