@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fedlens.operators import combine as C
 from fedlens.operators import krum as K
+from fedlens.session import cut_lineage
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
 
@@ -93,39 +94,48 @@ def fedyogi_2rounds(spark, sf):
     return _two_rounds(spark, sf, ["m", "v"], C.yogi_step, YOGI)
 
 
+def _updates(spark, sf):
+    """Client vectors as a written table, for rules that read them more than once."""
+    return cut_lineage(spark, D.client_params(spark, sf), "updates")
+
+
+def _clipped_mean(spark, sf):
+    return C.fedavg(C.clip_updates(_updates(spark, sf), D.global_params(spark, sf), CLIP))
+
+
 def dp_clip(spark, sf):
-    return _value(C.fedavg(C.clip_updates(D.client_params(spark, sf), D.global_params(spark, sf), CLIP)))
+    return _value(_clipped_mean(spark, sf))
 
 
 def dp_noise(spark, sf):
-    clipped = C.fedavg(C.clip_updates(D.client_params(spark, sf), D.global_params(spark, sf), CLIP))
-    return _value(C.add_noise(clipped, NOISE, CLIP, D.N_CLIENTS, D.SEED))
+    return _value(C.add_noise(_clipped_mean(spark, sf), NOISE, CLIP, D.N_CLIENTS, D.SEED))
 
 
-def _distances(spark, sf):
-    blocks = C.to_blocks(D.client_params(spark, sf), ["round", "client_id"])
+def _distances(updates):
+    blocks = C.to_blocks(updates, ["round", "client_id"])
     return K.tile_distances(blocks, D.N_CLIENTS, D.N_DIMS)
 
 
-def _scores(spark, sf):
-    return K.krum_scores(_distances(spark, sf), D.N_CLIENTS, N_MALICIOUS)
+def _scores(updates):
+    return K.krum_scores(_distances(updates), D.N_CLIENTS, N_MALICIOUS)
 
 
 def krum_pairwise(spark, sf):
-    return K.pairwise_distances(_distances(spark, sf)).withColumn("sq_dist", F.round("sq_dist", 6))
+    return K.pairwise_distances(_distances(D.client_params(spark, sf))).withColumn("sq_dist", F.round("sq_dist", 6))
 
 
 def krum_scores(spark, sf):
-    return _scores(spark, sf).withColumn("score", F.round("score", 6))
+    return _scores(D.client_params(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def krum_select(spark, sf):
-    return K.krum_select(_scores(spark, sf)).select("round", "client_id", F.round("score", 6).alias("score"))
+    chosen = K.krum_select(_scores(D.client_params(spark, sf)))
+    return chosen.select("round", "client_id", F.round("score", 6).alias("score"))
 
 
 def multikrum(spark, sf):
-    chosen = K.krum_select(_scores(spark, sf), N_SELECT)
-    return _value(K.multikrum(D.client_params(spark, sf), chosen))
+    updates = _updates(spark, sf)
+    return _value(K.multikrum(updates, K.krum_select(_scores(updates), N_SELECT)))
 
 
 QUERIES = {

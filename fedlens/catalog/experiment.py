@@ -24,9 +24,9 @@ def client_gradient(spark, sf):
 
 def fedprox_step(spark, sf):
     """One step of every client from its own head, pulled towards the shared one."""
-    local = D.client_heads(spark, sf)
+    local, shared = D.client_and_shared_heads(spark, sf)
     rows = D.parts(spark, sf).join(M.head_from_long(local, ["client_id"]), "client_id")
-    step = M.proximal_step(M.client_gradient(rows, D.N_CLASSES), local, D.head_long(spark, sf), LR, MU)
+    step = M.proximal_step(M.client_gradient(rows, D.N_CLASSES), local, shared, LR, MU)
     return step.withColumn("w", F.round("w", 6))
 
 
@@ -37,9 +37,10 @@ def client_fit(spark, sf):
 
 
 def _personal(spark, sf):
-    clients = D.parts(spark, sf).select("client_id").distinct()
-    saved = M.head_from_long(D.saved_heads(spark, sf), ["client_id"])
-    return M.personal_heads(clients, saved, M.head_from_long(D.head_long(spark, sf)))
+    local, shared = D.client_and_shared_heads(spark, sf)
+    clients = local.select("client_id").distinct()
+    saved = M.head_from_long(D.saved_only(local), ["client_id"])
+    return M.personal_heads(clients, saved, M.head_from_long(shared))
 
 
 def personal_head(spark, sf):
@@ -48,7 +49,8 @@ def personal_head(spark, sf):
 
 def clients_without_head(spark, sf):
     clients = D.parts(spark, sf).groupBy("client_id").agg(F.count("*").alias("n_rows"))
-    return M.clients_without_head(clients, D.saved_heads(spark, sf).select("client_id").distinct())
+    local, _ = D.client_and_shared_heads(spark, sf)
+    return M.clients_without_head(clients, D.saved_only(local).select("client_id").distinct())
 
 
 def personal_eval(spark, sf):

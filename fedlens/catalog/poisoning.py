@@ -16,7 +16,9 @@ CONFIGURED = ("none", "label_flipping", "backdoor", "byzantine")
 
 
 def _pixels(df, *keep):
-    return df.select("sample_id", *keep, F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return df.select("sample_id", *keep, F.posexplode("features").alias("pos", "x")).withColumn(
+        "x", F.round(F.col("x").cast("double"), 6)
+    )
 
 
 def _split_parts(spark, sf):

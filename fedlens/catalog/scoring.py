@@ -96,14 +96,18 @@ def client_report(spark, sf):
         .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
     )
     scope = F.explode(F.array(F.concat(F.lit("client_"), F.col("client_id").cast("string")), F.lit("all")))
-    scoped = cells.withColumn("scope", scope)
     hits = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
-    means = scoped.groupBy("scope").agg(
-        (F.sum("loss") / F.sum("n")).alias("eval_loss"), (hits / F.sum("n")).alias("eval_acc"),
-        F.sum("n").alias("num_examples"),
+    rows = (
+        cells.withColumn("scope", scope)
+        .groupBy("scope")
+        .agg(
+            (F.sum("loss") / F.sum("n")).alias("eval_loss"),
+            (hits / F.sum("n")).alias("eval_acc"),
+            F.sum("n").alias("num_examples"),
+            M.class_sums(D.N_CLASSES).alias("classes"),
+        )
+        .select("scope", "eval_loss", "eval_acc", M.mean_f1(F.col("classes")).alias("macro_f1"), "num_examples")
     )
-    summed = scoped.groupBy("scope", "actual", "predicted").agg(F.sum("n").alias("n"))
-    rows = means.join(M.macro_f1(summed, ["scope"]), "scope")
     return _rounded(rows, "scope", counts=["num_examples"])
 
 

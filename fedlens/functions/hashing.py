@@ -15,10 +15,14 @@ DRAW_RANGE = 4294967296.0  # 2^32: draws are the first 8 hex digits of an md5
 
 
 def draw(seed: int, tag: str, *ids: Column | str) -> Column:
-    """Integer in [0, 2^32) for the row identified by ``ids``."""
+    """Integer in [0, 2^32) for the row identified by ``ids``.
+
+    Never null, and marked so: a nullable key would make every join on it hash each row twice,
+    once in the null filter Spark derives.
+    """
     parts = [F.col(i) if isinstance(i, str) else i for i in ids]
     key = F.concat_ws(":", F.lit(f"{seed}:{tag}"), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.coalesce(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def uniform(seed: int, tag: str, *ids: Column | str) -> Column:

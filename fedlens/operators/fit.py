@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fedlens.functions.arrays import dot
 from fedlens.functions.hashing import draw
 from fedlens.operators.ranking import rank_by_draw
 
@@ -34,11 +35,8 @@ def head_matrix(head: DataFrame) -> np.ndarray:
     return cells.pivot(index="cls", columns="pos", values="w").sort_index().sort_index(axis=1).to_numpy()
 
 
-def _matrix(arrays: pa.Array, *shape: int) -> np.ndarray:
-    flat = arrays.flatten()
-    while pa.types.is_list(flat.type):
-        flat = flat.flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(len(arrays), *shape)
+def _matrix(features: pa.Array) -> np.ndarray:
+    return features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(features), -1)
 
 
 def _judge(logits: np.ndarray, labels: np.ndarray, with_residual: bool) -> pa.Array:
@@ -58,22 +56,40 @@ def _judge(logits: np.ndarray, labels: np.ndarray, with_residual: bool) -> pa.Ar
     return pa.StructArray.from_arrays([predicted, loss, residual], ["predicted", "loss", "residual"])
 
 
-def _judged(rows: DataFrame, head: np.ndarray | None, with_residual: bool = False) -> DataFrame:
-    """``rows`` with the judgement ``_s``, under the given head or each row's ``head`` column."""
+def _judged(rows: DataFrame, head: np.ndarray, with_residual: bool = False) -> DataFrame:
+    """``rows`` with ``_s``: their judgement under one head, a matrix product per Arrow batch."""
 
     @F.arrow_udf(SCORE_TYPE)
-    def shared(features: pa.Array, labels: pa.Array) -> pa.Array:
-        logits = _matrix(features, -1) @ head.T
+    def score(features: pa.Array, labels: pa.Array) -> pa.Array:
+        logits = _matrix(features) @ head.T
         return _judge(logits, labels.to_numpy(zero_copy_only=False), with_residual)
 
-    @F.arrow_udf(SCORE_TYPE)
-    def own(features: pa.Array, labels: pa.Array, heads: pa.Array) -> pa.Array:
-        x = _matrix(features, -1)
-        logits = np.einsum("nd,ncd->nc", x, _matrix(heads, -1, x.shape[1]))
-        return _judge(logits, labels.to_numpy(zero_copy_only=False), with_residual)
+    return rows.withColumn("_s", score("features", "label"))
+
+
+def _judged_by_own(rows: DataFrame) -> DataFrame:
+    """As ``_judged`` with the residual, each row under its ``head`` column.
 
-    score = shared("features", "label") if head is not None else own("features", "label", "head")
-    return rows.withColumn("_s", score)
+    Here every row has a model of its own, which would be far more to ship to Python than the
+    row itself, so the products stay in the JVM. Each step is a column that is used twice, which
+    keeps it from being evaluated twice.
+    """
+    logits, top, norm = F.col("_logits"), F.col("_top"), F.col("_norm")
+    label = F.col("label")
+    return (
+        rows.withColumn("_logits", F.transform("head", lambda w: dot(w, F.col("features"))))
+        .withColumn("_top", F.array_max(logits))
+        .withColumn("_norm", top + F.ln(F.aggregate(logits, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))))
+        .withColumn(
+            "_s",
+            F.struct(
+                (F.array_position(logits, top) - 1).cast("int").alias("predicted"),
+                (norm - F.get(logits, label)).alias("loss"),
+                F.transform(logits, lambda s, i: F.exp(s - norm) - (label == i).cast("double")).alias("residual"),
+            ),
+        )
+        .drop("_logits", "_top", "_norm")
+    )
 
 
 def predict(rows: DataFrame, head: np.ndarray) -> DataFrame:
@@ -83,7 +99,7 @@ def predict(rows: DataFrame, head: np.ndarray) -> DataFrame:
 
 def predict_personal(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """As ``predict``, every row under the head of its own client."""
-    return _judged(rows.join(heads, "client_id"), None).select(*rows.columns, "_s.predicted", "_s.loss")
+    return _judged_by_own(rows.join(heads, "client_id")).select(*rows.columns, "_s.predicted", "_s.loss")
 
 
 def with_head(clients: DataFrame, head: DataFrame) -> DataFrame:
@@ -118,10 +134,9 @@ def client_gradient(rows: DataFrame, n_classes: int, head: np.ndarray | None = N
     its client; sums combine before the shuffle, so a client of any size sends classes x
     positions partial rows per task.
     """
-    long = (
-        _judged(rows, head, with_residual=True)
-        .select("client_id", F.col("_s.residual").alias("r"), "features")
-        .select("client_id", "r", F.posexplode("features").alias("pos", "x"))
+    judged = _judged_by_own(rows) if head is None else _judged(rows, head, with_residual=True)
+    long = judged.select("client_id", F.col("_s.residual").alias("r"), "features").select(
+        "client_id", "r", F.posexplode("features").alias("pos", "x")
     )
     per_class = [F.avg(F.col("x") * F.element_at("r", c + 1)).alias(f"g{c}") for c in range(n_classes)]
     wide = long.groupBy("client_id", "pos").agg(*per_class, F.count("*").alias("n"))
@@ -189,7 +204,7 @@ def fit_units(
         pdf = pdf.sort_values("rank")
         start = np.array(pdf["head"].iloc[0].tolist(), dtype=float) if shared is None else shared
         weights, loss = _sgd_unit(
-            np.stack(pdf["features"].to_numpy()), pdf["label"].to_numpy(), start, epochs, batch_size, lr, momentum, mu
+            np.stack(pdf["features"].to_numpy()).astype(float), pdf["label"].to_numpy(), start, epochs, batch_size, lr, momentum, mu
         )
         return pd.DataFrame(
             [(int(pdf["client_id"].iloc[0]), int(pdf["unit"].iloc[0]), weights.tolist(), loss, len(pdf))],

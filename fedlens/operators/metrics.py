@@ -58,41 +58,57 @@ def dense_confusion(cells: DataFrame, keys: Sequence[str] = (), n_classes: int =
     )
 
 
-def per_class_scores(cells: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
-    """Precision, recall and F1 of every class of the label domain; 0/0 counts as 0.
+def class_sums(n_classes: int = 10) -> Column:
+    """Aggregate over confusion cells: per class its hits, actual and predicted totals.
 
-    Each cell counts once for its actual and once for its predicted class, so one grouped pass
-    over the cells gives hits, actual and predicted totals. Classes that never occur are added
-    as zero rows of each key.
+    The label domain is fixed, so the sums are columns of one grouped pass: classes that never
+    occur get zeros without a join, and the rows behind the cells are read once.
     """
-    n, zero = F.col("n"), F.lit(0).cast("bigint")
-    hit = F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero)
-    part = lambda cls, tp, actual_n, predicted_n: F.struct(
-        cls.alias("cls"), tp.alias("tp"), actual_n.alias("actual_n"), predicted_n.alias("predicted_n")
-    )
-    counted = cells.select(
-        *keys, F.inline(F.array(part(F.col("actual"), hit, n, zero), part(F.col("predicted"), zero, zero, n)))
-    )
-    labels = F.sequence(F.lit(0), F.lit(n_classes - 1))
-    groups = cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).select()
-    domain = groups.select(*keys, F.inline(F.transform(labels, lambda c: part(c, zero, zero, zero))))
-    totals = (
-        counted.unionByName(domain)
-        .groupBy(*keys, "cls")
-        .agg(*[F.sum(c).alias(c) for c in ("tp", "actual_n", "predicted_n")])
+    n, actual, predicted = F.col("n"), F.col("actual"), F.col("predicted")
+    total = lambda condition: F.sum(F.when(condition, n).otherwise(F.lit(0)))
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("cls"),
+                total((actual == c) & (predicted == c)).alias("tp"),
+                total(actual == c).alias("actual_n"),
+                total(predicted == c).alias("predicted_n"),
+            )
+            for c in range(n_classes)
+        ]
     )
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return totals.select(
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def class_f1(sums: Column) -> Column:
+    """F1 of one class from its sums; 0/0 counts as 0."""
+    return _ratio(sums["tp"] * 2.0, sums["predicted_n"] + sums["actual_n"])
+
+
+def mean_f1(classes: Column) -> Column:
+    """Macro F1 from the array made by ``class_sums``."""
+    return F.aggregate(classes, F.lit(0.0), lambda acc, c: acc + class_f1(c)) / F.size(classes)
+
+
+def per_class_scores(cells: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
+    """Precision, recall and F1 of every class of the label domain; 0/0 counts as 0."""
+    sums = cells.groupBy(*keys).agg(class_sums(n_classes).alias("_classes")).select(*keys, F.explode("_classes").alias("_c"))
+    c = F.col("_c")
+    return sums.select(
         *keys,
-        "cls",
-        ratio(F.col("tp"), F.col("predicted_n")).alias("precision"),
-        ratio(F.col("tp"), F.col("actual_n")).alias("recall"),
-        ratio(F.col("tp") * 2.0, F.col("predicted_n") + F.col("actual_n")).alias("f1"),
+        c["cls"].alias("cls"),
+        _ratio(c["tp"], c["predicted_n"]).alias("precision"),
+        _ratio(c["tp"], c["actual_n"]).alias("recall"),
+        class_f1(c).alias("f1"),
     )
 
 
 def macro_f1(cells: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
-    return per_class_scores(cells, keys, n_classes).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
+    sums = cells.groupBy(*keys).agg(class_sums(n_classes).alias("_classes"))
+    return sums.select(*keys, mean_f1(F.col("_classes")).alias("macro_f1"))
 
 
 def eval_scores(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:

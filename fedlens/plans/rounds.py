@@ -98,8 +98,7 @@ def round_log(cells: DataFrame, replies: DataFrame, target: int, n_classes: int)
         F.sum(n).alias("num_examples"),
     )
     sides = Q.aggregate_eval(per_client, ["round", "side"])
-    summed = cells.groupBy("round", "side", "actual", "predicted").agg(F.sum(n).alias("n"))
-    sides = sides.join(Q.macro_f1(summed, ["round", "side"], n_classes), ["round", "side"])
+    sides = sides.join(Q.macro_f1(cells, ["round", "side"], n_classes), ["round", "side"])
     of = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
     evaluated = sides.groupBy("round").agg(
         of("client", "eval_loss").alias("client_evaluation_loss"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fedlens.functions.hashing import draw
 from fedlens.operators.cleaning import canonical_strategy
 from fedlens.operators.fit import head_matrix, predict
+from fedlens.session import cut_lineage
 from fedlens.sources.tables import table
 
 N_CLIENTS = 10
@@ -28,7 +29,7 @@ TARGET_ROUND = 30  # the logs derived from events end at day 30
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("sample_id"),
-        F.col("embedding").cast("array<double>").alias("features"),
+        F.col("embedding").alias("features"),
         "label",
     )
 
@@ -39,7 +40,8 @@ def parts(spark: SparkSession, sf_dir: str, tag: str = "part") -> DataFrame:
 
 
 def long_features(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select(*keep, F.posexplode("features").alias("pos", "x"))
+    """One row per feature; values become doubles one by one, not by casting whole arrays."""
+    return df.select(*keep, F.posexplode("features").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 def head_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,25 +99,32 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def client_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full head per client: its own class means, the shared ones for classes it lacks."""
-    own = (
+def client_and_shared_heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A full head per client and the shared head, as (client_id,) cls, pos, w.
+
+    A client's head has its own class means, and the shared ones for classes it lacks. Both come
+    from one pass over the samples, whose sums (clients x classes x positions) are written once.
+    """
+    sums = cut_lineage(
+        spark,
         long_features(parts(spark, sf_dir), "client_id", "label")
         .groupBy("client_id", F.col("label").alias("cls"), "pos")
-        .agg(F.avg("x").alias("own"))
+        .agg(F.sum("x").alias("s"), F.count("x").alias("n")),
+        "head-sums",
     )
+    shared = sums.groupBy("cls", "pos").agg((F.sum("s") / F.sum("n")).alias("w"))
     clients = F.explode(F.sequence(F.lit(0), F.lit(N_CLIENTS - 1)))
-    return (
-        head_long(spark, sf_dir)
-        .withColumn("client_id", clients)
-        .join(own, ["client_id", "cls", "pos"], "left")
-        .select("client_id", "cls", "pos", F.coalesce("own", "w").alias("w"))
+    local = (
+        shared.withColumn("client_id", clients)
+        .join(sums, ["client_id", "cls", "pos"], "left")
+        .select("client_id", "cls", "pos", F.coalesce(F.col("s") / F.col("n"), "w").alias("w"))
     )
+    return local, shared
 
 
-def saved_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Private heads of the clients that have trained before: ids below 7."""
-    return client_heads(spark, sf_dir).where("client_id < 7")
+def saved_only(heads: DataFrame) -> DataFrame:
+    """Heads of the clients that have trained before: ids below 7."""
+    return heads.where("client_id < 7")
 
 
 def _pick(index: Column, *values) -> Column:

@@ -100,7 +100,7 @@ client_heads AS (
 saved_heads AS (SELECT * FROM client_heads WHERE client_id < 7),
 personal AS (
   SELECT c.client_id, h.cls, h.pos, coalesce(s.w, h.w) AS w
-  FROM head h CROSS JOIN (SELECT DISTINCT client_id FROM parts) c
+  FROM head h CROSS JOIN (SELECT DISTINCT client_id FROM client_heads) c
   LEFT JOIN saved_heads s ON s.client_id = c.client_id AND s.cls = h.cls AND s.pos = h.pos)"""
 
 RAW_CONFIG = """raw_config AS (
