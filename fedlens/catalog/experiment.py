@@ -9,6 +9,7 @@ from fedlens.operators import metrics as Q
 from fedlens.operators.partition import split_train_val
 from fedlens.plans.rounds import Shape, run_rounds
 from fedlens.plans.scenarios import BASE_CONFIG
+from fedlens.session import cut_lineage
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
 
@@ -25,7 +26,8 @@ def client_gradient(spark, sf):
 def fedprox_step(spark, sf):
     """One step of every client from its own head, pulled towards the shared one."""
     local, shared = D.client_and_shared_heads(spark, sf)
-    rows = D.parts(spark, sf).join(M.head_from_long(local, ["client_id"]), "client_id")
+    heads = cut_lineage(spark, M.head_from_long(local, ["client_id"]), "heads")  # of known size when joined
+    rows = D.parts(spark, sf).join(heads, "client_id")
     step = M.proximal_step(M.client_gradient(rows, D.N_CLASSES), local, shared, LR, MU)
     return step.withColumn("w", F.round("w", 6))
 
@@ -40,7 +42,7 @@ def _personal(spark, sf):
     local, shared = D.client_and_shared_heads(spark, sf)
     clients = local.select("client_id").distinct()
     saved = M.head_from_long(D.saved_only(local), ["client_id"])
-    return M.personal_heads(clients, saved, M.head_from_long(shared))
+    return cut_lineage(spark, M.personal_heads(clients, saved, M.head_from_long(shared)), "heads")
 
 
 def personal_head(spark, sf):

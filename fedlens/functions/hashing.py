@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DRAW_RANGE = 4294967296.0  # 2^32: draws are the first 8 hex digits of an md5
+DRAW_BITS = 32  # draws are the first 8 hex digits of an md5
+DRAW_RANGE = float(2**DRAW_BITS)
 
 
 def draw(seed: int, tag: str, *ids: Column | str) -> Column:
@@ -30,6 +31,11 @@ def uniform(seed: int, tag: str, *ids: Column | str) -> Column:
     return draw(seed, tag, *ids) / F.lit(DRAW_RANGE)
 
 
+def pick(n: int, seed: int, tag: str, *ids: Column | str) -> Column:
+    """Integer in [0, n), never null."""
+    return F.coalesce(F.pmod(draw(seed, tag, *ids), F.lit(n)).cast("int"), F.lit(0))
+
+
 def gaussian(seed: int, tag: str, *ids: Column | str) -> Column:
     """Standard normal by Box-Muller on two draws; the first is shifted off zero for the log."""
     u1 = (draw(seed, tag + "/r", *ids) + F.lit(1)) / F.lit(DRAW_RANGE)

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.functions.hashing import draw, uniform
+from fedlens.functions.hashing import draw, pick, uniform
 from fedlens.operators.ranking import rank_by_draw
 
 
 def assign_iid(df: DataFrame, n_clients: int, seed: int, id_col: str = "sample_id", tag: str = "part") -> DataFrame:
     """Uniform clients, equal in expectation; a projection, no shuffle."""
-    return df.withColumn("client_id", F.pmod(draw(seed, tag, id_col), F.lit(n_clients)).cast("int"))
+    return df.withColumn("client_id", pick(n_clients, seed, tag, id_col))
 
 
 def assign_iid_balanced(df: DataFrame, n_clients: int, seed: int, id_col: str = "sample_id") -> DataFrame:
@@ -93,7 +93,7 @@ def split_train_val_exact(df: DataFrame, val_share: float, seed: int = 42, id_co
 def sample_clients(clients: DataFrame, fraction: float, total_nodes: int, seed: int) -> DataFrame:
     """Clients taking part in each round: at least one, else the whole part of the fraction."""
     wanted = max(1, int(total_nodes * fraction))
-    ranked = rank_by_draw(clients, draw(seed, "round", "round", "client_id"), "client_id", ["round"], buckets=64)
+    ranked = rank_by_draw(clients, draw(seed, "round", "round", "client_id"), "client_id", ["round"], bits=6)
     return ranked.where(F.col("rank") <= wanted).select(*clients.columns, "rank")
 
 

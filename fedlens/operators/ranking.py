@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fedlens.functions.hashing import DRAW_RANGE
+from fedlens.functions.hashing import DRAW_BITS
 
 
 def rank_by_draw(
-    df: DataFrame, draw_col: Column, id_col: str, group: Sequence[str] = (), buckets: int = 1024
+    df: DataFrame, draw_col: Column, id_col: str, group: Sequence[str] = (), bits: int = 10
 ) -> DataFrame:
     """Adds ``rank`` (1-based, by draw then id) and ``group_size`` to every row.
 
-    The draw range is cut into ``buckets``; because draws are uniform, a group that holds a
-    third of all rows is still spread over that many sorts. Bucket counts are combined before
+    The draw range is cut into 2^``bits`` buckets; because draws are uniform, a group that holds
+    a third of all rows is still spread over that many sorts. Bucket counts are combined before
     the shuffle, and only the count table (groups x buckets rows) is summed up in order.
     """
     group = list(group)
     keys = [*group, "_bucket"]
-    bucket = F.floor(draw_col / F.lit(DRAW_RANGE / buckets)).cast("int")
+    bucket = F.shiftright(draw_col, DRAW_BITS - bits).cast("int")
     rows = df.withColumn("_draw", draw_col).withColumn("_bucket", bucket)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))

@@ -164,14 +164,16 @@ def run_rounds(
             return M.head_matrix(head_cells(model, shape))
         shared = M.with_head(clients, M.head_from_long(head_cells(model.unionByName(unshared), shape)))
         if private is None:
-            return shared
+            return cut_lineage(spark, shared, "heads")
         cut = shape.head_start
         body_then_own = F.zip_with(
             "head", "_own", lambda w, own: F.concat(F.slice(w, 1, cut), F.slice(own, cut + 1, shape.row - cut))
         )
-        return shared.join(private.withColumnRenamed("head", "_own"), "client_id", "left").select(
+        joined = shared.join(private.withColumnRenamed("head", "_own"), "client_id", "left").select(
             "client_id", F.when(F.col("_own").isNull(), F.col("head")).otherwise(body_then_own).alias("head")
         )
+        # written, so its size is known where rows are joined to it
+        return cut_lineage(spark, joined, "heads")
 
     def append(df: DataFrame, path: str, round_number: int) -> None:
         df.withColumn("round", F.lit(round_number)).write.mode("append").parquet(path)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.functions.hashing import draw
 from fedlens.operators.cleaning import canonical_strategy
 from fedlens.operators.fit import head_matrix, predict
+from fedlens.operators.partition import assign_iid
 from fedlens.session import cut_lineage
 from fedlens.sources.tables import table
 
@@ -35,8 +35,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, tag: str = "part") -> DataFrame:
-    client = F.pmod(draw(SEED, tag, "sample_id"), F.lit(N_CLIENTS)).cast("int")
-    return samples(spark, sf_dir).withColumn("client_id", client)
+    return assign_iid(samples(spark, sf_dir), N_CLIENTS, SEED, tag=tag)
 
 
 def long_features(df: DataFrame, *keep: str) -> DataFrame:

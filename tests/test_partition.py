@@ -31,7 +31,7 @@ def test_exact_rank_with_one_group_of_half_the_rows(spark, parts):
         F.col("id").alias("sample_id"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 7).cast("int").alias("g")
     ).repartition(parts)
     d = draw(3, "r", "sample_id")
-    got = rank_by_draw(df, d, "sample_id", ["g"], buckets=16).toPandas()
+    got = rank_by_draw(df, d, "sample_id", ["g"], bits=4).toPandas()
     want = df.withColumn("d", d).toPandas().sort_values(["g", "d", "sample_id"])
     want["rank"] = want.groupby("g").cumcount() + 1
     merged = got.merge(want, on="sample_id")
