@@ -12,7 +12,7 @@ from fedlens.functions.hashing import DRAW_BITS
 
 
 def rank_by_draw(
-    df: DataFrame, draw_col: Column, id_col: str, group: Sequence[str] = (), bits: int = 10
+    df: DataFrame, draw_col: Column, id_col: str, group: Sequence[str] = (), bits: int = 14
 ) -> DataFrame:
     """Adds ``rank`` (1-based, by draw then id) and ``group_size`` to every row.
 

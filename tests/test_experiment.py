@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fedlens.catalog.experiment import SHAPE
 from fedlens.functions.hashing import draw
 from fedlens.operators import fit as M
 from fedlens.operators.partition import split_train_val
