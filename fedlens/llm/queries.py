@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fedlens.llm import idfiles, packing
+from fedlens.llm import idfiles, merge_dropout, packing, quality, token_count, topk
 from fedlens.llm.common import documents
 from fedlens.session import workspace
+from fedlens.sources.tables import table
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +17,27 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_count.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    return token_count.count_tokens(spark, documents(spark, sf_dir), tokens)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.measure(spark, documents(spark, sf_dir))
+    return quality.judged(spark, stats, fit_on=stats).select(F.col("doc_id").cast("long"), "quality.*")
+
+
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    encoded = merge_dropout.encode_documents(spark, documents(spark, sf_dir), model, rate=0.1, seed=20240)
+    return merge_dropout.digests(merge_dropout.decode_ids(spark, encoded, model))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", factor=64)
+    return topk.top_k(spark, vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), window=2048)
 
@@ -25,5 +48,29 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.digests(idfiles.read_ids(spark, path))
 
 
-QUERIES = {"op7_packing": op7_packing, "op9_id_files": op9_id_files}
-SQL: dict[str, str] = {}
+TOPK_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_merge_dropout": op3_merge_dropout,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_packing": op7_packing,
+    "op9_id_files": op9_id_files,
+}
+SQL: dict[str, str] = {"op6_exact_topk": TOPK_SQL}
