@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm import idfiles, merge_dropout, packing, quality, token_count, topk
+from fedlens.llm import idfiles, merge_dropout, packing, quality, secret_scan, token_count, topk
 from fedlens.llm.common import documents
 from fedlens.session import workspace
 from fedlens.sources.tables import table
@@ -33,6 +33,10 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.digests(merge_dropout.decode_ids(spark, encoded, model))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scanned(spark, documents(spark, sf_dir), owner="source", repository="doc_id"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", factor=64)
     return topk.top_k(spark, vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -65,12 +69,53 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+#: The assignment pattern with both cases of every letter spelled out.
+ASSIGN_SQL = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRET_SQL = r"""
+WITH kinds(k, kind, least) AS (VALUES (0, 'assign', 6), (1, 'access', 20), (2, 'hex', 24), (3, 'owned', 20)), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+), parts AS (
+  SELECT r, doc_id, source, 0 AS k, string_split_regex(text, '{assign}') AS gaps,
+         regexp_extract_all(text, '{assign}', 0) AS wholes,
+         regexp_extract_all(text, '{assign}', 2) AS vals
+  FROM texts
+  UNION ALL SELECT r, doc_id, source, 1, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM texts
+  UNION ALL SELECT r, doc_id, source, 2, string_split_regex(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}') FROM texts
+  UNION ALL SELECT r, doc_id, source, 3, string_split_regex(text, '[A-Za-z0-9_+/-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9_+/-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9_+/-]{20,}') FROM texts
+), placed AS (
+  SELECT r, doc_id, source, k, i, wholes[i] AS whole, vals[i] AS val,
+         list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda g: length(g))), 0) AS "at"
+  FROM (SELECT *, unnest(range(1, len(wholes) + 1)) AS i FROM parts)
+), spans AS (
+  SELECT p.r, p.doc_id, p.source, p.k, kind, CAST("at" AS BIGINT) AS beg, CAST("at" + length(whole) AS BIGINT) AS til, val
+  FROM placed p JOIN kinds USING (k) WHERE length(val) >= least
+), base AS (SELECT * FROM spans WHERE k < 3),
+more AS (
+  SELECT * FROM spans g WHERE k = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
+    AND len(list_distinct(string_split(val, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = g.r AND b.beg < g.til AND g.beg < b.til)
+), each AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+owners AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM each GROUP BY val),
+judged AS (SELECT e.*, n_owners, kind || ':' || beg || ':' || til AS span FROM each e JOIN owners USING (val) WHERE k < 3 OR n_owners = 1),
+summed AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         coalesce(string_agg(span, ',' ORDER BY beg, k) FILTER (k < 3), '') AS base_spans, string_agg(span, ',' ORDER BY beg, k) AS spans,
+         count(*) FILTER (n_owners >= 3) AS n_copied, count(*) FILTER (n_owners = 1) AS n_single_owner
+  FROM judged GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_copied, 0) AS n_copied, coalesce(n_single_owner, 0) AS n_single_owner
+FROM texts LEFT JOIN summed USING (r)
+""".replace("{assign}", ASSIGN_SQL)
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_merge_dropout": op3_merge_dropout,
+    "op4_secret_scan": op4_secret_scan,
     "op6_exact_topk": op6_exact_topk,
     "op7_packing": op7_packing,
     "op9_id_files": op9_id_files,
 }
-SQL: dict[str, str] = {"op6_exact_topk": TOPK_SQL}
+SQL: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op6_exact_topk": TOPK_SQL}
