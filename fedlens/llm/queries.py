@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm import idfiles, merge_dropout, packing, quality, secret_scan, token_count, topk
+from fedlens.llm import classlm, idfiles, merge_dropout, packing, quality, secret_scan, token_count, topk
 from fedlens.llm.common import documents
 from fedlens.session import workspace
 from fedlens.sources.tables import table
@@ -37,6 +37,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scanned(spark, documents(spark, sf_dir), owner="source", repository="doc_id"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.scored(spark, documents(spark, sf_dir))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", factor=64)
     return topk.top_k(spark, vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -114,6 +118,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_merge_dropout": op3_merge_dropout,
     "op4_secret_scan": op4_secret_scan,
+    "op5_class_lm": op5_class_lm,
     "op6_exact_topk": op6_exact_topk,
     "op7_packing": op7_packing,
     "op9_id_files": op9_id_files,
