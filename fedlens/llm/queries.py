@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm import classlm, idfiles, merge_dropout, packing, quality, secret_scan, token_count, topk
+from fedlens.llm import classlm, idfiles, jaccard_join, merge_dropout, packing, quality, secret_scan, token_count, topk
 from fedlens.llm.common import documents
 from fedlens.session import workspace
 from fedlens.sources.tables import table
@@ -50,6 +50,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), window=2048)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(spark, documents(spark, sf_dir), size=3, percent=90)
+
+
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "id-files")
     idfiles.write_ids(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"))
@@ -121,6 +125,7 @@ QUERIES = {
     "op5_class_lm": op5_class_lm,
     "op6_exact_topk": op6_exact_topk,
     "op7_packing": op7_packing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_id_files": op9_id_files,
 }
 SQL: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op6_exact_topk": TOPK_SQL}
