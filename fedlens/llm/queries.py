@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm import classlm, idfiles, jaccard_join, merge_dropout, packing, quality, secret_scan, token_count, topk
+from fedlens.llm import classlm, idfiles, jaccard_join, merge_dropout, packing, quality, secret_scan, substring_dedup, token_count, topk
 from fedlens.llm.common import documents
 from fedlens.session import workspace
 from fedlens.sources.tables import table
@@ -77,6 +77,10 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(spark, documents(spark, sf_dir), span=13)
+
+
 #: The assignment pattern with both cases of every letter spelled out.
 ASSIGN_SQL = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 SECRET_SQL = r"""
@@ -127,5 +131,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_id_files": op9_id_files,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op6_exact_topk": TOPK_SQL}
