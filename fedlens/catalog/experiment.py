@@ -13,7 +13,7 @@ from fedlens.session import cut_lineage
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
 
-LR, MU = 0.1, 0.01
+LR, MU, MOMENTUM = 0.1, 0.01, 0.9
 ROUNDS = 3
 SHAPE = Shape(D.N_CLASSES, D.N_DIMS, D.HEAD_START, D.SIDE)
 
@@ -38,6 +38,13 @@ def client_fit(spark, sf):
     return weights.withColumn("w", F.round("w", 6))
 
 
+def client_fit_full_batch(spark, sf):
+    """Two epochs of full-batch descent with momentum and the proximal pull."""
+    head = M.head_matrix(D.head_long(spark, sf))
+    fitted = M.fit_units(D.parts(spark, sf), head, seed=D.SEED, epochs=2, batch_size=None, lr=LR, momentum=MOMENTUM, mu=MU)
+    return M.merge_units(fitted)[0].withColumn("w", F.round("w", 6))
+
+
 def _personal(spark, sf):
     local, shared = D.client_and_shared_heads(spark, sf)
     clients = local.select("client_id").distinct()
@@ -93,19 +100,19 @@ def federated_personal_rounds(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        client_gradient, fedprox_step, client_fit, personal_head, clients_without_head, personal_eval,
+        client_gradient, fedprox_step, client_fit, client_fit_full_batch, personal_head, clients_without_head, personal_eval,
         federated_rounds, federated_attack_rounds, federated_personal_rounds,
     )
 }
 
 
-def _gradient(source: str) -> str:
+def _gradient(source: str, tag: str = "") -> str:
     """Gradient of every client from ``source`` (sample_id, client_id, label, cls, score)."""
-    return f"""norm AS (SELECT sample_id, ln(sum(exp(score))) AS lse FROM {source} GROUP BY sample_id),
-      residual AS (SELECT s.sample_id, s.client_id, s.cls, exp(s.score - n.lse) - (s.label = s.cls)::INT AS r
-        FROM {source} s JOIN norm n USING (sample_id)),
-      gradient AS (SELECT r.client_id, r.cls, l.pos, avg(r.r * l.x) AS g, count(*) AS n
-        FROM residual r JOIN parts_long l USING (sample_id) GROUP BY ALL)"""
+    return f"""norm{tag} AS (SELECT sample_id, ln(sum(exp(score))) AS lse FROM {source} GROUP BY sample_id),
+      residual{tag} AS (SELECT s.sample_id, s.client_id, s.cls, exp(s.score - n.lse) - (s.label = s.cls)::INT AS r
+        FROM {source} s JOIN norm{tag} n USING (sample_id)),
+      gradient{tag} AS (SELECT r.client_id, r.cls, l.pos, avg(r.r * l.x) AS g, count(*) AS n
+        FROM residual{tag} r JOIN parts_long l USING (sample_id) GROUP BY ALL)"""
 
 
 _BASE = f"WITH {S.SAMPLES}, {S.parts()}, {S.SAMPLES_LONG}, {S.PARTS_LONG}, {S.HEAD}, {S.CLIENT_HEADS}"
@@ -120,6 +127,12 @@ SQL = {
     "fedprox_step": f"""{_BASE}, {_OWN_SCORES("client_heads")}, {_gradient("logits")}
         SELECT g.client_id, g.cls, g.pos, round(c.w - {LR} * (g.g + {MU} * (c.w - h.w)), 6) AS w, g.n
         FROM gradient g JOIN client_heads c USING (client_id, cls, pos) JOIN head h ON h.cls = g.cls AND h.pos = g.pos""",
+    "client_fit_full_batch": f"""{_BASE}, {_SHARED_SCORES}, {_gradient("logits")},
+        once AS (SELECT g.client_id, g.cls, g.pos, h.w - {LR} * g.g AS w, g.g AS v, h.w AS start
+          FROM gradient g JOIN head h ON h.cls = g.cls AND h.pos = g.pos),
+        {_OWN_SCORES("once").replace("logits AS", "logits_2 AS")}, {_gradient("logits_2", "_2")}
+        SELECT g.client_id, g.cls, g.pos, round(o.w - {LR} * ({MOMENTUM} * o.v + g.g + {MU} * (o.w - o.start)), 6) + 0.0 AS w, g.n
+        FROM gradient_2 g JOIN once o USING (client_id, cls, pos)""",
     "personal_head": f"{_BASE} SELECT client_id, cls, pos, round(w, 6) + 0.0 AS w FROM personal",
     "clients_without_head": f"""{_BASE} SELECT client_id, count(*) AS n_rows FROM parts
         WHERE client_id NOT IN (SELECT client_id FROM saved_heads) GROUP BY client_id""",

@@ -2,7 +2,8 @@
 
 Long model rows are ``round, client_id, layer, pos, v, n``; blocked rows carry
 ``layer, block, vals`` instead of ``layer, pos, v``. Server state is ``layer, pos, x`` plus the
-moments a rule needs, so each rule is one aggregation and one equi-join.
+moments a rule needs, so each rule is one aggregation and one equi-join. A coordinate for which
+a round brings no mean keeps its value and its moments.
 """
 
 from __future__ import annotations
@@ -36,12 +37,17 @@ def to_long(blocks: DataFrame, keys: Sequence[str] = (), block_size: int = BLOCK
     )
 
 
+def replied(updates: DataFrame) -> DataFrame:
+    """Rows of replies that did not fail; without the mark ``has_error`` all of them."""
+    return updates.where(~F.coalesce("has_error", F.lit(False))) if "has_error" in updates.columns else updates
+
+
 # --- means ----------------------------------------------------------------------------------
 
 def fedavg(updates: DataFrame, keys: Sequence[str] = COORD) -> DataFrame:
     """Mean weighted by examples; partial sums combine before the shuffle."""
     n = F.col("n")
-    return updates.groupBy(*keys).agg((F.sum(n * F.col("v")) / F.sum(n)).alias("v"))
+    return replied(updates).groupBy(*keys).agg((F.sum(n * F.col("v")) / F.sum(n)).alias("v"))
 
 
 def shared_body(updates: DataFrame, private_prefix: str = "fc2.") -> DataFrame:
@@ -59,7 +65,13 @@ def carry_forward(current: DataFrame, new: DataFrame) -> DataFrame:
 # --- stateful server rules ------------------------------------------------------------------
 
 def _with_mean(state: DataFrame, mean: DataFrame) -> DataFrame:
-    return state.join(mean.select(*COORD, F.col("v").alias("a")), list(COORD))
+    """State with the round's mean as ``a``, null for coordinates that the round did not bring."""
+    return state.join(mean.select(*COORD, F.col("v").alias("a")), list(COORD), "left")
+
+
+def _stepped(name: str, value: Column) -> Column:
+    """The new value; a coordinate without a mean keeps its old one."""
+    return F.when(F.col("a").isNull(), F.col(name)).otherwise(value).alias(name)
 
 
 def server_state(model: DataFrame, moments: Sequence[str]) -> DataFrame:
@@ -72,8 +84,8 @@ def avgm_step(state: DataFrame, mean: DataFrame, lr: float, beta: float) -> Data
     m = F.lit(beta) * F.col("m") + (F.col("x") - F.col("a"))
     return (
         _with_mean(state, mean)
-        .select(*COORD, "x", m.alias("m"))
-        .select(*COORD, (F.col("x") - F.lit(lr) * F.col("m")).alias("x"), "m")
+        .select(*COORD, "a", "x", _stepped("m", m))
+        .select(*COORD, _stepped("x", F.col("x") - F.lit(lr) * F.col("m")), "m")
     )
 
 
@@ -81,8 +93,8 @@ def _adaptive_step(state: DataFrame, mean: DataFrame, second: Column, eta: float
     return (
         _with_mean(state, mean)
         .withColumn("d", F.col("a") - F.col("x"))
-        .select(*COORD, "x", (F.lit(beta_1) * F.col("m") + F.lit(1 - beta_1) * F.col("d")).alias("m"), second.alias("v"))
-        .select(*COORD, (F.col("x") + F.lit(eta) * F.col("m") / (F.sqrt("v") + F.lit(tau))).alias("x"), "m", "v")
+        .select(*COORD, "a", "x", _stepped("m", F.lit(beta_1) * F.col("m") + F.lit(1 - beta_1) * F.col("d")), _stepped("v", second))
+        .select(*COORD, _stepped("x", F.col("x") + F.lit(eta) * F.col("m") / (F.sqrt("v") + F.lit(tau))), "m", "v")
     )
 
 
@@ -107,7 +119,7 @@ def ranked_coordinates(updates: DataFrame, keys: Sequence[str] = COORD) -> DataF
     One sort per coordinate that can spill; no coordinate is held in memory as a list.
     """
     group = W.partitionBy(*keys)
-    return updates.withColumn("i", F.row_number().over(group.orderBy("v", "client_id"))).withColumn(
+    return replied(updates).withColumn("i", F.row_number().over(group.orderBy("v", "client_id"))).withColumn(
         "k", F.count("*").over(group)
     )
 
@@ -137,8 +149,7 @@ def client_delta(updates: DataFrame, current: DataFrame) -> DataFrame:
 
 def update_norms(delta: DataFrame, keys: Sequence[str] = ("round", "client_id")) -> DataFrame:
     """L2 norm of each client's whole update; replies marked as failed do not count."""
-    rows = delta.where(~F.col("has_error")) if "has_error" in delta.columns else delta
-    return rows.groupBy(*keys).agg(F.sqrt(F.sum(squared_norm(F.col("vals")))).alias("norm"))
+    return replied(delta).groupBy(*keys).agg(F.sqrt(F.sum(squared_norm(F.col("vals")))).alias("norm"))
 
 
 def norm_stats(norms: DataFrame, keys: Sequence[str] = ("round",)) -> DataFrame:
@@ -152,7 +163,7 @@ def norm_stats(norms: DataFrame, keys: Sequence[str] = ("round",)) -> DataFrame:
 
 def clip_updates(updates: DataFrame, current: DataFrame, clip: float) -> DataFrame:
     """Long client rows pulled towards the global model until the update norm is at most ``clip``."""
-    delta = updates.join(current.select(*COORD, F.col("v").alias("x")), list(COORD)).withColumn(
+    delta = replied(updates).join(current.select(*COORD, F.col("v").alias("x")), list(COORD)).withColumn(
         "d", F.col("v") - F.col("x")
     )
     norms = delta.groupBy("round", "client_id").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from fedlens.functions.arrays import dot
 from fedlens.functions.hashing import draw
-from fedlens.operators.ranking import rank_by_draw
 
 SCORE_TYPE = "struct<predicted:int, loss:double, residual:array<double>>"
 
@@ -179,39 +178,48 @@ FIT_SCHEMA = "client_id int, unit bigint, weights array<array<double>>, train_lo
 
 
 def fit_units(
-    rows: DataFrame, head: np.ndarray | DataFrame, *, seed: int, epochs: int = 1, batch_size: int = 32,
-    lr: float = 0.01, momentum: float = 0.9, mu: float = 0.0, unit_rows: int = 32768,
+    rows: DataFrame, head: np.ndarray | DataFrame, *, seed: int, epochs: int = 1, batch_size: int | None = 32,
+    lr: float = 0.01, momentum: float = 0.9, mu: float = 0.0, workers: int = 1,
 ) -> DataFrame:
-    """Local minibatch training, one task per work unit of at most ``unit_rows`` rows.
-
-    ``head`` is the shared head, or a frame with one head per client. Rows of a client are put
-    in seeded random order and cut into units. A client that fits one unit is trained exactly as
-    on a single machine; a larger one is trained as several workers that start from the same
-    head, and ``merge_units`` averages them by examples.
+    """Local minibatch training of every client by ``workers`` workers, one task per worker.
+
+    ``head`` is the shared head, or a frame with one head per client. A row's seeded draw decides
+    its worker and its place in the order, so the result does not hang on partitioning, and the
+    same rule holds for clients of every size. With one worker a client is trained as on a single
+    machine; several start from the same head, and ``merge_units`` averages them by examples, which
+    is another training rule, so the number is part of the configuration and never follows the row
+    count. A worker's rows must fit a task: choose ``workers`` for the largest client. Without a
+    ``batch_size`` a step takes all rows of the worker.
     """
-    rows = rows.select("sample_id", "client_id", "label", "features")
-    ranked = rank_by_draw(rows, draw(seed, "fit", "sample_id"), "sample_id", ["client_id"])
-    unit = F.floor((F.col("rank") - 1) / unit_rows).alias("unit")
-    columns = ["client_id", unit, "rank", "label", "features"]
-    personal = isinstance(head, DataFrame)
-    if personal:
-        # the head travels once per unit, on its first row
-        ranked = ranked.join(head, "client_id")
-        columns.append(F.when((F.col("rank") - 1) % unit_rows == 0, F.col("head")).alias("head"))
-    shared = None if personal else head  # a task must not carry a frame
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        start = np.array(pdf["head"].iloc[0].tolist(), dtype=float) if shared is None else shared
+    order = draw(seed, "fit", "sample_id")
+    rows = rows.select("client_id", F.pmod(order, F.lit(workers)).cast("bigint").alias("unit"), order.alias("_order"), "sample_id", "label", "features")
+    shared = None if isinstance(head, DataFrame) else head  # a task must not carry a frame
+
+    def trained(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_order", "sample_id"])
         weights, loss = _sgd_unit(
-            np.stack(pdf["features"].to_numpy()).astype(float), pdf["label"].to_numpy(), start, epochs, batch_size, lr, momentum, mu
+            np.stack(pdf["features"].to_numpy()).astype(float), pdf["label"].to_numpy(), start, epochs,
+            batch_size or len(pdf), lr, momentum, mu,
         )
         return pd.DataFrame(
             [(int(pdf["client_id"].iloc[0]), int(pdf["unit"].iloc[0]), weights.tolist(), loss, len(pdf))],
             columns=["client_id", "unit", "weights", "train_loss", "num_examples"],
         )
 
-    return ranked.select(*columns).groupBy("client_id", "unit").applyInPandas(fit, FIT_SCHEMA)
+    units = rows.groupBy("client_id", "unit")
+    if shared is not None:
+        return units.applyInPandas(lambda pdf: trained(pdf, shared), FIT_SCHEMA)
+
+    def own(pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(heads):
+            return pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
+        return trained(pdf, np.array(heads["head"].iloc[0].tolist(), dtype=float))
+
+    # the head travels once per worker
+    sent = head.select(
+        F.col("client_id").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(workers - 1).cast("bigint"))).alias("part"), "head"
+    )
+    return units.cogroup(sent.groupBy("of", "part")).applyInPandas(own, FIT_SCHEMA)
 
 
 def merge_units(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,7 +33,6 @@ NO_DATA = "*No data available for this configuration.*"
 @dataclass(frozen=True)
 class SeriesReport:
     name: str
-    title: str
     filters: dict[str, Any]
     series_key: str = "scenario_name"
     layout: str = "standard"
@@ -91,30 +90,22 @@ def _scenario(strategy: str, alpha: float | None, suffix: str = "") -> str:
     return f"{strategy}_{'IID' if alpha is None else 'nonIID_a' + str(alpha).replace('.', '_')}{suffix}"
 
 
-def _where(alpha: float | None, participation: str) -> str:
-    return f"IID ({participation})" if alpha is None else f"Non-IID (α={alpha}, {participation})"
-
-
 STRATEGY_SETS = {
-    "baseline": ("Baseline Strategies", ("FedAvg", "FedProx", "FedAvgM")),
-    "adaptive": ("Adaptive Optimizers vs FedAvg", ("FedAvg", "FedAdam", "FedYogi")),
-    "all_vs_personalized": (
-        "All Strategies vs Personalized FedAvg", ("FedAvg", "FedProx", "FedAvgM", "FedAdam", "FedYogi"),
-    ),
+    "baseline": ("FedAvg", "FedProx", "FedAvgM"),
+    "adaptive": ("FedAvg", "FedAdam", "FedYogi"),
+    "all_vs_personalized": ("FedAvg", "FedProx", "FedAvgM", "FedAdam", "FedYogi"),
 }
 
 
 def _comparison(number: int, alpha: float | None, share: float, kind: str) -> SeriesReport:
-    label, strategies = STRATEGY_SETS[kind]
     suffix = "" if share == 1.0 else "_frac" + str(share).replace(".", "")
-    names = [_scenario(s, alpha, suffix) for s in strategies]
+    names = [_scenario(s, alpha, suffix) for s in STRATEGY_SETS[kind]]
     filters = {**_part(alpha), "fraction-train": share, **CLEAN}
     if kind == "all_vs_personalized":
         names.append(_scenario("FedAvg", alpha, "_personalized" + suffix))
         del filters["personalization"]
     return SeriesReport(
         name=f"fig_{number:02d}_{_short(alpha)}{suffix}_{kind}",
-        title=f"{_where(alpha, 'Full Participation' if share == 1.0 else f'fraction={share}')} - {label}",
         filters={**filters, "scenario_name": names},
         baseline="none" if share == 1.0 else "full_participation",
     )
@@ -132,9 +123,9 @@ PARTIAL_FIGURES = {
     (0.03, 0.7): (33, 34, 30),
 }
 ATTACK_FIGURES = {
-    "backdoor": ("Backdoor Attack", "backdoor", {None: 35, 0.5: 36, 0.1: 37}),
-    "byzantine": ("Byzantine Attack", "byzantine", {None: 38, 0.5: 39, 0.1: 40}),
-    "label_flipping": ("Label Flipping Attack", "labelflip", {None: 41, 0.5: 42, 0.1: 43}),
+    "backdoor": ("backdoor", {None: 35, 0.5: 36, 0.1: 37}),
+    "byzantine": ("byzantine", {None: 38, 0.5: 39, 0.1: 40}),
+    "label_flipping": ("labelflip", {None: 41, 0.5: 42, 0.1: 43}),
 }
 
 
@@ -143,7 +134,6 @@ def series_reports() -> list[SeriesReport]:
     reports = [
         SeriesReport(
             "fig_00_fedavg_iid_vs_noniid",
-            "FedAvg Performance: IID vs Non-IID (Full Participation)",
             {
                 "strategy-name": "FedAvg", "fraction-train": 1.0, **CLEAN,
                 "scenario_name": [_scenario("FedAvg", a) for a in (None, 0.1, 0.5, 0.3, 0.03)],
@@ -155,13 +145,11 @@ def series_reports() -> list[SeriesReport]:
     reports += [_comparison(n, alpha, 1.0, "all_vs_personalized") for alpha, n in PERSONAL_FIGURES.items()]
     for (alpha, share), numbers in PARTIAL_FIGURES.items():
         reports += [_comparison(n, alpha, share, kind) for n, kind in zip(numbers, STRATEGY_SETS)]
-    for attack, (label, short, numbers) in ATTACK_FIGURES.items():
+    for attack, (short, numbers) in ATTACK_FIGURES.items():
         for alpha, number in numbers.items():
-            where = "IID" if alpha is None else f"non-IID, α={alpha}"
             reports.append(
                 SeriesReport(
                     f"fig_{number}_attack_{short}_{_short(alpha)}_full",
-                    f"Robust Strategies under {label} ({where}, Full Participation) vs Baseline",
                     {"attack_name": attack, **_part(alpha), "fraction-train": 1.0},
                     "strategy-name",
                     "backdoor" if attack == "backdoor" else "standard",
@@ -177,11 +165,9 @@ def attacker_reports() -> list[SeriesReport]:
     reports = []
     for alpha in (None, 0.1):
         tag = "IID" if alpha is None else "nonIID_a01"
-        where = "IID" if alpha is None else f"non-IID, α={alpha}"
         reports.append(
             SeriesReport(
                 f"fig_attack_backdoor_{_short(alpha)}_2_malicious",
-                f"Robust Strategies under Backdoor Attack ({where}, 2 Malicious Clients)",
                 {
                     "attack_name": "backdoor", **_part(alpha), "num_malicious_clients": 2,
                     "scenario_name": [f"Backdoor_Attack_{name}_{tag}" for name in robust],
@@ -192,7 +178,6 @@ def attacker_reports() -> list[SeriesReport]:
     reports.append(
         SeriesReport(
             "fig_attack_backdoor_1_vs_2_clients",
-            "FedAvg: Impact of 1 vs 2 Malicious Clients (non-IID, α=0.1)",
             {
                 "attack_name": "backdoor", **_part(0.1), "strategy-name": "FedAvg",
                 "scenario_name": "Backdoor_Attack_FedAvg_nonIID_a01",
@@ -210,7 +195,6 @@ def label_flip_reports() -> list[SeriesReport]:
     return [
         SeriesReport(
             f"fig_strategies_{'iid' if alpha is None else 'noniid_a' + str(alpha).replace('.', 'p')}_{k}_malicious",
-            f"Robust Strategies under Label Flipping ({'IID' if alpha is None else f'non-IID α={alpha}'}, {k} Malicious Client(s))",
             {**_part(alpha), "attack_name": "label_flipping", "num_malicious_clients": k, "strategy-name": strategies},
             "strategy-name", "standard", "no_attack_full",
         )
@@ -225,6 +209,7 @@ def overfit_scenarios() -> list[str]:
 
 
 def table_reports(target_round: int = TARGET_ROUND) -> list[TableReport]:
+    """All tables. Their titles are output that readers compare by text."""
     at = f"at Round {target_round}"
     clean = {"personalization": False, "attack_name": "none"}
     tables: list[TableReport] = []

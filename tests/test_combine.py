@@ -98,6 +98,27 @@ def test_adaptive_first_steps(spark):
     assert vector(yogi) == [0.001, 0.00025]
 
 
+@pytest.mark.parametrize("rule, moments", [("avgm", ["m"]), ("adam", ["m", "v"]), ("yogi", ["m", "v"])])
+def test_stateful_rules_keep_what_a_round_does_not_bring(spark, rule, moments):
+    def step(state, mean):
+        if rule == "avgm":
+            return C.avgm_step(state, mean, 1.0, 0.7)
+        return getattr(C, f"{rule}_step")(state, mean, 0.1, 0.9, 0.999, 1e-3)
+
+    started = step(C.server_state(model(spark, (1.0, 2.0)), moments), model(spark, (0.5, 1.0)))
+    partly = step(started, model(spark, (0.25,)))
+    last = lambda df: [tuple(r) for r in df.select("pos", "x", *moments).orderBy("pos").collect()]
+    assert last(partly)[1] == last(started)[1] and last(partly)[0] != last(started)[0]
+    assert last(step(started, model(spark, (0.5,)).limit(0))) == last(started)
+
+
+def test_failed_replies_are_left_out(spark):
+    rows = [(1, 0, "a", 0, 1.0, 1, False), (1, 1, "a", 0, 9.0, 1, True)]
+    df = spark.createDataFrame(rows, "round int, client_id int, layer string, pos int, v double, n int, has_error boolean")
+    assert vector(C.fedavg(df)) == [1.0] and vector(C.coordinate_median(df)) == [1.0] and vector(C.trimmed_mean(df, 0.0)) == [1.0]
+    assert vector(C.clip_updates(df, model(spark, (0.0,)).withColumn("layer", F.lit("a")), 0.5)) == [0.5]
+
+
 def test_momentum_accumulates(spark):
     state = C.server_state(model(spark, (1.0,)), ["m"])
     for _ in range(2):

@@ -35,27 +35,25 @@ def sgd(x, y, start, batch, lr, momentum, mu):
     return w, total / len(y)
 
 
-def by_client(data, seed):
-    """Rows of each client in the order they are trained on."""
-    pdf = data.withColumn("d", draw(seed, "fit", "sample_id")).toPandas().sort_values(["client_id", "d", "sample_id"])
-    return {c: (np.stack(g["features"].to_numpy()), g["label"].to_numpy()) for c, g in pdf.groupby("client_id")}
-
-
-@pytest.mark.parametrize("unit_rows", [1000, 40])
-def test_fit_matches_single_machine(data, unit_rows):
+@pytest.mark.parametrize("workers, parts", [(1, 1), (1, 7), (3, 4)])
+def test_fit_matches_single_machine(data, workers, parts):
+    """The number of workers decides the result; partitioning and the size of a client do not."""
     start = np.random.default_rng(1).normal(size=(10, 16)) * 0.1
-    fitted = M.fit_units(data, start, seed=9, batch_size=16, lr=0.1, momentum=0.9, mu=0.05, unit_rows=unit_rows)
+    uneven = data.where("client_id <> 2 OR sample_id < 90").repartition(parts)
+    fitted = M.fit_units(uneven, start, seed=9, batch_size=16, lr=0.1, momentum=0.9, mu=0.05, workers=workers)
     weights, replies = M.merge_units(fitted)
     got = {c: np.zeros((10, 16)) for c in range(4)}
     for r in weights.collect():
         got[r.client_id][r.cls, r.pos] = r.w
     loss = {r.client_id: r.train_loss for r in replies.collect()}
-    for c, (x, y) in by_client(data, 9).items():
-        units = [(x[i : i + unit_rows], y[i : i + unit_rows]) for i in range(0, len(y), unit_rows)]
-        runs = [(sgd(ux, uy, start, 16, 0.1, 0.9, 0.05), len(uy)) for ux, uy in units]
-        want = sum(w * n for (w, _), n in runs) / len(y)
+    pdf = uneven.withColumn("d", draw(9, "fit", "sample_id")).toPandas().sort_values(["client_id", "d", "sample_id"])
+    for c, g in pdf.groupby("client_id"):
+        runs = []
+        for _, u in g.groupby(g["d"] % workers):
+            runs.append((sgd(np.stack(u["features"].to_numpy()), u["label"].to_numpy(), start, 16, 0.1, 0.9, 0.05), len(u)))
+        want = sum(w * n for (w, _), n in runs) / len(g)
         assert np.allclose(got[c], want)
-        assert loss[c] == pytest.approx(sum(l * n for (_, l), n in runs) / len(y))
+        assert loss[c] == pytest.approx(sum(l * n for (_, l), n in runs) / len(g))
 
 
 def test_gradient_and_scores_match_numpy(data):
