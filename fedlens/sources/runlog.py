@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fedlens.operators import cleaning as K
+from fedlens.operators.filters import column_name
 
 CORRUPT = "_corrupt"
 
-# Configuration keys read from a log, and the metric groups of a round.
-CONFIG_KEYS = (
-    "scenario_name", "strategy-name", "proximal-mu", "attack_name", "partitioner-name", "dirichlet-alpha",
-    "fraction-train", "personalization", "malicious-clients-ids", "seed",
-)
+# The metric groups of a round.
 METRIC_GROUPS = {
     "training": ("loss", "num_examples"),
     "client_evaluation": ("loss", "accuracy", "f1_score", "backdoor_asr", "num_examples"),
@@ -27,10 +26,10 @@ def _texts(names) -> T.StructType:
 
 
 # Scalars are read as text and typed afterwards, so one badly typed value costs that value
-# and not its whole document.
+# and not its whole document. The configuration is a map, so no key is lost.
 LOG_SCHEMA = T.StructType(
     [
-        T.StructField("config", _texts(CONFIG_KEYS)),
+        T.StructField("config", T.MapType(T.StringType(), T.StringType())),
         T.StructField(
             "rounds",
             T.ArrayType(
@@ -95,8 +94,11 @@ def rejected_logs(logs: DataFrame) -> DataFrame:
     return log_state(logs).where("reason IS NOT NULL").select("run_id", "file_path", "reason")
 
 
-def flatten(logs: DataFrame) -> DataFrame:
-    """One row per (run, round): typed configuration and metric columns, missing metrics null."""
+def flatten(logs: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (run, round): typed configuration and metric columns, missing metrics null.
+
+    ``extra_keys`` are further configuration keys to carry as text columns, so that filters can ask for them.
+    """
     entry = lambda *path: F.col("_r." + ".".join(path))
     metrics = [
         (K.count_or_zero(entry(group, name)) if name == "num_examples" else K.number_or_null(entry(group, name)))
@@ -115,24 +117,35 @@ def flatten(logs: DataFrame) -> DataFrame:
         key("fraction-train").alias("fraction_train"),
         key("personalization").try_cast("boolean").alias("personalization"),
         K.list_length(F.from_json(key("malicious-clients-ids"), "array<int>")).alias("num_malicious_clients"),
+        *(key(name).alias(column_name(name)) for name in extra_keys),
     ]
     rows = logs.select("run_id", "config", F.explode("rounds").alias("_r")).where("_r.round IS NOT NULL")
     return K.config_defaults(rows.select("run_id", *config, entry("round").alias("round"), *metrics))
 
 
-def load_metrics(spark: SparkSession, folder: str, glob: str = "results.json") -> DataFrame:
+def load_metrics(
+    spark: SparkSession, folder: str, glob: str = "results.json", extra_keys: Sequence[str] = ()
+) -> DataFrame:
     """Clean flat metrics of every usable log, strategies under their report names."""
-    flat = flatten(usable_logs(read_logs(spark, folder, glob)))
+    flat = flatten(usable_logs(read_logs(spark, folder, glob)), extra_keys)
     return flat.withColumn("strategy_name", K.canonical_strategy("strategy_name", "proximal_mu"))
 
 
 # --- building and writing logs --------------------------------------------------------------
 
 def log_documents(flat: DataFrame) -> DataFrame:
-    """Flat rows -> one nested document per run (rounds are bounded by the planned number)."""
+    """Flat rows -> one nested document per run (rounds are bounded by the planned number).
+
+    Attacker ids come from ``malicious_clients_ids`` where the frame has them; a frame that only
+    counts attackers gets the numbers from 1 on, as many as it counts.
+    """
     group = lambda g: F.struct(*[F.col(f"{g}_{n}").cast("string").alias(n) for n in METRIC_GROUPS[g]]).alias(g)
     entry = F.struct("round", F.lit(None).cast("string").alias("timestamp"), *[group(g) for g in METRIC_GROUPS])
-    ids = F.array_join(F.slice(F.array(F.lit("3"), F.lit("5"), F.lit("7")), F.lit(1), F.col("num_malicious_clients")), ",")
+    counted = F.coalesce(F.col("num_malicious_clients"), F.lit(0)).cast("int")
+    ids = F.when(counted > 0, F.sequence(F.lit(1), counted)).otherwise(F.array().cast("array<int>"))
+    if "malicious_clients_ids" in flat.columns:
+        ids = F.coalesce("malicious_clients_ids", ids)
+    ids = F.array_join(ids.cast("array<string>"), ",")
     config = F.struct(
         "scenario_name",
         F.col("strategy_name").alias("strategy-name"),

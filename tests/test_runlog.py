@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from fedlens.operators.filters import predicate
 from fedlens.plans import scenarios as N
 from fedlens.sources import runlog as L
 
@@ -34,7 +35,7 @@ def folder(tmp_path_factory):
     start = {"round": 0, "training": {}, "client_evaluation": {}, "server_evaluation": {"loss": 2.3, "accuracy": 0.1, "f1_score": 0.02, "num_examples": 100}}
     put("a/plain", {"config": CONFIG, "rounds": [start, entry(1), entry(2, 0.7)], "summary": {}})
     put("b/plain", {"config": {**CONFIG, "scenario_name": "copy"}, "rounds": [entry(1, 0.9)]})
-    put("personal", {"config": {**CONFIG, "scenario_name": "P", "personalization": True, "dirichlet-alpha": 0.1, "partitioner-name": "dirichlet"}, "rounds": [entry(1, server=None)]})
+    put("personal", {"config": {**CONFIG, "scenario_name": "P", "seed": 7, "personalization": True, "dirichlet-alpha": 0.1, "partitioner-name": "dirichlet"}, "rounds": [entry(1, server=None)]})
     put("odd", {"config": {"scenario_name": "odd", "proximal-mu": "n/a", "attack_name": "", "malicious-clients-ids": "none", "strategy-name": "fedprox"}, "rounds": [entry(1, float("nan"))]})
     put("nulls", {"config": {"scenario_name": "nulls", "strategy-name": "trimmed_avg", "fraction-train": None, "personalization": None, "partitioner-name": "iid"}, "rounds": [{"round": None}, entry(3)]})
     put("anonymous", {"config": {"strategy-name": "median"}, "rounds": [entry(1)]})
@@ -47,7 +48,7 @@ def folder(tmp_path_factory):
 
 def test_usable_and_rejected(spark, folder):
     logs = L.read_logs(spark, folder)
-    kept = {(r.run_id, r.config.scenario_name) for r in L.usable_logs(logs).collect()}
+    kept = {(r.run_id, r.config["scenario_name"]) for r in L.usable_logs(logs).collect()}
     assert kept == {("plain", "FedAvg_IID"), ("personal", "P"), ("odd", "odd"), ("nulls", "nulls"), ("anonymous", "named later")}
     assert rows(L.rejected_logs(logs).select("run_id", "reason")) == [
         ("anonymous", "no scenario"), ("cut", "corrupt"), ("empty", "no rounds"), ("plain", "duplicate"),
@@ -71,6 +72,23 @@ def test_flat_values(spark, folder):
     assert nulls.fraction_train == 1.0 and nulls.personalization is False and nulls.strategy_name == "TrimmedAvg"
 
 
+def test_any_configuration_key_can_be_filtered(spark, folder):
+    logs = L.load_metrics(spark, folder, extra_keys=["alpha-server", "local-epochs"])
+    assert logs.where("alpha_server IS NOT NULL").count() == 0
+    flat = L.flatten(L.usable_logs(L.read_logs(spark, folder)), ["seed"])
+    assert flat.where(predicate({"seed": "7"}, flat.columns)).select("run_id").distinct().count() == 1
+
+
+def test_documents_keep_every_attacker(spark):
+    row = ("a", "A", "FedAvg", 0.0, "byzantine", "iid", -1.0, 1.0, False, 5, [4, 8, 15, 16, 23])
+    names = "run_id string, scenario_name string, strategy_name string, proximal_mu double, attack_name string, partitioner_name string, dirichlet_alpha double, fraction_train double, personalization boolean, num_malicious_clients int, malicious_clients_ids array<int>"
+    flat = spark.createDataFrame([row], names).withColumn("round", F.lit(1))
+    for group, metrics in L.METRIC_GROUPS.items():
+        flat = flat.withColumns({f"{group}_{m}": F.lit(0.5) for m in metrics})
+    listed = lambda df: L.log_documents(df).first().config["malicious-clients-ids"]
+    assert listed(flat) == "[4,8,15,16,23]" and listed(flat.drop("malicious_clients_ids")) == "[1,2,3,4,5]"
+
+
 def test_documents_round_trip(spark, folder):
     flat = L.load_metrics(spark, folder).where("run_id <> 'odd'")
     again = L.flatten(L.log_documents(flat))
