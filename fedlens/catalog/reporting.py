@@ -204,7 +204,8 @@ def _sql_cells() -> str:
     """Common expressions up to ``table_cells``: the text of every table."""
     picks = " UNION ALL ".join(
         f"SELECT {t.number} AS number, '{t.kind}' AS kind, '{t.index}' AS index, {t.index.replace('-', '_')} AS key, "
-        f"{', '.join(P.TABLE_COLUMNS.values())} FROM metrics WHERE round = {D.TARGET_ROUND} AND {sql_filter(t.filters)}"
+        + ", ".join(f"CASE WHEN round = {D.TARGET_ROUND} THEN {c} END AS {c}" for c in P.TABLE_COLUMNS.values())
+        + f" FROM metrics WHERE {sql_filter(t.filters)}"
         for t in TABLES
     )
     order = "[" + ", ".join(f"'{s}'" for s in P.STRATEGY_ORDER) + "]"
@@ -234,7 +235,8 @@ def _sql_markdown() -> str:
         f"CASE WHEN u_{n} THEN '|:' || repeat('-', w_{n}::INT + 1) ELSE '' END" for n in heads
     ) + " || '|'"
     return f"""{_sql_cells()}, headings(number, heading) AS (VALUES {values}),
-      layout AS (SELECT number, index, greatest(15, max(length(key))) AS w_key, {width}, {used} FROM table_cells GROUP BY number, index)
+      layout AS (SELECT number, index, greatest(15, max(length(key))) AS w_key, {width}, {used} FROM table_cells GROUP BY number, index
+        HAVING {" + ".join(f"count({n})" for n in heads)} > 0)
       SELECT number, 0 AS line_no, heading AS line FROM headings
       UNION ALL SELECT number, 1, '' FROM headings
       UNION ALL SELECT number, 2, '{P.NO_DATA}' FROM headings WHERE number NOT IN (SELECT number FROM layout)

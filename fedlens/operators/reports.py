@@ -171,14 +171,17 @@ def strategy_position(name: Column) -> Column:
 def table_cells(metrics: DataFrame, tables: Sequence[TableReport], target_round: int) -> DataFrame:
     """Rows of all tables: number, place, key and one text column per metric.
 
-    A metric the table does not list, or that is null in all of its runs, gives a null column.
+    Every run that passes a table's filter counts, also one that never reached the target round: its
+    metrics are missing there and its strategy reads ``N/A``. A metric the table does not list, or
+    that is null in all of its runs, gives a null column.
     """
     hits = [
         f"CASE WHEN {condition(t.filters, metrics.columns)} THEN named_struct('number', {t.number}, "
         f"'kind', {literal(t.kind)}, 'key', {column_name(t.index)}, 'index', {literal(t.index)}) END"
         for t in tables
     ]
-    rows = _matched(metrics.where(F.col("round") == target_round), hits).select("_hit.*", *TABLE_COLUMNS.values())
+    reached = F.col("round") == target_round
+    rows = _matched(metrics, hits).select("_hit.*", *(F.when(reached, F.col(c)).alias(c) for c in TABLE_COLUMNS.values()))
     stats = [
         a
         for name, c in TABLE_COLUMNS.items()
@@ -196,7 +199,7 @@ def table_cells(metrics: DataFrame, tables: Sequence[TableReport], target_round:
 
 
 def markdown_lines(cells: DataFrame, tables: Sequence[TableReport]) -> DataFrame:
-    """Table cells -> Markdown: number, line_no, line. A table without rows says so."""
+    """Table cells -> Markdown: number, line_no, line. A table without any value says so."""
     headings = cells.sparkSession.createDataFrame(
         [(t.number, t.heading) for t in tables], "number int, heading string"
     )
@@ -207,7 +210,7 @@ def markdown_lines(cells: DataFrame, tables: Sequence[TableReport]) -> DataFrame
     wide = [F.greatest(F.max(F.length(head[0])) + 2, F.max(F.length("key")))] + [
         F.when(F.count(n) > 0, F.greatest(F.lit(len(h) + 2), F.max(F.length(n)))) for n, h in zip(names, headers)
     ]
-    layout = cells.groupBy("number", "index").agg(F.array(*wide).alias("widths"))
+    layout = cells.groupBy("number", "index").agg(F.array(*wide).alias("widths")).where(F.size(F.array_compact("widths")) > 1)
 
     def line(values: Sequence[Column]) -> Column:
         padded = [F.rpad(v, F.get("widths", F.lit(i)), F.lit(" ")) for i, v in enumerate(values)]

@@ -87,6 +87,17 @@ def test_metric_without_data_is_dropped_and_single_run_has_zero_deviation(spark)
     ]
 
 
+def test_runs_without_the_target_round_stay(spark):
+    """A strategy that stopped early reads N/A; a table of such runs alone has no data."""
+    some = (0.5, 0.4, 0.3, 0.2, 0.0)
+    data = [run("a", "FedAvg", some), run("b", "FedProx", some, rnd=39), run("c", "FedAvg", some, alpha=0.5, rnd=39)]
+    tables = P.table_reports()
+    lines = R.markdown_lines(R.table_cells(spark.createDataFrame(data, SCHEMA), tables, 40), tables)
+    text = [r.line for r in lines.where("number = 1").orderBy("line_no").collect()][4:]
+    assert [x.split("|")[1:3] for x in text] == [[" FedAvg          ", " 0.500 ± 0.000     "], [" FedProx         ", " N/A               "]]
+    assert [r.line for r in lines.where("number = 2").orderBy("line_no").collect()] == [tables[1].heading, "", P.NO_DATA]
+
+
 def test_markdown_files(spark, backdoor_runs, tmp_path):
     tables = P.table_reports()
     R.write_markdown(R.markdown_lines(R.table_cells(backdoor_runs, tables, 40), tables), str(tmp_path / "out"))
