@@ -64,14 +64,14 @@ def measured(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, SETS)
 
 
-def prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the number of shared elements it asks for."""
+def prefix(tokens: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
+    """The prefix of a set and the number of shared elements it asks for; ``usual`` is the sketch's median."""
     n = len(tokens)
     needed = -(-n * percent // 100)
     uses = sketch[(tokens % np.uint64(SKETCH)).astype("int64")]
     order = np.lexsort((tokens, uses))[: n - needed + LONGEST_K]
     tokens, uses = tokens[order], uses[order]
-    others = np.cumsum(np.maximum(uses - np.median(sketch), 1.0) - 1)
+    others = np.cumsum(np.maximum(uses - usual, 1.0) - 1)
     costs = []
     for k in range(1, min(LONGEST_K, needed) + 1):
         length = n - needed + k
@@ -87,13 +87,26 @@ def postings(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sketch = WordHashes(), shared.value
+        usual = float(np.median(sketch))
+        chosen, about, n = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            each = np.repeat(np.array(about, "int64"), [len(c) for c in chosen], axis=0)
+            values = [np.concatenate(chosen).view("int64"), *each.T]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], schema=schema)
 
         for _, text in rows_of(batches):
             tokens = shingle_set(text, size, known)
             if len(tokens):
-                chosen, k = prefix(tokens, sketch, percent)
-                values = [chosen.view("int64"), *(np.full(len(chosen), x, "int64") for x in (set_key(tokens), len(tokens), k))]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], schema=schema)
+                first, k = prefix(tokens, sketch, usual, percent)
+                chosen.append(first)
+                about.append((set_key(tokens), len(tokens), k))
+                n += len(first)
+            if n >= 1 << 16:
+                yield sent()
+                chosen, about, n = [], [], 0
+        if chosen:
+            yield sent()
 
     rows = docs.select("doc_id", "text").mapInArrow(post, "token long, set_id long, n long, k long")
     return rows.dropDuplicates(["token", "set_id"])

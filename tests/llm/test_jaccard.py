@@ -90,5 +90,5 @@ def test_prefixes_meet_as_often_as_they_ask(x, y, percent, seed):
     if 100 * len(x & y) < percent * len(x | y):
         return
     sketch = np.random.default_rng(seed).integers(0, 100, jaccard_join.SKETCH).astype(float)
-    (a, k), (b, j) = (jaccard_join.prefix(np.array(sorted(s), "uint64"), sketch, percent) for s in (x, y))
+    (a, k), (b, j) = (jaccard_join.prefix(np.array(sorted(s), "uint64"), sketch, float(np.median(sketch)), percent) for s in (x, y))
     assert len(set(a.tolist()) & set(b.tolist())) >= min(k, j)
