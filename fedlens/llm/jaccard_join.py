@@ -30,6 +30,7 @@ LONGEST_K = 4
 VERIFY_COST = 20.0
 SMALL = 48
 BLOCK = 512
+RARE = 24
 SETS = "doc_id long, set_id long, n long, at int, uses long"
 
 
@@ -167,24 +168,38 @@ def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
     return np.array(kept, "int64").reshape(-1, 2)
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between two blocks (``first`` marks one), or within one.
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every two sets (above the diagonal).
 
-    Elements that a single set has can't be shared, so they only count towards sizes; the others make a matrix whose product
-    holds the intersections.
+    Elements that one set has can't be shared and are left out. Those of up to RARE sets add one to each of their pairs; the
+    others, of which there are few, make a matrix whose product holds their share.
     """
-    lengths = np.array([len(s) for s in sets])
+    n = len(sets)
     _, place, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(uses > 1) - 1
-    row = np.repeat(np.arange(len(sets)), lengths)
-    met = uses[place] > 1
-    row, place = row[met], column[place[met]]
-    both = np.zeros((len(sets), len(sets)), "float32")
-    for start in range(0, int(column[-1]) + 1, 4096):
-        some = (place >= start) & (place < start + 4096)
-        part = np.zeros((len(sets), 4096), "float32")
-        part[row[some], place[some] - start] = 1
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(place, kind="stable")
+    row, of = row[order], uses[place[order]]
+    both = np.zeros(n * n, "float32")
+    for u in range(2, RARE + 1):
+        holders = row[of == u].reshape(-1, u)
+        i, j = np.triu_indices(u, 1)
+        for some in np.array_split(holders, 1 + len(holders) * len(i) // (1 << 22)):
+            np.add.at(both, (some[:, i] * n + some[:, j]).ravel(), 1)
+    both = both.reshape(n, n)
+    common = of > RARE
+    column = np.cumsum(np.append(True, np.diff(place[order][common]) != 0)) - 1 if common.any() else np.zeros(0, "int64")
+    row = row[common]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        some = (column >= start) & (column < start + 4096)
+        part = np.zeros((n, 4096), "float32")
+        part[row[some], column[some] - start] = 1
         both += part @ part.T
+    return both
+
+
+def forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between two blocks (``first`` marks one), or within one."""
+    both, lengths = intersections(sets), np.array([len(s) for s in sets])
     linked = 100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)
     if not first.all():
         linked &= first[:, None] != first[None, :]

@@ -92,3 +92,12 @@ def test_prefixes_meet_as_often_as_they_ask(x, y, percent, seed):
     sketch = np.random.default_rng(seed).integers(0, 100, jaccard_join.SKETCH).astype(float)
     (a, k), (b, j) = (jaccard_join.prefix(np.array(sorted(s), "uint64"), sketch, float(np.median(sketch)), percent) for s in (x, y))
     assert len(set(a.tolist()) & set(b.tolist())) >= min(k, j)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=40), st.integers(1, 6))
+def test_intersections(sets, rare):
+    jaccard_join.RARE, usual = rare, jaccard_join.RARE
+    found = jaccard_join.intersections([np.array(sorted(s), "uint64") for s in sets])
+    jaccard_join.RARE = usual
+    assert all(found[i, j] == len(sets[i] & sets[j]) for j in range(len(sets)) for i in range(j))
