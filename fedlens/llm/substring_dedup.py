@@ -6,9 +6,9 @@ repeat. Around such anchors a document sends pieces of a few words more than a r
 shard. The shard's distinct pieces become a suffix automaton whose states know the smallest document they occur in; pieces
 are streamed through it for matching statistics, and a run is marked where its state's document is smaller than its own.
 
-An anchor that more than HOT texts hold is not gathered: its pieces are parted into single runs, which go to shards by
-their content, the smallest document of each run is aggregated first, and the automaton of a shard is sent to as many
-tasks as its runs need.
+A shard takes at most about HOT texts of one anchor: the texts of a more frequent one are salted over several shards.
+There a run is marked if its own shard holds a smaller document; what is left is at most one document a run and shard, and
+those runs meet once more, by their content, in a second round of the same matching.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from fedlens.llm.shingles import WordHashes, hashes_of, windows
 GROUP = 4
 HOT = 2000
 SHARD_WORDS = 60_000
-SALT_ROWS = 20_000
+NEVER = np.iinfo("int64").max
 
 
 class SuffixAutomaton:
@@ -39,7 +39,7 @@ class SuffixAutomaton:
 
     def __init__(self, pieces: dict[bytes, int]):
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length, self.first = [-1], [0], [np.iinfo("int64").max]
+        self.link, self.length, self.first = [-1], [0], [NEVER]
         for piece, doc in pieces.items():
             last = 0
             for word in piece.split(b" "):
@@ -53,7 +53,7 @@ class SuffixAutomaton:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.first.append(np.iinfo("int64").max)
+        self.first.append(NEVER)
         return len(self.next) - 1
 
     def _split(self, at: int, word: bytes, target: int) -> int:
@@ -93,7 +93,7 @@ class SuffixAutomaton:
                 state = self.link[state]
                 matched = self.length[state]
             if i + 1 >= span:
-                found.append(self.first[state] if matched >= span else np.iinfo("int64").max)
+                found.append(self.first[state] if matched >= span else NEVER)
         return np.array(found, "int64")
 
 
@@ -137,27 +137,40 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        held, keys, n = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            key = np.repeat(np.array(keys, "int64"), [len(a) for a in held])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(key)], schema=schema)
+
         for _, text in rows_of(batches):
             words = words_of(text)
             anchors = np.unique(anchors_of(words, known, span)[1])
             if len(anchors):
-                keys = np.full(len(anchors), text_key(words))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(keys)], schema=schema)
+                held.append(anchors)
+                keys.append(text_key(words))
+                n += len(anchors)
+            if n >= 1 << 16:
+                yield sent()
+                held, keys, n = [], [], 0
+        if held:
+            yield sent()
 
     return docs.select("doc_id", "text").mapInArrow(post, "anchor long, key long")
 
 
 def candidates(spark: SparkSession, docs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
-    """``key, doc_id, packed, cold, hot``: texts with shared anchors, at their owner; ``packed`` is the compressed text."""
+    """``key, doc_id, packed, anchors, salts``: texts with shared anchors, at their owner; ``packed`` is the compressed text.
+
+    ``salts`` says over how many shards the texts of each anchor are spread.
+    """
     same = W.partitionBy("anchor")
     posted = anchor_rows(docs.where(F.col("doc_id").isNotNull()), span).select(
         "anchor", "key", F.min("key").over(same).alias("low"), F.max("key").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("uses")
     )
-    shared = posted.where("low <> high").groupBy("key").agg(
-        F.collect_set(F.when(F.col("uses") <= HOT, F.col("anchor"))).alias("cold"),
-        F.collect_set(F.when(F.col("uses") > HOT, F.col("anchor"))).alias("hot"),
-    )
-    owners = shared.join(texts, "key").select("key", F.col("owner").alias("doc_id"), "cold", "hot")
+    salts = F.ceil(F.col("uses") / HOT).cast("int").alias("salts")
+    shared = posted.where("low <> high").groupBy("key").agg(F.collect_set(F.struct("anchor", salts)).alias("found"))
+    owners = shared.join(texts, "key").select("key", F.col("owner").alias("doc_id"), F.col("found.anchor").alias("anchors"), F.col("found.salts").alias("salts"))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("packed", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,70 +182,72 @@ def candidates(spark: SparkSession, docs: DataFrame, texts: DataFrame, span: int
     return packed.join(owners, ["key", "doc_id"]).dropDuplicates(["key"])
 
 
-def pieces(held: DataFrame, span: int, hot: bool) -> DataFrame:
-    """``at, key, doc_id, start, piece``: the words around each shared anchor, or single runs of hot anchors by content."""
-    schema = pa.schema([("at", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("piece", pa.binary())])
+def pieces(held: DataFrame, span: int) -> DataFrame:
+    """``anchor, salt, salts, key, doc_id, start, piece``: the words around each shared anchor of a text."""
+    names = ("anchor", "salt", "salts", "key", "doc_id", "start")
+    schema = pa.schema([*((x, pa.int64()) for x in names), ("piece", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def rows() -> Iterator[tuple]:
-            for key, doc_id, packed, wanted in rows_of(batches):
+            for key, doc_id, packed, wanted, salts in rows_of(batches):
                 words = unpack(packed).split(b" ")
                 place, anchor = anchors_of(words, known, span)
-                found = np.flatnonzero(np.isin(anchor, np.array(wanted, "int64")))
-                if hot:
-                    for i in found.tolist():
-                        run = b" ".join(words[i : i + span])
-                        yield xxhash.xxh64_intdigest(run) - (1 << 63), key, doc_id, i, run
-                elif len(found):
-                    breaks = np.flatnonzero(np.diff(place[found]) != 0) + 1
-                    for run in np.split(found, breaks):
-                        i, j = int(run[0]), int(run[-1]) + span
-                        yield int(anchor[i]), key, doc_id, i, b" ".join(words[i:j])
+                wanted = dict(zip(wanted, salts))
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                for i, j, a in zip(first.tolist(), [*first[1:].tolist(), len(place)], anchor[first].tolist()):
+                    if n := wanted.get(a):
+                        yield a, key % n, n, key, doc_id, i, b" ".join(words[i : j - 1 + span])
 
-        yield from batches_of(rows(), schema, weight=lambda r: len(r[4]))
+        yield from batches_of(rows(), schema, weight=lambda r: len(r[6]))
 
-    wanted = held.where(F.size("hot" if hot else "cold") > 0).select("key", "doc_id", "packed", "hot" if hot else "cold")
-    return wanted.mapInArrow(cut, "at long, key long, doc_id long, start long, piece binary")
+    columns = ", ".join(f"{x} long" for x in names) + ", piece binary"
+    return held.select("key", "doc_id", "packed", "anchors", "salts").mapInArrow(cut, columns)
 
 
-def marked(rows: pd.DataFrame, references: dict[bytes, int], span: int) -> pd.DataFrame:
-    """``key, starts``: runs of the pieces that a smaller document holds, by the automaton of ``references``."""
-    automaton = SuffixAutomaton(references)
-    known = {piece: automaton.first_documents(piece, span) for piece in set(rows["piece"])}
-    found = []
-    for key, doc_id, start, piece in zip(rows["key"], rows["doc_id"], rows["start"], rows["piece"]):
-        at = np.flatnonzero(known[piece] < doc_id)
-        if len(at):
-            found.append((key, at + start))
-    return pd.DataFrame(found, columns=["key", "starts"])
+def first_holders(rows: pd.DataFrame, span: int) -> dict[bytes, np.ndarray]:
+    """For each distinct piece, the smallest document of these rows that holds each of its runs.
 
+    Pieces with one anchor are compared through the automaton; a piece that is alone with its anchor is its own answer.
+    """
+    least = rows.groupby(["anchor", "piece"], sort=False)["doc_id"].min().reset_index()
+    alone = ~least["anchor"].duplicated(keep=False)
+    found = {p: np.full(p.count(b" ") + 2 - span, d) for p, d in zip(least["piece"][alone], least["doc_id"][alone])}
+    several = dict(zip(least["piece"][~alone], least["doc_id"][~alone]))
+    automaton = SuffixAutomaton(several)
+    return found | {p: automaton.first_documents(p, span) for p in several}
 
-def least(rows: pd.DataFrame) -> dict[bytes, int]:
-    return rows.groupby("piece", sort=False)["doc_id"].min().to_dict()
 
+MARKS = "key long, starts array<long>, doc_id long, start long, run binary"
 
-def repeated_runs(held: DataFrame, span: int) -> DataFrame:
-    """``key, starts``: places of runs that start in a smaller document too."""
-    n_words = held.agg(F.sum(F.length("packed"))).first()[0] or 0
-    shards = max(1, int(n_words) // SHARD_WORDS)
-    cold = pieces(held, span, hot=False).withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)))
-    found = cold.groupBy("shard").applyInPandas(lambda pdf: marked(pdf, least(pdf), span), "key long, starts array<long>")
 
-    runs = pieces(held, span, hot=True).withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)))
-    references = runs.groupBy(F.col("shard").alias("of"), F.col("piece").alias("run")).agg(F.min("doc_id").alias("first"))
-    loads = runs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    salted = runs.join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("salts")).cast("int"))
-    parts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part")
-    sent = references.join(loads.select(F.col("shard").alias("of"), "salts"), "of").select("of", parts, "run", "first")
+def marked(rows: pd.DataFrame, span: int) -> pd.DataFrame:
+    """``key, starts``: runs that a smaller document of these rows holds; ``doc_id, start, run``: those still open, of
+    anchors whose other texts are in other shards."""
+    known, found = first_holders(rows, span), []
+    for key, doc_id, start, piece, salts in zip(rows["key"], rows["doc_id"], rows["start"], rows["piece"], rows["salts"]):
+        earlier = known[piece] < doc_id
+        if earlier.any():
+            found.append((key, np.flatnonzero(earlier) + start, None, None, None))
+        if salts > 1 and not earlier.all():
+            words = piece.split(b" ")
+            found += [(key, None, doc_id, start + i, b" ".join(words[i : i + span])) for i in np.flatnonzero(~earlier).tolist()]
+    columns = {c.split()[0]: pd.Series([r[k] for r in found], dtype=object) for k, c in enumerate(MARKS.split(", "))}
+    return pd.DataFrame(columns).astype({"key": "int64", "doc_id": "Int64", "start": "Int64"})
 
-    def match(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        return marked(queries, dict(zip(refs["run"], refs["first"])), span)
 
-    queries = salted.select("shard", "salt", "key", "doc_id", "start", "piece")
-    hot = queries.groupBy("shard", "salt").cogroup(sent.groupBy("of", "part")).applyInPandas(match, "key long, starts array<long>")
-    return found.union(hot)
+def repeated_runs(spark: SparkSession, held: DataFrame, span: int) -> DataFrame:
+    """``key, starts``: places of runs that start in a smaller document too."""
+    size = held.agg(F.sum(F.length("packed"))).first()[0] or 0
+    shards = F.lit(max(1, int(size) // SHARD_WORDS))
+    rows = pieces(held, span).withColumn("shard", F.pmod(F.xxhash64("anchor", "salt"), shards))
+    found = stored(spark, rows.groupBy("shard").applyInPandas(lambda pdf: marked(pdf, span), MARKS), "marked-runs")
+    again = found.where(F.col("run").isNotNull()).select(
+        F.xxhash64("run").alias("anchor"), F.lit(1).cast("long").alias("salts"), "key", "doc_id", "start", F.col("run").alias("piece")
+    )
+    second = again.withColumn("shard", F.pmod("anchor", shards)).groupBy("shard").applyInPandas(lambda pdf: marked(pdf, span), MARKS)
+    return found.where(F.col("starts").isNotNull()).select("key", "starts").union(second.select("key", "starts"))
 
 
 def changed(spark: SparkSession, docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +256,7 @@ def changed(spark: SparkSession, docs: DataFrame, span: int) -> tuple[DataFrame,
     owners = rows.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("owner"))
     owners = stored(spark, owners, "text-owners")
     held = stored(spark, candidates(spark, docs, owners, span), "candidates")
-    starts = repeated_runs(held, span).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = repeated_runs(spark, held, span).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     schema = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,6 @@ def test_table(spark, sf, duck):
 def test_passages_copies_and_skew(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
-    monkeypatch.setattr(substring_dedup, "SALT_ROWS", 30)
     rng = random.Random(hot)
     text = lambda n, v=900: [f"w{rng.randint(0, v)}" for _ in range(n)]
     common, near = text(40), text(80)
