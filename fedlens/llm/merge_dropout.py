@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import cycle
 
@@ -21,17 +23,19 @@ from pyspark.sql import functions as F
 
 from fedlens.llm.common import batches_of, rows_of
 
-REMEMBERED = 150_000
+REMEMBERED = 500_000
+#: Chunks up to this length keep their agenda as a short list, longer ones as a heap.
+SHORT = 48
 
 
 class Vocabulary:
-    """Pieces with a space for the mark of a word start, their scores, byte pieces, and the bytes of every id."""
+    """Pieces with a space for the mark of a word start, their costs (best is least), byte pieces, and the bytes of every id."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.scores: dict[str, tuple[float, int]] = {}
+        self.scores: dict[str, tuple[int, int]] = {}
         self.bytes = [0] * 256
         self.table = [b""] * len(model)
         for i in range(len(model)):
@@ -41,15 +45,51 @@ class Vocabulary:
                 self.table[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = piece.replace("▁", " ")
-                self.scores[piece] = (model.get_score(i), i)
+                self.scores[piece] = (-model.get_score(i), i)
                 self.table[i] = piece.encode()
+        order = {c: k for k, c in enumerate(sorted({c for c, _ in self.scores.values()}))}
+        self.scores = {p: (order[c], i) for p, (c, i) in self.scores.items()}
         #: No piece goes from another character to a space, so text may be cut there; checked for every vocabulary.
         self.cut = not any(" " in p.lstrip(" ") for p in self.scores)
 
 
 def merged(vocabulary: Vocabulary, chunk: str, skip) -> list[int]:
     """Ids of a chunk. ``skip(place, id)`` tells whether a candidate taken from the agenda is passed over."""
-    scores = vocabulary.scores
+    parts = (_merged_short if len(chunk) <= SHORT else _merged_long)(vocabulary.scores, chunk, skip)
+    scores, ids = vocabulary.scores, []
+    for p in parts:
+        if p in scores:
+            ids.append(scores[p][1])
+        else:
+            ids += [vocabulary.bytes[b] for b in p.encode()]
+    return ids
+
+
+NONE = 1 << 30
+
+
+def _merged_short(scores: dict, chunk: str, skip) -> list[str]:
+    """The agenda is a list beside the parts: the cost of each neighbouring pair; the first of equals is taken."""
+    cost = lambda pair: scores[pair][0] if pair in scores else NONE
+    parts = list(chunk)
+    agenda = [cost(a + b) for a, b in zip(parts, parts[1:])]
+    while agenda and (best := min(agenda)) < NONE:
+        i = agenda.index(best)
+        pair = parts[i] + parts[i + 1]
+        if skip(len("".join(parts[:i])), scores[pair][1]):
+            agenda[i] = NONE
+            continue
+        parts[i] = pair
+        del parts[i + 1], agenda[i]
+        if i:
+            agenda[i - 1] = cost(parts[i - 1] + pair)
+        if i < len(agenda):
+            agenda[i] = cost(pair + parts[i + 1])
+    return parts
+
+
+def _merged_long(scores: dict, chunk: str, skip) -> list[str]:
+    """The agenda is a heap; entries whose parts have changed are stale and fall out when they are taken."""
     part: list[str | None] = list(chunk)
     after = list(range(1, len(part))) + [-1]
     before = list(range(-1, len(part) - 1))
@@ -59,7 +99,7 @@ def merged(vocabulary: Vocabulary, chunk: str, skip) -> list[int]:
         if left >= 0 and right >= 0:
             whole = part[left] + part[right]
             if whole in scores:
-                heapq.heappush(agenda, (-scores[whole][0], left, right, whole))
+                heapq.heappush(agenda, (scores[whole][0], left, right, whole))
 
     for i in range(len(part) - 1):
         propose(i, i + 1)
@@ -75,33 +115,39 @@ def merged(vocabulary: Vocabulary, chunk: str, skip) -> list[int]:
             before[after[right]] = left
         propose(before[left], left)
         propose(left, after[left])
-    ids = []
-    for p in part:
-        if p is not None:
-            ids += [scores[p][1]] if p in scores else [vocabulary.bytes[b] for b in p.encode()]
-    return ids
+    return [p for p in part if p is not None]
 
 
 class Variant(dict):
-    """Ids of chunks under one variant of the dropout, as little-endian 32-bit bytes."""
+    """Ids of chunks under one variant of the dropout, as little-endian 32-bit bytes; the last REMEMBERED are kept."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, number: int):
         super().__init__()
         self.vocabulary, self.limit, self.key = vocabulary, int(rate * 2**32), seed << 8 | number
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("I", merged(self.vocabulary, chunk, self.dropout(chunk))).tobytes()
+        if len(chunk) < 64:
+            self[chunk] = ids
+        return ids
+
+    def dropout(self, chunk: str):
+        """Whether to skip a candidate: the high half of a product of the key of the chunk, the place and the piece."""
+        limit = self.limit
+        if not limit:
+            return lambda place, piece: False
         start = xxhash.xxh64_intdigest(chunk.encode(), seed=self.key & (2**64 - 1))
-        limit, hashed = self.limit, xxhash.xxh32_intdigest
 
         def skip(place: int, piece: int) -> bool:
-            return limit > 0 and hashed(b"%d:%d:%d" % (start, place, piece)) < limit
+            return ((start + (place << 16) + piece) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32 < limit
 
-        ids = np.array(merged(self.vocabulary, chunk, skip), "<u4").tobytes()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+        return skip
 
 
 class Encoder:
@@ -126,53 +172,46 @@ class Encoder:
 
 
 def encode_documents(
-    spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, variants: int = 4
+    spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, variants: int = 2
 ) -> DataFrame:
-    """``doc_id``, ``text`` and ``ids`` of every row.
+    """``doc_id``, ``text``, ``ids`` and ``ids_crc32`` (of their little-endian 32-bit words) of every row.
 
     A null or empty text has no ids. A literal word-start mark in a text becomes its bytes, so it comes back as itself. The
     same seed, document id and text always give the same ids. Repeated rows are encoded each; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(Vocabulary(model))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, rate, seed, variants)
-        rows = ((d, t, np.frombuffer(encoder.encode(d, t), "<i4")) for d, t in rows_of(batches))
+        coded = ((d, t, encoder.encode(d, t)) for d, t in rows_of(batches))
+        rows = ((d, t, np.frombuffer(ids, "<i4"), zlib.crc32(ids)) for d, t, ids in coded)
         yield from batches_of(rows, schema, weight=lambda r: len(r[2]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, text string, ids array<int>")
+    columns = "doc_id long, text string, ids array<int>, ids_crc32 long"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, columns)
 
 
-def decode_ids(spark: SparkSession, encoded: DataFrame, model: str) -> DataFrame:
-    """Adds ``decoded``, the text that ``ids`` stand for, beside ``doc_id``, ``text`` and ``ids``."""
+def decode(spark: SparkSession, model: str):
+    """A column function: the text that an array of ids stands for."""
     shared = spark.sparkContext.broadcast(Vocabulary(model))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, 0.0, 0, 1)
-        rows = ((d, t, i, encoder.decode(np.asarray(i, "<u4").tobytes())) for d, t, i in rows_of(batches))
-        yield from batches_of(rows, schema, weight=lambda r: len(r[2]))
-
-    columns = "doc_id long, text string, ids array<int>, decoded string"
-    return encoded.select("doc_id", "text", "ids").mapInArrow(decode, columns)
-
-
-def digests(decoded: DataFrame) -> DataFrame:
-    """Pieces, their CRC-32 and whether the text came back, of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for batch in batches:
-            lists = batch.column("ids")
-            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy()
-            sums = [zlib.crc32(data[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            same = [a == b for a, b in zip(texts, batch.column("decoded").to_pylist())]
-            values = [[len(t) for t in texts], np.diff(ends).tolist(), sums, same]
-            columns = [batch.column("doc_id"), *(pa.array(v, f.type) for v, f in zip(values, list(schema)[1:]))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return decoded.mapInArrow(digest, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, lossless boolean")
+    @F.arrow_udf("string")
+    def decoded(ids: pa.Array) -> pa.Array:
+        table = shared.value.table
+        ends, values = ids.offsets.to_pylist(), ids.values.to_pylist()
+        return pa.array([b"".join([table[i] for i in values[a:b]])[1:] for a, b in zip(ends[:-1], ends[1:])], pa.binary()).cast(pa.string())
+
+    return decoded
+
+
+def digests(spark: SparkSession, encoded: DataFrame, model: str) -> DataFrame:
+    """Pieces, their CRC-32 and whether decoding gives back the text, of every document."""
+    text = F.coalesce("text", F.lit(""))
+    return encoded.select(
+        "doc_id",
+        F.length(text).cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids_crc32",
+        (decode(spark, model)("ids") == text).alias("lossless"),
+    )

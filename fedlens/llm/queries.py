@@ -30,7 +30,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     encoded = merge_dropout.encode_documents(spark, documents(spark, sf_dir), model, rate=0.1, seed=20240)
-    return merge_dropout.digests(merge_dropout.decode_ids(spark, encoded, model))
+    return merge_dropout.digests(spark, encoded, model)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
