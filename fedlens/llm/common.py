@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from fedlens.sources.tables import table
 #: White space that parts words; bytes.split() parts at the same six.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 END_ID = 1
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
 #: White space outside ASCII, or characters that only some libraries count as such.
 ODD_SPACE = r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
@@ -70,10 +70,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class ChunkEncoder(dict):
     """Token ids of text as little-endian unsigned 32-bit bytes, remembered by chunk.
 
-    No piece of the two supported vocabularies reaches from a character that is not white space to one that is, so a text
-    may be cut there and its chunks encoded apart. ``words`` says that white space is dropped altogether. Texts with
-    white space outside ASCII, or with characters that only some libraries call white space, are encoded whole. At most
-    ``bound`` chunks are remembered; then the memory starts anew.
+    No piece of the two supported vocabularies reaches from a character that is not white space to one that is, nor from a
+    letter to punctuation, so a text may be cut there and its chunks encoded apart. ``words`` says that white space is
+    dropped altogether. Texts with white space outside ASCII, or with characters that only some libraries call white
+    space, are encoded whole. At most ``bound`` chunks are remembered, in two generations: what was not met while the
+    younger filled up is forgotten. Chunks of plain letters need no normalising and go to the merges directly.
     """
 
     def __init__(self, path: str, words: bool, bound: int = 400_000):
@@ -83,28 +84,39 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.words, self.bound = Tokenizer.from_file(path), words, bound
-        self.chunks = re.compile(r"\s*\S+|\s+", re.ASCII).findall
+        self.tokenizer, self.words, self.half = Tokenizer.from_file(path), words, bound // 2
+        self.older: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        letters = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[,.;:!?|)])"
+        spaced = rf"\s*{letters}|\s*\S+|\s+"
+        self.chunks = re.compile(rf"{letters}|\S+" if words else spaced, re.ASCII).findall
+        self.plain = re.compile("[A-Za-z]+" if words else " ?[A-Za-z]+").fullmatch
         self.odd = re.compile(ODD_SPACE).search
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.bound:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        ids = self.whole(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            if self.plain(chunk):
+                piece = chunk.lower() if self.words else chunk.replace(" ", "\u0120")
+                ids = array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
+            else:
+                ids = self.whole(chunk)
         if len(chunk) < 64:
             self[chunk] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.odd(text):
             return self.whole(text)
-        parts = text.split() if self.words else self.chunks(text)
-        return b"".join([self[p] for p in parts])
+        return b"".join(map(self.__getitem__, self.chunks(text)))
 
 
 def crc(data: bytes) -> int:
