@@ -234,7 +234,7 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     read. Sets are compared by 64-bit hashes of shingles.
     """
     rows = stored(spark, measured(docs, size), "shingle-sets")
-    uses = rows.where(F.col("at").isNotNull()).groupBy("at").agg(F.sum("uses").alias("uses")).toPandas()
+    uses = rows.where(F.col("at").isNotNull()).groupBy("at").agg(F.sum("uses").alias("uses")).toArrow()
     sketch = np.zeros(SKETCH)
     sketch[uses["at"].to_numpy()] = uses["uses"].to_numpy()
     shared = spark.sparkContext.broadcast(sketch)
