@@ -1,9 +1,10 @@
 """Subword encoding by merges with seeded dropout, and decoding.
 
 Symbols of a chunk are merged best score first from an agenda. Each candidate taken from the agenda is skipped where a hash
-keyed by seed, variant, place and piece falls below the dropout rate, so the same seed always gives the same ids, and
-different variants of a word give different ones. Characters outside the vocabulary become byte pieces; decoding
-concatenates pieces and bytes and gives back the text.
+keyed by seed, document, place in the text and piece falls below the dropout rate, so the same seed always gives the same
+ids, and every occurrence of a word is drawn on its own. What is remembered of a chunk are its candidates in turn and its
+ids when none of them is skipped, and the same again after each skip that was met; no draw is ever remembered. Characters
+outside the vocabulary become byte pieces; decoding concatenates pieces and bytes and gives back the text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from fedlens.llm.common import batches_of, rows_of
 
-REMEMBERED = 500_000
+#: Paths of chunks that an encoder keeps, in two generations, and the length from which chunks are merged anew each time.
+REMEMBERED, LONG = 500_000, 64
 #: Chunks up to this length keep their agenda as a short list, longer ones as a heap.
 SHORT = 48
 
@@ -69,22 +70,22 @@ NONE = 1 << 30
 
 
 def _merged_short(scores: dict, chunk: str, skip) -> list[str]:
-    """The agenda is a list beside the parts: the cost of each neighbouring pair; the first of equals is taken."""
-    cost = lambda pair: scores[pair][0] if pair in scores else NONE
-    parts = list(chunk)
-    agenda = [cost(a + b) for a, b in zip(parts, parts[1:])]
+    """The agenda is a list beside the parts and their places: the cost of each neighbouring pair; the first of equals is taken."""
+    get, far = scores.get, (NONE, 0)
+    parts, places = list(chunk), list(range(len(chunk)))
+    agenda = [get(a + b, far)[0] for a, b in zip(parts, parts[1:])]
     while agenda and (best := min(agenda)) < NONE:
         i = agenda.index(best)
         pair = parts[i] + parts[i + 1]
-        if skip(len("".join(parts[:i])), scores[pair][1]):
+        if skip(places[i], scores[pair][1]):
             agenda[i] = NONE
             continue
         parts[i] = pair
-        del parts[i + 1], agenda[i]
+        del parts[i + 1], places[i + 1], agenda[i]
         if i:
-            agenda[i - 1] = cost(parts[i - 1] + pair)
+            agenda[i - 1] = get(parts[i - 1] + pair, far)[0]
         if i < len(agenda):
-            agenda[i] = cost(pair + parts[i + 1])
+            agenda[i] = get(pair + parts[i + 1], far)[0]
     return parts
 
 
@@ -118,53 +119,144 @@ def _merged_long(scores: dict, chunk: str, skip) -> list[str]:
     return [p for p in part if p is not None]
 
 
-class Variant(dict):
-    """Ids of chunks under one variant of the dropout, as little-endian 32-bit bytes; the last REMEMBERED are kept."""
-
-    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, number: int):
-        super().__init__()
-        self.vocabulary, self.limit, self.key = vocabulary, int(rate * 2**32), seed << 8 | number
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED // 2:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = array("I", merged(self.vocabulary, chunk, self.dropout(chunk))).tobytes()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
-
-    def dropout(self, chunk: str):
-        """Whether to skip a candidate: the high half of a product of the key of the chunk, the place and the piece."""
-        limit = self.limit
-        if not limit:
-            return lambda place, piece: False
-        start = xxhash.xxh64_intdigest(chunk.encode(), seed=self.key & (2**64 - 1))
+WORD = 2**64 - 1
+PLACE_BITS = 20
+
+
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    keys = (keys ^ keys >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ keys >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return keys ^ keys >> np.uint64(31)
+
+
+class Variant:
+    """The dropout of one document: a candidate is skipped where the hash of document, place and piece is low."""
+
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, doc_id: int | None):
+        self.vocabulary, self.limit = vocabulary, int(rate * 2**32)
+        self.start = xxhash.xxh64_intdigest(f"{seed}:{doc_id}")
+
+    def skipped(self, keys: np.ndarray) -> np.ndarray:
+        """Of many candidates, given as place in the text and piece in one number."""
+        return mixed(keys + np.uint64(self.start)) >> np.uint64(32) < np.uint64(self.limit)
+
+    def dropout(self, chunk: str, at: int = 0):
+        """The same for the candidates of one chunk at a place, one by one; the chunk itself is no part of the key."""
+        start, limit = self.start + (at << PLACE_BITS), self.limit
 
         def skip(place: int, piece: int) -> bool:
-            return ((start + (place << 16) + piece) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32 < limit
+            key = start + (place << PLACE_BITS) + piece & WORD
+            key = (key ^ key >> 30) * 0xBF58476D1CE4E5B9 & WORD
+            key = (key ^ key >> 27) * 0x94D049BB133111EB & WORD
+            return (key ^ key >> 31) >> 32 < limit
 
         return skip
 
 
+class Path:
+    """A chunk after given skips: the candidates from there on in turn, and the ids if none of those is skipped."""
+
+    __slots__ = ("chunk", "skips", "known", "ids", "steps", "after")
+
+    def __init__(self, vocabulary: Vocabulary, chunk: str, skips: frozenset = frozenset(), known: int = 0):
+        taken: list[int] = []
+
+        def skip(place: int, piece: int) -> bool:
+            taken.append((place << PLACE_BITS) + piece)
+            return len(taken) - 1 in skips
+
+        self.ids = array("I", merged(vocabulary, chunk, skip)).tobytes()
+        self.steps = array("Q", taken[known:]).tobytes()
+        self.chunk, self.skips, self.known = chunk, skips, known
+        self.after: dict[int, Path] | None = None
+
+    def size(self) -> int:
+        return 1 + sum(p.size() for p in (self.after or {}).values())
+
+
 class Encoder:
-    """Encodes texts; the chunks of a document take the variants in turn, from a place that seed and document give."""
+    """Encodes texts. ``remembered`` bounds the paths that are kept; it changes no result."""
 
-    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, variants: int):
-        self.variants = [Variant(vocabulary, rate, seed, k) for k in range(variants)]
-        self.seed = seed
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, remembered: int = REMEMBERED):
+        self.vocabulary, self.rate, self.seed, self.half = vocabulary, rate, seed, remembered // 2
+        self.paths: dict[str, Path] = {}
+        self.older: dict[str, Path] = {}
+        self.held = 0
         self.chunks = re.compile(r" *[^ ]+| +").findall if vocabulary.cut else lambda text: [text]
         self.table = vocabulary.table
 
+    def path(self, chunk: str) -> Path:
+        """Of a chunk without skips, made or taken over from the older generation."""
+        if self.held >= self.half:
+            self.older, self.paths, self.held = self.paths, {}, 0
+        path = self.older.pop(chunk, None) or Path(self.vocabulary, chunk)
+        self.held += path.size()
+        self.paths[chunk] = path
+        return path
+
+    def further(self, path: Path, at: int) -> Path:
+        """The path after a skip of the candidate ``at``, once it and those before it are settled."""
+        if path.after is None:
+            path.after = {}
+        found = path.after.get(at)
+        if found is None:
+            at_all = path.known + at
+            found = path.after[at] = Path(self.vocabulary, path.chunk, path.skips | {at_all}, at_all + 1)
+            self.held += 1
+        return found
+
     def encode(self, doc_id: int | None, text: str | None) -> bytes:
         if not text:
             return b""
-        first = xxhash.xxh32_intdigest(f"{self.seed}:{doc_id}") % len(self.variants)
-        turns = cycle(self.variants[first:] + self.variants[:first])
-        return b"".join([ids[chunk] for ids, chunk in zip(turns, self.chunks(" " + text))])
+        variant = Variant(self.vocabulary, self.rate, self.seed, doc_id)
+        chunks = self.chunks(" " + text)
+        sizes = list(map(len, chunks))
+        places = np.cumsum([0, *sizes[:-1]])
+        get, make = self.paths.get, self.path
+        if max(sizes) < LONG:
+            short, parts = range(len(chunks)), [b""] * len(chunks)
+        else:
+            short, parts = [], []
+            for i, chunk in enumerate(chunks):
+                if sizes[i] < LONG:
+                    short.append(i)
+                    parts.append(b"")
+                else:
+                    parts.append(array("I", merged(self.vocabulary, chunk, variant.dropout(chunk, int(places[i])))).tobytes())
+        paths = []
+        for i in short:
+            path = get(chunks[i])
+            if path is None:
+                path = make(chunks[i])
+                get = self.paths.get  # a new generation may have begun
+            paths.append(path)
+        if len(paths) < len(chunks):
+            places = places[np.array(short, "int64")]
+        self._dropped(variant, paths, places.astype("uint64") << np.uint64(PLACE_BITS))
+        if len(paths) == len(chunks):
+            return b"".join([p.ids for p in paths])
+        for i, path in zip(short, paths):
+            parts[i] = path.ids
+        return b"".join(parts)
+
+    def _dropped(self, variant: Variant, paths: list[Path], places: np.ndarray) -> None:
+        """Puts in place of each path the one that the draws of its occurrence lead to: one skip of each in a round."""
+        if not variant.limit:
+            return
+        open_ = np.arange(len(paths))
+        while len(open_):
+            steps = [paths[i].steps for i in open_.tolist()]
+            n = np.array(list(map(len, steps))) >> 3
+            keys = np.frombuffer(b"".join(steps), "uint64") + np.repeat(places[open_], n)
+            hits = np.flatnonzero(variant.skipped(keys))
+            owners = np.repeat(np.arange(len(open_)), n)[hits]
+            first = np.flatnonzero(np.diff(owners, prepend=-1))
+            owners, hits = owners[first], hits[first]
+            hits = hits - (np.cumsum(n) - n)[owners]
+            open_ = open_[owners]
+            for i, at in zip(open_.tolist(), hits.tolist()):
+                paths[i] = self.further(paths[i], at)
 
     def decode(self, ids: bytes) -> str:
         table = self.table
@@ -172,7 +264,7 @@ class Encoder:
 
 
 def encode_documents(
-    spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, variants: int = 2
+    spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0
 ) -> DataFrame:
     """``doc_id``, ``text``, ``ids`` and ``ids_crc32`` (of their little-endian 32-bit words) of every row.
 
@@ -183,7 +275,7 @@ def encode_documents(
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, rate, seed, variants)
+        encoder = Encoder(shared.value, rate, seed)
         coded = ((d, t, encoder.encode(d, t)) for d, t in rows_of(batches))
         rows = ((d, t, np.frombuffer(ids, "<i4"), zlib.crc32(ids)) for d, t, ids in coded)
         yield from batches_of(rows, schema, weight=lambda r: len(r[2]))

@@ -99,3 +99,31 @@ def test_dropout_of_the_table(spark, sf, duck):
             ids = coder.encode(r.doc_id, texts[r.doc_id])
             assert (len(ids) // 4, zlib.crc32(ids)) == (r.n_pieces, r.ids_crc32)
     assert found.count() == len(texts)
+
+
+def test_every_occurrence_is_drawn_on_its_own():
+    word = " international"
+    coder = merge_dropout.Encoder(VOCABULARY, 0.1, 7)
+    found = collections.Counter()
+    for doc_id in range(40):
+        text = ("the" + word * 50 + " " + "x" * 70)[: 3 + 50 * len(word) + (doc_id % 2) * 71]
+        ids = np.frombuffer(coder.encode(doc_id, text), "<u4").tolist()
+        want, place = [], 0
+        for chunk in coder.chunks(" " + text):
+            want += merge_dropout.merged(VOCABULARY, chunk, merge_dropout.Variant(VOCABULARY, 0.1, 7, doc_id).dropout(chunk, place))
+            if chunk == word:
+                found[tuple(merge_dropout.merged(VOCABULARY, chunk, merge_dropout.Variant(VOCABULARY, 0.1, 7, doc_id).dropout(chunk, place)))] += 1
+            place += len(chunk)
+        assert ids == want  # what is remembered gives the ids of merging each occurrence anew
+    random = np.random.default_rng(0)
+    free = collections.Counter(tuple(merge_dropout.merged(VOCABULARY, word, lambda place, piece: random.random() < 0.1)) for _ in range(2000))
+    assert found.total() == 2000 and len(found) > 20
+    assert all(abs(found[ids] - n) < 80 for ids, n in free.items())
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.text(alphabet=" thesxé", max_size=60), max_size=5), st.floats(0, 1))
+def test_what_is_remembered_changes_nothing(texts, rate):
+    one, other = merge_dropout.Encoder(VOCABULARY, rate, 3), merge_dropout.Encoder(VOCABULARY, rate, 3, 6)
+    for i, text in enumerate(texts):
+        assert one.encode(i, text) == other.encode(i, text) == merge_dropout.Encoder(VOCABULARY, rate, 3).encode(i, text)
