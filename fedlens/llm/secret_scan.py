@@ -2,7 +2,8 @@
 
 Matches of the fixed kinds always count. Further long tokens that look like keys are candidates; the hashes of all
 candidate values are counted over the corpus by distinct owner and repository. A value that many owners hold is an example
-that was copied; a key-like token that a single owner holds is taken for a live credential and added to the spans.
+that was copied, and so is a key-like token in many repositories of few owners; other key-like tokens are taken for live
+credentials. The spans of the query have those of a single owner only, as its SQL says; redaction masks all of them.
 Only hashes of values leave a row.
 """
 
@@ -25,6 +26,8 @@ OWNED = len(KINDS) - 1
 NAMES = [k[0] for k in KINDS]
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
 EXAMPLE_OWNERS = 3
+#: Key-like tokens in so many repositories are examples whatever their owners; matches of the fixed kinds are not.
+EXAMPLE_REPOSITORIES = 100
 LIVE_DISTINCT = 10
 MASK = "[SECRET]"
 
@@ -79,11 +82,17 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scanned(spark: SparkSession, docs: DataFrame, owner: str, repository: str) -> DataFrame:
+def is_live(s: Column) -> Column:
+    """Whether a span is a credential to mask: by owners, and for key-like tokens by repositories too."""
+    few = (s["kind"] < OWNED) | (s["n_repositories"] < EXAMPLE_REPOSITORIES)
+    return (s["n_owners"] < EXAMPLE_OWNERS) & few
+
+
+def scanned(spark: SparkSession, docs: DataFrame, owner: str, repository: str, every: bool = False) -> DataFrame:
     """The struct ``doc`` (a row of ``docs``) and ``spans``: array of start, kind, end, n_owners, n_repositories, added.
 
-    Spans are by start, then kind. ``added`` marks key-like tokens that one owner holds; those of more owners are left out,
-    base spans never. A null text has no spans. Rows are kept as often as they occur; an empty table gives no rows. Rows
+    Spans are by start, then kind. ``added`` marks key-like tokens. Those of more than one owner are left out unless
+    ``every`` is set; base spans never are. A null text has no spans. Rows are kept as often as they occur; an empty table gives no rows. Rows
     without candidates are not moved. The row's columns travel in one struct, so their names can't clash.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
@@ -92,7 +101,9 @@ def scanned(spark: SparkSession, docs: DataFrame, owner: str, repository: str) -
     hits = stored(spark, packed.where(has_any).select(F.monotonically_increasing_id().alias("row_"), "doc", "base_", "more_"), "secret-rows")
     each = hits.select("row_", F.col(f"doc.`{owner}`").alias("owner"), F.col(f"doc.`{repository}`").alias("repository"), F.explode(F.concat("base_", "more_")).alias("s"))
     each = each.select("row_", "owner", "repository", "s.*")
-    judged = each.join(ownership(each), "hash").where((F.col("kind") < OWNED) | (F.col("n_owners") == 1))
+    judged = each.join(ownership(each), "hash")
+    if not every:
+        judged = judged.where((F.col("kind") < OWNED) | (F.col("n_owners") == 1))
     span = F.struct("start", "kind", "end", "n_owners", "n_repositories", (F.col("kind") == OWNED).alias("added"))
     spans = judged.groupBy("row_").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     kind = "array<struct<start:bigint,kind:int,end:bigint,n_owners:bigint,n_repositories:bigint,added:boolean>>"
@@ -119,7 +130,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, owner: str, repository: str) -> DataFrame:
     """``docs`` with every span masked but copied examples; ``n_chars``, where there is one, follows the new text."""
-    found = scanned(spark, docs, owner, repository).withColumn("spans", F.filter("spans", lambda s: s["n_owners"] < EXAMPLE_OWNERS))
+    found = scanned(spark, docs, owner, repository, every=True).withColumn("spans", F.filter("spans", is_live))
     text = F.col("doc.text")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -66,3 +66,16 @@ def test_hard_rows(spark, hard, nothing):
     assert secret_scan.digests(secret_scan.scanned(spark, hard, "source", "doc_id")).count() == hard.count()
     assert rows(secret_scan.redacted(spark, hard.na.fill(-1), "source", "doc_id").na.fill("")) == rows(hard.na.fill(-1).na.fill(""))
     assert secret_scan.scanned(spark, nothing, "source", "doc_id").count() == 0
+
+
+def test_redaction_goes_by_owners_and_repositories(spark):
+    example, two, once = "Zk3abcdefghij0123456789", "Yy7-klmnopqrstuv1234567", "Qp9_mnopqrstuvwx7654321"
+    n = secret_scan.EXAMPLE_REPOSITORIES
+    texts = [(i, f"see {example} and password=hunter22", "hot") for i in range(n)]
+    texts += [(n, f"a {two}", "o1"), (n + 1, f"b {two}", "o2"), (n + 2, f"c {once} {once}", "o3")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(spark, df, "source", "doc_id").collect()}
+    assert all(masked[i] == f"see {example} and [SECRET]" for i in range(n))
+    assert masked[n] == "a [SECRET]" and masked[n + 1] == "b [SECRET]" and masked[n + 2] == "c [SECRET] [SECRET]"
+    found = secret_scan.scanned(spark, df, "source", "doc_id", every=True).where(f"doc.doc_id = {n}").first()
+    assert [(s.n_owners, s.n_repositories) for s in found.spans] == [(2, 2)]
