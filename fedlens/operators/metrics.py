@@ -30,7 +30,7 @@ def aggregate_eval(replies: DataFrame, keys: Sequence[str] = ("round",)) -> Data
 
 
 def confusion_cells(predictions: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
-    """Rows per (actual, predicted) that occur, within ``keys``; labels out of range are left out.
+    """Rows per (actual, predicted) that occur, within ``keys``; labels out of range are in ``confusion_rejects``.
 
     Predictions are in range by construction. A filter on them would be pushed below the
     scoring projection and score every row a second time.
@@ -42,6 +42,12 @@ def confusion_cells(predictions: DataFrame, keys: Sequence[str] = (), n_classes:
     )
 
 
+def confusion_rejects(predictions: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
+    """Rows per label that no cell counts, within ``keys``: the label is null or out of range."""
+    inside = F.coalesce(F.col("label").between(0, n_classes - 1), F.lit(False))
+    return predictions.where(~inside).groupBy(*keys, "label").agg(F.count("*").alias("n"))
+
+
 def dense_confusion(cells: DataFrame, keys: Sequence[str] = (), n_classes: int = 10) -> DataFrame:
     """All n_classes x n_classes cells of each key, zero where nothing fell.
 

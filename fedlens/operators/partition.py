@@ -41,10 +41,10 @@ def share_intervals(shares: np.ndarray) -> list[tuple[int, int, float, float]]:
     return rows
 
 
-def assign_dirichlet(
+def place_dirichlet(
     df: DataFrame, shares: np.ndarray, seed: int, id_col: str = "sample_id", label_col: str = "label"
 ) -> DataFrame:
-    """Label-skewed clients: each row falls into one interval of its class.
+    """Label-skewed clients: each row falls into one interval of its class; labels without shares get no client.
 
     Intervals are cut at bucket edges so the lookup is an equi-join on (label, bucket). The
     interval table has classes x (clients + buckets) rows of known size; Catalyst broadcasts it
@@ -74,9 +74,24 @@ def assign_dirichlet(
         & (F.col("_row_bucket") == F.col("_bucket"))
         & (F.col("_u") >= F.col("_lo"))
         & (F.col("_u") < F.col("_hi")),
+        "left",
     ).select(*df.columns, "client_id")
 
 
+def assign_dirichlet(
+    df: DataFrame, shares: np.ndarray, seed: int, id_col: str = "sample_id", label_col: str = "label"
+) -> DataFrame:
+    """The rows that have a client; the others are in ``dirichlet_rejects``."""
+    return place_dirichlet(df, shares, seed, id_col, label_col).where(F.col("client_id").isNotNull())
+
+
+def dirichlet_rejects(
+    df: DataFrame, shares: np.ndarray, seed: int, id_col: str = "sample_id", label_col: str = "label"
+) -> DataFrame:
+    """The rows that no client gets: their label is null or has no shares."""
+    return place_dirichlet(df, shares, seed, id_col, label_col).where(F.col("client_id").isNull()).select(df.columns)
+
+
 def split_train_val(df: DataFrame, val_share: float, seed: int = 42, id_col: str = "sample_id") -> DataFrame:
     """Adds ``split``; the validation share holds in expectation."""
     val = uniform(seed, "split", id_col) < F.lit(val_share)

@@ -86,3 +86,11 @@ def test_contract_columns_are_added(spark):
     assert rows(df.select("run_id", "personalization", "attack_name", "fraction_train", "dirichlet_alpha", "partitioner_name")) == [
         ("a", False, "none", 1.0, -1.0, "iid"), ("b", False, "none", 1.0, None, "unknown"),
     ]
+
+
+def test_every_row_is_in_a_cell_or_a_reject(spark):
+    df = spark.createDataFrame([(0, 1, 1), (0, 12, 1), (1, -1, 2), (1, None, 2), (1, -1, 0)], "client_id int, label int, predicted int")
+    rejects = M.confusion_rejects(df, ["client_id"])
+    assert {tuple(r) for r in rejects.collect()} == {(0, 12, 1), (1, -1, 2), (1, None, 1)}
+    total = M.confusion_cells(df).agg(F.sum("n")).first()[0] + M.confusion_rejects(df).agg(F.sum("n")).first()[0]
+    assert total == df.count()

@@ -108,3 +108,14 @@ def test_trigger_and_augmentation_against_numpy(spark):
         got = df.select(T.crop_and_flip(F.col("features"), 8, 4, F.lit(dy), F.lit(dx), F.lit(flip))).first()[0]
         crop = padded[dy : dy + 8, dx : dx + 8]
         assert got == (crop[:, ::-1] if flip else crop).ravel().tolist()
+
+
+def test_dirichlet_parts_rows_into_placed_and_rejected(spark):
+    df = spark.range(120).select(
+        F.col("id").alias("sample_id"), F.when(F.col("id") % 12 == 11, None).otherwise(F.col("id") % 12).cast("int").alias("label")
+    )
+    shares = P.dirichlet_shares(10, 4, 0.5, 1)
+    placed, rejected = P.assign_dirichlet(df, shares, 1), P.dirichlet_rejects(df, shares, 1)
+    assert placed.count() == 100 and rejected.columns == df.columns
+    assert {r.label for r in rejected.collect()} == {10, None} and rejected.count() == 20
+    assert rows(placed.select("sample_id").union(rejected.select("sample_id"))) == rows(df.select("sample_id"))
