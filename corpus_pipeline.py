@@ -18,7 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies (five words, similarity 0.8); rows without an id stay."""
+    """The smallest document of each group of near copies (five words, similarity 0.8); rows without an id stay.
+
+    Rows that repeat an id are one document, so all of them stay or go; their texts may differ, so none is dropped.
+    """
     groups = jaccard_join.linked(spark, docs, size=5, percent=80)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

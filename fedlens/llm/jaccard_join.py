@@ -225,6 +225,24 @@ def block_edges(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     return sent.join(texts, "set_id").groupBy("hub", "i", "j").applyInPandas(compare, "x long, y long")
 
 
+def holding(texts: DataFrame, size: int) -> DataFrame:
+    """``set_id, text`` of the rows of ``set_id, text`` whose text has that set: rows that repeat an id may differ in text."""
+    schema = pa.schema([("set_id", pa.int64()), ("text", pa.string())])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+
+        def rows() -> Iterator[tuple]:
+            for set_id, text in rows_of(batches):
+                tokens = shingle_set(text, size, known)
+                if len(tokens) and set_key(tokens) == set_id:
+                    yield set_id, text
+
+        yield from batches_of(rows(), schema, weight=lambda r: len(r[1]))
+
+    return texts.select("set_id", "text").mapInArrow(keep, "set_id long, text string")
+
+
 def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; a component's id is its smallest document.
 
@@ -251,7 +269,8 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     wanted = members.select("set_id").union(pairs.select("x")).union(pairs.select("y")).distinct()
     holders = wanted.join(classes, "set_id").select("set_id", F.col("node").alias("doc_id"))
     own = sets.join(holders, ["doc_id", "set_id"]).select("doc_id", "set_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(own, "doc_id").dropDuplicates(["set_id"]).select("set_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(own, "doc_id")
+    texts = holding(texts, size).dropDuplicates(["set_id"])
     texts = stored(spark, texts, "candidate-texts")
 
     edges = verified(pairs, texts, size, percent).union(block_edges(members, texts, size, percent))

@@ -101,3 +101,13 @@ def test_intersections(sets, rare):
     found = jaccard_join.intersections([np.array(sorted(s), "uint64") for s in sets])
     jaccard_join.RARE = usual
     assert all(found[i, j] == len(sets[i] & sets[j]) for j in range(len(sets)) for i in range(j))
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    text = lambda name, last: " ".join([f"{name}w{k}" for k in range(100)] + [last])
+    texts = []
+    for i in range(20):
+        texts += [(i, text(f"c{i}", "x")), (i, text(f"a{i}", "x")), (i, None), (100 + i, text(f"a{i}", "y")), (200 + i, text(f"c{i}", "y"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for r in jaccard_join.linked(spark, docs, 3, 90).collect():
+        assert r.component_id == r.doc_id % 100
