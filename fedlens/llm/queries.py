@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm import classlm, idfiles, jaccard_join, merge_dropout, packing, quality, secret_scan, substring_dedup, token_count, topk
+from fedlens.llm import (
+    bpe_trie, classlm, collocations, idfiles, jaccard_join, merge_dropout, packing, quality, secret_scan, substring_dedup,
+    term_stages, token_count, topk,
+)
 from fedlens.llm.common import documents
 from fedlens.session import workspace
 from fedlens.sources.tables import table
@@ -121,6 +124,79 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN summed USING (r)
 """.replace("{assign}", ASSIGN_SQL)
 
+def op11_term_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_stages.search(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
+
+
+SEARCH_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), words AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '{term}')) AS term FROM texts),
+counts AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM counts GROUP BY r),
+total AS (SELECT count(*) AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_terms FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM counts, total GROUP BY term
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM benchmark
+), asked AS (SELECT i, item_id, unnest(regexp_extract_all(t, '{term}')) AS term FROM items),
+summed AS (
+  SELECT i, item_id, c.r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN counts c USING (term) JOIN weights USING (term) JOIN lengths l ON l.r = c.r, total
+  GROUP BY i, item_id, c.r, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM summed WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""".replace("{term}", term_stages.TERM_SQL)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, documents(spark, sf_dir), support=30, longest=4, inside_percent=80, top=2000)
+
+
+PHRASE_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, array_to_string(w[p : p + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM split, (SELECT unnest(range(1, 5)) AS size))
+), freq AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM freq WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE size > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scores AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN freq x ON x.lang = c.lang AND x.phrase = lp JOIN freq y ON y.lang = c.lang AND y.phrase = rp
+), lowest AS (SELECT lang, phrase, a, l, r, score FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(w[p : p + part - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS p FROM candidates, (SELECT unnest([2, 3]) AS part) WHERE part < size)
+), most AS (SELECT lang, phrase, max(a) AS m FROM inner_phrases GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN most m ON m.lang = c.lang AND m.phrase = c.phrase
+  WHERE m.m IS NULL OR 100::HUGEINT * m.m < 80::HUGEINT * a
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM kept JOIN total USING (lang)
+) WHERE rank <= 2000
+"""
+
+
+def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    return bpe_trie.digests(bpe_trie.encode_documents(spark, documents(spark, sf_dir), path), bpe_trie.decoder(spark, path)("ids"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -132,5 +208,8 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_id_files": op9_id_files,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_term_stages": op11_term_stages,
+    "op12_collocations": op12_collocations,
+    "op13_bpe_trie": op13_bpe_trie,
 }
-SQL: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op6_exact_topk": TOPK_SQL}
+SQL: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op6_exact_topk": TOPK_SQL, "op11_term_stages": SEARCH_SQL, "op12_collocations": PHRASE_SQL}
