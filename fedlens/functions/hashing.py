@@ -15,18 +15,19 @@ DRAW_BITS = 32  # draws are the first 8 hex digits of an md5
 DRAW_RANGE = float(2**DRAW_BITS)
 
 
-def draw(seed: int, tag: str, *ids: Column | str) -> Column:
-    """Integer in [0, 2^32) for the row identified by ``ids``.
+def draw(seed: int | Column, tag: str, *ids: Column | str) -> Column:
+    """Integer in [0, 2^32) for the row identified by ``ids``; the seed may be a column, one for each run.
 
     Never null, and marked so: a nullable key would make every join on it hash each row twice,
     once in the null filter Spark derives.
     """
     parts = [F.col(i) if isinstance(i, str) else i for i in ids]
-    key = F.concat_ws(":", F.lit(f"{seed}:{tag}"), *[p.cast("string") for p in parts])
+    start = [seed.cast("string"), F.lit(tag)] if isinstance(seed, Column) else [F.lit(f"{seed}:{tag}")]
+    key = F.concat_ws(":", *start, *[p.cast("string") for p in parts])
     return F.coalesce(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def uniform(seed: int, tag: str, *ids: Column | str) -> Column:
+def uniform(seed: int | Column, tag: str, *ids: Column | str) -> Column:
     """Double in [0, 1)."""
     return draw(seed, tag, *ids) / F.lit(DRAW_RANGE)
 

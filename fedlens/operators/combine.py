@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fedlens.functions.arrays import squared_norm, subtract
 from fedlens.functions.hashing import gaussian
+from fedlens.operators.ranking import values_at
 
 COORD = ("layer", "pos")
 BLOCK_SIZE = 4096
@@ -153,12 +154,21 @@ def update_norms(delta: DataFrame, keys: Sequence[str] = ("round", "client_id"))
 
 
 def norm_stats(norms: DataFrame, keys: Sequence[str] = ("round",)) -> DataFrame:
-    return norms.groupBy(*keys).agg(
-        F.min("norm").alias("norm_min"),
-        F.max("norm").alias("norm_max"),
-        F.median("norm").alias("norm_median"),
-        F.percentile("norm", F.lit(0.9)).alias("norm_p90"),
-    )
+    """Least, greatest, median and 90th percentile (linear) of the norms; ranks are found by counts, not by a sort."""
+    place = lambda share, k: F.lit(share) * (k - 1)
+    wanted = {
+        f"_{name}_{side}": (lambda k, share=share, edge=edge: edge(place(share, k)) + 1)
+        for name, share in (("median", 0.5), ("p90", 0.9))
+        for side, edge in (("lo", F.floor), ("hi", F.ceil))
+    }
+    ranked = values_at(norms, "norm", wanted | {"norm_min": lambda k: F.lit(1), "norm_max": lambda k: k}, keys)
+
+    def between(name: str, share: float) -> Column:
+        part = place(share, F.col("k")) - F.floor(place(share, F.col("k")))
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (low + part * (high - low)).alias(f"norm_{name}")
+
+    return ranked.select(*keys, "norm_min", "norm_max", between("median", 0.5), between("p90", 0.9))
 
 
 def clip_updates(updates: DataFrame, current: DataFrame, clip: float) -> DataFrame:

@@ -1,24 +1,29 @@
 """Scoring and fitting of a multinomial linear head on feature arrays.
 
-A head is one model: classes x positions weights, a size the configuration fixes. It goes from
-the driver to the tasks the way a server sends its model to its clients. Rows never leave the
-executors; inside a task, whole Arrow batches are scored with one matrix product.
+A head is one model: classes x positions weights, a size the configuration fixes. A shared head goes
+from the driver to the tasks the way a server sends its model to its clients; heads of single clients
+meet their rows by chunks, one copy a chunk. Rows never leave the executors; inside a task, whole
+batches are scored with one matrix product, and gradients leave it as matrices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fedlens.functions.arrays import dot
 from fedlens.functions.hashing import draw
+from fedlens.operators.ranking import rank_by_draw
+from fedlens.session import cut_lineage, workspace
 
-SCORE_TYPE = "struct<predicted:int, loss:double, residual:array<double>>"
+CHUNK_ROWS = 50_000  # rows of one client that meet in a task
+HELD_MATRICES = 2048  # gradient matrices a task sums before it hands them on
+
+SCORE_TYPE = "struct<predicted:int, loss:double>"
 
 
 def head_from_long(head: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,57 +43,64 @@ def _matrix(features: pa.Array) -> np.ndarray:
     return features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(features), -1)
 
 
-def _judge(logits: np.ndarray, labels: np.ndarray, with_residual: bool) -> pa.Array:
-    """Predicted class (lowest on ties), cross-entropy, and softmax minus the label indicator."""
+def _judge(logits: np.ndarray, labels: np.ndarray) -> pa.StructArray:
+    """Predicted class (lowest on ties) and cross-entropy, null for a label that is no class."""
     top = logits.max(axis=1)
     norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
     valid = (labels >= 0) & (labels < logits.shape[1])
     rows, own = np.arange(len(labels)), np.where(valid, labels, 0).astype(int)
     loss = pa.array(norm - logits[rows, own], mask=~valid)
-    residual = pa.nulls(len(labels), pa.list_(pa.float64()))
-    if with_residual:
-        r = np.exp(logits - norm[:, None])
-        r[rows[valid], own[valid]] -= 1.0
-        offsets = pa.array(np.arange(len(labels) + 1, dtype=np.int32) * logits.shape[1])
-        residual = pa.ListArray.from_arrays(offsets, pa.array(r.ravel()))
-    predicted = pa.array(logits.argmax(axis=1).astype(np.int32))
-    return pa.StructArray.from_arrays([predicted, loss, residual], ["predicted", "loss", "residual"])
+    return pa.StructArray.from_arrays([pa.array(logits.argmax(axis=1).astype(np.int32)), loss], ["predicted", "loss"])
 
 
-def _judged(rows: DataFrame, head: np.ndarray, with_residual: bool = False) -> DataFrame:
+def _judged(rows: DataFrame, head: np.ndarray) -> DataFrame:
     """``rows`` with ``_s``: their judgement under one head, a matrix product per Arrow batch."""
 
     @F.arrow_udf(SCORE_TYPE)
     def score(features: pa.Array, labels: pa.Array) -> pa.Array:
-        logits = _matrix(features) @ head.T
-        return _judge(logits, labels.to_numpy(zero_copy_only=False), with_residual)
+        return _judge(_matrix(features) @ head.T, labels.to_numpy(zero_copy_only=False))
 
     return rows.withColumn("_s", score("features", "label"))
 
 
-def _judged_by_own(rows: DataFrame) -> DataFrame:
-    """As ``_judged`` with the residual, each row under its ``head`` column.
+def in_chunks(rows: DataFrame, keys: Sequence[str], chunk_rows: int, id_col: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_chunk``, about ``chunk_rows`` of a key in each, and the number of chunks of every key."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("_chunks"))
+    sizes = cut_lineage(rows.sparkSession, sizes, "chunks")  # of known size where rows are joined to it
+    chunk = F.pmod(F.xxhash64(id_col), F.col("_chunks")).cast("int")
+    return rows.join(sizes, list(keys)).withColumn("_chunk", chunk).drop("_chunks"), sizes
+
 
-    Here every row has a model of its own, which would be far more to ship to Python than the
-    row itself, so the products stay in the JVM. Each step is a column that is used twice, which
-    keeps it from being evaluated twice.
+def with_own_head(
+    rows: DataFrame, heads: DataFrame, work: Callable[[tuple, pa.Table, np.ndarray], pa.Table], schema: T.StructType,
+    keys: Sequence[str] = ("client_id",), chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """``work`` on every chunk of a key's rows with the key's head; rows of keys without a head are left out.
+
+    A head travels once a chunk and never on a row, and a key with most of the rows is spread over its chunks.
     """
-    logits, top, norm = F.col("_logits"), F.col("_top"), F.col("_norm")
-    label = F.col("label")
-    return (
-        rows.withColumn("_logits", F.transform("head", lambda w: dot(w, F.col("features"))))
-        .withColumn("_top", F.array_max(logits))
-        .withColumn("_norm", top + F.ln(F.aggregate(logits, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))))
-        .withColumn(
-            "_s",
-            F.struct(
-                (F.array_position(logits, top) - 1).cast("int").alias("predicted"),
-                (norm - F.get(logits, label)).alias("loss"),
-                F.transform(logits, lambda s, i: F.exp(s - norm) - (label == i).cast("double")).alias("residual"),
-            ),
-        )
-        .drop("_logits", "_top", "_norm")
-    )
+    chunked, sizes = in_chunks(rows, keys, chunk_rows)
+    each = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    sent = heads.select(*keys, "head").join(sizes, list(keys)).withColumn("_chunk", each).drop("_chunks")
+    both = [*keys, "_chunk"]
+    empty = pa.schema(_arrow_fields(schema)).empty_table()
+
+    def on_chunk(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        return work(key, left, np.array(right["head"][0].as_py(), float))
+
+    return chunked.groupBy(*both).cogroup(sent.groupBy(*both)).applyInArrow(on_chunk, schema)
+
+
+def _schema_of(spark: SparkSession, text: str) -> T.StructType:
+    return spark.createDataFrame([], text).schema
+
+
+def _arrow_fields(schema: T.StructType) -> list[pa.Field]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema]
 
 
 def predict(rows: DataFrame, head: np.ndarray) -> DataFrame:
@@ -96,9 +108,18 @@ def predict(rows: DataFrame, head: np.ndarray) -> DataFrame:
     return _judged(rows, head).select(*rows.columns, "_s.predicted", "_s.loss")
 
 
-def predict_personal(rows: DataFrame, heads: DataFrame) -> DataFrame:
+def predict_personal(rows: DataFrame, heads: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """As ``predict``, every row under the head of its own client."""
-    return _judged_by_own(rows.join(heads, "client_id")).select(*rows.columns, "_s.predicted", "_s.loss")
+    kept = rows.columns
+    schema = T.StructType([*rows.schema, T.StructField("predicted", T.IntegerType()), T.StructField("loss", T.DoubleType())])
+
+    def score(key: tuple, left: pa.Table, head: np.ndarray) -> pa.Table:
+        logits = _matrix(left["features"].combine_chunks()) @ head.T
+        judged = _judge(logits, left["label"].to_numpy())
+        own = left.select(kept)
+        return own.append_column("predicted", judged.field("predicted")).append_column("loss", judged.field("loss"))
+
+    return with_own_head(rows, heads, score, schema, chunk_rows=chunk_rows)
 
 
 def with_head(clients: DataFrame, head: DataFrame) -> DataFrame:
@@ -126,21 +147,72 @@ def head_to_long(heads: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def client_gradient(rows: DataFrame, n_classes: int, head: np.ndarray | None = None) -> DataFrame:
-    """Mean cross-entropy gradient of every client: (client_id, cls, pos, g, n).
+def _sums(features: np.ndarray, labels: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Summed gradient matrix, summed cross-entropy and number of rows."""
+    logits = features @ head.T
+    top = logits.max(axis=1)
+    norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    residual = np.exp(logits - norm[:, None])
+    at = np.flatnonzero((labels >= 0) & (labels < len(head)))
+    own = labels[at].astype(int)
+    residual[at, own] -= 1.0
+    return residual.T @ features, float((norm[at] - logits[at, own]).sum()), len(labels)
 
-    Rows are scored with ``head``, or with their own ``head`` column. Each row adds (p - y) x to
-    its client; sums combine before the shuffle, so a client of any size sends classes x
-    positions partial rows per task.
+
+def gradient_sums(
+    rows: DataFrame, head: np.ndarray | DataFrame, keys: Sequence[str] = ("client_id",), chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Partial sums (keys, g, loss, n) under one head or the keys' own: ``g`` is residual^T features, class by class.
+
+    Tasks hand on one matrix a key (a chunk, with own heads), not a row a feature.
     """
-    judged = _judged_by_own(rows) if head is None else _judged(rows, head, with_residual=True)
-    long = judged.select("client_id", F.col("_s.residual").alias("r"), "features").select(
-        "client_id", "r", F.posexplode("features").alias("pos", "x")
+    keys = list(keys)
+    rows = rows.select(*keys, "sample_id", "label", "features")
+    summed = [T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType())]
+    schema = T.StructType([*[rows.schema[k] for k in keys], *summed])
+    fields = pa.schema(_arrow_fields(schema))
+    table_of = lambda found: pa.Table.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [[]] * len(fields), fields)], schema=fields
     )
-    per_class = [F.avg(F.col("x") * F.element_at("r", c + 1)).alias(f"g{c}") for c in range(n_classes)]
-    wide = long.groupBy("client_id", "pos").agg(*per_class, F.count("*").alias("n"))
-    entries = F.array(*[F.struct(F.lit(c).alias("cls"), F.col(f"g{c}").alias("g")) for c in range(n_classes)])
-    return wide.select("client_id", "pos", "n", F.inline(entries)).select("client_id", "cls", "pos", "g", "n")
+    if isinstance(head, DataFrame):
+
+        def on_chunk(key: tuple, left: pa.Table, own: np.ndarray) -> pa.Table:
+            g, loss, n = _sums(_matrix(left["features"].combine_chunks()), left["label"].to_numpy(), own)
+            return table_of([(*(k.as_py() for k in key[:-1]), g.ravel(), loss, n)])
+
+        return with_own_head(rows, head, on_chunk, schema, keys, chunk_rows)
+
+    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            x, y = _matrix(batch["features"]), batch["label"].to_numpy(zero_copy_only=False)
+            places: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*(batch[k].to_pylist() for k in keys))):
+                places.setdefault(key, []).append(at)
+            for key, at in places.items():
+                found = _sums(x[at], y[at], head)
+                held[key] = [a + b for a, b in zip(held[key], found)] if key in held else list(found)
+            if len(held) >= HELD_MATRICES:
+                yield from table_of([(*k, g.ravel(), loss, n) for k, (g, loss, n) in held.items()]).to_batches()
+                held = {}
+        yield from table_of([(*k, g.ravel(), loss, n) for k, (g, loss, n) in held.items()]).to_batches()
+
+    return rows.mapInArrow(on_batches, schema)
+
+
+def summed_by_cell(sums: DataFrame, n_classes: int, keys: Sequence[str] = ("client_id",)) -> DataFrame:
+    """Partial matrices -> (keys, cls, pos, g, loss, n) with mean gradient, summed loss and number of rows of the key."""
+    width = (F.size("g") / F.lit(n_classes)).cast("int").alias("_width")
+    cells = sums.select(*keys, "loss", "n", width, F.posexplode("g").alias("_at", "g"))
+    place = [F.expr("_at div _width").cast("int").alias("cls"), (F.col("_at") % F.col("_width")).alias("pos")]
+    total = cells.groupBy(*keys, *place).agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    return total.withColumn("g", F.col("g") / F.col("n"))
+
+
+def client_gradient(rows: DataFrame, n_classes: int, head: np.ndarray | DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Mean cross-entropy gradient of every client under ``head``, or under its own of a frame: (client_id, cls, pos, g, n)."""
+    cells = summed_by_cell(gradient_sums(rows, head, chunk_rows=chunk_rows), n_classes)
+    return cells.select("client_id", "cls", "pos", "g", "n")
 
 
 def proximal_step(gradient: DataFrame, local: DataFrame, shared: DataFrame, lr: float, mu: float) -> DataFrame:
@@ -153,73 +225,137 @@ def proximal_step(gradient: DataFrame, local: DataFrame, shared: DataFrame, lr:
     )
 
 
-def _sgd_unit(
-    features: np.ndarray, labels: np.ndarray, start: np.ndarray, epochs: int, batch_size: int,
+def _sgd_chunk(
+    features: np.ndarray, labels: np.ndarray, weights: np.ndarray, velocity: np.ndarray, start: np.ndarray, batch_size: int,
     lr: float, momentum: float, mu: float,
-) -> tuple[np.ndarray, float]:
-    """Minibatch descent with momentum over one work unit; returns the head and the mean loss."""
-    weights, velocity, loss_sum = start.copy(), np.zeros_like(start), 0.0
-    for _ in range(epochs):
-        for lo in range(0, len(labels), batch_size):
-            x, y = features[lo : lo + batch_size], labels[lo : lo + batch_size]
-            logits = x @ weights.T
-            logits -= logits.max(axis=1, keepdims=True)
-            prob = np.exp(logits)
-            prob /= prob.sum(axis=1, keepdims=True)
-            proximal = 0.5 * mu * float(np.square(weights - start).sum())
-            loss_sum += float(-np.log(prob[np.arange(len(y)), y]).sum()) + proximal * len(y)
-            prob[np.arange(len(y)), y] -= 1.0
-            velocity = momentum * velocity + prob.T @ x / len(y) + mu * (weights - start)
-            weights = weights - lr * velocity
-    return weights, loss_sum / len(labels)
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Minibatch descent with momentum over consecutive batches: the head, its velocity and the summed loss."""
+    loss_sum = 0.0
+    for lo in range(0, len(labels), batch_size):
+        x, y = features[lo : lo + batch_size], labels[lo : lo + batch_size]
+        gradient, loss, n = _sums(x, y, weights)
+        loss_sum += loss + 0.5 * mu * float(np.square(weights - start).sum()) * n
+        velocity = momentum * velocity + gradient / n + mu * (weights - start)
+        weights = weights - lr * velocity
+    return weights, velocity, loss_sum
 
 
-FIT_SCHEMA = "client_id int, unit bigint, weights array<array<double>>, train_loss double, num_examples bigint"
+UNIT = ["client_id", "unit"]
+MATRIX = "array<array<double>>"
+FIT_SCHEMA = f"client_id int, unit bigint, weights {MATRIX}, train_loss double, num_examples bigint"
+FOLD_SCHEMA = f"client_id int, unit bigint, weights {MATRIX}, velocity {MATRIX}, start {MATRIX}, loss_sum double, seen bigint"
 
 
 def fit_units(
-    rows: DataFrame, head: np.ndarray | DataFrame, *, seed: int, epochs: int = 1, batch_size: int | None = 32,
-    lr: float = 0.01, momentum: float = 0.9, mu: float = 0.0, workers: int = 1,
+    rows: DataFrame, head: np.ndarray | DataFrame, *, seed: int | Column, epochs: int = 1, batch_size: int | None = 32,
+    lr: float = 0.01, momentum: float = 0.9, mu: float = 0.0, workers: int = 1, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Local minibatch training of every client by ``workers`` workers, one task per worker.
+    """Local minibatch training of every client by ``workers`` workers.
 
     ``head`` is the shared head, or a frame with one head per client. A row's seeded draw decides
-    its worker and its place in the order, so the result does not hang on partitioning, and the
-    same rule holds for clients of every size. With one worker a client is trained as on a single
-    machine; several start from the same head, and ``merge_units`` averages them by examples, which
-    is another training rule, so the number is part of the configuration and never follows the row
-    count. A worker's rows must fit a task: choose ``workers`` for the largest client. Without a
-    ``batch_size`` a step takes all rows of the worker.
+    its worker and its place in the order, so the result hangs neither on partitioning nor on
+    ``chunk_rows``, and the same rule holds for clients of every size. With one worker a client is
+    trained as on a single machine; several start from the same head, and ``merge_units`` averages
+    them by examples, which is another training rule. Without a ``batch_size`` a step takes all rows
+    of the worker. No task ever holds more than about ``chunk_rows`` rows of a worker.
     """
     order = draw(seed, "fit", "sample_id")
     rows = rows.select("client_id", F.pmod(order, F.lit(workers)).cast("bigint").alias("unit"), order.alias("_order"), "sample_id", "label", "features")
+    if isinstance(head, DataFrame):
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(workers - 1).cast("bigint")))
+        head = head.select("client_id", "head").withColumn("unit", each)
+    if batch_size is None:
+        return _fit_full_batch(rows, head, epochs, lr, momentum, mu, chunk_rows)
+    return _fit_chained(rows, head, epochs, batch_size, lr, momentum, mu, chunk_rows)
+
+
+def _fit_chained(
+    rows: DataFrame, head: np.ndarray | DataFrame, epochs: int, batch_size: int, lr: float, momentum: float, mu: float, chunk_rows: int
+) -> DataFrame:
+    """Folds the chunks of every worker in order: what chunk k leaves, a small table, starts chunk k + 1.
+
+    Workers run side by side; a chunk has whole batches. Where every worker has one chunk there is nothing to rank or write.
+    """
+    spark = rows.sparkSession
+    per_chunk = max(1, chunk_rows // batch_size) * batch_size
+    largest = rows.groupBy(*UNIT).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    chunks = max(1, -(-largest // per_chunk))
+    dealt = rows.withColumn("_chunk", F.lit(0))
+    if chunks > 1:
+        ranked = rank_by_draw(rows, F.col("_order"), "sample_id", UNIT)
+        number = F.floor((F.col("rank") - 1) / F.lit(per_chunk)).cast("int")
+        path = workspace(spark, "fit-chunks")
+        ranked.select(*rows.columns, number.alias("_chunk")).repartition(*UNIT, "_chunk").write.partitionBy("_chunk").parquet(path)
+        dealt = spark.read.schema(T.StructType([*rows.schema, T.StructField("_chunk", T.IntegerType())])).parquet(path)
     shared = None if isinstance(head, DataFrame) else head  # a task must not carry a frame
 
-    def trained(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "sample_id"])
-        weights, loss = _sgd_unit(
-            np.stack(pdf["features"].to_numpy()).astype(float), pdf["label"].to_numpy(), start, epochs,
-            batch_size or len(pdf), lr, momentum, mu,
-        )
-        return pd.DataFrame(
-            [(int(pdf["client_id"].iloc[0]), int(pdf["unit"].iloc[0]), weights.tolist(), loss, len(pdf))],
-            columns=["client_id", "unit", "weights", "train_loss", "num_examples"],
-        )
-
-    units = rows.groupBy("client_id", "unit")
-    if shared is not None:
-        return units.applyInPandas(lambda pdf: trained(pdf, shared), FIT_SCHEMA)
-
-    def own(pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(heads):
-            return pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
-        return trained(pdf, np.array(heads["head"].iloc[0].tolist(), dtype=float))
-
-    # the head travels once per worker
-    sent = head.select(
-        F.col("client_id").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(workers - 1).cast("bigint"))).alias("part"), "head"
-    )
-    return units.cogroup(sent.groupBy("of", "part")).applyInPandas(own, FIT_SCHEMA)
+    fields = pa.schema(_arrow_fields(_schema_of(spark, FOLD_SCHEMA)))
+
+    def fold(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or (not right.num_rows and shared is None):
+            return pa.Table.from_pylist(right.to_pylist(), schema=fields)  # none left of this worker
+        if right.num_rows:
+            last = right.to_pylist()[0]
+            weights, velocity, start = (np.array(last[c], float) for c in ("weights", "velocity", "start"))
+            loss_sum, seen = last["loss_sum"], last["seen"]
+        else:
+            weights, velocity, start, loss_sum, seen = shared, np.zeros_like(shared), shared, 0.0, 0
+        left = left.sort_by([("_order", "ascending"), ("sample_id", "ascending")])
+        x, y = _matrix(left["features"].combine_chunks()), left["label"].to_numpy()
+        weights, velocity, loss = _sgd_chunk(x, y, weights, velocity, start, batch_size, lr, momentum, mu)
+        row = (*(k.as_py() for k in key), weights.tolist(), velocity.tolist(), start.tolist(), loss_sum + loss, seen + len(y))
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields)], schema=fields)
+
+    if shared is None:
+        still = F.transform("head", lambda row: F.transform(row, lambda w: F.lit(0.0)))
+        state = head.select(*UNIT, F.col("head").alias("weights"), still.alias("velocity"), F.col("head").alias("start"), F.lit(0.0).alias("loss_sum"), F.lit(0).cast("bigint").alias("seen"))
+    else:
+        state = spark.createDataFrame([], FOLD_SCHEMA)
+    steps = [chunk for _ in range(epochs) for chunk in range(chunks)]
+    for at, chunk in enumerate(steps):
+        now = dealt.where(F.col("_chunk") == chunk) if chunks > 1 else dealt
+        state = now.groupBy(*UNIT).cogroup(state.groupBy(*UNIT)).applyInArrow(fold, FOLD_SCHEMA)
+        if at + 1 < len(steps):
+            state = cut_lineage(spark, state, "fit-state")
+    n = (F.col("seen") / F.lit(epochs)).cast("bigint")
+    return state.where("seen > 0").select(*UNIT, "weights", (F.col("loss_sum") / n).alias("train_loss"), n.alias("num_examples"))
+
+
+def _fit_full_batch(
+    rows: DataFrame, head: np.ndarray | DataFrame, epochs: int, lr: float, momentum: float, mu: float, chunk_rows: int
+) -> DataFrame:
+    """A step takes all rows of a worker: its gradient is summed from matrices, so its rows never meet."""
+    spark, shared = rows.sparkSession, None if isinstance(head, DataFrame) else head
+    cell = [*UNIT, "cls", "pos"]
+    long = lambda heads: head_to_long(heads.withColumnRenamed("weights", "head"), *UNIT)
+    first = None if shared is not None else head
+    n_classes = len(shared) if shared is not None else head.select(F.size("head")).head()[0]
+    state = None  # cells of every worker: start, weight, velocity, summed loss
+    for _ in range(epochs):
+        heads = shared if shared is not None and state is None else first if state is None else _heads_of(state)
+        found = cut_lineage(spark, summed_by_cell(gradient_sums(rows, heads, UNIT, chunk_rows), n_classes, UNIT), "fit-gradient")
+        if state is None:
+            if shared is not None:
+                # one weight of the shared head per cell, looked up in a literal of the model's size
+                start = F.lit(shared.ravel().tolist())[F.col("cls") * shared.shape[1] + F.col("pos")]
+                cells = found.select(*cell, start.alias("start"))
+            else:
+                cells = found.join(long(first).withColumnRenamed("w", "start"), cell).select(*cell, "start")
+            state = cells.select(*cell, "start", F.col("start").alias("w"), F.lit(0.0).alias("v"), F.lit(0.0).alias("loss_sum"))
+        pull = F.col("w") - F.col("start")
+        drift = state.groupBy(*UNIT).agg(F.sum(pull * pull).alias("_far"))
+        stepped = found.join(state.drop("n"), cell).join(drift, UNIT)
+        velocity = F.lit(momentum) * F.col("v") + F.col("g") + F.lit(mu) * pull
+        loss = F.col("loss_sum") + F.col("loss") + F.lit(0.5 * mu) * F.col("_far") * F.col("n")
+        stepped = stepped.select(*cell, "start", "w", velocity.alias("v"), loss.alias("loss_sum"), "n")
+        stepped = stepped.withColumn("w", F.col("w") - F.lit(lr) * F.col("v"))
+        state = cut_lineage(spark, stepped, "fit-state")
+    totals = state.groupBy(*UNIT).agg((F.first("loss_sum") / F.first("n")).alias("train_loss"), F.first("n").alias("num_examples"))
+    return _heads_of(state).withColumnRenamed("head", "weights").join(totals, UNIT).select(*UNIT, "weights", "train_loss", "num_examples")
+
+
+def _heads_of(state: DataFrame) -> DataFrame:
+    return head_from_long(state.select(*UNIT, "cls", "pos", "w"), UNIT)
 
 
 def merge_units(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:

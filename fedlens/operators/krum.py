@@ -11,17 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fedlens.functions.hashing import draw
 from fedlens.operators.combine import COORD
+from fedlens.operators.ranking import rank_by_draw
+from fedlens.session import cut_lineage
 
 TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile held by a task
+TILE_CLIENTS = 256
 
 DISTANCE_SCHEMA = "round int, client_id int, other_ids array<int>, sq_dist array<double>"
 
 
+def tile_size(n_params: int) -> int:
+    """Clients of one tile: their vectors stay within ``TILE_BYTES``, and a corner of the matrix is a task's work."""
+    return max(1, min(TILE_CLIENTS, TILE_BYTES // (8 * n_params)))
+
+
 def tile_count(total_nodes: int, n_params: int) -> int:
-    """Tiles such that the vectors of one tile stay near ``TILE_BYTES``."""
-    per_tile = max(1, TILE_BYTES // (8 * n_params))
-    return max(1, math.ceil(total_nodes / per_tile))
+    """Tiles that hold ``total_nodes`` clients."""
+    return max(1, math.ceil(total_nodes / tile_size(n_params)))
 
 
 def _stack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -38,14 +46,18 @@ def _stack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def tile_distances(updates: DataFrame, total_nodes: int, n_params: int) -> DataFrame:
     """Squared distances of every client to the clients of one tile per row.
 
-    The distance matrix is cut into tile pairs. A task holds the vectors of two tiles, a size
-    set by ``TILE_BYTES``, and returns its corner of the matrix as arrays; no row per pair of
-    clients is shuffled. ``updates`` are blocked rows.
+    The distance matrix is cut into tile pairs. Tiles are runs of ``tile_size`` clients by their rank among those that
+    replied, so none holds more; a task has the vectors of two tiles and returns its corner of the matrix as arrays.
+    ``updates`` are blocked rows, ``total_nodes`` an upper bound on the clients of a round.
     """
-    tiles = tile_count(total_nodes, n_params)
-    tile = F.pmod(F.xxhash64("client_id"), F.lit(tiles)).cast("int")
+    size, tiles = tile_size(n_params), tile_count(total_nodes, n_params)
+    replied = updates.select("round", "client_id").distinct()
+    ranked = rank_by_draw(replied, draw(0, "tile", "round", "client_id"), "client_id", ["round"], bits=6)
+    dealt = ranked.select("round", "client_id", F.floor((F.col("rank") - 1) / F.lit(size)).cast("int").alias("tile"))
+    dealt = cut_lineage(updates.sparkSession, dealt, "tiles")  # a row a client, of known size where vectors are joined to it
     pairs = (
-        updates.select("round", "client_id", "layer", "block", "vals", tile.alias("tile"))
+        updates.select("round", "client_id", "layer", "block", "vals")
+        .join(dealt, ["round", "client_id"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
         .withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
     )
@@ -75,11 +87,21 @@ def pairwise_distances(distances: DataFrame) -> DataFrame:
 
 
 def krum_scores(distances: DataFrame, n_clients: int, n_malicious: int) -> DataFrame:
-    """Sum of the n - f - 2 smallest squared distances of each client (at least one)."""
+    """Sum of the n - f - 2 smallest squared distances of each of ``n_clients`` clients (at least one).
+
+    All but the f + 1 greatest count, so a client's state is one sum and its greatest distances so far. Corners are cut to
+    that form where they are made and merged as arrays: no row per pair, and sums only ever add, so far-off attackers
+    take no digits from the others.
+    """
     neighbours = max(1, n_clients - n_malicious - 2)
-    near = distances.select("round", "client_id", F.explode("sq_dist").alias("d"))
-    ranked = near.withColumn("i", F.row_number().over(W.partitionBy("round", "client_id").orderBy("d")))
-    return ranked.where(F.col("i") <= neighbours).groupBy("round", "client_id").agg(F.sum("d").alias("score"))
+    far = max(0, n_clients - 1 - neighbours)
+    near = F.greatest(F.size("_d") - far, F.lit(0))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    corner = distances.select("round", "client_id", F.array_sort("sq_dist").alias("_d"))
+    corner = corner.select("round", "client_id", total(F.slice("_d", F.lit(1), near)).alias("_near"), F.slice("_d", near + 1, F.lit(far)).alias("_far"))
+    merged = corner.groupBy("round", "client_id").agg(F.sum("_near").alias("_near"), F.array_sort(F.flatten(F.collect_list("_far"))).alias("_d"))
+    score = F.col("_near") + total(F.slice("_d", F.lit(1), near))
+    return merged.select("round", "client_id", score.alias("score"))
 
 
 def krum_select(scores: DataFrame, n_select: int = 1, keys: Sequence[str] = ("round",)) -> DataFrame:

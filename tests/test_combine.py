@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fedlens.operators import combine as C
 from fedlens.operators import krum as K
+from fedlens.operators.ranking import values_at
 
 VECTORS = [(1, 2), (1.2, 1.8), (0.9, 2.1), (1.1, 2.05), (10, -10)]
 WEIGHTS = [10, 20, 30, 20, 20]
@@ -163,3 +164,38 @@ def test_carry_forward_and_shared_body(spark):
     assert vector(C.carry_forward(current, new)) == [9.0, 8.0, 3.0]
     df = frame(spark, [(1, 2, 3)], layers=("fc1.weight", "fc2.weight", "fc2.bias"))
     assert [r.layer for r in C.shared_body(df).collect()] == ["fc1.weight"]
+
+
+def test_values_at_ranks_are_those_of_a_sort(spark):
+    """Signs, both zeros, subnormals, infinities and ties; NaN and null do not count."""
+    odd = [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf"), 1.5, 1.5, -2.25, 1e300, -1e300, 3.0, float("nan"), None]
+    rng = np.random.default_rng(4)
+    data = [("odd", v) for v in odd] + [("many", float(v)) for v in rng.normal(size=500) * 10.0 ** rng.integers(-9, 9, 500)] + [("one", 7.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    wanted = {"first": lambda k: F.lit(1), "third": lambda k: F.least(k, F.lit(3)), "middle": lambda k: F.floor((k + 1) / 2), "last": lambda k: k}
+    for r in values_at(df, "v", wanted, ["g"]).collect():
+        own = sorted(v for g, v in data if g == r.g and v is not None and v == v)
+        k = len(own)
+        assert (r.k, r.first, r.third, r.middle, r.last) == (k, own[0], own[min(k, 3) - 1], own[(k + 1) // 2 - 1], own[-1])
+
+
+def test_norm_stats_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    data = [(rnd, float(v)) for rnd, n in ((1, 1), (2, 2), (3, 37)) for v in rng.gamma(2.0, size=n)]
+    found = C.norm_stats(spark.createDataFrame(data, "round int, norm double")).orderBy("round").collect()
+    for r in found:
+        own = [v for rnd, v in data if rnd == r.round]
+        want = [min(own), max(own), np.median(own), np.percentile(own, 90)]
+        assert [r.norm_min, r.norm_max, r.norm_median, r.norm_p90] == pytest.approx(want)
+
+
+def test_far_attackers_take_no_digits(spark):
+    """The sum of near distances stays exact beside distances of 1e30, and few replies leave one neighbour."""
+    data = [(1e15, 0.0), (0.0, 0.0), (1e-6, 0.0), (0.0, 2e-6), (3e-6, 0.0)]
+    updates = frame(spark, data)
+    scores = K.krum_scores(K.tile_distances(C.to_blocks(updates, ["round", "client_id"]), 5, 2), 5, 1)
+    got = {r.client_id: r.score for r in scores.collect()}
+    assert got[1] == pytest.approx(1e-12 + 4e-12) and got[0] == pytest.approx(2e30)
+    two = frame(spark, [(0.0, 0.0), (3.0, 4.0)])
+    scores = K.krum_scores(K.tile_distances(C.to_blocks(two, ["round", "client_id"]), 2, 2), 2, 0)
+    assert [r.score for r in scores.collect()] == [25.0, 25.0]
