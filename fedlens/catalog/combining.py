@@ -133,6 +133,15 @@ def krum_select(spark, sf):
     return chosen.select("round", "client_id", F.round("score", 6).alias("score"))
 
 
+def krum_suppliers(spark, sf):
+    """Scores of as many clients as there are suppliers, an eighth of them taken for attackers."""
+    updates = cut_lineage(spark, D.supplier_params(spark, sf), "updates")
+    n = updates.select("client_id").distinct().count()
+    blocks = C.to_blocks(updates, ["round", "client_id"])
+    scores = K.krum_scores(K.tile_distances(blocks, n, 7 * len(D.SUPPLY_MEASURES)), n, n // 8)
+    return scores.select("client_id", F.round("score", 4).alias("score"))
+
+
 def multikrum(spark, sf):
     updates = _updates(spark, sf)
     return _value(K.multikrum(updates, K.krum_select(_scores(updates), N_SELECT)))
@@ -143,7 +152,7 @@ QUERIES = {
     for f in (
         client_delta, update_norms, update_norm_stats, fedavg, fed_median, fed_trimmed_mean, fedper_body,
         model_carry_forward, fedavgm_2rounds, fedadam_2rounds, fedyogi_2rounds, dp_clip, dp_noise,
-        krum_pairwise, krum_scores, krum_select, multikrum,
+        krum_pairwise, krum_scores, krum_select, krum_suppliers, multikrum,
     )
 }
 
@@ -212,6 +221,12 @@ SQL = {
     "krum_pairwise": f"{_P}, {_PAIRS} SELECT round, client_a, client_b, round(sq_dist, 6) AS sq_dist FROM pairs",
     "krum_scores": f"{_P}, {_SCORES} SELECT round, client_id, round(score, 6) AS score FROM scores",
     "krum_select": f"{_P}, {_SCORES} SELECT round, client_id, round(score, 6) AS score FROM placed WHERE place = 1",
+    "krum_suppliers": f"""WITH {S.SUPPLIER_PARAMS}, far AS (
+          SELECT a.client_id, b.client_id AS other, sum((a.v - b.v) * (a.v - b.v)) AS d
+          FROM supplier_params a JOIN supplier_params b USING (pos) WHERE a.client_id <> b.client_id GROUP BY ALL),
+        total AS (SELECT count(DISTINCT client_id) AS k FROM supplier_params),
+        near AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY d) AS i FROM far)
+        SELECT client_id, round(sum(d), 4) AS score FROM near, total WHERE i <= greatest(1, k - k // 8 - 2) GROUP BY client_id""",
     "multikrum": f"""{_P}, {_SCORES} SELECT layer, pos, round(avg(v), 6) AS v FROM client_params
         WHERE client_id IN (SELECT client_id FROM placed WHERE place <= {N_SELECT}) GROUP BY layer, pos""",
 }

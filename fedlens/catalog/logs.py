@@ -12,6 +12,7 @@ from fedlens.session import workspace
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
 from fedlens.sources import runlog as L
+from fedlens.sources import runlog_store as V
 from fedlens.sources.tables import table
 
 GLOB = "*.txt"
@@ -86,6 +87,33 @@ def runlog_upsert(spark, sf):
     return latest.select("run_id", "round", F.round("accuracy", 6).alias("accuracy"), "event_type", "event_id")
 
 
+def _sendings(spark, sf, rest):
+    """Documents of the rounds sent with every other event: each run's rounds once, the latest sending of each."""
+    sent = _arrivals(spark, sf).where(F.pmod("event_id", F.lit(2)) == rest)
+    latest = L.upsert_rounds(sent, F.struct("ts", "event_id")).withColumnRenamed("run_id", "run_no")
+    blank = [F.lit(None).cast("double").alias(c) for c in D.METRIC_COLUMNS if not c.startswith("client_evaluation_a")]
+    flat = latest.select(
+        F.concat(F.lit("run_"), F.col("run_no").cast("string")).alias("run_id"), *D.run_configs(F.col("run_no")), "round",
+        F.col("accuracy").alias("client_evaluation_accuracy"), *blank,
+    )
+    return L.log_documents(flat)
+
+
+def runlog_document_upsert(spark, sf):
+    """Documents that grow in two sendings, the second repeated; rounds by their place in the document, beside its summary."""
+    folder = workspace(spark, "document-store")
+    for rest in (0, 1, 1):
+        V.merge_documents(spark, folder, _sendings(spark, sf, rest))
+    docs = V.read_documents(spark, folder)
+    accuracy = F.col("r.client_evaluation.accuracy").cast("double")
+    rows = docs.select("run_id", "config.scenario_name", "summary", F.posexplode("rounds").alias("place", "r"))
+    return rows.select(
+        "run_id", "scenario_name", "place", F.col("r.round").alias("round"), F.round(accuracy, 6).alias("accuracy"),
+        "summary.total_rounds_completed", F.round("summary.best_client_accuracy", 6).alias("best_client_accuracy"),
+        F.round("summary.final_client_accuracy", 6).alias("final_client_accuracy"), "summary.final_server_accuracy",
+    )
+
+
 def run_summary(spark, sf):
     summary = L.run_summary(D.metrics(spark, sf))
     return summary.select(
@@ -157,7 +185,7 @@ def run_manifest(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_runlog, runlog_dedup, runlog_rejects, runlog_flat, runlog_upsert, run_summary, config_defaults,
+        scan_runlog, runlog_dedup, runlog_rejects, runlog_flat, runlog_upsert, runlog_document_upsert, run_summary, config_defaults,
         coerce_numeric, canonical_strategy, malicious_count, round_metrics, format_mean_std, run_manifest,
     )
 }
@@ -180,6 +208,16 @@ SQL = {
     "runlog_upsert": """WITH ranked AS (SELECT user_id % 150 AS run_id, day(ts)::INT AS round, value / 503 AS accuracy, event_type, event_id,
           row_number() OVER (PARTITION BY user_id % 150, day(ts) ORDER BY ts DESC, event_id DESC) AS r FROM events)
         SELECT run_id, round, round(accuracy, 6) AS accuracy, event_type, event_id FROM ranked WHERE r = 1""",
+    "runlog_document_upsert": f"""WITH {S.RAW_METRICS}, sent AS (
+          SELECT user_id % 150 AS run_no, day(ts)::INT AS round, value / 503 AS accuracy,
+            row_number() OVER (PARTITION BY user_id % 150, day(ts) ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) AS r FROM events),
+        names AS (SELECT DISTINCT run_id, scenario_name FROM raw_metrics)
+        SELECT 'run_' || run_no AS run_id, scenario_name, (row_number() OVER w - 1)::INT AS place, round, round(accuracy, 6) AS accuracy,
+          (count(*) OVER a)::INT AS total_rounds_completed, round(max(accuracy) OVER a, 6) AS best_client_accuracy,
+          round(last_value(accuracy) OVER a, 6) AS final_client_accuracy, 0.0 AS final_server_accuracy
+        FROM sent JOIN names ON names.run_id = 'run_' || run_no WHERE r = 1
+        WINDOW w AS (PARTITION BY run_no ORDER BY round),
+          a AS (PARTITION BY run_no ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "run_summary": f"""WITH {S.METRICS} SELECT run_id, count(*) AS total_rounds_completed,
         {", ".join(f"round(max(coalesce({c}, 0)), 6) AS best_{n}" for n, c in L.SUMMARY_METRICS.items())},
         {", ".join(f"round(arg_max(coalesce({c}, 0), round), 6) AS final_{n}" for n, c in _SUMMARY.items())}

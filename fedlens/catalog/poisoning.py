@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fedlens.operators import features as T
 from fedlens.operators import poison as A
 from fedlens.operators.partition import split_train_val
+from fedlens.plans.transforms import Pictures
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
 
@@ -78,11 +79,21 @@ def augment_features(spark, sf):
     return _pixels(rows.withColumn("features", picture))
 
 
+def training_rows(spark, sf):
+    """What a run trains on in its second round: crops, flips, the backdoor, standardised pixels, all drawn for that round."""
+    config = {
+        "seed": D.SEED, "attack_name": "backdoor", "malicious-clients-ids": list(D.MALICIOUS),
+        "attack_target_class": D.TARGET_CLASS, "attack_injection_rate": INJECTION_RATE,
+    }
+    rows = _split_parts(spark, sf).where("split = 'train'")
+    return _pixels(Pictures(D.SIDE, PADDING).train(rows, config, 2), "client_id", "label")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         label_flip, backdoor_inject, trigger_eval, byzantine_update, poison_dispatch, normalize_features,
-        augment_features,
+        augment_features, training_rows,
     )
 }
 
@@ -129,4 +140,13 @@ SQL = {
           (CASE WHEN flip THEN 7 - i % 8 ELSE i % 8 END) + dx - 4 AS c FROM drawn, unnest(range(64)) t(i))
         SELECT sample_id, pos, round(CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7
           THEN features[r * 8 + c + 1] ELSE 0.0 END, 6) AS x FROM spots""",
+    "training_rows": f"""{_BASE}, {_ROWS}, drawn AS (SELECT sample_id, client_id, label, features,
+          floor({S.uniform(44, 'crop-row', 'sample_id')} * 9)::INT AS dy, floor({S.uniform(44, 'crop-col', 'sample_id')} * 9)::INT AS dx,
+          {S.uniform(44, 'hflip', 'sample_id')} < 0.5 AS flip,
+          client_id IN {_IDS} AND {S.uniform(44, 'backdoor', 'sample_id')} < {INJECTION_RATE} AS hit FROM split_parts WHERE split = 'train'),
+        spots AS (SELECT sample_id, client_id, label, features, hit, i::INT AS pos, i // 8 + dy - 4 AS r,
+          (CASE WHEN flip THEN 7 - i % 8 ELSE i % 8 END) + dx - 4 AS c FROM drawn, unnest(range(64)) t(i))
+        SELECT sample_id, client_id, CASE WHEN hit THEN 1 ELSE label END AS label, pos,
+          round((CASE WHEN hit AND pos // 8 < 3 AND pos % 8 < 3 THEN 1.0 WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7
+            THEN features[r * 8 + c + 1] ELSE 0.0 END - 0.1307) / 0.3081, 6) + 0.0 AS x FROM spots""",
 }

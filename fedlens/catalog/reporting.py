@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from fedlens.operators import cleaning as K
 from fedlens.operators import reports as R
-from fedlens.operators.filters import predicate
+from fedlens.operators.filters import config_keys, predicate
 from fedlens.plans import reports as P
+from fedlens.session import workspace
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
+from fedlens.sources import runlog as L
 
 SERIES = P.series_reports() + P.attacker_reports()
 FLIPS = P.label_flip_reports()
@@ -21,6 +25,7 @@ MIXED_FILTER = {
     "dirichlet-alpha": [0.5, 0.1, None],
     "strategy-name": ["FedAvg", "FedProx", "FedMedian", "TrimmedAvg"],
 }
+KEY_FILTER = {"server_momentum": [0.7, 0.8], "fraction-train": 1.0, "seed": None, "warm-up": True}
 CLOSE_FILTER = {"fraction-train": 0.8, "dirichlet-alpha": -1.0, "personalization": False}
 STATS = ("mean", "std", "lo", "hi")
 
@@ -44,6 +49,21 @@ def filter_isclose(spark, sf):
     return config.where(predicate(CLOSE_FILTER, config.columns)).select("run_id", "fraction_train", "dirichlet_alpha")
 
 
+def filter_config_key(spark, sf):
+    """Rounds of runs picked by keys that only their configuration map has; a key of no log is skipped."""
+    momentum = F.when(F.col("config.strategy-name") == "fedavgm", F.lit("0.70")).otherwise(F.lit("0.0"))
+    docs = L.log_documents(D.raw_metrics(spark, sf))
+    whole = docs.withColumn("config", F.struct("config.*", momentum.alias("server_momentum")))
+    folder = workspace(spark, "momentum-logs")
+    L.write_documents(whole.select("run_id", F.to_json(F.struct("config", "rounds")).alias("value")), folder)
+    logs = L.usable_logs(L.read_logs(spark, folder, "*.txt"))
+    flat = L.flatten(logs, with_config=True)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the last key is in no log
+        chosen = flat.where(predicate(KEY_FILTER, flat.columns, config_keys(logs)))
+    return chosen.select("run_id", "round", "partitioner_name")
+
+
 def mean_std_by_round(spark, sf):
     return _rounded(
         R.mean_std_by_round(D.metrics(spark, sf), ["scenario_name"], CURVE_METRICS), "scenario_name", "round", "metric"
@@ -133,7 +153,7 @@ def report_markdown(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        filter_map, filter_isclose, mean_std_by_round, overfit_curve, personalised_flag, baseline_no_attack,
+        filter_map, filter_isclose, filter_config_key, mean_std_by_round, overfit_curve, personalised_flag, baseline_no_attack,
         baseline_full_participation, run_counts, strategy_order, series_labels, report_series, attack_count_series,
         labelflip_grid, round40_table, report_markdown,
     )
@@ -266,6 +286,8 @@ _LOSSES = ", ".join(
 
 SQL = {
     "filter_map": f"{_CONFIG} SELECT run_id, strategy_name, attack_name FROM config WHERE {sql_filter(MIXED_FILTER)}",
+    "filter_config_key": f"""WITH {S.METRICS} SELECT run_id, round, partitioner_name FROM metrics
+        WHERE strategy_name = 'FedAvgM' AND fraction_train = 1.0""",
     "filter_isclose": f"{_CONFIG} SELECT run_id, fraction_train, dirichlet_alpha FROM config WHERE {sql_filter(CLOSE_FILTER)}",
     "mean_std_by_round": f"""WITH {S.METRICS}, stacked AS ({_STACK}), stats AS (SELECT scenario_name, round, metric, avg(v) AS m,
         coalesce(stddev_samp(v), 0) AS s FROM stacked GROUP BY ALL)

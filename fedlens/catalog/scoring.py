@@ -9,6 +9,7 @@ from fedlens.operators import partition as P
 from fedlens.operators.poison import is_malicious, stamp_trigger
 from fedlens.sources import derived as D
 from fedlens.sources import derived_sql as S
+from fedlens.sources.tables import table
 
 ROUND6 = lambda c: F.round(c, 6).alias(c)
 
@@ -42,6 +43,20 @@ def partition_dirichlet(spark, sf):
     return P.assign_dirichlet(D.samples(spark, sf), shares(), D.SEED).select("sample_id", "label", "client_id")
 
 
+def partition_shares(spark, sf):
+    """Rows of every client where customers are the clients and hold weighted shares of nine classes.
+
+    Rows of the tenth class have no shares: they are counted under client -1.
+    """
+    label = F.explode(F.sequence(F.lit(0), F.lit(8))).alias("label")
+    weights = table(spark, sf, "customer").select(F.col("c_custkey").alias("client_id"), label)
+    weights = weights.withColumn("weight", (F.pmod(F.col("client_id") * (F.col("label") + 3), F.lit(97)) + 1).cast("double"))
+    shares, rows = P.share_table(weights), D.samples(spark, sf)
+    held = P.assign_dirichlet(rows, shares, D.SEED).groupBy("client_id").agg(F.count("*").alias("n_rows"))
+    lost = P.dirichlet_rejects(rows, shares, D.SEED).agg(F.lit(-1).alias("client_id"), F.count("*").alias("n_rows"))
+    return held.union(lost)
+
+
 def label_distribution(spark, sf):
     """Rows per client and label under the uniform and the skewed partition."""
     kinds = {
@@ -137,7 +152,7 @@ def agg_eval_metrics(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        partition_iid, partition_iid_balanced, train_val_split, train_val_split_exact, partition_dirichlet,
+        partition_iid, partition_iid_balanced, train_val_split, train_val_split_exact, partition_dirichlet, partition_shares,
         label_distribution, sample_clients, malicious_flag, predict_labels, confusion_matrix,
         confusion_matrix_global, per_class_f1, macro_f1, client_report, eval_scores, attack_success_rate,
         agg_train_metrics, agg_eval_metrics,
@@ -176,6 +191,15 @@ SQL = {
         SELECT sample_id, client_id, CASE WHEN r <= ceil(k * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split
         FROM ranked""",
     "partition_dirichlet": f"WITH {S.SAMPLES}, {_DIRICHLET} SELECT sample_id, label, client_id FROM skewed",
+    "partition_shares": f"""WITH {S.SAMPLES}, weights AS (SELECT c_custkey::INT AS client_id, label,
+          (c_custkey * (label + 3) % 97 + 1)::DOUBLE AS weight FROM customer, (SELECT unnest(range(9)) AS label)),
+        slices AS (SELECT label, client_id, (sum(weight) OVER u - weight) / sum(weight) OVER a AS lo,
+            CASE WHEN client_id = max(client_id) OVER a THEN 1.0 ELSE sum(weight) OVER u / sum(weight) OVER a END AS hi FROM weights
+          WINDOW a AS (PARTITION BY label), u AS (PARTITION BY label ORDER BY client_id ROWS UNBOUNDED PRECEDING)),
+        drawn AS (SELECT sample_id, label, {S.uniform(42, "dirichlet", "sample_id")} AS u FROM samples),
+        placed AS (SELECT coalesce(client_id, -1) AS client_id FROM drawn d LEFT JOIN slices s ON s.label = d.label AND u >= lo AND u < hi)
+        SELECT client_id, count(*) AS n_rows FROM placed GROUP BY client_id
+        UNION ALL SELECT -1, 0 WHERE NOT EXISTS (FROM placed WHERE client_id = -1)""",
     "label_distribution": f"""WITH {S.SAMPLES}, {S.parts()}, {_DIRICHLET}
         SELECT client_id, {_LABEL_COLS}, 'iid' AS partitioner FROM parts GROUP BY client_id
         UNION ALL SELECT client_id, {_LABEL_COLS}, 'dirichlet' FROM skewed GROUP BY client_id""",

@@ -11,11 +11,12 @@ import warnings
 from collections.abc import Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC_KEYS = ("fraction_train", "dirichlet_alpha", "proximal_mu", "num_malicious_clients")
 BOOLEAN_KEYS = ("personalization",)
+CONFIG = "config"
 # Tolerances of the float comparison.
 RTOL, ATOL = 1e-5, 1e-8
 
@@ -68,17 +69,43 @@ def _equals(name: str, value: Any) -> str:
     return f"coalesce({name} = {literal(value)}, false)"
 
 
-def condition(filters: Mapping[str, Any], columns: Iterable[str]) -> str:
-    """All conditions of the map joined by AND; keys without a column are skipped with a warning."""
+def _of_map(key: str, value: Any) -> str:
+    """A condition on an entry of the configuration map, which is text: typed by what is asked for."""
+    entry = f"try_element_at({CONFIG}, {literal(key)})"
+    if value is None or value == "":
+        return f"coalesce({entry}, '') = ''"
+    if isinstance(value, bool):
+        return f"coalesce(try_cast({entry} AS BOOLEAN), false) = {literal(value)}"
+    if isinstance(value, (int, float)):
+        return close_to(f"try_cast({entry} AS DOUBLE)", float(value))
+    return f"coalesce({entry} = {literal(value)}, false)"
+
+
+def condition(filters: Mapping[str, Any], columns: Iterable[str], keys: Iterable[str] | None = None) -> str:
+    """All conditions of the map joined by AND.
+
+    A key is a typed column or, where the frame has the configuration map ``config``, an entry of that. ``keys`` are the
+    entries that some log has, if known (``config_keys``): a key that is neither is skipped with a warning, as is one
+    without a column where there is no map.
+    """
     known, parts = set(columns), []
+    entries = None if keys is None else set(keys)
     for key, value in filters.items():
-        name = column_name(key)
-        if name not in known:
-            warnings.warn(f"filter key '{key}' has no column and is skipped", stacklevel=2)
-            continue
-        parts.append(_one_of(name, value) if isinstance(value, (list, tuple)) else _equals(name, value))
+        name, many = column_name(key), isinstance(value, (list, tuple))
+        if name in known:
+            parts.append(_one_of(name, value) if many else _equals(name, value))
+        elif CONFIG in known and (entries is None or key in entries):
+            parts.append("(" + " OR ".join(_of_map(key, v) for v in value) + ")" if many else _of_map(key, value))
+        else:
+            warnings.warn(f"filter key '{key}' is in no column and no log and is skipped", stacklevel=2)
     return " AND ".join(parts) or "true"
 
 
-def predicate(filters: Mapping[str, Any], columns: Iterable[str]) -> Column:
-    return F.expr(condition(filters, columns))
+def config_keys(logs: DataFrame) -> list[str]:
+    """Configuration keys that occur in any log; as many rows as there are different keys."""
+    found = logs.select(F.explode(F.map_keys(CONFIG)).alias("key")).distinct()
+    return sorted(r.key for r in found.collect())
+
+
+def predicate(filters: Mapping[str, Any], columns: Iterable[str], keys: Iterable[str] | None = None) -> Column:
+    return F.expr(condition(filters, columns, keys))

@@ -34,8 +34,8 @@ def _replace(mean: DataFrame, state: DataFrame) -> DataFrame:
     return C.carry_forward(model_of(state), mean).withColumnRenamed("v", "x")
 
 
-def model_of(state: DataFrame) -> DataFrame:
-    return state.select("layer", "pos", F.col("x").alias("v"))
+def model_of(state: DataFrame, *keys: str) -> DataFrame:
+    return state.select(*keys, "layer", "pos", F.col("x").alias("v"))
 
 
 def _mean(updates, state, config):

@@ -76,6 +76,19 @@ def client_params_two_rounds(spark: SparkSession, sf_dir: str) -> list[DataFrame
     return [client_params(spark, sf_dir, "part", 1), client_params(spark, sf_dir, "part2", 2)]
 
 
+SUPPLY_MEASURES = ("l_quantity", "l_extendedprice / 1000", "l_discount * 100", "l_tax * 100")
+
+
+def supplier_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One client per supplier, so their number grows with the data: mean measures by line number as its vector."""
+    means = [F.avg(F.expr(m)) for m in SUPPLY_MEASURES]
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.array(*means).alias("_v"), F.count("*").alias("n"))
+    pos = ((F.col("l_linenumber") - 1) * len(means) + F.col("_i")).cast("int")
+    return cells.select(F.col("l_suppkey").cast("int").alias("client_id"), "l_linenumber", "n", F.posexplode("_v").alias("_i", "v")).select(
+        F.lit(1).alias("round"), "client_id", F.lit("body.weight").alias("layer"), pos.alias("pos"), "v", "n"
+    )
+
+
 def global_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         long_features(samples(spark, sf_dir))

@@ -71,6 +71,11 @@ def client_params(name: str = "client_params", source: str = "parts", round_numb
     )
 
 
+SUPPLIER_PARAMS = """supplier_params AS (
+  SELECT 1 AS round, l_suppkey::INT AS client_id, ((l_linenumber - 1) * 4 + i)::INT AS pos, v, n
+  FROM (SELECT l_suppkey, l_linenumber, count(*) AS n, unnest(range(4)) AS i,
+          unnest([avg(l_quantity), avg(l_extendedprice / 1000), avg(l_discount * 100), avg(l_tax * 100)]) AS v
+        FROM lineitem GROUP BY l_suppkey, l_linenumber))"""
 GLOBAL_PARAMS = f"global_params AS (SELECT {LAYER} AS layer, pos, avg(x) AS v FROM samples_long GROUP BY pos)"
 PARAM_CTES = ", ".join(
     [SAMPLES, parts(), SAMPLES_LONG, PARTS_LONG, client_params(), GLOBAL_PARAMS]

@@ -94,10 +94,11 @@ def rejected_logs(logs: DataFrame) -> DataFrame:
     return log_state(logs).where("reason IS NOT NULL").select("run_id", "file_path", "reason")
 
 
-def flatten(logs: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+def flatten(logs: DataFrame, extra_keys: Sequence[str] = (), with_config: bool = False) -> DataFrame:
     """One row per (run, round): typed configuration and metric columns, missing metrics null.
 
-    ``extra_keys`` are further configuration keys to carry as text columns, so that filters can ask for them.
+    ``extra_keys`` are further configuration keys to carry as text columns; ``with_config`` keeps the whole configuration
+    map beside the typed columns, so that filters can ask for any key.
     """
     entry = lambda *path: F.col("_r." + ".".join(path))
     metrics = [
@@ -120,14 +121,15 @@ def flatten(logs: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
         *(key(name).alias(column_name(name)) for name in extra_keys),
     ]
     rows = logs.select("run_id", "config", F.explode("rounds").alias("_r")).where("_r.round IS NOT NULL")
-    return K.config_defaults(rows.select("run_id", *config, entry("round").alias("round"), *metrics))
+    whole = ["config"] if with_config else []
+    return K.config_defaults(rows.select("run_id", *config, entry("round").alias("round"), *metrics, *whole))
 
 
 def load_metrics(
-    spark: SparkSession, folder: str, glob: str = "results.json", extra_keys: Sequence[str] = ()
+    spark: SparkSession, folder: str, glob: str = "results.json", extra_keys: Sequence[str] = (), with_config: bool = False
 ) -> DataFrame:
     """Clean flat metrics of every usable log, strategies under their report names."""
-    flat = flatten(usable_logs(read_logs(spark, folder, glob)), extra_keys)
+    flat = flatten(usable_logs(read_logs(spark, folder, glob)), extra_keys, with_config)
     return flat.withColumn("strategy_name", K.canonical_strategy("strategy_name", "proximal_mu"))
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from conftest import rows
 from fedlens.operators.filters import predicate
 from fedlens.plans import scenarios as N
 from fedlens.sources import runlog as L
+from fedlens.sources import runlog_store as V
 
 CONFIG = {
     "scenario_name": "FedAvg_IID", "strategy-name": "fedprox", "proximal-mu": 0.0, "partitioner-name": "iid",
@@ -127,3 +129,52 @@ def test_manifest(spark):
     one = runs.where("scenario_name = 'FedAdam_nonIID_a0_1' AND repetition = 14").first()
     assert one.seed == 56 and one.config["seed"] == "56" and one.config["beta_1"] == "0.7" and one.config["lr"] == "0.01"
     assert one.config["dirichlet-alpha"] == "0.1" and one.config["strategy-name"] == "fedadam"
+
+
+def document(run_id, *entries, scenario="S"):
+    text = {"run_id": run_id, "config": {"scenario_name": scenario}, "rounds": list(entries)}
+    return json.dumps(text)
+
+
+def documents(spark, *lines):
+    schema = "run_id string, config map<string,string>, " + L.LOG_SCHEMA["rounds"].dataType.simpleString().join(["rounds ", ""])
+    return spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def stored(spark, folder):
+    docs = V.read_documents(spark, folder)
+    return {
+        r.run_id: ([(e["round"], e["client_evaluation"]["accuracy"]) for e in r.rounds], r.summary, r.config["scenario_name"])
+        for r in docs.collect()
+    }
+
+
+def test_documents_grow_by_whole_versions(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    assert V.read_documents(spark, folder) is None
+    assert V.merge_documents(spark, folder, documents(spark, document("a", entry(2), entry(1, 0.9)), document("b", entry(1, None))), 4) == 1
+    first = stored(spark, folder)
+    assert first["a"][0] == [(1, "0.9"), (2, "0.5")]
+    summary = first["a"][1]
+    assert (summary.total_rounds_completed, summary.best_client_accuracy, summary.final_client_accuracy) == (2, 0.9, 0.5)
+    assert first["b"][1].best_client_accuracy == 0.0
+    more = documents(spark, document("a", entry(2, 0.7), entry(3, 0.1), scenario="T"), document("c", entry(5)))
+    assert V.merge_documents(spark, folder, more, 4) == 2
+    second = stored(spark, folder)
+    assert second["a"][0] == [(1, "0.9"), (2, "0.7"), (3, "0.1")] and second["a"][2] == "T"
+    assert second["b"] == first["b"] and second["c"][0] == [(5, "0.5")]
+    assert second["a"][1].final_client_accuracy == 0.1
+    # the same rounds again change nothing but the version, and nothing new makes none
+    assert V.merge_documents(spark, folder, more, 4) == 3 and stored(spark, folder) == second
+    assert V.merge_documents(spark, folder, more.limit(0), 4) == 3
+
+
+def test_a_merge_that_broke_off_is_not_seen(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    V.merge_documents(spark, folder, documents(spark, document("a", entry(1))), 1)
+    before = stored(spark, folder)
+    V.merge_documents(spark, folder, documents(spark, document("a", entry(2))), 1)
+    os.rename(f"{folder}/manifest/version=2", f"{tmp_path}/taken-back")  # as if the job had ended before the manifest
+    assert stored(spark, folder) == before
+    V.merge_documents(spark, folder, documents(spark, document("a", entry(3))), 1)
+    assert [n for n, _ in stored(spark, folder)["a"][0]] == [1, 3]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from fedlens.streaming import client_state as C
+from fedlens.streaming import closing as E
 from fedlens.streaming import rounds as R
 from fedlens.streaming import upsert as U
 
@@ -92,3 +93,24 @@ def test_client_state_keeps_the_newest_reply(spark, feed, tmp_path):
     drain(U.start_upsert(state, target, str(tmp_path / "cp"), C.KEYS, C.ORDER, "update"))
     got = U.read_latest(spark, target, state.schema, C.KEYS, C.ORDER)
     assert rows(got.select("client_id", "train_loss", "n_replies")) == [(1, 3.0, 2), (2, 2.0, 1)]
+
+
+REPLIES = [
+    [reply(1, 1, 1, 1, 1.0, 10), reply(2, 2, 2, 1, 3.0, 30)],  # day 1 is complete at hour 2
+    [reply(3, 3, 1, 1, 9.0, 99), reply(4, 11, 2, 1, 9.0, 99)],  # a second reply, and one after the deadline
+    [reply(5, 25, 1, 2, 5.0, 10)],  # day 2 waits for client 2 in vain
+    [reply(6, 40, 2, 2, 5.0, 10), reply(7, 49, 1, 3, 2.0, 20)],  # late; day 3 is open
+]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_rounds_close_alike_for_any_file_order(spark, feed, tmp_path, order):
+    target = str(tmp_path / "closing")
+    drain(E.start_closing(feed(*[REPLIES[i] for i in order]), target, str(tmp_path / "cp"), timeout="10 hours"))
+    got = rows(E.closed_rounds(spark, target, 2, "10 hours").select(
+        F.date_format("round_start", "dd"), "closed_by", F.date_format("closed_at", "dd HH"), "n_clients", "num_examples", "train_loss"
+    ))
+    assert got == [
+        ("01", "complete", "01 02", 2, 40, 2.5), ("02", "timeout", "02 10", 1, 10, 5.0), ("03", "open", None, 1, 20, 2.0),
+    ]
+    assert rows(E.late_replies(spark, target).select("event_id")) == [(4,), (6,)]
