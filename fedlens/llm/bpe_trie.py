@@ -14,19 +14,18 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import BATCH_CHARS, ODD_SPACE, batches_of, rows_of
+from fedlens.llm.common import ODD_SPACE, WORD_SPLIT, batches_of, in_groups, rows_of
 
 ENCODED = "doc_id long, ids array<int>, ids_sha256 string"
 #: Added to the last character of a word: it stands for the symbol with the end mark.
 CLOSED = 0x1000
 NEVER = 1 << 62
-REMEMBERED_BYTES = 96 << 20
-REMEMBERED_PAIRS = 1_000_000
-# Fixed value: the split that the cuts of CUT are proven for; other files are cut nowhere.
-WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+REMEMBERED_BYTES = 64 << 20
+REMEMBERED_PAIRS = 250_000
+#: Cuts that hold for files with WORD_SPLIT; others are cut nowhere.
 CUT = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[,.;:!?|)])|\\S+", re.ASCII)
 
 
@@ -232,17 +231,28 @@ class Encoder:
         return [b"".join(map(self.young.__getitem__, chunks)) for chunks in chunked]
 
 
-def in_groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows (id, text) in groups of about BATCH_CHARS characters."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[1] or "")
-        if size >= BATCH_CHARS or len(held) >= 4096:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string())])
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def encoded(table: MergeTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) to batches of IDS."""
+    import numpy as np
+
+    encoder = Encoder(table)
+
+    def rows() -> Iterator[tuple]:
+        for group in in_groups(rows_of(batches)):
+            for (doc_id, _), ids in zip(group, encoder.encode([text for _, text in group])):
+                yield doc_id, np.frombuffer(ids, "<i4"), hashlib.sha256(ids).hexdigest()
+
+    yield from batches_of(rows(), IDS, weight=lambda r: len(r[1]))
+
+
+def decoded(table: MergeTable, ids: pa.ListArray) -> Iterator[str]:
+    """The text of every list of ids: pieces joined by spaces, as a file without decoder has it."""
+    pieces, ends, values = table.pieces, ids.offsets.to_pylist(), ids.values.to_pylist()
+    return (" ".join([pieces[i] for i in values[a:b]]) for a, b in zip(ends[:-1], ends[1:]))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -253,36 +263,32 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str) -> Da
     size is that of the vocabulary. No shuffle.
     """
     shared = spark.sparkContext.broadcast(MergeTable(tokenizer))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        encoder = Encoder(shared.value)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(lambda batches: encoded(shared.value, batches), ENCODED)
 
-        def rows() -> Iterator[tuple]:
-            for group in in_groups(rows_of(batches)):
-                for (doc_id, _), ids in zip(group, encoder.encode([text for _, text in group])):
-                    yield doc_id, np.frombuffer(ids, "<i4"), hashlib.sha256(ids).hexdigest()
 
-        yield from batches_of(rows(), schema, weight=lambda r: len(r[1]))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, ENCODED)
+def decode_documents(spark: SparkSession, ids: DataFrame, tokenizer: str) -> DataFrame:
+    """``doc_id`` and ``text``, what every row's ``ids`` decode to."""
+    shared = spark.sparkContext.broadcast(MergeTable(tokenizer))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array(decoded(shared.value, batch["ids"]), pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], schema=schema)
 
-def decoder(spark: SparkSession, tokenizer: str):
-    """A column function: the text of an array of ids, pieces joined by spaces as a file without decoder has it."""
-    table = MergeTable(tokenizer).pieces
-    shared = spark.sparkContext.broadcast([table.get(i, "") for i in range(max(table) + 1)])
+    return ids.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
-    @F.arrow_udf("string")
-    def decoded(ids: pa.Array) -> pa.Array:
-        pieces, ends, values = shared.value, ids.offsets.to_pylist(), ids.values.to_pylist()
-        return pa.array([" ".join([pieces[i] for i in values[a:b]]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
-    return decoded
+def digests(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Number and digest of the ids of every document, and the digest of what they decode to; ids stay in the task."""
+    shared = spark.sparkContext.broadcast(MergeTable(tokenizer))
 
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in encoded(shared.value, batches):
+            sizes = pa.array(batch["ids"].value_lengths().to_pylist(), pa.int64())
+            shas = pa.array([hashlib.sha256(text.encode()).hexdigest() for text in decoded(shared.value, batch["ids"])], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, batch["ids_sha256"], shas], schema=DIGESTS)
 
-def digests(encoded: DataFrame, text: Column) -> DataFrame:
-    """Number and digest of the ids of every document, and the digest of ``text``, what they decode to."""
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(text, 256).alias("decoded_sha256"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -67,14 +68,32 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def in_groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (id, text) in groups of about BATCH_CHARS characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if size >= BATCH_CHARS or len(held) >= 4096:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+# Fixed value: the split of the word vocabulary that chunks are proven for.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class ChunkEncoder(dict):
     """Token ids of text as little-endian unsigned 32-bit bytes, remembered by chunk.
 
-    No piece of the two supported vocabularies reaches from a character that is not white space to one that is, nor from a
-    letter to punctuation, so a text may be cut there and its chunks encoded apart. ``words`` says that white space is
-    dropped altogether. Texts with white space outside ASCII, or with characters that only some libraries call white
-    space, are encoded whole. At most ``bound`` chunks are remembered, in two generations: what was not met while the
-    younger filled up is forgotten. Chunks of plain letters need no normalising and go to the merges directly.
+    No piece of the two supported kinds of vocabulary reaches from a character that is not white space to one that is, nor
+    from a letter to punctuation, so a text may be cut there and its chunks encoded apart; of other files, texts are encoded
+    whole. ``words`` says that white space is dropped altogether. Texts with white space outside ASCII, or with characters
+    that only some libraries call white space, are encoded whole. At most ``bound`` chunks are remembered, in two generations:
+    what was not met while the younger filled up is forgotten. Chunks of plain letters need no normalising and go to the
+    merges directly; the others of a group of texts go to the library in one call.
     """
 
     def __init__(self, path: str, words: bool, bound: int = 400_000):
@@ -89,34 +108,56 @@ class ChunkEncoder(dict):
         self.merges = self.tokenizer.model
         letters = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[,.;:!?|)])"
         spaced = rf"\s*{letters}|\s*\S+|\s+"
-        self.chunks = re.compile(rf"{letters}|\S+" if words else spaced, re.ASCII).findall
+        self.cut = re.compile(rf"{letters}|\S+" if words else spaced, re.ASCII).findall
         self.plain = re.compile("[A-Za-z]+" if words else " ?[A-Za-z]+").fullmatch
         self.odd = re.compile(ODD_SPACE).search
-
-    def __missing__(self, chunk: str) -> bytes:
+        self.known = self._known(path)
+
+    def _known(self, path: str) -> bool:
+        """Whether the file's rules are those that the cuts hold for."""
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        before = rules["pre_tokenizer"] or {}
+        if self.words:
+            first = before.get("pretokenizers", [{}])[0]
+            return first.get("pattern") == {"Regex": WORD_SPLIT} and first["behavior"] == "Removed" and first["invert"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        return plain and rules["normalizer"] is None
+
+    def chunks(self, text: str | None) -> list[str]:
+        return [] if not text else self.cut(text) if self.known and not self.odd(text) else [text]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remembers the ids of all ``chunks``."""
         if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
-        ids = self.older.get(chunk)
-        if ids is None:
-            if self.plain(chunk):
-                piece = chunk.lower() if self.words else chunk.replace(" ", "\u0120")
-                ids = array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
-            else:
-                ids = self.whole(chunk)
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        rest = []
+        for chunk in chunks:
+            if chunk not in self:
+                if (ids := self.older.get(chunk)) is not None:
+                    self[chunk] = ids
+                elif self.known and self.plain(chunk):
+                    piece = chunk.lower() if self.words else chunk.replace(" ", "\u0120")
+                    self[chunk] = array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
+                else:
+                    rest.append(chunk)
+        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self[chunk] = array("I", found.ids).tobytes()
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text; chunks that are new to the task are encoded once for all of them."""
+        chunked = [self.chunks(t) for t in texts]
+        met = set().union(*chunked)
+        self.learn(met)
+        found = [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
+        for chunk in met:
+            if len(chunk) >= 64:
+                del self[chunk]
+        return found
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.chunks(text)))
+        return self.many([text])[0]
 
 
 def crc(data: bytes) -> int:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import END_ID, ChunkEncoder, batches_of, crc, rows_of
+from fedlens.llm.common import END_ID, ChunkEncoder, batches_of, crc, in_groups, rows_of, stored
 
 STORED = "doc_id long, file long, start_in_file long, n_tokens long, ids array<int>"
 ENCODINGS = {
@@ -38,14 +38,15 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        ids_of, file = ChunkEncoder(tokenizer, words=True), TaskContext.get().partitionId()
+        encoder, file = ChunkEncoder(tokenizer, words=True), TaskContext.get().partitionId()
 
         def rows() -> Iterator[tuple]:
             start = 0
-            for doc_id, text in rows_of(batches):
-                ids = np.frombuffer(ids_of(text) + end, "<i4")
-                yield doc_id, file, start, len(ids), ids
-                start += len(ids)
+            for group in in_groups(rows_of(batches)):
+                for (doc_id, _), found in zip(group, encoder.many([text for _, text in group])):
+                    ids = np.frombuffer(found + end, "<i4")
+                    yield doc_id, file, start, len(ids), ids
+                    start += len(ids)
 
         yield from batches_of(rows(), schema, weight=lambda r: r[3])
 
@@ -74,11 +75,13 @@ def write_ids(
 def read_ids(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: bool = True) -> DataFrame:
     """Documents from ``first`` to ``last`` with ``start``, the number of ids of all documents before.
 
-    ``start`` adds the totals of the files before; it reads metadata only. Without ``ids`` the token column is not read.
+    ``start`` adds the totals of the files before; it reads metadata only. Without ``ids`` the token column is not read. The
+    totals, a row a file, are written first, so their size is known and ids are not shuffled to meet them.
     """
     files = spark.read.schema(STORED).parquet(path)
     totals = files.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(W.orderBy("file")) - F.col("total")).alias("before"))
+    before = stored(spark, before, "id-file-starts")
     chosen = files
     if first is not None:
         chosen = chosen.where(F.col("doc_id") >= first)

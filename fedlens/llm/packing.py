@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import END_ID, ChunkEncoder, batches_of, crc, rows_of, stored
+from fedlens.llm.common import END_ID, ChunkEncoder, batches_of, crc, in_groups, rows_of, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 RANK_ROWS = 1000
@@ -84,12 +84,13 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
         encode = ChunkEncoder(tokenizer, words=False)
 
         def pieces() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches):
-                ids = encode(text) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    yield doc_id, start, len(part) // 4, crc(part), total
+            for group in in_groups(rows_of(batches)):
+                for (doc_id, _), ids in zip(group, encode.many([text for _, text in group])):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        part = ids[4 * start : 4 * (start + window)]
+                        yield doc_id, start, len(part) // 4, crc(part), total
 
         yield from batches_of(pieces(), schema)
 

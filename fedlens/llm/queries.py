@@ -65,16 +65,18 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOPK_SQL = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), usual AS (SELECT len(v) AS n FROM vectors GROUP BY len(v) ORDER BY count(*) DESC, n LIMIT 1
+), alike AS (SELECT r, vec_id, v FROM vectors JOIN usual ON len(v) = n
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  FROM alike q JOIN alike c ON q.vec_id % 20 = 0 AND c.r <> q.r
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
@@ -193,8 +195,7 @@ SELECT * FROM (
 
 
 def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("word_bpe_49k.json")
-    return bpe_trie.digests(bpe_trie.encode_documents(spark, documents(spark, sf_dir), path), bpe_trie.decoder(spark, path)("ids"))
+    return bpe_trie.digests(spark, documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {

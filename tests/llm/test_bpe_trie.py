@@ -113,10 +113,13 @@ def test_vocabulary_out_of_order_is_refused(tmp_path):
 
 
 def test_digests_of_hard_rows(spark, hard, nothing, library):
-    encoded = bpe_trie.encode_documents(spark, hard, WORD)
-    found = [tuple(r) for r in bpe_trie.digests(encoded, bpe_trie.decoder(spark, WORD)("ids")).collect()]
+    found = [tuple(r) for r in bpe_trie.digests(spark, hard, WORD).collect()]
     want = [(r.doc_id, *digest(library, r.text)) for r in hard.collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
+    encoded = bpe_trie.encode_documents(spark, hard, WORD)
+    texts = sorted((tuple(r) for r in bpe_trie.decode_documents(spark, encoded, WORD).collect()), key=str)
+    ids = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids) for r in hard.collect()]
+    assert texts == sorted(((d, library.decode(i, skip_special_tokens=False)) for d, i in ids), key=str)
     assert bpe_trie.encode_documents(spark, nothing, WORD).count() == 0
 
 
