@@ -27,8 +27,8 @@ LONGEST = 4
 SHARDS = 8
 SIEVE_BITS = 27
 #: Words whose phrases are counted together in a task, and words whose hashes are remembered.
-BUFFER_WORDS = 3_000_000
-REMEMBERED = 600_000
+BUFFER_WORDS = 1_000_000
+REMEMBERED = 250_000
 #: Ends a piece; no lower-cased word holds this letter.
 MARK = b"A"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
