@@ -23,9 +23,11 @@ ENCODED = "doc_id long, ids array<int>, ids_sha256 string"
 #: Added to the last character of a word: it stands for the symbol with the end mark.
 CLOSED = 0x1000
 NEVER = 1 << 62
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 128 << 20
 REMEMBERED_PAIRS = 250_000
 #: Cuts that hold for files with WORD_SPLIT; others are cut nowhere.
+#: The same split for lower-case printable ASCII, whose bytes are their own symbols.
+ASCII_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+", re.ASCII).findall
 CUT = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[,.;:!?|)])|\\S+", re.ASCII)
 
 
@@ -198,6 +200,8 @@ class Encoder:
         for k, part in enumerate(self.special.split(chunk)):
             if k % 2:
                 found.append(self.table.added[part])
+            elif part and self.table.cuts and part.isascii() and part.isprintable():
+                found += [self.table.closed(w) for w in ASCII_SPLIT(part.lower())]
             elif part:
                 normal = self.normal.normalize_str(part) if self.normal else part
                 found += [self.table.closed(w) for w, _ in self.split.pre_tokenize_str(normal) if w]
