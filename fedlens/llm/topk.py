@@ -23,7 +23,7 @@ PIVOTS = 32
 BLOCK_ROWS = 2048
 QUERY_ROWS = 2048
 RING_ROWS = 256
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, factor: int = 64) -> DataFrame:
@@ -65,16 +65,19 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every query the ``k`` other rows with the highest integer inner product.
 
-    ``vectors`` has ``vec_id`` and ``v`` (``whole_vectors``), all of one length, with components below 2**26 / sqrt(length)
-    so that products are exact. Ties go to the smaller ``vec_id``; rows with the query's own id are no candidates; of rows
-    that repeat an id and a vector one takes part; a query with fewer candidates gets all. No queries or an empty table give
-    no rows.
+    ``vectors`` has ``vec_id`` and ``v`` (``whole_vectors``), with components below 2**26 / sqrt(length) so that products
+    are exact. Vectors of another length than the commonest (of equally common ones the least) take no part. Ties go to the
+    smaller ``vec_id``. Every row but the query's own is a candidate: repeated rows are candidates each, also for each
+    other, and a query row that is repeated is answered as often. A query with fewer candidates gets all. No queries or an
+    empty table give no rows.
     """
-    rows = stored(spark, vectors.distinct(), "vectors")
+    usual = vectors.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).agg(F.min_by("n", F.struct(-F.col("c"), "n"))).first()[0]
+    rows = vectors.where(F.size("v") == (usual or 0)).select("vec_id", "v").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(spark, rows, "vectors")  # written, so a row keeps its number
     limits = rows.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)), F.count(F.lit(1)), F.sum(is_query.cast("long"))).first()
     radius2, n_rows, n_queries = float(limits[0] or 0), limits[1], limits[2] or 0
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
-    sample, sample_ids = _matrix(picked["v"]), picked["vec_id"].to_numpy()
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE_ROWS).toPandas()
+    sample, sample_rows = _matrix(picked["v"]), picked["row"].to_numpy()
     pivots = lengthened(fit_pivots(sample, PIVOTS), radius2) if len(sample) else sample
 
     def key(frames):
@@ -85,7 +88,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) ->
             nearest = d.argmin(1)
             yield pdf.assign(pivot=nearest.astype("int32"), away=d[np.arange(len(pdf)), nearest])
 
-    indexed = stored(spark, rows.mapInPandas(key, "vec_id long, v array<long>, pivot int, away double"), "pivot-index")
+    indexed = stored(spark, rows.mapInPandas(key, "vec_id long, v array<long>, row long, pivot int, away double"), "pivot-index")
     shells = indexed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).toPandas()
     reach = {int(r.pivot): (r.low, r.high) for r in shells.itertuples()}
     parts = {int(r.pivot): -(-int(r.n) // BLOCK_ROWS) for r in shells.itertuples()}
@@ -96,9 +99,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) ->
         for pdf in frames:
             if not len(pdf):
                 continue
-            q, ids = _matrix(pdf["v"]), pdf["vec_id"].to_numpy()
+            q, own = _matrix(pdf["v"]), pdf["row"].to_numpy()
             scores = q @ sample.T
-            scores[ids[:, None] == sample_ids[None, :]] = -np.inf
+            scores[own[:, None] == sample_rows[None, :]] = -np.inf
             floor = np.partition(scores, -k, axis=1)[:, -k] if len(sample) >= k else np.full(len(q), -np.inf)
             d = distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
             goes = []
@@ -109,26 +112,26 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int) ->
             if goes:
                 at, pivot, part = map(np.array, zip(*goes))
                 out = pdf.iloc[at].assign(pivot=pivot.astype("int32"), part=part.astype("int32"), away=d[at, pivot], floor=floor[at])
-                yield out[["vec_id", "v", "pivot", "part", "away", "floor"]]
+                yield out[["vec_id", "v", "row", "pivot", "part", "away", "floor"]]
 
     block = F.lit(0)
     for p, n in parts.items():
         if n > 1:
-            block = F.when(F.col("pivot") == p, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")).otherwise(block)
+            block = F.when(F.col("pivot") == p, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).otherwise(block)
     blocks = indexed.withColumn("part", block.cast("int"))
     if query_parts > 1:
         blocks = blocks.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     else:
         blocks = blocks.withColumn("query_part", F.lit(0))
-    routed = rows.where(is_query).mapInPandas(route, "vec_id long, v array<long>, pivot int, part int, away double, floor double")
-    routed = routed.withColumn("query_part", F.pmod(F.xxhash64("vec_id"), F.lit(query_parts)).cast("int"))
+    routed = rows.where(is_query).mapInPandas(route, "vec_id long, v array<long>, row long, pivot int, part int, away double, floor double")
+    routed = routed.withColumn("query_part", F.pmod(F.xxhash64("row"), F.lit(query_parts)).cast("int"))
 
     def search(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         return search_rings(queries, found, radius2, k)
 
     keys = ["pivot", "part", "query_part"]
     found = routed.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(search, FOUND)
-    rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rank = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -139,12 +142,13 @@ def best_score(q: np.ndarray, gap: np.ndarray, radius2: float) -> np.ndarray:
 
 def search_rings(queries: pd.DataFrame, found: pd.DataFrame, radius2: float, k: int) -> pd.DataFrame:
     """Best ``k`` of one block of one pivot for each query that came to it."""
-    empty = pd.DataFrame({c: np.zeros(0, "int64") for c in ("query_id", "vec_id", "score")})
+    empty = pd.DataFrame({c: np.zeros(0, "int64") for c in ("query_row", "query_id", "vec_id", "score")})
     if not len(queries) or not len(found):
         return empty
     found = found.sort_values(["away", "vec_id"])
     v, ids, away = _matrix(found["v"]), found["vec_id"].to_numpy(), found["away"].to_numpy()
-    q, q_ids = _matrix(queries["v"]), queries["vec_id"].to_numpy()
+    rows = found["row"].to_numpy()
+    q, q_ids, q_rows = _matrix(queries["v"]), queries["vec_id"].to_numpy(), queries["row"].to_numpy()
     own, floor = queries["away"].to_numpy(), queries["floor"].to_numpy().copy()
     cuts = np.arange(0, len(v), RING_ROWS)
     ends = np.append(cuts[1:], len(v))
@@ -164,7 +168,7 @@ def search_rings(queries: pd.DataFrame, found: pd.DataFrame, radius2: float, k:
             at = alive[ring == r]
             some = slice(cuts[r], ends[r])
             scores = q[at] @ v[some].T
-            scores[q_ids[at][:, None] == ids[some][None, :]] = -np.inf
+            scores[q_rows[at][:, None] == rows[some][None, :]] = -np.inf
             all_scores = np.hstack([best[at], scores])
             all_ids = np.hstack([best_ids[at], np.broadcast_to(ids[some], scores.shape)])
             top = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
@@ -174,4 +178,4 @@ def search_rings(queries: pd.DataFrame, found: pd.DataFrame, radius2: float, k:
     row, col = np.nonzero(np.isfinite(best))
     if not len(row):
         return empty
-    return pd.DataFrame({"query_id": q_ids[row], "vec_id": best_ids[row, col], "score": best[row, col].astype("int64")})
+    return pd.DataFrame({"query_row": q_rows[row], "query_id": q_ids[row], "vec_id": best_ids[row, col], "score": best[row, col].astype("int64")})

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,11 @@ from oracle import connect
 
 
 def brute(vectors, k):
+    """``vectors`` are rows (id, vector); every row but the query's own is a candidate."""
     out = []
-    for q, v in vectors.items():
+    for at, (q, v) in enumerate(vectors):
         if q % 20 == 0:
-            best = sorted((-int(np.dot(v, w)), c) for c, w in vectors.items() if c != q)[:k]
+            best = sorted((-int(np.dot(v, w)), c) for i, (c, w) in enumerate(vectors) if i != at)[:k]
             out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -30,7 +32,19 @@ def test_ties_copies_and_skew(spark, monkeypatch, spread):
     vectors = {i: (np.ones(4) if i % 3 else random.integers(-spread, spread + 1, 4)).astype(int).tolist() for i in range(300)}
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<long>")
     found = topk.top_k(spark, df.union(df), F.col("vec_id") % 20 == 0, 20)
-    assert rows(found) == brute(vectors, 20)
+    assert rows(found) == brute(2 * list(vectors.items()), 20)
+
+
+def test_repeated_rows_and_lengths_as_in_sql(spark, tmp_path):
+    """A repeated row is a candidate of its own, and vectors of an unusual length take no part."""
+    data = [(0, [0.5, 1.0]), (1, [0.25, 0.0]), (1, [0.25, 0.0]), (0, [0.5, 1.0]), (2, [9.0]), (3, [9.0, 9.0, 9.0]), (20, [1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = rows(queries.op6_exact_topk(spark, str(tmp_path)), "query_id", "rank", "vec_id", "score")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries.TOPK_SQL).fetchall()) and len(got) == 6
+    assert got[0] == (0, 1, 0, 5120)
 
 
 def test_hard_vectors(spark):
