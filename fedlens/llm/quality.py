@@ -22,13 +22,17 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 GRID = 256
 DIMS = 4
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-#: Least spread a statistic is taken to have, so that one that hardly varies does not reject on its own.
-FLOOR = 0.25 * GRID
+#: Least spread each statistic is taken to have, in log units. Mean word length varies little between texts of 50 words and
+#: more. The shares jump: by one symbol, and where a line of a short text is repeated, by that line and its words at once.
+FLOOR = np.array([0.06, 0.25, 0.5, 0.75]) * GRID
 KEPT_SHARE = 0.75
 STEPS = 3
-MIN_ROWS = 200
-#: Median of the chi-squared distribution with four degrees of freedom, and its upper point for 1 in 10^9.
-CHI_MEDIAN, CUTOFF = 3.357, 48.6
+#: Rows at which a source's own estimate and that of its language weigh the same, and so on from language to all.
+HALF_ROWS = 200
+#: Languages and sources whose estimates are sent to all tasks; with more, rows are shuffled to meet them.
+SENT_GROUPS = 50_000
+#: Median of the chi-squared distribution with four degrees of freedom, and its upper point for 1 in 10^6.
+CHI_MEDIAN, CUTOFF = 3.357, 33.4
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 PARAMS = [f"m{i}" for i in range(DIMS)] + [f"p{i}{j}" for i, j in PAIRS]
@@ -79,22 +83,46 @@ def shape(s: str) -> Column:
     return F.array(*(F.round(GRID * x).cast("long") for x in (F.log(F.greatest(F.col(f"{s}.word_chars"), F.lit(1)) / words), *share)))
 
 
-def with_groups(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``group`` of each row: language and source; sources of under ``min_rows`` rows share one group of their language,
-    and where that is small too, one of all. The last is used whatever its size. Counts go by ``lang`` and ``source``."""
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.where(F.col("n") < min_rows).groupBy(F.col("lang").alias("small_lang")).agg(F.sum("n").alias("small"))
+def group_names() -> list[Column]:
+    """Names of the three groups a row is in: its language and source, its language, all. A null is a name of its own."""
     name = lambda level, *c: F.to_json(F.struct(F.lit(level).alias("level"), *c))
-    named = sizes.join(small, F.col("lang").eqNullSafe(F.col("small_lang")), "left").select(
-        F.col("lang").alias("of_lang"),
-        F.col("source").alias("of_source"),
-        F.when(F.col("n") >= min_rows, name(0, "lang", "source"))
-        .when(F.col("small") >= min_rows, name(1, "lang"))
-        .otherwise(name(2))
-        .alias("group"),
-    )
-    same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return rows.join(named, same, "left").drop("of_lang", "of_source")
+    return [name(0, "lang", "source").alias("own_"), name(1, "lang").alias("of_lang_"), name(2).alias("of_all_")]
+
+
+def blended(sizes: DataFrame, model: DataFrame) -> DataFrame:
+    """The estimate of every language and source, drawn towards its language, and that towards all.
+
+    ``sizes`` has ``lang, source, n`` and the names of the three groups. An estimate of n rows weighs n / (n + HALF_ROWS), so
+    what is judged by it moves continuously as a source grows; centre and covariance are blended, and the unit on a log scale.
+    """
+    lang_rows = sizes.groupBy(F.col("of_lang_").alias("l_")).agg(F.sum("n").alias("n_lang"))
+    rows = sizes.join(lang_rows, F.col("of_lang_") == F.col("l_"))
+    for at, name in enumerate(("own_", "of_lang_", "of_all_")):
+        one = model.select(F.col("group").alias(f"g{at}"), F.array(*PARAMS, "unit").alias(f"e{at}"))
+        rows = rows.join(one, F.col(name) == F.col(f"g{at}"))
+    columns = ", ".join(f"{c} double" for c in (*PARAMS, "unit"))
+
+    def parts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        inverse = np.zeros((DIMS, DIMS))
+        for at, (i, j) in enumerate(PAIRS):
+            inverse[i, j] = inverse[j, i] = e[DIMS + at] / (1 if i == j else 2)
+        return e[:DIMS], np.linalg.inv(inverse), float(np.log(e[-1]))
+
+    def blend(frames):
+        for pdf in frames:
+            found = []
+            for r in pdf.itertuples():
+                own, lang, all_ = (parts(np.array(e, float)) for e in (r.e0, r.e1, r.e2))
+                for n, nearer in ((r.n_lang, lang), (r.n, own)):
+                    w = n / (n + HALF_ROWS)
+                    all_ = tuple(w * x + (1 - w) * y for x, y in zip(nearer, all_))
+                mean, cov, unit = all_
+                row = _params("", 0, mean, cov, 0.0)
+                found.append((r.lang, r.source, *(row[c] for c in PARAMS), float(np.exp(unit))))
+            yield pd.DataFrame(found, columns=["of_lang", "of_source", *PARAMS, "unit"])
+
+    needed = rows.select("lang", "source", "n", "n_lang", "e0", "e1", "e2")
+    return needed.mapInPandas(blend, f"of_lang string, of_source string, {columns}")
 
 
 def _moments(x: list[Column]) -> list[Column]:
@@ -111,9 +139,9 @@ def _covariance(total: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return mean, cov
 
 
-def _params(group: str, start: int, mean: np.ndarray, cov: np.ndarray) -> dict:
+def _params(group: str, start: int, mean: np.ndarray, cov: np.ndarray, floor: np.ndarray | float = FLOOR) -> dict:
     """A row of the model; the least spread is added to the diagonal, so the inverse always exists."""
-    cov = cov + np.eye(DIMS) * FLOOR**2
+    cov = cov + np.eye(DIMS) * floor**2
     inverse = np.linalg.inv(cov)
     row = {"group": group, "start": start, "logdet": float(np.linalg.slogdet(cov)[1])}
     row |= {f"m{i}": mean[i] for i in range(DIMS)}
@@ -131,7 +159,8 @@ def starts(rows: DataFrame) -> DataFrame:
     """
     grid = rows.select("group", F.posexplode("x").alias("dim", "v")).groupBy("group", "dim", "v").agg(F.count(F.lit(1)).alias("n"))
     quartiles = grid.groupBy("group", "dim").agg(F.expr("percentile(v, array(0.25, 0.5, 0.75), n)").alias("q"))
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(FLOOR))
+    least = F.element_at(F.array(*[F.lit(float(x)) for x in FLOOR]), F.col("dim") + 1)
+    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, least)
     centres = quartiles.groupBy("group").agg(
         F.sort_array(F.collect_list(F.struct("dim", F.col("q")[1].alias("mid"), spread.alias("spread")))).alias("centre")
     )
@@ -202,7 +231,7 @@ def estimate(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return stored(spark, best.join(middle, "group").select("group", *PARAMS, unit.alias("unit")), "quality-model")
 
 
-def judged(spark: SparkSession, docs: DataFrame, fit_on: DataFrame | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
+def judged(spark: SparkSession, docs: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """``docs`` with the struct ``quality``: the statistics, ``base_failed``, ``distance`` and ``kept``.
 
     Estimates come from all rows of ``docs`` that pass the base rules; a table of statistics may be given as ``fit_on`` so
@@ -211,14 +240,18 @@ def judged(spark: SparkSession, docs: DataFrame, fit_on: DataFrame | None = None
     within its least spread. An own column named ``quality`` is replaced.
     """
     measured = fit_on if fit_on is not None else measure(spark, docs)
-    passed = stored(spark, with_groups(measured.where(~fails_base("quality")).select("lang", "source", shape("quality").alias("x")), min_rows), "quality-rows")
-    model = estimate(spark, passed.select("group", "x"))
-    groups = passed.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "group").agg(F.count(F.lit(1)).alias("rows_"))
-    known = groups.drop("rows_").join(model, "group").select("of_lang", "of_source", F.struct(*PARAMS, "unit").alias("of_model"))
+    passed = measured.where(~fails_base("quality")).select("lang", "source", *group_names(), shape("quality").alias("x"))
+    passed = stored(spark, passed, "quality-rows")
+    each = passed.select(F.explode(F.array("own_", "of_lang_", "of_all_")).alias("group"), "x")
+    model = estimate(spark, each)
+    sizes = passed.groupBy("lang", "source", "own_", "of_lang_", "of_all_").agg(F.count(F.lit(1)).alias("n"))
+    known = blended(sizes, model).select("of_lang", "of_source", F.struct(*PARAMS, "unit").alias("of_model"))
+    known = stored(spark, known, "quality-known")
     if fit_on is None:
         docs = docs.drop("quality").withColumn("quality", stats(F.col("text")))
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    joined = docs.join(known, same, "left").drop("of_lang", "of_source")
+    sent = F.broadcast(known) if known.count() <= SENT_GROUPS else known
+    joined = docs.join(sent, same, "left").drop("of_lang", "of_source")
     x = shape("quality")
     z = [x[i] - F.col(f"of_model.m{i}") for i in range(DIMS)]
     squared = sum(F.col(f"of_model.p{i}{j}") * z[i] * z[j] for i, j in PAIRS) / F.col("of_model.unit")
@@ -235,12 +268,12 @@ def measure(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows that pass the base rules and are no outlier, with their own columns."""
-    names = docs.columns
-    return judged(spark, docs).where("quality.kept").select(names) if "quality" not in names else _with_own(spark, docs)
+    """Rows that pass the base rules and are no outlier, with their own columns.
 
-
-def _with_own(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    names = docs.columns
-    held = docs.withColumnRenamed("quality", "own_quality_")
-    return judged(spark, held).where("quality.kept").drop("quality").withColumnRenamed("own_quality_", "quality").select(names)
+    Rows are written once with their statistics, so a text is measured once, and read again beside the small table of
+    estimates: texts are not shuffled.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_")
+    held = stored(spark, docs.select(row, "lang", "source", stats(F.col("text")).alias("quality")), "quality-measured")
+    kept = judged(spark, held, fit_on=held.drop("doc_")).where("quality.kept")
+    return kept.select(*[F.col(f"doc_.`{c}`").alias(c) for c in docs.columns])

@@ -112,3 +112,45 @@ def test_outliers_go_and_clean_rows_stay(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality.clean_documents(spark, df).select("doc_id").collect()}
     assert kept == set(range(600))
+
+
+def test_planted_junk_goes_and_verdicts_move_smoothly(spark, sf):
+    """Glued words, encoded blobs and dense symbols among whole documents; and a source that grows row by row."""
+    import base64
+
+    docs = [r for r in queries.documents(spark, sf).select("doc_id", "text", "lang", "source").collect()]
+    base = [r for r in docs if 150 <= len(WORD.findall(r.text or "")) <= 2000][::40][:15]
+    glue = lambda n: lambda t: " ".join("".join(w[i : i + n]) for w in [WORD.findall(t)] for i in range(0, len(w), n))
+    blob = lambda t: " ".join(base64.b64encode(w.encode() * 6).decode() for w in WORD.findall(t))
+    dense = lambda t: " ".join(w + (" #" if i % 10 == 0 else "") for i, w in enumerate(WORD.findall(t)))
+    planted, kinds = [], {"twos": glue(2), "threes": glue(3), "blobs": blob, "symbols": dense}
+    for k, (kind, change) in enumerate(kinds.items()):
+        planted += [(10**6 * (k + 1) + r.doc_id, change(r.text), r.lang, r.source) for r in base]
+    df = spark.createDataFrame([tuple(r) for r in docs] + planted, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.quality for r in quality.judged(spark, df).select("doc_id", "quality").collect()}
+    good = {r.doc_id for r in queries.table(spark, sf, "labels").where("quality = 1").collect()}
+    plain = [found[r.doc_id] for r in docs if r.doc_id in good and not found[r.doc_id].base_failed]
+    assert len(plain) > 200 and sum(q.kept for q in plain) > 0.98 * len(plain)
+    caught = {}
+    for k, kind in enumerate(kinds):
+        fit = [found[10**6 * (k + 1) + r.doc_id] for r in base]
+        passed = [q for q in fit if not q.base_failed]
+        caught[kind] = sum(not q.kept for q in passed) / len(passed)
+    assert caught.pop("twos") >= 0.8 and min(caught.values()) >= 0.9, caught
+
+
+def test_estimates_move_with_every_row(spark):
+    """Nothing jumps where a source passes some number of rows."""
+    random = np.random.default_rng(7)
+    x = [list(map(int, r)) for r in np.round(random.normal([400, 0, 0, 0], [30, 5, 5, 5], (260, 4)))]
+    far = [list(map(int, r)) for r in np.round(random.normal([500, 0, 0, 0], [30, 5, 5, 5], (260, 4)))]
+    centres = []
+    for n in (1, 50, 150, 199, 200, 201, 260):
+        rows_ = [("en", "big", v) for v in x] + [("en", "new", v) for v in far[:n]]
+        df = spark.createDataFrame(rows_, "lang string, source string, x array<long>").select("*", *quality.group_names())
+        each = df.select(quality.F.explode(quality.F.array("own_", "of_lang_", "of_all_")).alias("group"), "x")
+        sizes = df.groupBy("lang", "source", "own_", "of_lang_", "of_all_").agg(quality.F.count("*").alias("n"))
+        known = quality.blended(sizes, quality.estimate(spark, each)).where("of_source = 'new'").collect()
+        centres.append(known[0].m0)
+    assert abs(centres[4] - centres[3]) < 3 and abs(centres[5] - centres[4]) < 3
+    assert centres[0] < 425 and centres[-1] > 440
