@@ -24,7 +24,7 @@ from fedlens.llm.common import batches_of, rows_of, stored
 
 NO_LANG = "und"
 LONGEST = 4
-SHARDS = 8
+SHARDS = 4
 SIEVE_BITS = 27
 #: Words whose phrases are counted together in a task, and words whose hashes are remembered.
 BUFFER_WORDS = 1_000_000
