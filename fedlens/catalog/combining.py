@@ -138,7 +138,7 @@ def krum_suppliers(spark, sf):
     updates = cut_lineage(spark, D.supplier_params(spark, sf), "updates")
     n = updates.select("client_id").distinct().count()
     blocks = C.to_blocks(updates, ["round", "client_id"])
-    scores = K.krum_scores(K.tile_distances(blocks, n, 7 * len(D.SUPPLY_MEASURES)), n, n // 8)
+    scores = K.streamed_scores(blocks, n, 7 * len(D.SUPPLY_MEASURES), n // 8)
     return scores.select("client_id", F.round("score", 4).alias("score"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from fedlens.session import cut_lineage
 
 TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile held by a task
 TILE_CLIENTS = 256
+SCORE_CLIENTS = 1024
+SCORE_BYTES = 64 * 1024 * 1024  # vectors and greatest distances of the clients that one task scores
 
 DISTANCE_SCHEMA = "round int, client_id int, other_ids array<int>, sq_dist array<double>"
 
@@ -43,6 +45,14 @@ def _stack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ids), np.stack(vectors)
 
 
+def _dealt(updates: DataFrame, size: int) -> DataFrame:
+    """``round, client_id, tile``: runs of ``size`` clients by their rank among those that replied."""
+    replied = updates.select("round", "client_id").distinct()
+    ranked = rank_by_draw(replied, draw(0, "tile", "round", "client_id"), "client_id", ["round"], bits=6)
+    dealt = ranked.select("round", "client_id", F.floor((F.col("rank") - 1) / F.lit(size)).cast("int").alias("tile"))
+    return cut_lineage(updates.sparkSession, dealt, "tiles")  # a row a client, of known size where vectors are joined to it
+
+
 def tile_distances(updates: DataFrame, total_nodes: int, n_params: int) -> DataFrame:
     """Squared distances of every client to the clients of one tile per row.
 
@@ -51,13 +61,9 @@ def tile_distances(updates: DataFrame, total_nodes: int, n_params: int) -> DataF
     ``updates`` are blocked rows, ``total_nodes`` an upper bound on the clients of a round.
     """
     size, tiles = tile_size(n_params), tile_count(total_nodes, n_params)
-    replied = updates.select("round", "client_id").distinct()
-    ranked = rank_by_draw(replied, draw(0, "tile", "round", "client_id"), "client_id", ["round"], bits=6)
-    dealt = ranked.select("round", "client_id", F.floor((F.col("rank") - 1) / F.lit(size)).cast("int").alias("tile"))
-    dealt = cut_lineage(updates.sparkSession, dealt, "tiles")  # a row a client, of known size where vectors are joined to it
     pairs = (
         updates.select("round", "client_id", "layer", "block", "vals")
-        .join(dealt, ["round", "client_id"])
+        .join(_dealt(updates, size), ["round", "client_id"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
         .withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
     )
@@ -86,6 +92,11 @@ def pairwise_distances(distances: DataFrame) -> DataFrame:
     )
 
 
+def _far_count(n_clients: int, n_malicious: int) -> int:
+    """How many of a client's distances do not count: all but the n - f - 2 smallest (at least one)."""
+    return max(0, n_clients - 1 - max(1, n_clients - n_malicious - 2))
+
+
 def krum_scores(distances: DataFrame, n_clients: int, n_malicious: int) -> DataFrame:
     """Sum of the n - f - 2 smallest squared distances of each of ``n_clients`` clients (at least one).
 
@@ -93,8 +104,7 @@ def krum_scores(distances: DataFrame, n_clients: int, n_malicious: int) -> DataF
     that form where they are made and merged as arrays: no row per pair, and sums only ever add, so far-off attackers
     take no digits from the others.
     """
-    neighbours = max(1, n_clients - n_malicious - 2)
-    far = max(0, n_clients - 1 - neighbours)
+    far = _far_count(n_clients, n_malicious)
     near = F.greatest(F.size("_d") - far, F.lit(0))
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     corner = distances.select("round", "client_id", F.array_sort("sq_dist").alias("_d"))
@@ -104,6 +114,80 @@ def krum_scores(distances: DataFrame, n_clients: int, n_malicious: int) -> DataF
     return merged.select("round", "client_id", score.alias("score"))
 
 
+class _Scorer:
+    """Scores of one tile's clients; the vectors of a round are added in portions, so no distances but the greatest are held."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, far: int):
+        self.ids, self.vectors, self.far = ids, vectors, far
+        self.near, self.kept = np.zeros(len(ids)), [np.zeros(0)] * len(ids)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if vectors.shape[1] != self.vectors.shape[1]:
+            raise ValueError("client updates differ in size")
+        columns = np.ascontiguousarray(vectors.T)  # sums over short rows take ten times as long
+        gap = np.empty_like(columns)
+        for i, (own, vector) in enumerate(zip(self.ids, self.vectors)):
+            np.subtract(columns, vector[:, None], out=gap)
+            np.multiply(gap, gap, out=gap)
+            held = np.concatenate([self.kept[i], gap.sum(axis=0)[ids != own]])
+            near = len(held) - self.far
+            if near > 0:
+                if self.far:
+                    held = np.partition(held, near)
+                self.near[i] += held[:near].sum()
+                held = held[near:].copy()
+            self.kept[i] = held
+
+    def rows(self, rnd: int) -> pd.DataFrame:
+        return pd.DataFrame({"round": rnd, "client_id": self.ids, "score": self.near})
+
+
+def streamed_scores(updates: DataFrame, total_nodes: int, n_params: int, n_malicious: int) -> DataFrame:
+    """``round, client_id, score`` as ``krum_scores`` has them for ``total_nodes`` clients, without a distance leaving a task.
+
+    A client's greatest distances are a share of all (f + 1 of n - 1), so partial scores of tile pairs would be as large as the
+    matrix. Here a task scores one tile and meets every vector of the round once, as a stream: it holds the tile, the
+    greatest distances of its clients so far (``SCORE_BYTES``), and a portion of the others.
+    """
+    far = _far_count(total_nodes, n_malicious)
+    size = max(1, min(SCORE_CLIENTS, SCORE_BYTES // (8 * (n_params + far))))
+    portion = max(1, min(max(far, 4096), TILE_BYTES // (8 * n_params)))
+    tiles = max(1, math.ceil(total_nodes / size))
+    whole = updates.groupBy("round", "client_id").agg(F.array_sort(F.collect_list(F.struct("layer", "block", "vals"))).alias("_b"))
+    vectors = whole.select("round", "client_id", F.flatten("_b.vals").alias("v")).join(_dealt(updates, size), ["round", "client_id"])
+    sent = vectors.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    sent = sent.select("round", "of", (F.col("tile") != F.col("of")).alias("other"), "client_id", "v")
+
+    def portions(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        """Runs of rows with the same round, tile and side; other clients come in portions."""
+        key, ids, held = None, [], []
+        for pdf in frames:
+            for rnd, of, other, client, v in zip(pdf["round"], pdf["of"], pdf["other"], pdf["client_id"], pdf["v"]):
+                if (rnd, of, other) != key or (other and len(ids) == portion):
+                    if ids:
+                        yield key, np.array(ids), np.stack(held)
+                    key, ids, held = (rnd, of, other), [], []
+                ids.append(client)
+                held.append(v)
+        if ids:
+            yield key, np.array(ids), np.stack(held)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, own = None, None
+        for (rnd, of, other), ids, held in portions(frames):
+            if not other:
+                if own:
+                    yield own.rows(tile[0])
+                tile, own = (int(rnd), of), _Scorer(ids, held, far)
+            if tile == (rnd, of):  # else a tile without clients of its own
+                own.add(ids, held)
+        if own:
+            yield own.rows(tile[0])
+
+    dealt = sent.repartition(2 * tiles, "round", "of").sortWithinPartitions("round", "of", "other", "client_id")
+    return dealt.mapInPandas(score, "round int, client_id int, score double")
+
+
 def krum_select(scores: DataFrame, n_select: int = 1, keys: Sequence[str] = ("round",)) -> DataFrame:
     """The ``n_select`` lowest scores of each round, client id breaking ties."""
     order = W.partitionBy(*keys).orderBy("score", "client_id")

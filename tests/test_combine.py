@@ -199,3 +199,22 @@ def test_far_attackers_take_no_digits(spark):
     two = frame(spark, [(0.0, 0.0), (3.0, 4.0)])
     scores = K.krum_scores(K.tile_distances(C.to_blocks(two, ["round", "client_id"]), 2, 2), 2, 0)
     assert [r.score for r in scores.collect()] == [25.0, 25.0]
+
+
+def test_streamed_scores_send_no_distances(spark, monkeypatch):
+    """Tiles and portions of a few clients give the scores of the whole matrix, in one row a client."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(41, 6))
+    data[7] = data[3]
+    data[5] *= 1e12
+    blocks = C.to_blocks(frame(spark, data.tolist()), ["round", "client_id"], 4)
+    full = np.square(data[:, None] - data[None]).sum(-1)
+    for size, f in ((6 * 8 * 12, 5), (1, 0), (1 << 20, 5), (6 * 8 * 12, 40)):
+        monkeypatch.setattr(K, "SCORE_BYTES", size)
+        monkeypatch.setattr(K, "TILE_BYTES", 6 * 8 * 7)  # portions of seven
+        found = K.streamed_scores(blocks, 41, 6, f).orderBy("client_id")
+        assert found.columns == ["round", "client_id", "score"]
+        want = np.sort(full, axis=1)[:, 1 : max(1, 41 - f - 2) + 1].sum(1)
+        assert [r.score for r in found.collect()] == pytest.approx(want.tolist())
+    two = frame(spark, [(0.0, 0.0), (3.0, 4.0)])
+    assert [r.score for r in K.streamed_scores(C.to_blocks(two, ["round", "client_id"]), 2, 2, 0).collect()] == [25.0, 25.0]
