@@ -114,3 +114,54 @@ def test_probabilities_sum_to_one():
     np.add.at(by_class, classes[: classlm.HEAD], 10 ** model.share)
     used = [c for c in range(classlm.CLASSES) if uses[: classlm.HEAD][classes[: classlm.HEAD] == c].sum()]
     assert np.allclose(by_class[used], 1)
+
+
+def test_rare_words_get_classes_by_their_neighbours(spark, monkeypatch):
+    """Words beyond the head, met once a block, fall into the classes that their neighbours of all blocks call for."""
+    monkeypatch.setattr(classlm, "BLOCK_TOKENS", 40)
+    random = np.random.default_rng(7)
+    common = [f"{k}{i}" for k in "pq" for i in range(2)]
+    # rare a-words between p-words and rare b-words between q-words: kinds differ in neighbours only, not in counts
+    texts = []
+    for i in range(600):
+        words = []
+        for j in range(6):
+            words += [f"p{random.integers(2)}", f"a{random.integers(60)}", f"p{random.integers(2)}", f"q{random.integers(2)}", f"b{random.integers(60)}", f"q{random.integers(2)}"]
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    head = [b"", *(w.encode() for w in common)]
+    monkeypatch.setattr(classlm, "CLASSES", 3)  # the end and two kinds
+    monkeypatch.setattr(classlm, "TOTAL", 3 + classlm.BANDS + 1)
+    monkeypatch.setattr(classlm, "UNKNOWN", classlm.TOTAL - 1)
+    monkeypatch.setattr(classlm, "HEAD", 5)
+    blocks = classlm.in_blocks(docs, head, 4).cache()
+    met = collections.Counter(w for d, t in texts if zlib.crc32(str(d).encode()) % 10 for w in t.split())
+    assert blocks.where("words is not null").select("block").distinct().count() > 50
+    classes = np.concatenate([[0, 1, 1, 2, 2], 3 + np.arange(classlm.BANDS + 1)])
+    step = np.full((classlm.TOTAL, classlm.TOTAL), -3.0)
+    step[1, 2] = step[2, 1] = -0.1  # classes alternate
+    model = classlm.Model(classes, step, None, np.ones(classlm.TOTAL), np.array([600, 9, 9, 9, 9]), 0, 0)
+    for r in classlm.coded(blocks, model).collect():
+        for word, code in zip(dict(texts)[r.doc_id].split(), r.codes):
+            if code >= classlm.HEAD:
+                n, found = divmod(code - classlm.HEAD, 3)
+                assert n == met[word] and found == {"a": 2, "b": 1}[word[0]]
+
+
+def test_all_words_and_one_unknown_sum_to_one(spark):
+    random = np.random.default_rng(9)
+    rare = [(n, c) for n in (1, 1, 1, 2, 5) for c in (1, 2, 7)]  # count and class of words beyond the head
+    head_counts = np.zeros(classlm.HEAD, "int64")
+    tokens = [0] * 30 + [i for i in (1, 2, 3) for _ in range(4)] + [classlm.HEAD + n * classlm.CLASSES + c for n, c in rare for _ in range(n)]
+    head_counts[:4] = 30, 4, 4, 4
+    random.shuffle(tokens)
+    df = spark.createDataFrame([(False, tokens)], "held_out boolean, codes array<long>")
+    model = classlm.Model(classlm.first_classes(), None, None, None, head_counts, 0, 0)
+    model = classlm.refitted(df, model)
+    words = np.array([0, 1, 2, 3, *(classlm.HEAD + n * classlm.CLASSES + c for n, c in rare), classlm.HEAD])
+    before = 3
+    following = [10 ** classlm.log_probability(model, np.array([before, w]))[1] for w in words]
+    used = {0, 1, 2, 3, 4, 7, classlm.CLASSES}
+    _, classes = classlm.counts_and_classes(model, np.array([before]))
+    empty = sum(10 ** model.step[classes[0], c] for c in range(classlm.CLASSES + 1) if c not in used)
+    assert math.isclose(sum(following) + empty, 1)
