@@ -196,9 +196,11 @@ def pieces(held: DataFrame, span: int) -> DataFrame:
                 place, anchor = anchors_of(words, known, span)
                 wanted = dict(zip(wanted, salts))
                 first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-                for i, j, a in zip(first.tolist(), [*first[1:].tolist(), len(place)], anchor[first].tolist()):
-                    if n := wanted.get(a):
-                        yield a, key % n, n, key, doc_id, i, b" ".join(words[i : j - 1 + span])
+                last = np.append(first[1:], len(place))
+                met = np.isin(anchor[first], np.fromiter(wanted, "int64", len(wanted)))
+                for i, j, a in zip(first[met].tolist(), last[met].tolist(), anchor[first[met]].tolist()):
+                    n = wanted[a]
+                    yield a, key % n, n, key, doc_id, i, b" ".join(words[i : j - 1 + span])
 
         yield from batches_of(rows(), schema, weight=lambda r: len(r[6]))
 
@@ -206,28 +208,28 @@ def pieces(held: DataFrame, span: int) -> DataFrame:
     return held.select("key", "doc_id", "packed", "anchors", "salts").mapInArrow(cut, columns)
 
 
-def first_holders(rows: pd.DataFrame, span: int) -> dict[bytes, np.ndarray]:
-    """For each distinct piece, the smallest document of these rows that holds each of its runs.
-
-    Pieces with one anchor are compared through the automaton; a piece that is alone with its anchor is its own answer.
-    """
-    least = rows.groupby(["anchor", "piece"], sort=False)["doc_id"].min().reset_index()
-    alone = ~least["anchor"].duplicated(keep=False)
-    found = {p: np.full(p.count(b" ") + 2 - span, d) for p, d in zip(least["piece"][alone], least["doc_id"][alone])}
-    several = dict(zip(least["piece"][~alone], least["doc_id"][~alone]))
-    automaton = SuffixAutomaton(several)
-    return found | {p: automaton.first_documents(p, span) for p in several}
-
-
 MARKS = "key long, starts array<long>, doc_id long, start long, run binary"
 
 
 def marked(rows: pd.DataFrame, span: int) -> pd.DataFrame:
     """``key, starts``: runs that a smaller document of these rows holds; ``doc_id, start, run``: those still open, of
     anchors whose other texts are in other shards."""
-    known, found = first_holders(rows, span), []
-    for key, doc_id, start, piece, salts in zip(rows["key"], rows["doc_id"], rows["start"], rows["piece"], rows["salts"]):
-        earlier = known[piece] < doc_id
+    pieces_met = rows.groupby(["anchor", "piece"], sort=False)
+    least = pieces_met["doc_id"].transform("min")
+    several = rows["anchor"].map(pieces_met["anchor"].first().reset_index(drop=True).value_counts()) > 1
+    automaton = SuffixAutomaton(dict(zip(rows["piece"][several], least[several])))
+    known: dict[bytes, np.ndarray] = {}
+    # a piece that is alone with its anchor is its own answer, and nothing is left to say of its first document
+    told = rows[several | (least < rows["doc_id"]) | (rows["salts"] > 1)]
+    found = []
+    columns = (told[x] for x in ("key", "doc_id", "start", "piece", "salts"))
+    for shared, first, key, doc_id, start, piece, salts in zip(several[told.index], least[told.index], *columns):
+        if shared:
+            if piece not in known:
+                known[piece] = automaton.first_documents(piece, span)
+            earlier = known[piece] < doc_id
+        else:
+            earlier = np.full(piece.count(b" ") + 2 - span, first < doc_id)
         if earlier.any():
             found.append((key, np.flatnonzero(earlier) + start, None, None, None))
         if salts > 1 and not earlier.all():
@@ -242,6 +244,7 @@ def repeated_runs(spark: SparkSession, held: DataFrame, span: int) -> DataFrame:
     size = held.agg(F.sum(F.length("packed"))).first()[0] or 0
     shards = F.lit(max(1, int(size) // SHARD_WORDS))
     rows = pieces(held, span).withColumn("shard", F.pmod(F.xxhash64("anchor", "salt"), shards))
+    rows = rows.drop("salt")
     found = stored(spark, rows.groupBy("shard").applyInPandas(lambda pdf: marked(pdf, span), MARKS), "marked-runs")
     again = found.where(F.col("run").isNotNull()).select(
         F.xxhash64("run").alias("anchor"), F.lit(1).cast("long").alias("salts"), "key", "doc_id", "start", F.col("run").alias("piece")
