@@ -8,6 +8,10 @@ order is by an estimate of frequency from a sketch of fixed size, rare first; an
 Documents with one set are one class from the start. An element in the prefixes of up to SMALL classes makes pairs, at most
 SMALL / 2 a posting. Where more meet, as in large groups of near copies, no pairs are made: all that share such an element are put in blocks
 around one of them, pairs of blocks are compared in a task each, and only edges of a spanning forest come out.
+
+Two sets of known sizes that are linked share more of their prefixes than the least k that holds for all sizes, and their
+marks (the parity of the number of elements in each of MARKS cells) differ in no more cells than the sets do in elements. Both are asked of a
+pair before any text is moved.
 """
 
 from __future__ import annotations
@@ -31,16 +35,28 @@ VERIFY_COST = 20.0
 SMALL = 48
 BLOCK = 512
 RARE = 24
-SETS = "doc_id long, set_id long, n long, at int, uses long"
+MARKS = 1024
+#: A token whose cell of the sketch holds more than this, or OFTEN times the usual cell, is dealt over SPREAD tasks.
+OFTEN, OFTEN_USES, SPREAD = 4, 20_000, 200
+HELD = 1 << 15
+SETS = "doc_id long, set_id long, n long, at int, uses long, marks array<long>"
 
 
 def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def marks_of(tokens: np.ndarray) -> np.ndarray:
+    """Whether the number of elements in each cell is odd, 64 cells a number."""
+    odd = np.bincount((tokens >> np.uint64(40)).astype("int64") % MARKS, minlength=MARKS) & 1
+    return np.packbits(odd.astype("uint8")).view("int64")
+
+
 def measured(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document with its set's key and size, and rows ``at, uses`` that add up to the sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("uses", pa.int64())])
+    """A row per document with its set's key, size and marks, and rows ``at, uses`` that add up to the sketch."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("uses", pa.int64()), ("marks", pa.list_(pa.int64()))]
+    )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sketch = WordHashes(), np.zeros(SKETCH, "int64")
@@ -54,11 +70,11 @@ def measured(docs: DataFrame, size: int) -> DataFrame:
                 if n > 1 << 20:
                     sketch[:] += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype("int64"), minlength=SKETCH)
                     held, n = [], 0
-                yield doc_id, set_key(tokens) if len(tokens) else None, len(tokens), None, None
+                yield (doc_id, set_key(tokens), len(tokens), None, None, marks_of(tokens)) if len(tokens) else (doc_id, None, 0, None, None, None)
             if held:
                 sketch[:] += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype("int64"), minlength=SKETCH)
             for at in np.flatnonzero(sketch):
-                yield None, None, None, int(at), int(sketch[at])
+                yield None, None, None, int(at), int(sketch[at]), None
 
         yield from batches_of(rows(), schema)
 
@@ -83,25 +99,28 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -
 
 
 def postings(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
-    """``token, set_id, n, k`` of every prefix element, once a set."""
-    schema = pa.schema([(x, pa.int64()) for x in ("token", "set_id", "n", "k")])
+    """``token, set_id, about`` of every prefix element; ``about`` packs n, k and, of a token that many may hold, a number by set."""
+    schema = pa.schema([(x, pa.int64()) for x in ("token", "set_id", "about")])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sketch = WordHashes(), shared.value
         usual = float(np.median(sketch))
+        often = max(OFTEN * usual, OFTEN_USES)
         chosen, about, n = [], [], 0
 
         def sent() -> pa.RecordBatch:
-            each = np.repeat(np.array(about, "int64"), [len(c) for c in chosen], axis=0)
-            values = [np.concatenate(chosen).view("int64"), *each.T]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], schema=schema)
+            key, packed = np.repeat(np.array(about, "int64"), [len(c) for c in chosen], axis=0).T
+            tokens = np.concatenate(chosen)
+            hot = sketch[(tokens % np.uint64(SKETCH)).astype("int64")] > often
+            packed = packed + np.where(hot, 1 + key % SPREAD, 0)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (tokens.view("int64"), np.ascontiguousarray(key), packed)], schema=schema)
 
         for _, text in rows_of(batches):
             tokens = shingle_set(text, size, known)
             if len(tokens):
                 first, k = prefix(tokens, sketch, usual, percent)
                 chosen.append(first)
-                about.append((set_key(tokens), len(tokens), k))
+                about.append((set_key(tokens), len(tokens) << 16 | k << 8))
                 n += len(first)
             if n >= 1 << 16:
                 yield sent()
@@ -109,17 +128,85 @@ def postings(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
         if chosen:
             yield sent()
 
-    rows = docs.select("doc_id", "text").mapInArrow(post, "token long, set_id long, n long, k long")
-    return rows.dropDuplicates(["token", "set_id"])
-
-
-def candidate_pairs(small: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share enough elements of their prefixes and are alike in size; ``small`` has short lists only."""
-    lists = small.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("set_id", "n", "k"))).alias("m"))
-    pairs = lists.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    alike = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    met = pairs.where(alike).select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y"), F.least("a.k", "b.k").alias("k"))
-    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k")).where("shared >= k").select("x", "y")
+    return docs.select("doc_id", "text").mapInArrow(post, "token long, set_id long, about long")
+
+
+def meetings(token: np.ndarray, key: np.ndarray, about: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``x, y, asked`` of whole lists of postings, in order of token and set: pairs that are alike in size with the number of
+    prefix elements they must share if they are linked; members of a long list with its first (0); holders of a token that many may hold with it (-1)."""
+    new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
+    token, key, about = token[new], key[new], about[new]
+    hot = (about & 255) > 0
+    yield key[hot], token[hot], np.full(hot.sum(), -1)
+    token, key, about = token[~hot], key[~hot], about[~hot]
+    if not len(token):
+        return
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    lists = np.diff(np.append(starts, len(token)))
+    long = np.repeat(lists > SMALL, lists)
+    yield key[long], np.repeat(key[starts], lists)[long], np.zeros(long.sum(), "int64")
+    n, k = about >> 16, about >> 8 & 255
+    spare = k + n * percent // -100
+    for uses in np.unique(lists[(lists > 1) & (lists <= SMALL)]).tolist():
+        at = starts[lists == uses][:, None]
+        i, j = np.triu_indices(uses, 1)
+        a, b = (at + i).ravel(), (at + j).ravel()
+        alike = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[alike], b[alike]
+        yield key[a], key[b], common(n[a] + n[b], percent) + np.minimum(spare[a], spare[b])
+
+
+def common(total, percent: int):
+    """Elements that linked sets of ``total`` elements together have in common at least."""
+    return -(-(total * percent) // (100 + percent))
+
+
+def met(posted: DataFrame, percent: int) -> DataFrame:
+    """Meetings of all postings. They are dealt and sorted by token once; what is alone with its token ends there."""
+    schema = pa.schema([(x, pa.int64()) for x in ("x", "y", "asked")])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n, enough = 0, HELD
+
+        def told(columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for found in meetings(*columns, percent):
+                for some in range(0, len(found[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(f[some : some + (1 << 16)], pa.int64()) for f in found], schema=schema)
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            n += batch.num_rows
+            if n >= enough:
+                columns = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(columns[0], columns[0, -1]))
+                yield from told(columns[:, :whole])
+                held, n = [columns[:, whole:]], columns.shape[1] - whole
+                enough = max(HELD, 2 * n)
+        if n:
+            yield from told(np.concatenate(held, axis=1))
+
+    dealt = posted.repartition("token", F.col("about").bitwiseAND(F.lit(255)))
+    return dealt.sortWithinPartitions("token", "set_id").mapInArrow(meet, "x long, y long, asked long")
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """``hub, set_id``: all that share a token which many sets hold, around one of them."""
+    members = found.where("asked = 0").select(F.col("y").alias("hub"), F.col("x").alias("set_id"))
+    often = found.where("asked = -1").select(F.col("y").alias("token"), F.col("x").alias("set_id"))
+    hubs = often.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("high")).where("hub < high")
+    return members.union(often.join(hubs, "token").select("hub", "set_id")).distinct()
+
+
+def candidate_pairs(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that share as many elements of their prefixes as is asked, and whose marks differ in few enough cells."""
+    pairs = found.where("asked > 0").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"))
+    of = lambda side: classes.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("marks").alias(f"marks_{side}"))
+    marked = pairs.where("shared >= asked").select("x", "y").join(of("x"), "x").join(of("y"), "y")
+    differ = F.zip_with("marks_x", "marks_y", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    total = F.col("n_x") + F.col("n_y")
+    least = F.expr(f"((n_x + n_y) * {percent} + {99 + percent}) div {100 + percent}")
+    return marked.where(F.aggregate(differ, F.lit(0), lambda a, b: a + b) <= total - 2 * least).select("x", "y")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -257,14 +344,14 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     sketch[uses["at"].to_numpy()] = uses["uses"].to_numpy()
     shared = spark.sparkContext.broadcast(sketch)
     sets = rows.where(F.col("at").isNull()).select("doc_id", "set_id", "n")
-    named = sets.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(spark, named.groupBy("set_id", "n").agg(F.min("doc_id").alias("node")), "set-classes")
+    named = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    classes = named.groupBy("set_id", "n").agg(F.min("doc_id").alias("node"), F.first("marks").alias("marks"))
+    classes = stored(spark, classes, "set-classes")
 
-    posted = stored(spark, postings(docs.where(F.col("doc_id").isNotNull()), shared, size, percent), "postings")
-    met = posted.groupBy("token").agg(F.count(F.lit(1)).alias("lists"), F.min("set_id").alias("hub")).where("lists > 1")
-    meeting = stored(spark, posted.join(met, "token"), "meeting")
-    pairs = stored(spark, candidate_pairs(meeting.where(F.col("lists") <= SMALL), percent), "pairs")
-    members = stored(spark, meeting.where(F.col("lists") > SMALL).select("hub", "set_id").distinct(), "members")
+    posted = postings(docs.where(F.col("doc_id").isNotNull()), shared, size, percent)
+    found = stored(spark, met(posted, percent), "meeting")
+    pairs = stored(spark, candidate_pairs(found, classes, percent), "pairs")
+    members = stored(spark, gathered(found), "members")
 
     wanted = members.select("set_id").union(pairs.select("x")).union(pairs.select("y")).distinct()
     holders = wanted.join(classes, "set_id").select("set_id", F.col("node").alias("doc_id"))
@@ -280,8 +367,8 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     copies = named.join(nodes, "set_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     repeated = named.groupBy("doc_id").agg(F.count_distinct("set_id").alias("sets")).where("sets > 1").select("doc_id")
     twice = copies.join(repeated.select(F.col("doc_id").alias("u")), "u")
-    found = stored(spark, components(spark, edges.union(twice)), "components")
-    of_class = nodes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    reached = stored(spark, components(spark, edges.union(twice)), "components")
+    of_class = nodes.join(reached, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return sets.join(of_class, "set_id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

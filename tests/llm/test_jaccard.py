@@ -111,3 +111,46 @@ def test_rows_of_one_id_with_other_texts(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     for r in jaccard_join.linked(spark, docs, 3, 90).collect():
         assert r.component_id == r.doc_id % 100
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.integers(50, 100), st.integers(0, 5))
+def test_what_is_asked_of_a_pair_holds_for_linked_ones(x, y, percent, seed):
+    sets = [np.array(sorted(s), "uint64") * np.uint64(0x9E3779B97F4A7C15) for s in (x, y)]
+    sketch = np.random.default_rng(seed).integers(0, 100, jaccard_join.SKETCH).astype(float)
+    (a, i), (b, j) = (jaccard_join.prefix(np.sort(s), sketch, float(np.median(sketch)), percent) for s in sets)
+    odd = [jaccard_join.marks_of(s) for s in sets]
+    assert sum(int(v).bit_count() for v in (odd[0] ^ odd[1]).view("uint64")) <= len(x ^ y)
+    if 100 * len(x & y) >= percent * len(x | y):
+        spare = min(i + len(x) * percent // -100, j + len(y) * percent // -100)
+        assert len(set(a.tolist()) & set(b.tolist())) >= jaccard_join.common(len(x) + len(y), percent) + spare
+        assert len(x ^ y) <= len(x) + len(y) - 2 * jaccard_join.common(len(x) + len(y), percent)
+
+
+@pytest.mark.parametrize("uses, held", [(0, 1 << 15), (20_000, 4), (60, 64)])
+def test_tokens_of_many_sets_dealt_over_tasks(spark, monkeypatch, uses, held):
+    monkeypatch.setattr(jaccard_join, "SMALL", 6)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 0)
+    monkeypatch.setattr(jaccard_join, "OFTEN_USES", uses)
+    monkeypatch.setattr(jaccard_join, "HELD", held)
+    rng = random.Random(uses)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(n)] for n in (60, 110)]
+    texts = [edited(base[i % 2], rng.choice([0, 0.005, 0.02, 0.05]), rng) for i in range(90)]
+    texts = list(enumerate(texts + texts[:20] + [" ".join(f"x{rng.randint(0, 30)}" for _ in range(9)) for _ in range(60)]))
+    found = rows(jaccard_join.linked(spark, frame(spark, texts), 3, 90), "doc_id", "n_shingles", "component_id")
+    assert found == brute(texts)
+
+
+def test_texts_with_a_passage_in_common_are_not_compared(spark, monkeypatch):
+    """In a large corpus a sketch's cells are all alike; texts that share a passage meet, but are told apart without being moved."""
+    monkeypatch.setattr(jaccard_join, "SKETCH", 1)
+    compared = []
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    own = lambda i: [f"own{i}n{k}" for k in range(200)]
+    shared = lambda i: [f"both{i // 2}n{k}" for k in range(150)]
+    texts = [(i, " ".join(own(i) + shared(i))) for i in range(60)]
+    texts += [(100 + i, " ".join(own(i) + shared(i) + ["end"])) for i in range(5)]
+    found = rows(jaccard_join.linked(spark, frame(spark, texts), 3, 90), "doc_id", "component_id")
+    assert found == [(i, i % 100) for i, _ in texts]
+    assert compared == [5]
