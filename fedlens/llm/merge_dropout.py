@@ -25,6 +25,8 @@ from fedlens.llm.common import batches_of, rows_of
 
 #: Paths of chunks that an encoder keeps, in two generations, and the length from which chunks are merged anew each time.
 REMEMBERED, LONG = 500_000, 64
+#: Bytes that the paths of both generations may take, and about what a path takes besides its ids and candidates.
+ROOM, PATH_BYTES = 64 << 20, 480
 #: Chunks up to this length keep their agenda as a short list, longer ones as a heap.
 SHORT = 48
 
@@ -159,7 +161,7 @@ class Path:
 
     __slots__ = ("chunk", "skips", "known", "ids", "steps", "after")
 
-    def __init__(self, vocabulary: Vocabulary, chunk: str, skips: frozenset = frozenset(), known: int = 0):
+    def __init__(self, vocabulary: Vocabulary, chunk: str, skips: tuple[int, ...] = (), known: int = 0):
         taken: list[int] = []
 
         def skip(place: int, piece: int) -> bool:
@@ -171,27 +173,34 @@ class Path:
         self.chunk, self.skips, self.known = chunk, skips, known
         self.after: dict[int, Path] | None = None
 
-    def size(self) -> int:
-        return 1 + sum(p.size() for p in (self.after or {}).values())
+    def bytes(self) -> int:
+        return PATH_BYTES + len(self.ids) + len(self.steps) + 8 * len(self.skips)
+
+    def size(self) -> tuple[int, int]:
+        """Paths from here on, and the bytes they take."""
+        sizes = [p.size() for p in (self.after or {}).values()]
+        return 1 + sum(n for n, _ in sizes), self.bytes() + sum(b for _, b in sizes)
 
 
 class Encoder:
-    """Encodes texts. ``remembered`` bounds the paths that are kept; it changes no result."""
+    """Encodes texts. ``remembered`` bounds the paths that are kept and ``room`` their bytes; they change no result."""
 
-    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, remembered: int = REMEMBERED):
-        self.vocabulary, self.rate, self.seed, self.half = vocabulary, rate, seed, remembered // 2
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, remembered: int = REMEMBERED, room: int = ROOM):
+        self.vocabulary, self.rate, self.seed, self.half, self.room = vocabulary, rate, seed, remembered // 2, room // 2
         self.paths: dict[str, Path] = {}
         self.older: dict[str, Path] = {}
-        self.held = 0
+        self.held = self.taken = 0
         self.chunks = re.compile(r" *[^ ]+| +").findall if vocabulary.cut else lambda text: [text]
         self.table = vocabulary.table
 
     def path(self, chunk: str) -> Path:
         """Of a chunk without skips, made or taken over from the older generation."""
-        if self.held >= self.half:
-            self.older, self.paths, self.held = self.paths, {}, 0
+        if self.held >= self.half or self.taken >= self.room:
+            self.older, self.paths, self.held, self.taken = self.paths, {}, 0, 0
         path = self.older.pop(chunk, None) or Path(self.vocabulary, chunk)
-        self.held += path.size()
+        paths, taken = path.size()
+        self.held += paths
+        self.taken += taken
         self.paths[chunk] = path
         return path
 
@@ -202,8 +211,9 @@ class Encoder:
         found = path.after.get(at)
         if found is None:
             at_all = path.known + at
-            found = path.after[at] = Path(self.vocabulary, path.chunk, path.skips | {at_all}, at_all + 1)
+            found = path.after[at] = Path(self.vocabulary, path.chunk, (*path.skips, at_all), at_all + 1)
             self.held += 1
+            self.taken += found.bytes()
         return found
 
     def encode(self, doc_id: int | None, text: str | None) -> bytes:

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 import zlib
 
@@ -127,3 +128,15 @@ def test_what_is_remembered_changes_nothing(texts, rate):
     one, other = merge_dropout.Encoder(VOCABULARY, rate, 3), merge_dropout.Encoder(VOCABULARY, rate, 3, 6)
     for i, text in enumerate(texts):
         assert one.encode(i, text) == other.encode(i, text) == merge_dropout.Encoder(VOCABULARY, rate, 3).encode(i, text)
+
+
+def test_paths_stay_within_their_room():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 40))) for _ in range(60)) for _ in range(40)]
+    narrow, wide = merge_dropout.Encoder(VOCABULARY, 0.3, 3, room=1 << 18), merge_dropout.Encoder(VOCABULARY, 0.3, 3)
+    for i, text in enumerate(texts * 2):
+        assert narrow.encode(i, text) == wide.encode(i, text)
+        kept = [*narrow.paths.values(), *narrow.older.values()]
+        one_text = 1 << 18  # a text's own paths are met before the bound is looked at again
+        assert sum(p.size()[1] for p in kept) <= (1 << 18) + one_text
+    assert sum(p.size()[1] for p in wide.paths.values()) > 1 << 20
