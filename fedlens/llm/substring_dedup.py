@@ -120,14 +120,24 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, key long, n_words long, sha256 string")
 
 
+def least_places(values: np.ndarray, size: int) -> np.ndarray:
+    """Place of the least of every ``size`` values, the first of equals; from halves that overlap, so in log(size) steps."""
+    place, least, width = np.arange(len(values)), values, 1
+    while width < size:
+        step = min(width, size - width)
+        left, right = least[:-step], least[step:]
+        place = np.where(right < left, place[step:], place[:-step])
+        least, width = np.minimum(left, right), width + step
+    return place
+
+
 def anchors_of(words: list[bytes], known: WordHashes, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Place and hash of the anchor of every run of ``span`` words."""
     groups = windows(hashes_of(words, known), GROUP)
     size = span - GROUP + 1
     if len(groups) < size:
         return np.zeros(0, "int64"), np.zeros(0, "int64")
-    view = np.lib.stride_tricks.sliding_window_view(groups, size)
-    place = view.argmin(1) + np.arange(len(view))
+    place = least_places(groups, size)
     return place, groups[place].view("int64")
 
 
@@ -145,7 +155,8 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
 
         for _, text in rows_of(batches):
             words = words_of(text)
-            anchors = np.unique(anchors_of(words, known, span)[1])
+            place, anchors = anchors_of(words, known, span)
+            anchors = np.unique(anchors[np.append(True, place[1:] != place[:-1])]) if len(place) else anchors
             if len(anchors):
                 held.append(anchors)
                 keys.append(text_key(words))
@@ -224,12 +235,15 @@ def marked(rows: pd.DataFrame, span: int) -> pd.DataFrame:
     found = []
     columns = (told[x] for x in ("key", "doc_id", "start", "piece", "salts"))
     for shared, first, key, doc_id, start, piece, salts in zip(several[told.index], least[told.index], *columns):
+        if not shared and first < doc_id:  # equal pieces only: the whole piece is held earlier
+            found.append((key, np.arange(start, start + piece.count(b" ") + 2 - span), None, None, None))
+            continue
         if shared:
             if piece not in known:
                 known[piece] = automaton.first_documents(piece, span)
             earlier = known[piece] < doc_id
         else:
-            earlier = np.full(piece.count(b" ") + 2 - span, first < doc_id)
+            earlier = np.zeros(piece.count(b" ") + 2 - span, bool)
         if earlier.any():
             found.append((key, np.flatnonzero(earlier) + start, None, None, None))
         if salts > 1 and not earlier.all():

@@ -77,3 +77,12 @@ def test_automaton(sequences, span):
             holders = [d for p, d in pieces.items() if any(p.split(b" ")[j : j + span] == w[i : i + span] for j in range(len(p.split(b" "))))]
             want.append(min(holders, default=np.iinfo("int64").max))
         assert automaton.first_documents(piece, span).tolist() == want
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 60))
+def test_least_places_are_the_first_of_equals(values, size):
+    values = np.array(values, "uint64")
+    if size <= len(values):
+        view = np.lib.stride_tricks.sliding_window_view(values, size)
+        assert substring_dedup.least_places(values, size).tolist() == (view.argmin(1) + np.arange(len(view))).tolist()
