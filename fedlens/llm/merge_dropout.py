@@ -2,8 +2,9 @@
 
 Symbols of a chunk are merged best score first from an agenda. Each candidate taken from the agenda is skipped where a hash
 keyed by seed, document, place in the text and piece falls below the dropout rate, so the same seed always gives the same
-ids, and every occurrence of a word is drawn on its own. What is remembered of a chunk are its candidates in turn and its
-ids when none of them is skipped, and the same again after each skip that was met; no draw is ever remembered. Characters
+ids, and every occurrence of a word is drawn on its own. Tables are encoded in groups of texts, whose chunks are merged side
+by side (``merge_rows``). ``Encoder`` takes one text at a time; what it remembers of a chunk are its candidates in turn and
+its ids when none of them is skipped, and the same again after each skip that was met; no draw is ever remembered. Characters
 outside the vocabulary become byte pieces; decoding concatenates pieces and bytes and gives back the text.
 """
 
@@ -21,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import batches_of, rows_of
+from fedlens.llm.common import in_groups, rows_of
+from fedlens.llm.merge_rows import GroupEncoder, Pairs
 
 #: Paths of chunks that an encoder keeps, in two generations, and the length from which chunks are merged anew each time.
 REMEMBERED, LONG = 500_000, 64
@@ -183,7 +185,7 @@ class Path:
 
 
 class Encoder:
-    """Encodes texts. ``remembered`` bounds the paths that are kept and ``room`` their bytes; they change no result."""
+    """Encodes texts one by one. ``remembered`` bounds the paths that are kept and ``room`` their bytes; they change no result."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, remembered: int = REMEMBERED, room: int = ROOM):
         self.vocabulary, self.rate, self.seed, self.half, self.room = vocabulary, rate, seed, remembered // 2, room // 2
@@ -273,6 +275,17 @@ class Encoder:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode()[1:]
 
 
+def grouped(vocabulary: Vocabulary, pairs: Pairs, rate: float, seed: int) -> GroupEncoder:
+    """The encoder of groups of texts, with the draws of ``Variant``."""
+    any_text = Variant(vocabulary, rate, seed, None)
+    any_text.start = 0  # the keys already have the start of their document
+
+    def alone(chunk: str, doc_id: int | None, at: int) -> list[str]:
+        return _merged_long(vocabulary.scores, chunk, Variant(vocabulary, rate, seed, doc_id).dropout(chunk, at))
+
+    return GroupEncoder(vocabulary, pairs, seed, any_text.skipped, alone, PLACE_BITS)
+
+
 def encode_documents(
     spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0
 ) -> DataFrame:
@@ -281,14 +294,20 @@ def encode_documents(
     A null or empty text has no ids. A literal word-start mark in a text becomes its bytes, so it comes back as itself. The
     same seed, document id and text always give the same ids. Repeated rows are encoded each; an empty table gives no rows.
     """
-    shared = spark.sparkContext.broadcast(Vocabulary(model))
+    vocabulary = Vocabulary(model)
+    shared = spark.sparkContext.broadcast((vocabulary, Pairs(vocabulary.scores)))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, rate, seed)
-        coded = ((d, t, encoder.encode(d, t)) for d, t in rows_of(batches))
-        rows = ((d, t, np.frombuffer(ids, "<i4"), zlib.crc32(ids)) for d, t, ids in coded)
-        yield from batches_of(rows, schema, weight=lambda r: len(r[2]))
+        encoder = grouped(*shared.value, rate, seed)
+        for rows in in_groups(rows_of(batches)):
+            ids, ends = encoder.many(rows)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            data, at = memoryview(ids.astype("<i4")).cast("B"), (4 * ends).tolist()
+            sums = pa.array([zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])], pa.int64())
+            doc_ids, texts = zip(*rows)
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string()), lists, sums]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     columns = "doc_id long, text string, ids array<int>, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, columns)
@@ -301,8 +320,9 @@ def decode(spark: SparkSession, model: str):
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
         table = shared.value.table
-        ends, values = ids.offsets.to_pylist(), ids.values.to_pylist()
-        return pa.array([b"".join([table[i] for i in values[a:b]])[1:] for a, b in zip(ends[:-1], ends[1:])], pa.binary()).cast(pa.string())
+        ends, values = ids.offsets.to_pylist(), ids.values.to_numpy()
+        texts = (b"".join([table[i] for i in values[a:b].tolist()])[1:] for a, b in zip(ends[:-1], ends[1:]))
+        return pa.array(texts, pa.binary()).cast(pa.string())
 
     return decoded
 

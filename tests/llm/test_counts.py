@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
-from fedlens.llm import merge_dropout, queries, token_count
+from fedlens.llm import merge_dropout, merge_rows, queries, token_count
 
 PIECES = queries.vocabulary("piece_bpe_32k.model")
 
@@ -140,3 +140,40 @@ def test_paths_stay_within_their_room():
         one_text = 1 << 18  # a text's own paths are met before the bound is looked at again
         assert sum(p.size()[1] for p in kept) <= (1 << 18) + one_text
     assert sum(p.size()[1] for p in wide.paths.values()) > 1 << 20
+
+
+PAIRS = merge_rows.Pairs(VOCABULARY.scores)
+
+
+def in_group(rows, rate, seed):
+    ids, ends = merge_dropout.grouped(VOCABULARY, PAIRS, rate, seed).many(rows)
+    return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.none() | st.text(max_size=40) | st.text(alphabet=" thesxé▁漢", max_size=90), max_size=6), st.floats(0, 1))
+def test_groups_of_texts_get_the_ids_of_each_text(texts, rate):
+    one = merge_dropout.Encoder(VOCABULARY, rate, 3)
+    assert in_group(list(enumerate(texts)), rate, 3) == [one.encode(i, text) for i, text in enumerate(texts)]
+
+
+def test_equal_costs_go_to_the_leftmost_candidate():
+    costs = {"a": (9, 0), "b": (9, 1), "c": (9, 2), "ab": (1, 4), "bc": (1, 3), "abc": (2, 5), "ca": (0, 6)}
+    pairs = merge_rows.Pairs(costs)
+    assert (pairs.keys >= 0).sum() == 5  # a+bc and ab+c both make abc
+    for chunk in ("abc", "abcab", "bcabc", "cabx", "xx"):
+        parts = np.full((len(chunk) + 1, 1), pairs.other, "int32")
+        parts[:-1, 0] = pairs.of_char[list(map(ord, chunk))]
+        merge_rows.merge_rows(pairs, parts, lambda column, place, ids: np.zeros(len(ids), bool))
+        want = merge_dropout._merged_short(costs, chunk, lambda place, piece: False)
+        found = [list(costs)[p] if p < len(costs) else "x" for p in parts[:-1, 0] if p >= 0]
+        assert found == want
+
+
+def test_no_chunk_of_usual_length_is_merged_by_itself(monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(rng.choices("theandsoing", k=rng.randint(1, 30))) for _ in range(200))) for i in range(20)]
+    want = [merge_dropout.Encoder(VOCABULARY, 0.1, 3).encode(*row) for row in rows]
+    for name in ("_merged_short", "_merged_long"):
+        monkeypatch.setattr(merge_dropout, name, None)
+    assert in_group(rows, 0.1, 3) == want
