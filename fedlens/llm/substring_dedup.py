@@ -19,18 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import batches_of, rows_of, stored, words_of
-from fedlens.llm.shingles import WordHashes, hashes_of, windows
+from fedlens.llm.common import batches_of, rows_of, stored
+from fedlens.llm.shingles import windows
 
 GROUP = 4
 HOT = 2000
 SHARD_WORDS = 60_000
+#: Bytes of texts whose anchors are found at once.
+TEXT_BYTES = 1 << 19
 NEVER = np.iinfo("int64").max
 
 
@@ -97,12 +100,22 @@ class SuffixAutomaton:
         return np.array(found, "int64")
 
 
-def text_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+#: Bytes that part words become spaces.
+PLAIN = bytes(32 if b in b" \t\n\v\f\r" else b for b in range(256))
 
 
-def digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def spaced_once(text: str | None) -> bytes:
+    """The words of a text, joined by one space."""
+    data = (text or "").encode().translate(PLAIN)
+    return data if b"  " not in data and data[:1] != b" " and data[-1:] != b" " else b" ".join(data.split())
+
+
+def count(data: bytes) -> int:
+    return data.count(b" ") + 1 if data else 0
+
+
+def text_key(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -112,8 +125,8 @@ def measured(docs: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for doc_id, text in rows_of(batches):
-                words = words_of(text)
-                yield doc_id, text_key(words), len(words), digest(words)
+                data = spaced_once(text)
+                yield doc_id, text_key(data), count(data), hashlib.sha256(data).hexdigest()
 
         yield from batches_of(rows(), schema)
 
@@ -131,14 +144,56 @@ def least_places(values: np.ndarray, size: int) -> np.ndarray:
     return place
 
 
-def anchors_of(words: list[bytes], known: WordHashes, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place and hash of the anchor of every run of ``span`` words."""
-    groups = windows(hashes_of(words, known), GROUP)
-    size = span - GROUP + 1
-    if len(groups) < size:
-        return np.zeros(0, "int64"), np.zeros(0, "int64")
-    place = least_places(groups, size)
-    return place, groups[place].view("int64")
+class WordSums:
+    """Places and hashes of the words of joined texts, from one running sum over their bytes."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, "uint64")
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(data, "uint8")
+        if len(codes) >= len(self.up):
+            self.up = np.cumprod(np.full(2 * len(codes) + 2, self.BASE, "uint64"))
+            self.down = np.cumprod(np.full(2 * len(codes) + 2, self.INVERSE, "uint64"))
+        gaps = np.flatnonzero(codes == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(codes))
+        sums = np.zeros(len(codes) + 1, "uint64")
+        np.cumsum((codes + np.uint64(1)) * self.up[: len(codes)], out=sums[1:])
+        return starts, ends, (sums[ends] - sums[starts]) * self.down[starts]
+
+
+def text_groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows whose last column is a joined text, in groups of about TEXT_BYTES; empty texts are left out."""
+    held, size = [], 0
+    for row in rows:
+        if row[-1]:
+            held.append(row)
+            size += len(row[-1])
+        if size >= TEXT_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+class Anchors:
+    """Anchors of a group of joined texts: for each stretch of runs with one anchor its text, first run, end and hash."""
+
+    def __init__(self, texts: list[bytes], sums: WordSums, span: int):
+        self.data, group = b" ".join(texts), min(GROUP, span)
+        self.starts, self.ends, hashes = sums(self.data)
+        words = list(map(count, texts))
+        self.begins = np.cumsum([0, *words])
+        owner = np.repeat(np.arange(len(texts)), words)
+        runs = np.flatnonzero(owner[: 1 - span or None] == owner[span - 1 :])  # those within one text
+        groups = windows(hashes, group)
+        place = least_places(groups, span - group + 1)[runs] if len(runs) else runs
+        new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (np.diff(runs) != 1))) if len(runs) else runs
+        self.first, self.end = runs[new], runs[np.append(new[1:], len(runs)) - 1] + 1 if len(runs) else runs
+        self.text, self.hash = owner[self.first], groups[place[new]].view("int64")
 
 
 def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
@@ -146,26 +201,15 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("key", pa.int64())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        held, keys, n = [], [], 0
-
-        def sent() -> pa.RecordBatch:
-            key = np.repeat(np.array(keys, "int64"), [len(a) for a in held])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(key)], schema=schema)
-
-        for _, text in rows_of(batches):
-            words = words_of(text)
-            place, anchors = anchors_of(words, known, span)
-            anchors = np.unique(anchors[np.append(True, place[1:] != place[:-1])]) if len(place) else anchors
-            if len(anchors):
-                held.append(anchors)
-                keys.append(text_key(words))
-                n += len(anchors)
-            if n >= 1 << 16:
-                yield sent()
-                held, keys, n = [], [], 0
-        if held:
-            yield sent()
+        sums = WordSums()
+        for held in text_groups((spaced_once(text),) for _, text in rows_of(batches)):
+            texts = [data for data, in held]
+            found = Anchors(texts, sums, span)
+            order = np.lexsort((found.hash, found.text))
+            text, anchor = found.text[order], found.hash[order]
+            other = np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))[: len(order)]
+            keys = np.array(list(map(text_key, texts)), "int64")[text[other]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[other]), pa.array(keys)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(post, "anchor long, key long")
 
@@ -186,7 +230,7 @@ def candidates(spark: SparkSession, docs: DataFrame, texts: DataFrame, span: int
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        rows = ((d, text_key(w), squeeze(b" ".join(w))) for d, w in ((d, words_of(t)) for d, t in rows_of(batches)) if len(w) >= span)
+        rows = ((d, text_key(w), squeeze(w)) for d, w in ((d, spaced_once(t)) for d, t in rows_of(batches)) if count(w) >= span)
         yield from batches_of(rows, schema, weight=lambda r: len(r[2]))
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "doc_id long, key long, packed binary")
@@ -199,72 +243,86 @@ def pieces(held: DataFrame, span: int) -> DataFrame:
     schema = pa.schema([*((x, pa.int64()) for x in names), ("piece", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        sums, unpack = WordSums(), zstandard.ZstdDecompressor().decompress
 
         def rows() -> Iterator[tuple]:
-            for key, doc_id, packed, wanted, salts in rows_of(batches):
-                words = unpack(packed).split(b" ")
-                place, anchor = anchors_of(words, known, span)
-                wanted = dict(zip(wanted, salts))
-                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-                last = np.append(first[1:], len(place))
-                met = np.isin(anchor[first], np.fromiter(wanted, "int64", len(wanted)))
-                for i, j, a in zip(first[met].tolist(), last[met].tolist(), anchor[first[met]].tolist()):
-                    n = wanted[a]
-                    yield a, key % n, n, key, doc_id, i, b" ".join(words[i : j - 1 + span])
+            for held in text_groups((*row[:-1], unpack(row[-1])) for row in rows_of(batches)):
+                found = Anchors([row[-1] for row in held], sums, span)
+                bounds = np.searchsorted(found.text, np.arange(len(held) + 1)).tolist()
+                begin, end = found.starts[found.first], found.ends[found.end + span - 2]
+                for k, (key, doc_id, wanted, salts, _) in enumerate(held):
+                    wanted = dict(zip(wanted, salts))
+                    own = slice(bounds[k], bounds[k + 1])
+                    places = (found.first[own] - found.begins[k]).tolist()
+                    for a, i, x, y in zip(found.hash[own].tolist(), places, begin[own].tolist(), end[own].tolist()):
+                        n = wanted.get(a)
+                        if n:
+                            yield a, key % n, n, key, doc_id, i, found.data[x:y]
 
         yield from batches_of(rows(), schema, weight=lambda r: len(r[6]))
 
     columns = ", ".join(f"{x} long" for x in names) + ", piece binary"
-    return held.select("key", "doc_id", "packed", "anchors", "salts").mapInArrow(cut, columns)
-
-
-MARKS = "key long, starts array<long>, doc_id long, start long, run binary"
-
-
-def marked(rows: pd.DataFrame, span: int) -> pd.DataFrame:
-    """``key, starts``: runs that a smaller document of these rows holds; ``doc_id, start, run``: those still open, of
-    anchors whose other texts are in other shards."""
-    pieces_met = rows.groupby(["anchor", "piece"], sort=False)
-    least = pieces_met["doc_id"].transform("min")
-    several = rows["anchor"].map(pieces_met["anchor"].first().reset_index(drop=True).value_counts()) > 1
-    automaton = SuffixAutomaton(dict(zip(rows["piece"][several], least[several])))
-    known: dict[bytes, np.ndarray] = {}
-    # a piece that is alone with its anchor is its own answer, and nothing is left to say of its first document
-    told = rows[several | (least < rows["doc_id"]) | (rows["salts"] > 1)]
-    found = []
-    columns = (told[x] for x in ("key", "doc_id", "start", "piece", "salts"))
-    for shared, first, key, doc_id, start, piece, salts in zip(several[told.index], least[told.index], *columns):
-        if not shared and first < doc_id:  # equal pieces only: the whole piece is held earlier
-            found.append((key, np.arange(start, start + piece.count(b" ") + 2 - span), None, None, None))
-            continue
-        if shared:
-            if piece not in known:
-                known[piece] = automaton.first_documents(piece, span)
-            earlier = known[piece] < doc_id
-        else:
-            earlier = np.zeros(piece.count(b" ") + 2 - span, bool)
-        if earlier.any():
-            found.append((key, np.flatnonzero(earlier) + start, None, None, None))
-        if salts > 1 and not earlier.all():
-            words = piece.split(b" ")
-            found += [(key, None, doc_id, start + i, b" ".join(words[i : i + span])) for i in np.flatnonzero(~earlier).tolist()]
-    columns = {c.split()[0]: pd.Series([r[k] for r in found], dtype=object) for k, c in enumerate(MARKS.split(", "))}
-    return pd.DataFrame(columns).astype({"key": "int64", "doc_id": "Int64", "start": "Int64"})
+    return held.select("key", "doc_id", "anchors", "salts", "packed").mapInArrow(cut, columns)
+
+
+MARKS = "key long, first long, last long, doc_id long, run binary"
+
+
+def marked(rows: pa.Table, span: int) -> pa.Table:
+    """``key, first, last``: stretches of runs that a smaller document of these rows holds; with ``doc_id, run`` one run still
+    open, of an anchor whose other texts are in other shards."""
+    anchor, key, doc_id, start, salts = (rows[x].to_numpy() for x in ("anchor", "key", "doc_id", "start", "salts"))
+    coded = rows["piece"].combine_chunks().dictionary_encode()
+    code, pieces_met = coded.indices.to_numpy(), coded.dictionary
+    n_runs = pc.count_substring(pieces_met, " ").to_numpy().astype("int64") + 2 - span
+    least, of = np.full(len(pieces_met), NEVER), np.zeros(len(pieces_met), "int64")
+    np.minimum.at(least, code, doc_id)
+    of[code] = anchor  # equal pieces have equal anchors
+    _, sort, uses = np.unique(of, return_inverse=True, return_counts=True)
+    several = uses[sort] > 1
+    # of a piece that is alone with its anchor, every run is first in the least document that holds the piece
+    firsts = np.repeat(least, n_runs)
+    begins = np.append(0, np.cumsum(n_runs))
+    shared = np.flatnonzero(several)
+    texts = pieces_met.take(pa.array(shared)).to_pylist()
+    automaton = SuffixAutomaton(dict(zip(texts, least[shared].tolist())))
+    for k, text in zip(shared.tolist(), texts):
+        firsts[begins[k] : begins[k + 1]] = automaton.first_documents(text, span)
+    told = np.flatnonzero(several[code] | (least[code] < doc_id) | (salts > 1))
+    many = n_runs[code[told]]
+    row, offset = np.repeat(told, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    earlier = firsts[begins[code[row]] + offset] < doc_id[row]
+    held = np.flatnonzero(earlier)
+    apart = np.append(True, (np.diff(held) != 1) | (row[held[1:]] != row[held[:-1]]))[: len(held)]
+    begin, end = held[apart], held[np.append(apart[1:], True)[: len(held)]]
+    open_ = np.flatnonzero(~earlier & (salts[row] > 1))
+    runs, words, at = [], [], -1
+    for k, i in zip(row[open_].tolist(), offset[open_].tolist()):
+        if k != at:
+            words, at = pieces_met[code[k]].as_py().split(b" "), k
+        runs.append(b" ".join(words[i : i + span]))
+    none = pa.nulls(len(begin), pa.int64())
+    place = start[row] + offset
+    columns = [
+        np.append(key[row[begin]], key[row[open_]]), np.append(place[begin], place[open_]), np.append(place[end], place[open_]),
+        pa.concat_arrays([none, pa.array(doc_id[row[open_]], pa.int64())]),
+        pa.concat_arrays([pa.nulls(len(begin), pa.binary()), pa.array(runs, pa.binary())]),
+    ]
+    return pa.table(columns, names=["key", "first", "last", "doc_id", "run"])
 
 
 def repeated_runs(spark: SparkSession, held: DataFrame, span: int) -> DataFrame:
-    """``key, starts``: places of runs that start in a smaller document too."""
+    """``key, first, last``: stretches of runs that start in a smaller document too."""
     size = held.agg(F.sum(F.length("packed"))).first()[0] or 0
     shards = F.lit(max(1, int(size) // SHARD_WORDS))
     rows = pieces(held, span).withColumn("shard", F.pmod(F.xxhash64("anchor", "salt"), shards))
     rows = rows.drop("salt")
-    found = stored(spark, rows.groupBy("shard").applyInPandas(lambda pdf: marked(pdf, span), MARKS), "marked-runs")
+    found = stored(spark, rows.groupBy("shard").applyInArrow(lambda table: marked(table, span), MARKS), "marked-runs")
     again = found.where(F.col("run").isNotNull()).select(
-        F.xxhash64("run").alias("anchor"), F.lit(1).cast("long").alias("salts"), "key", "doc_id", "start", F.col("run").alias("piece")
+        F.xxhash64("run").alias("anchor"), F.lit(1).cast("long").alias("salts"), "key", "doc_id", F.col("first").alias("start"), F.col("run").alias("piece")
     )
-    second = again.withColumn("shard", F.pmod("anchor", shards)).groupBy("shard").applyInPandas(lambda pdf: marked(pdf, span), MARKS)
-    return found.where(F.col("starts").isNotNull()).select("key", "starts").union(second.select("key", "starts"))
+    second = again.withColumn("shard", F.pmod("anchor", shards)).groupBy("shard").applyInArrow(lambda table: marked(table, span), MARKS)
+    return found.where(F.col("run").isNull()).select("key", "first", "last").union(second.select("key", "first", "last"))
 
 
 def changed(spark: SparkSession, docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
@@ -273,24 +331,25 @@ def changed(spark: SparkSession, docs: DataFrame, span: int) -> tuple[DataFrame,
     owners = rows.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("owner"))
     owners = stored(spark, owners, "text-owners")
     held = stored(spark, candidates(spark, docs, owners, span), "candidates")
-    starts = repeated_runs(spark, held, span).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    marks = (F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    starts = repeated_runs(spark, held, span).groupBy("key").agg(*marks)
     schema = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
 
         def kept() -> Iterator[tuple]:
-            for key, packed, found in rows_of(batches):
+            for key, packed, first, last in rows_of(batches):
                 words = unpack(packed).split(b" ")
                 edge = np.zeros(len(words) + 1, "int64")
-                np.add.at(edge, np.array(found), 1)
-                np.add.at(edge, np.array(found) + span, -1)
+                np.add.at(edge, np.array(first), 1)
+                np.add.at(edge, np.array(last) + span, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 yield key, int(gone.sum()), b" ".join(w for w, g in zip(words, gone) if not g).decode()
 
         yield from batches_of(kept(), schema, weight=lambda r: len(r[2]))
 
-    lost = held.select("key", "packed").join(starts, "key").select("key", "packed", "starts").mapInArrow(remove, "key long, n_removed long, kept string")
+    lost = held.select("key", "packed").join(starts, "key").select("key", "packed", "first", "last").mapInArrow(remove, "key long, n_removed long, kept string")
     return rows.join(owners, "key", "left"), stored(spark, lost, "kept-words")
 
 
@@ -329,7 +388,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, span: int) -> DataFram
 
     @F.pandas_udf("long")
     def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_key(words_of(t)) for t in texts], dtype="int64")
+        return pd.Series([text_key(spaced_once(t)) for t in texts], dtype="int64")
 
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"), key_of(F.col("text")).alias("own_key"))
     joined = held.join(news, (F.col("id") == F.col("of_id")) & (F.col("own_key") == F.col("of_key")), "left").where(F.col("new_text").isNull() | (F.col("new_text") != ""))

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +87,39 @@ def test_least_places_are_the_first_of_equals(values, size):
     if size <= len(values):
         view = np.lib.stride_tricks.sliding_window_view(values, size)
         assert substring_dedup.least_places(values, size).tolist() == (view.argmin(1) + np.arange(len(view))).tolist()
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "été", "\0", "c c"]), max_size=30), min_size=1, max_size=6), st.integers(1, 15))
+def test_anchors_of_a_group_are_those_of_each_text(texts, span):
+    texts = [t for t in (substring_dedup.spaced_once("\t".join(t) + " \n") for t in texts) if t]
+    found = substring_dedup.Anchors(texts, substring_dedup.WordSums(), span) if texts else None
+    runs = {}
+    for k, text in enumerate(texts):
+        alone = substring_dedup.Anchors([text], substring_dedup.WordSums(), span)
+        mine = found.text == k
+        assert found.hash[mine].tolist() == alone.hash.tolist()
+        assert (found.first[mine] - found.begins[k]).tolist() == alone.first.tolist()
+        words, places = text.split(), []
+        for i, j, anchor in zip(alone.first.tolist(), alone.end.tolist(), alone.hash.tolist()):
+            assert alone.data[alone.starts[i] : alone.ends[j + span - 2]].split() == words[i : j + span - 1]
+            places += range(i, j)
+            for p in range(i, j):  # equal runs have equal anchors
+                assert runs.setdefault(tuple(words[p : p + span]), anchor) == anchor
+        assert places == list(range(len(words) - span + 1))
+
+
+def test_marks_are_stretches_not_runs():
+    piece, other = b"a b c d e f", b"x b c d y d e f"
+    columns = {"anchor": [1] * 4, "salts": [1, 1, 2, 1], "key": [7, 8, 9, 9], "doc_id": [1, 2, 3, 3], "start": [0, 5, 2, 40], "piece": [piece, piece, other, b"q r s"]}
+    marks = substring_dedup.marked(pa.table({k: pa.array(v) for k, v in columns.items()}), 3).to_pylist()
+    closed = sorted((m["key"], m["first"], m["last"]) for m in marks if m["run"] is None)
+    assert closed == [(8, 5, 8), (9, 3, 3), (9, 7, 7)]
+    assert sorted((m["first"], m["run"]) for m in marks if m["run"]) == [(2, b"x b c"), (4, b"c d y"), (5, b"d y d"), (6, b"y d e")]
+
+
+@pytest.mark.parametrize("text", [None, "", " \t", "a", " a  b\r\nc\x0b", "a\x1cb\u3000c \x0c"])
+def test_words_are_joined_by_one_space(text):
+    data = substring_dedup.spaced_once(text)
+    assert data == b" ".join((text or "").encode().split())
+    assert substring_dedup.count(data) == len((text or "").encode().split())
