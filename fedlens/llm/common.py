@@ -8,10 +8,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fedlens.llm.merge_rows import Pairs, merge_chunks
 from fedlens.session import cut_lineage
 from fedlens.sources.tables import table
 
@@ -85,6 +87,15 @@ def in_groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SYMBOLS = [chr(b) if b in SHOWN else chr(256 + b - sum(x < b for x in SHOWN)) for b in range(256)]
+
+
+def byte_symbols(text: str) -> str:
+    return "".join([SYMBOLS[b] for b in text.encode()])
+
+
 class ChunkEncoder(dict):
     """Token ids of text as little-endian unsigned 32-bit bytes, remembered by chunk.
 
@@ -92,8 +103,9 @@ class ChunkEncoder(dict):
     from a letter to punctuation, so a text may be cut there and its chunks encoded apart; of other files, texts are encoded
     whole. ``words`` says that white space is dropped altogether. Texts with white space outside ASCII, or with characters
     that only some libraries call white space, are encoded whole. At most ``bound`` chunks are remembered, in two generations:
-    what was not met while the younger filled up is forgotten. Chunks of plain letters need no normalising and go to the
-    merges directly; the others of a group of texts go to the library in one call.
+    what was not met while the younger filled up is forgotten. Chunks of plain letters, and with ``words`` those of printable
+    ASCII and Latin letters, need no normalising but lower case: they go to the merges directly, by the pieces that WORD_SPLIT
+    makes of them. The others of a group of texts go to the library in one call.
     """
 
     def __init__(self, path: str, words: bool, bound: int = 400_000):
@@ -107,9 +119,10 @@ class ChunkEncoder(dict):
         self.older: dict[str, bytes] = {}
         self.merges = self.tokenizer.model
         letters = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[,.;:!?|)])"
-        spaced = rf"\s*{letters}|\s*\S+|\s+"
-        self.cut = re.compile(rf"{letters}|\S+" if words else spaced, re.ASCII).findall
-        self.plain = re.compile("[A-Za-z]+" if words else " ?[A-Za-z]+").fullmatch
+        self.cut = str.split if words else re.compile(rf"\s*{letters}|\s*\S+|\s+", re.ASCII).findall
+        # "<" begins the added tokens, which are looked for before anything else
+        self.plain = re.compile(r"[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+" if words else " ?[A-Za-z]+").fullmatch
+        self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
         self.odd = re.compile(ODD_SPACE).search
         self.known = self._known(path)
 
@@ -120,6 +133,16 @@ class ChunkEncoder(dict):
         before = rules["pre_tokenizer"] or {}
         if self.words:
             first = before.get("pretokenizers", [{}])[0]
+            model, end = rules["model"], rules["model"]["end_of_word_suffix"] or ""
+            odd = [k for k in ("dropout", "continuing_subword_prefix", "ignore_merges") if model.get(k)]
+            if odd or any("<" not in token["content"] for token in rules["added_tokens"]) or any(c + x not in model["vocab"] for c in SYMBOLS for x in ("", end)):
+                return False
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.pairs = Pairs.of_merges(model["vocab"], merges)
+            self.inner, self.last = np.full(256, -1, "int32"), np.full(256, -1, "int32")
+            for byte, shown in enumerate(SYMBOLS):
+                self.inner[byte], self.last[byte] = model["vocab"].get(shown, -1), model["vocab"].get(shown + end, -1)
+            self.inner[10] = -1  # parts the words of a call
             return first.get("pattern") == {"Regex": WORD_SPLIT} and first["behavior"] == "Removed" and first["invert"]
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
         return plain and rules["normalizer"] is None
@@ -132,19 +155,42 @@ class ChunkEncoder(dict):
         if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
-        rest = []
-        for chunk in chunks:
-            if chunk not in self:
-                if (ids := self.older.get(chunk)) is not None:
-                    self[chunk] = ids
-                elif self.known and self.plain(chunk):
-                    piece = chunk.lower() if self.words else chunk.replace(" ", "\u0120")
-                    self[chunk] = array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
-                else:
-                    rest.append(chunk)
+        rest, plain = [], []
+        for chunk in chunks.difference(self):
+            if (ids := self.older.get(chunk)) is not None:
+                self[chunk] = ids
+            elif self.known and self.plain(chunk):
+                plain.append(chunk)
+            else:
+                rest.append(chunk)
+        if self.words:
+            self.learn_words(plain)
+        else:
+            self.update((chunk, self.merged(chunk)) for chunk in plain)
         for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self[chunk] = array("I", found.ids).tobytes()
 
+    def merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.merges.tokenize(piece.replace(" ", "\u0120"))]).tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        """Words of printable ASCII and Latin letters; their pieces are words themselves and remembered as such."""
+        split = list(map(self.pieces, "\n".join(words).lower().split("\n"))) if words else []
+        new = list(set().union(*split).difference(self))
+        data = np.frombuffer("\n".join(new).encode(), "uint8")
+        ends = np.append(np.flatnonzero(data == 10), len(data))[: len(new)]
+        starts = np.append(0, ends[:-1] + 1)[: len(new)]
+        parts = self.inner[data]
+        parts[ends - 1] = self.last[data[ends - 1]]
+        long = merge_chunks(self.pairs, parts, starts, ends - starts, lambda chunk, place, ids: np.zeros(len(ids), bool))
+        whole = parts >= 0
+        at = np.append(0, 4 * np.append(0, np.cumsum(whole))[ends]).tolist()
+        ids = parts[whole].astype("<u4").tobytes()
+        self.update(zip(new, [ids[a:b] for a, b in zip(at, at[1:])]))
+        self.update((new[k], self.merged(byte_symbols(new[k]))) for k in long.tolist())
+        get = self.__getitem__
+        self.update(zip(words, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split]))
+
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; chunks that are new to the task are encoded once for all of them."""
         chunked = [self.chunks(t) for t in texts]

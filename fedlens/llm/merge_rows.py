@@ -40,6 +40,18 @@ class Pairs:
                 left, right = known.get(p[:k]), known.get(p[k:])
                 if left is not None and right is not None:
                     made[left << PLACE_AT | right] = cost << COST_AT | known[p]
+        self._hold(made)
+
+    @classmethod
+    def of_merges(cls, ids: dict[str, int], merges: list[tuple[str, str]]) -> Pairs:
+        """Pieces by their ids, of which only the pairs of a list merge, the first of the list first."""
+        self = cls.__new__(cls)
+        self.pieces = self.other = max(ids.values()) + 1
+        self.ids = np.arange(self.pieces)
+        self._hold({ids[a] << PLACE_AT | ids[b]: rank << COST_AT | ids[a + b] for rank, (a, b) in enumerate(merges)})
+        return self
+
+    def _hold(self, made: dict[int, int]) -> None:
         self.bits = max(10, (4 * len(made)).bit_length())
         self.keys, self.made = np.full(1 << self.bits, -1, "int64"), np.full(1 << self.bits, NONE)
         keys, values = np.array(list(made), "int64"), np.array(list(made.values()), "int64")
@@ -112,6 +124,27 @@ def merge_rows(pairs: Pairs, parts: np.ndarray, skipped) -> None:
         agenda[place, at] = news[len(at) :] + (place << PLACE_AT)
 
 
+def merge_chunks(pairs: Pairs, parts: np.ndarray, starts: np.ndarray, lengths: np.ndarray, skipped) -> np.ndarray:
+    """Merges chunks that stand one after another in ``parts``; tells which are longer than all LENGTHS and left as they are.
+
+    ``skipped(chunks, places, ids)`` tells which candidates are passed over.
+    """
+    least = 1
+    for length in LENGTHS.tolist():
+        chosen = np.flatnonzero((lengths > least) & (lengths <= length))
+        for at in range(0, len(chosen), ROWS):
+            tile = chosen[at : at + ROWS]
+            places = np.arange(length)[:, None]
+            inside = places < lengths[tile]
+            where = (starts[tile] + places)[inside]
+            held = np.full((length + 1, len(tile)), pairs.other, "int32")
+            held[:-1][inside] = parts[where]
+            merge_rows(pairs, held, lambda column, place, ids: skipped(tile[column], place, ids))
+            parts[where] = held[:-1][inside]
+        least = length
+    return np.flatnonzero(lengths > least)
+
+
 class GroupEncoder:
     """Encodes groups of texts; every text gets the ids that ``merge_dropout.Encoder`` gives it.
 
@@ -141,14 +174,12 @@ class GroupEncoder:
         owner = np.searchsorted(begins, starts, "right") - 1
         hashes = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{d}") for d, _ in rows], "uint64")
         keys = hashes[owner] + ((starts - begins[owner]).astype("uint64") << np.uint64(self.place_bits))
-        least = 1
-        for length in LENGTHS.tolist():
-            chosen = np.flatnonzero((lengths > least) & (lengths <= length))
-            for at in range(0, len(chosen), ROWS):
-                tile = chosen[at : at + ROWS]
-                self._merge(parts, starts[tile], lengths[tile], keys[tile], length)
-            least = length
-        for k in np.flatnonzero(lengths > least).tolist():
+        shift = np.uint64(self.place_bits)
+
+        def skipped(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            return self.drawn(keys[chunk] + (place.astype("uint64") << shift) + ids.astype("uint64"))
+
+        for k in merge_chunks(self.pairs, parts, starts, lengths, skipped).tolist():
             at = int(starts[k])
             chunk = whole[at : at + int(lengths[k])]
             found = self.alone(chunk, rows[owner[k]][0], at - int(begins[owner[k]]))
@@ -158,20 +189,6 @@ class GroupEncoder:
                 at += len(p)
         return self._ids(parts, points, begins)
 
-    def _merge(self, parts: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, length: int) -> None:
-        places = np.arange(length)[:, None]
-        inside = places < lengths
-        where = (starts + places)[inside]
-        held = np.full((length + 1, len(starts)), self.pairs.other, "int32")
-        held[:-1][inside] = parts[where]
-        shift = np.uint64(self.place_bits)
-
-        def skipped(column: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            return self.drawn(keys[column] + (place.astype("uint64") << shift) + ids.astype("uint64"))
-
-        merge_rows(self.pairs, held, skipped)
-        parts[where] = held[:-1][inside]
-
     def _ids(self, parts: np.ndarray, points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces as their ids, characters that are no piece as those of their bytes."""
         plain = parts < self.pairs.pieces

@@ -29,6 +29,27 @@ def test_chunks_give_the_ids_of_the_whole_text(coders, text):
         assert np.frombuffer(chunked(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(deadline=None, max_examples=300)
+@given(text=st.text(alphabet="aBsSTre'1290.,&%ßàÀÖÿÞ×÷²ªÿ<|>é\u0301 \n", max_size=40))
+def test_words_of_latin_letters_give_the_ids_of_the_library(coders, text):
+    for chunked, whole in coders:
+        assert np.frombuffer(chunked(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_latin_letters_need_no_call_of_the_library():
+    text = "Éauxtreé&&& L'été n'est-il 88.169.244.62, zuschung%%% $12.50 don't THEY'LL (ÑÕ) " + "Straße" * 20
+    coder, sent = ChunkEncoder(WORD, True), []
+    whole = coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+    class Library:
+        def encode_batch_fast(self, chunks, add_special_tokens):
+            sent.extend(chunks)
+            return []
+
+    coder.tokenizer = Library()
+    assert np.frombuffer(coder(text), "<u4").tolist() == whole and not sent
+
+
 @settings(deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_holds_every_piece_and_no_window_overflows(counts):
