@@ -234,7 +234,7 @@ def candidates(spark: SparkSession, docs: DataFrame, texts: DataFrame, span: int
         yield from batches_of(rows, schema, weight=lambda r: len(r[2]))
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "doc_id long, key long, packed binary")
-    return packed.join(owners, ["key", "doc_id"]).dropDuplicates(["key"])
+    return packed.join(owners, ["key", "doc_id"]).dropDuplicates(["key", "doc_id"])
 
 
 def pieces(held: DataFrame, span: int) -> DataFrame:
