@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedlens.llm.merge_rows import Pairs, merge_chunks
+from fedlens.llm.piece_table import MOST_CHARS, ODD_CHARACTER, PieceTable, joined
 from fedlens.session import cut_lineage
 from fedlens.sources.tables import table
 
@@ -96,6 +97,30 @@ def byte_symbols(text: str) -> str:
     return "".join([SYMBOLS[b] for b in text.encode()])
 
 
+class Merges:
+    """Ids of pieces by the merges of a byte-level vocabulary, without a remembered word."""
+
+    def __init__(self, model, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
+        self.model, self.pairs = model, Pairs.of_merges(vocab, merges)
+        self.inner = np.array([vocab[c] for c in SYMBOLS], "int32")
+        self.last = np.array([vocab[c + end] for c in SYMBOLS], "int32")
+
+    def many(self, characters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that stand one after another, a byte a character, and the number of ids of each."""
+        data = np.frombuffer(characters.tobytes().decode("latin-1").encode(), "uint8")
+        ends = np.append(0, np.cumsum(1 + (characters >= 0x80)))[np.cumsum(lengths)]
+        starts = np.append(0, ends[:-1])
+        parts = self.inner[data]
+        parts[ends - 1] = self.last[data[ends - 1]]
+        long = merge_chunks(self.pairs, parts, starts, ends - starts, lambda chunk, place, ids: np.zeros(len(ids), bool))
+        for k in long.tolist():
+            found = [t.id for t in self.model.tokenize(byte_symbols(data[starts[k] : ends[k]].tobytes().decode()))]
+            parts[starts[k] : ends[k]] = -1
+            parts[starts[k] : starts[k] + len(found)] = found
+        whole = parts >= 0
+        return parts[whole], np.diff(np.append(0, np.cumsum(whole))[ends], prepend=0)
+
+
 class ChunkEncoder(dict):
     """Token ids of text as little-endian unsigned 32-bit bytes, remembered by chunk.
 
@@ -106,6 +131,8 @@ class ChunkEncoder(dict):
     what was not met while the younger filled up is forgotten. Chunks of plain letters, and with ``words`` those of printable
     ASCII and Latin letters, need no normalising but lower case: they go to the merges directly, by the pieces that WORD_SPLIT
     makes of them. The others of a group of texts go to the library in one call.
+
+    Texts of ASCII and Latin letters alone take no chunks: their pieces are found and looked up by arrays (``piece_table``).
     """
 
     def __init__(self, path: str, words: bool, bound: int = 400_000):
@@ -117,7 +144,6 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer, self.words, self.half = Tokenizer.from_file(path), words, bound // 2
         self.older: dict[str, bytes] = {}
-        self.merges = self.tokenizer.model
         letters = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[,.;:!?|)])"
         self.cut = str.split if words else re.compile(rf"\s*{letters}|\s*\S+|\s+", re.ASCII).findall
         # "<" begins the added tokens, which are looked for before anything else
@@ -131,18 +157,20 @@ class ChunkEncoder(dict):
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         before = rules["pre_tokenizer"] or {}
+        model, end = rules["model"], rules["model"].get("end_of_word_suffix") or ""
+        self.added = [token["content"] for token in rules["added_tokens"]]
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "ignore_merges") if model.get(k)]
+        shown = all(c + x in model["vocab"] for c in SYMBOLS for x in ("", end)) if model["type"] == "BPE" else False
+        self.pieced = shown and not odd
+        if self.pieced:
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.merges = Merges(self.tokenizer.model, model["vocab"], merges, end)
+            # the table must not hold the encoder, or what a task remembered would outlive it
+            self.table = PieceTable(self.words, self.merges.many)
         if self.words:
             first = before.get("pretokenizers", [{}])[0]
-            model, end = rules["model"], rules["model"]["end_of_word_suffix"] or ""
-            odd = [k for k in ("dropout", "continuing_subword_prefix", "ignore_merges") if model.get(k)]
-            if odd or any("<" not in token["content"] for token in rules["added_tokens"]) or any(c + x not in model["vocab"] for c in SYMBOLS for x in ("", end)):
+            if not self.pieced or any("<" not in name for name in self.added):
                 return False
-            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-            self.pairs = Pairs.of_merges(model["vocab"], merges)
-            self.inner, self.last = np.full(256, -1, "int32"), np.full(256, -1, "int32")
-            for byte, shown in enumerate(SYMBOLS):
-                self.inner[byte], self.last[byte] = model["vocab"].get(shown, -1), model["vocab"].get(shown + end, -1)
-            self.inner[10] = -1  # parts the words of a call
             return first.get("pattern") == {"Regex": WORD_SPLIT} and first["behavior"] == "Removed" and first["invert"]
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
         return plain and rules["normalizer"] is None
@@ -166,32 +194,46 @@ class ChunkEncoder(dict):
         if self.words:
             self.learn_words(plain)
         else:
-            self.update((chunk, self.merged(chunk)) for chunk in plain)
+            tokenize = self.tokenizer.model.tokenize
+            self.update((c, array("I", [t.id for t in tokenize(c.replace(" ", "\u0120"))]).tobytes()) for c in plain)
         for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self[chunk] = array("I", found.ids).tobytes()
 
-    def merged(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.merges.tokenize(piece.replace(" ", "\u0120"))]).tobytes()
-
     def learn_words(self, words: list[str]) -> None:
         """Words of printable ASCII and Latin letters; their pieces are words themselves and remembered as such."""
         split = list(map(self.pieces, "\n".join(words).lower().split("\n"))) if words else []
         new = list(set().union(*split).difference(self))
-        data = np.frombuffer("\n".join(new).encode(), "uint8")
-        ends = np.append(np.flatnonzero(data == 10), len(data))[: len(new)]
-        starts = np.append(0, ends[:-1] + 1)[: len(new)]
-        parts = self.inner[data]
-        parts[ends - 1] = self.last[data[ends - 1]]
-        long = merge_chunks(self.pairs, parts, starts, ends - starts, lambda chunk, place, ids: np.zeros(len(ids), bool))
-        whole = parts >= 0
-        at = np.append(0, 4 * np.append(0, np.cumsum(whole))[ends]).tolist()
-        ids = parts[whole].astype("<u4").tobytes()
-        self.update(zip(new, [ids[a:b] for a, b in zip(at, at[1:])]))
-        self.update((new[k], self.merged(byte_symbols(new[k]))) for k in long.tolist())
+        if new:
+            found, counts = self.merges.many(np.frombuffer("".join(new).encode("latin-1"), "uint8"), np.array(list(map(len, new))))
+            at, ids = np.append(0, 4 * np.cumsum(counts)).tolist(), found.astype("<u4").tobytes()
+            self.update(zip(new, [ids[a:b] for a, b in zip(at, at[1:])]))
         get = self.__getitem__
         self.update(zip(words, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split]))
 
+    def by_pieces(self, texts: list[str]) -> list[bytes] | None:
+        """Ids of every text by its pieces, or None if one has other characters, an added token or great length."""
+        if not (self.known and self.pieced) or any(len(t) > MOST_CHARS or any(name in t for name in self.added) for t in texts):
+            return None
+        data = joined(texts)
+        if data is None:
+            return None
+        found, ends = self.table.many(data)
+        ids, at = found.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
     def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text; pieces and chunks that are new to the task are encoded once for all of them."""
+        found = self.by_pieces([t or "" for t in texts])
+        if found is not None:
+            return found
+        other = [bool(t) and (ODD_CHARACTER(t) is not None or len(t) > MOST_CHARS or any(x in t for x in self.added)) for t in texts]
+        pieced = self.by_pieces([t or "" for t, is_other in zip(texts, other) if not is_other])
+        if pieced is None:
+            return self.by_chunks(texts)
+        chunked, pieced = iter(self.by_chunks([t for t, is_other in zip(texts, other) if is_other])), iter(pieced)
+        return [next(chunked) if is_other else next(pieced) for is_other in other]
+
+    def by_chunks(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; chunks that are new to the task are encoded once for all of them."""
         chunked = [self.chunks(t) for t in texts]
         met = set().union(*chunked)

@@ -50,6 +50,35 @@ def test_words_of_latin_letters_need_no_call_of_the_library():
     assert np.frombuffer(coder(text), "<u4").tolist() == whole and not sent
 
 
+def test_texts_of_latin_letters_are_cut_without_a_call_of_the_library():
+    text = "Éauxtreé&&& d'été  n'est-il\n\n88.169 \t zuschüng%%% don't they'll 've '' 's\r\n" + "Größe" * 20 + " "
+    coder, sent = ChunkEncoder(BYTE, False), []
+    whole = coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+    class Library:
+        def encode_batch_fast(self, chunks, add_special_tokens):
+            sent.extend(chunks)
+            return []
+
+    coder.tokenizer = Library()
+    assert np.frombuffer(coder(text), "<u4").tolist() == whole and not sent
+
+
+LATIN = st.text(alphabet="aBsSTredmlv''1290.,&%ßÀÖÿé  \t\n\r<|>", max_size=40)
+
+
+@settings(deadline=None, max_examples=200)
+@given(groups=st.lists(st.lists(st.one_of(LATIN, SPACY, st.none(), st.just("<|endoftext|>it's"), st.just("xy" * 40)), max_size=6), max_size=4))
+def test_groups_of_texts_give_the_ids_of_the_library(coders, groups):
+    """Also when the table begins anew with every group."""
+    for coder, whole in coders:
+        bound = coder.table.bound
+        for coder.table.bound in (0, bound):
+            for texts in groups:
+                found = [np.frombuffer(x, "<u4").tolist() for x in coder.many(texts)]
+                assert found == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_holds_every_piece_and_no_window_overflows(counts):
