@@ -1,4 +1,5 @@
 import collections
+import weakref
 import zlib
 
 import numpy as np
@@ -79,6 +80,14 @@ def test_groups_of_texts_give_the_ids_of_the_library(coders, groups):
                 assert found == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_what_a_task_remembers_goes_with_its_encoder():
+    coder = ChunkEncoder(WORD, True)
+    coder("Größe it's 12")
+    table = weakref.ref(coder.table)
+    del coder
+    assert table() is None
+
+
 @settings(deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_holds_every_piece_and_no_window_overflows(counts):
