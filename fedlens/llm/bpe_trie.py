@@ -12,17 +12,25 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import ODD_SPACE, WORD_SPLIT, batches_of, in_groups, rows_of
+from fedlens.llm.common import ODD_SPACE, SYMBOLS, WORD_SPLIT, batches_of, in_groups, rows_of
+from fedlens.llm.piece_table import PieceTable, by_pieces_or, ragged
 
 ENCODED = "doc_id long, ids array<int>, ids_sha256 string"
 #: Added to the last character of a word: it stands for the symbol with the end mark.
 CLOSED = 0x1000
 NEVER = 1 << 62
+SYMBOL_POINTS = np.array([ord(c) for c in SYMBOLS], "<u4")
+#: Ids that are decoded at once.
+DECODED = 1 << 18
+#: Bytes of the bound that stand for one word of the table.
+WORD_BYTES = 256
 REMEMBERED_BYTES = 128 << 20
 REMEMBERED_PAIRS = 250_000
 #: Cuts that hold for files with WORD_SPLIT; others are cut nowhere.
@@ -172,9 +180,21 @@ class MergeTable:
             done[word], before = ids[::-1], word
         return done
 
+    def encode_rows(self, characters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that stand one after another, a byte a character, and the number of ids of each."""
+        ends = np.append(0, np.cumsum(1 + (characters >= 0x80)))[np.cumsum(lengths)]
+        symbols = SYMBOL_POINTS[np.frombuffer(characters.tobytes().decode("latin-1").encode(), "uint8")]
+        symbols[ends - 1] += CLOSED if self.end else 0
+        whole, at = symbols.tobytes().decode("utf-32-le"), [0, *ends.tolist()]
+        words = [whole[a:b] for a, b in zip(at, at[1:])]
+        found = list(map(self.encode(words).__getitem__, words))
+        counts = np.fromiter(map(len, found), "int64", len(found))
+        return np.fromiter(chain.from_iterable(found), "int32", counts.sum()), counts
+
 
 class Encoder:
-    """Ids of whole texts. What chunks of text came to is remembered by bytes, in two generations."""
+    """Ids of whole texts. Words of texts of ASCII and Latin letters are looked up by arrays and walked once a task; of other
+    texts, what chunks came to is remembered by bytes, in two generations."""
 
     def __init__(self, table: MergeTable, bound: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
@@ -182,6 +202,7 @@ class Encoder:
         rules = Tokenizer.from_str(table.json)
         self.normal, self.split = rules.normalizer, rules.pre_tokenizer
         self.table, self.half, self.held = table, bound // 2, 0
+        self.rows = PieceTable(True, table.encode_rows, bound // WORD_BYTES)
         self.young: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.plain = re.compile("[A-Za-z]+").fullmatch if table.cuts else lambda chunk: None
@@ -230,6 +251,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text; the words of all are walked together."""
+        if not self.table.cuts:
+            return self.by_chunks(texts)
+        return by_pieces_or(self.rows, texts, list(self.table.added), self.by_chunks)
+
+    def by_chunks(self, texts: list[str | None]) -> list[bytes]:
         chunked = [self.chunks(t) if t else [] for t in texts]
         self.learn(set().union(*chunked))
         return [b"".join(map(self.young.__getitem__, chunks)) for chunks in chunked]
@@ -241,8 +267,6 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 def encoded(table: MergeTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (id, text) to batches of IDS."""
-    import numpy as np
-
     encoder = Encoder(table)
 
     def rows() -> Iterator[tuple]:
@@ -253,10 +277,33 @@ def encoded(table: MergeTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     yield from batches_of(rows(), IDS, weight=lambda r: len(r[1]))
 
 
-def decoded(table: MergeTable, ids: pa.ListArray) -> Iterator[str]:
-    """The text of every list of ids: pieces joined by spaces, as a file without decoder has it."""
-    pieces, ends, values = table.pieces, ids.offsets.to_pylist(), ids.values.to_pylist()
-    return (" ".join([pieces[i] for i in values[a:b]]) for a, b in zip(ends[:-1], ends[1:]))
+class Decoder:
+    """Texts of lists of ids: pieces joined by spaces, as a file without decoder has it."""
+
+    def __init__(self, table: MergeTable):
+        pieces = {i: p.encode() + b" " for i, p in table.pieces.items()}
+        self.sizes = np.zeros(max(pieces) + 1, "int64")
+        self.sizes[list(pieces)] = list(map(len, pieces.values()))
+        self.places = np.zeros(len(self.sizes), "int64")
+        self.places[list(pieces)] = np.cumsum([0, *map(len, pieces.values())])[:-1]
+        self.bytes = np.frombuffer(b"".join(pieces.values()), "uint8")
+
+    def __call__(self, ids: pa.ListArray) -> Iterator[bytes]:
+        """UTF-8 of the text of every list."""
+        ends, values = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
+        at = 0
+        while at + 1 < len(ends):
+            to = at + 1
+            while to + 1 < len(ends) and ends[to + 1] - ends[at] <= DECODED:
+                to += 1
+            part = values[ends[at] : ends[to]]
+            if len(part) and (part.min() < 0 or part.max() >= len(self.sizes) or not self.sizes[part].all()):
+                raise ValueError("an id has no piece")
+            sizes = self.sizes[part]
+            text = self.bytes[ragged(self.places[part], sizes)].tobytes()
+            cuts = np.append(0, np.cumsum(sizes))[np.array(ends[at : to + 1]) - ends[at]].tolist()
+            yield from (text[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:]))
+            at = to
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -277,8 +324,9 @@ def decode_documents(spark: SparkSession, ids: DataFrame, tokenizer: str) -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = Decoder(shared.value)
         for batch in batches:
-            texts = pa.array(decoded(shared.value, batch["ids"]), pa.string())
+            texts = pa.array([text.decode() for text in decoded(batch["ids"])], pa.string())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], texts], schema=schema)
 
     return ids.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
@@ -289,9 +337,10 @@ def digests(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(MergeTable(tokenizer))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = Decoder(shared.value)
         for batch in encoded(shared.value, batches):
             sizes = pa.array(batch["ids"].value_lengths().to_pylist(), pa.int64())
-            shas = pa.array([hashlib.sha256(text.encode()).hexdigest() for text in decoded(shared.value, batch["ids"])], pa.string())
+            shas = pa.array([hashlib.sha256(text).hexdigest() for text in decoded(batch["ids"])], pa.string())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, batch["ids_sha256"], shas], schema=DIGESTS)
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")

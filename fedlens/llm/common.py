@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedlens.llm.merge_rows import Pairs, merge_chunks
-from fedlens.llm.piece_table import MOST_CHARS, ODD_CHARACTER, PieceTable, joined
+from fedlens.llm.piece_table import PieceTable, by_pieces_or
 from fedlens.session import cut_lineage
 from fedlens.sources.tables import table
 
@@ -210,28 +210,11 @@ class ChunkEncoder(dict):
         get = self.__getitem__
         self.update(zip(words, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split]))
 
-    def by_pieces(self, texts: list[str]) -> list[bytes] | None:
-        """Ids of every text by its pieces, or None if one has other characters, an added token or great length."""
-        if not (self.known and self.pieced) or any(len(t) > MOST_CHARS or any(name in t for name in self.added) for t in texts):
-            return None
-        data = joined(texts)
-        if data is None:
-            return None
-        found, ends = self.table.many(data)
-        ids, at = found.astype("<u4").tobytes(), (4 * ends).tolist()
-        return [ids[a:b] for a, b in zip(at, at[1:])]
-
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; pieces and chunks that are new to the task are encoded once for all of them."""
-        found = self.by_pieces([t or "" for t in texts])
-        if found is not None:
-            return found
-        other = [bool(t) and (ODD_CHARACTER(t) is not None or len(t) > MOST_CHARS or any(x in t for x in self.added)) for t in texts]
-        pieced = self.by_pieces([t or "" for t, is_other in zip(texts, other) if not is_other])
-        if pieced is None:
+        if not (self.known and self.pieced):
             return self.by_chunks(texts)
-        chunked, pieced = iter(self.by_chunks([t for t, is_other in zip(texts, other) if is_other])), iter(pieced)
-        return [next(chunked) if is_other else next(pieced) for is_other in other]
+        return by_pieces_or(self.table, texts, self.added, self.by_chunks)
 
     def by_chunks(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text; chunks that are new to the task are encoded once for all of them."""

@@ -177,3 +177,23 @@ class PieceTable:
         for piece in new:
             if len(piece) >= 64:
                 del self.long[piece]
+
+
+def by_pieces(table: PieceTable, texts: list[str], added: list[str]) -> list[bytes] | None:
+    """Ids of every text as little-endian 32-bit bytes, or None if one has other characters, an added token or great length."""
+    if any(len(t) > MOST_CHARS or any(name in t for name in added) for t in texts) or (data := joined(texts)) is None:
+        return None
+    found, ends = table.many(data)
+    ids, at = found.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [ids[a:b] for a, b in zip(at, at[1:])]
+
+
+def by_pieces_or(table: PieceTable, texts: list[str | None], added: list[str], others: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Ids of every text; ``others`` encodes those that can't go by pieces."""
+    texts = [t or "" for t in texts]
+    if (found := by_pieces(table, texts, added)) is not None:
+        return found
+    odd = [ODD_CHARACTER(t) is not None or len(t) > MOST_CHARS or any(name in t for name in added) for t in texts]
+    pieced = iter(by_pieces(table, [t for t, is_odd in zip(texts, odd) if not is_odd], added) or ())
+    rest = iter(others([t for t, is_odd in zip(texts, odd) if is_odd]))
+    return [next(rest if is_odd else pieced) for is_odd in odd]

@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,31 @@ def test_ids_of_texts_are_those_of_the_library(table, library, texts, bound):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_is_walked_once_a_task_whatever_stands_beside_it(table, library, monkeypatch):
+    walked, walk = [], table.encode
+    monkeypatch.setattr(table, "encode", lambda words: walked.extend(words) or walk(words))
+    encoder = bpe_trie.Encoder(table)
+    for text in ("Größe, (größe) Carpet.", "carpet? größe! carpet;carpet " + "größe" * 4, "GRÖßE carpet|" + "größe" * 4):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(walked) == len(set(walked))
+
+
+@settings(deadline=None, max_examples=60)
+@given(lists=st.lists(st.one_of(st.none(), st.lists(st.integers(0, 49407), max_size=9)), max_size=9), at_once=st.sampled_from([1, 4, 1 << 18]))
+def test_lists_of_ids_are_decoded_as_the_library_does(table, library, lists, at_once):
+    ids = pa.array([[5], *lists], pa.list_(pa.int32()))[1:]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe_trie, "DECODED", at_once)
+        found = [text.decode() for text in bpe_trie.Decoder(table)(ids)]
+    assert found == [library.decode(x or [], skip_special_tokens=False) for x in lists]
+
+
+@pytest.mark.parametrize("wrong", [-1, 49408])
+def test_an_unknown_id_is_refused(table, wrong):
+    with pytest.raises(ValueError):
+        list(bpe_trie.Decoder(table)(pa.array([[5, wrong]], pa.list_(pa.int32()))))
+
+
 def test_shared_prefixes_are_walked_once(table, monkeypatch):
     seen = []
     step, edges = table.step, table.edges
