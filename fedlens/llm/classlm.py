@@ -17,9 +17,10 @@ the vocabulary and one unknown word.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -90,7 +91,6 @@ def in_blocks(docs: DataFrame, head: list[bytes], buckets: int) -> DataFrame:
     types = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "ids": pa.list_(pa.int32()), "bucket": pa.int32()}
     types |= {x: pa.binary() for x in ("words", "uses", "contexts")}
     schema = pa.schema(list(types.items()))
-    gap = HEAD - len(head)
 
     def batch(n: int, columns: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in types.items()], schema=schema)
@@ -99,14 +99,16 @@ def in_blocks(docs: DataFrame, head: list[bytes], buckets: int) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         squeeze = zstandard.ZstdCompressor(level=3).compress
         ranks = {w: i for i, w in enumerate(head)}
-        own, tokens, rows = dict(ranks), 0, []
+        numbers = lambda: defaultdict(count(HEAD).__next__, ranks)
+        own, tokens, rows = numbers(), 0, []
 
         def sent() -> Iterator[pa.RecordBatch]:
             words = list(own)[len(head) :]
-            of = [zlib.crc32(w) % buckets for w in words]
-            order = sorted(range(len(words)), key=lambda i: (of[i], words[i]))
+            of = np.fromiter(map(zlib.crc32, words), "int64", len(words)) % buckets
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), "int64")
+            order = order[np.argsort(of[order], kind="stable")]
             place = np.arange(HEAD + len(words), dtype="int32")
-            place[HEAD + np.array(order, "int64")] = place[HEAD:].copy()
+            place[HEAD + order] = place[HEAD:].copy()
             ids = [place[r[2]] for r in rows]
             first = 0
             while first < len(rows):
@@ -125,21 +127,21 @@ def in_blocks(docs: DataFrame, head: list[bytes], buckets: int) -> DataFrame:
             at = at[np.argsort(flat[at], kind="stable")]
             uses = np.bincount(flat[at] - HEAD, minlength=len(words))
             ends = np.append(0, np.cumsum(uses))
-            edges = np.append(np.flatnonzero(np.append(True, np.diff([of[i] for i in order]) != 0)), len(order)) if order else [0]
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(of[order]) != 0)), len(order)) if len(order) else [0]
             for i, j in zip(edges[:-1], edges[1:]):
                 near = at[ends[i] : ends[j]]
-                row = [block, None, None, None, of[order[i]], squeeze(b" ".join(words[k] for k in order[i:j])), squeeze(uses[i:j].astype("<u4").tobytes())]
+                row = [block, None, None, None, int(of[order[i]]), squeeze(b" ".join([words[k] for k in order[i:j].tolist()])), squeeze(uses[i:j].astype("<u4").tobytes())]
                 row.append(squeeze(np.concatenate([rank[near - 1], rank[near + 1]]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types.values())], schema=schema)
 
         for doc_id, text in rows_of(batches):
             words = words_of_model(text)
-            ids = np.array([own.setdefault(w, len(own) + gap) for w in words], "int32")
+            ids = np.fromiter(map(own.__getitem__, words), "int32", len(words))
             rows.append((doc_id, held_out(doc_id), ids))
             tokens += len(ids)
             if len(own) >= len(head) + BLOCK_WORDS or tokens >= BLOCK_TOKENS:
                 yield from sent()
-                block, own, tokens, rows = block + 1, dict(ranks), 0, []
+                block, own, tokens, rows = block + 1, numbers(), 0, []
         if rows:
             yield from sent()
 
@@ -154,8 +156,8 @@ def coded(blocks: DataFrame, model: Model) -> DataFrame:
 
     def move(rows: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
-        number: dict[bytes, int] = {}
-        words = [np.array([number.setdefault(w, len(number)) for w in unpack(x).split(b" ")]) for x in rows["words"]]
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        words = [np.array([number[w] for w in unpack(x).split(b" ")]) for x in rows["words"]]
         uses = [np.frombuffer(unpack(x), "<u4") for x in rows["uses"]]
         sides = [np.frombuffer(unpack(x), "<u2").reshape(2, -1).astype("int64") for x in rows["contexts"]]
         word = np.repeat(np.concatenate(words), np.concatenate(uses))
@@ -342,11 +344,13 @@ def refitted(codes: DataFrame, model: Model) -> Model:
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size * size, "int64")
         for pdf in frames:
-            for doc in pdf["codes"]:
-                doc = np.asarray(doc)
-                counts, classes = counts_and_classes(model, doc)
-                states = 2 * classes + ((counts == 1) & (doc > 0))  # the end is never a word met once
-                total += np.bincount(np.append(0, states[:-1]) * size + states, minlength=size * size)
+            for docs in grouped(pdf["codes"]):
+                codes = np.concatenate(docs)
+                counts, classes = counts_and_classes(model, codes)
+                states = 2 * classes + ((counts == 1) & (codes > 0))  # the end is never a word met once
+                before = np.append(0, states[:-1])
+                before[first_of(docs)] = 0
+                total += np.bincount(before * size + states, minlength=size * size)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at, "n": total[at]})
 
@@ -360,12 +364,42 @@ def refitted(codes: DataFrame, model: Model) -> Model:
     return replace(model, step=transitions(parts.T @ total @ parts), by_class=total.sum(0) @ parts)
 
 
-def log_probability(model: Model, codes: np.ndarray) -> np.ndarray:
-    """log10 probability of each token of a document, in order."""
+def log_probability(model: Model, codes: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
+    """log10 probability of each token of the documents that begin at ``first``, in order."""
     counts, classes = counts_and_classes(model, codes)
     weight = np.where((counts <= 1) & (codes > 0), 0.5, np.maximum(counts, 0.5))
     share = np.where(classes < CLASSES, np.log10(weight / np.maximum(model.by_class[classes], 0.5)), 0.0)
-    return model.step[np.append(0, classes[:-1]), classes] + share
+    before = np.append(0, classes[:-1])
+    before[first] = 0
+    return model.step[before, classes] + share
+
+
+def grouped(docs: pd.Series) -> Iterator[list[np.ndarray]]:
+    """Documents in groups of about PIECE_TOKENS, which are worked on at once."""
+    held, n = [], 0
+    for doc in docs:
+        held.append(np.asarray(doc))
+        n += len(doc)
+        if n >= PIECE_TOKENS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def first_of(docs: list[np.ndarray]) -> np.ndarray:
+    """Where each of some documents begins; none is without its end."""
+    return np.cumsum([0, *map(len, docs[:-1])])
+
+
+def score_rows(model: Model, docs: list[np.ndarray]) -> Iterator[tuple]:
+    """Tokens, known tokens, training tokens, base and score of every document; each is summed by itself."""
+    scale = np.log10(model.tokens + 0.1 * (model.words + 1))
+    codes, first = np.concatenate(docs), first_of(docs)
+    counts = counts_and_classes(model, codes)[0]
+    known, base, score = np.add.reduceat(counts > 0, first, dtype="int64"), np.log10(counts + 0.1), log_probability(model, codes, first)
+    for at, n, n_known in zip(first.tolist(), map(len, docs), known.tolist()):
+        yield n, n_known, model.tokens, float(base[at : at + n].sum() - n * scale), float(score[at : at + n].sum())
 
 
 def learn(ids: DataFrame, head_counts: np.ndarray, tokens: int, words: int) -> Model:
@@ -401,14 +435,8 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(refitted(codes, model))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        scale = np.log10(model.tokens + 0.1 * (model.words + 1))
         for pdf in frames:
-            rows = []
-            for codes in map(np.asarray, pdf["codes"]):
-                count = counts_and_classes(model, codes)[0]
-                base = float(np.log10(count + 0.1).sum() - len(codes) * scale)
-                rows.append((len(codes), int((count > 0).sum()), model.tokens, base, float(log_probability(model, codes).sum())))
+            rows = [row for docs in grouped(pdf["codes"]) for row in score_rows(shared.value, docs)]
             found = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
             yield pd.concat([pdf[["doc_id", "held_out"]].reset_index(drop=True), found], axis=1)
 

@@ -165,3 +165,20 @@ def test_all_words_and_one_unknown_sum_to_one(spark):
     _, classes = classlm.counts_and_classes(model, np.array([before]))
     empty = sum(10 ** model.step[classes[0], c] for c in range(classlm.CLASSES + 1) if c not in used)
     assert math.isclose(sum(following) + empty, 1)
+
+
+def test_documents_of_a_group_are_scored_at_once_and_each_as_if_alone(monkeypatch):
+    random = np.random.default_rng(11)
+    docs = [np.append(random.choice([1, 2, 3, classlm.HEAD, classlm.HEAD + 2 * classlm.CLASSES + 7], n), 0) for n in random.integers(0, 60, 50)]
+    step = classlm.transitions(random.integers(0, 9, (classlm.CLASSES + 1, classlm.CLASSES + 1)).astype(float))
+    head_counts = np.append([30, 4, 1, 2], np.zeros(classlm.HEAD - 4, "int64"))
+    model = classlm.Model(classlm.first_classes(), step, None, np.full(classlm.CLASSES + 1, 9.0), head_counts, 300, 7)
+    calls, own = [], classlm.counts_and_classes
+    monkeypatch.setattr(classlm, "counts_and_classes", lambda *x: calls.append(x) or own(*x))
+    found = list(classlm.score_rows(model, docs))
+    assert len(calls) == 2
+    for row, doc in zip(found, docs, strict=True):
+        counts = own(model, doc)[0]
+        base = sum(math.log10((c + 0.1) / (300 + 0.1 * 8)) for c in counts.tolist())
+        assert row[:3] == (len(doc), (counts > 0).sum(), 300) and math.isclose(row[3], base, rel_tol=1e-12)
+        assert row[4] == classlm.log_probability(model, doc).sum() and row == next(classlm.score_rows(model, [doc]))
