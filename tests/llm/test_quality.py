@@ -154,3 +154,25 @@ def test_estimates_move_with_every_row(spark):
         centres.append(known[0].m0)
     assert abs(centres[4] - centres[3]) < 3 and abs(centres[5] - centres[4]) < 3
     assert centres[0] < 425 and centres[-1] > 440
+
+
+def test_rows_never_go_through_the_driver(spark, monkeypatch):
+    """Rows of few values are small as files, so that Spark would send all of them; the groups beside them are sent instead."""
+    plans, kept = [], quality.stored
+
+    def seen(spark, df, purpose):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(spark, df, purpose)
+
+    text = "a few words that are long enough to be counted " * 9
+    docs = spark.createDataFrame([(i, f"{text} {i}", "en", f"s{i % 3}") for i in range(300)], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(quality, "stored", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        each = quality.measure(spark, docs).select("lang", "source", *quality.group_names(), quality.shape("quality").alias("x"))
+        each = kept(spark, each, "rows").selectExpr("explode(array(own_, of_lang_, of_all_)) AS group", "x")
+        assert quality.estimate(spark, each).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows_first = [p for p in plans if "posexplode" not in p and re.search(r"Join .*group", p)]
+    assert len(rows_first) >= 5 and not any(re.search(r"Join \[group.*BuildLeft", p) for p in rows_first)
