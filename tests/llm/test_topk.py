@@ -1,5 +1,8 @@
+import tracemalloc
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,34 @@ def test_hard_vectors(spark):
     assert rows(whole) == [(0, [32, 64]), (6, [0, -1]), (7, [32, 64])]
     assert rows(topk.top_k(spark, whole, F.col("vec_id") % 20 == 0, 20)) == [(0, 1, 7, 5120), (0, 2, 6, -64)]
     assert topk.top_k(spark, whole.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def test_a_batch_of_queries_is_routed_in_pieces():
+    """What a task holds of a batch does not grow with its queries times the blocks they go to."""
+    random = np.random.default_rng(0)
+    v, sample, pivots = (random.integers(-30, 31, (n, 8)).astype("float64") for n in (5000, topk.SAMPLE_ROWS, 32))
+    batch = pa.record_batch({"vec_id": np.arange(5000), "row": np.arange(5000) + 7, "v": topk.packed(v, "int8")})
+    reach = {p: (0.0, 1e9, 50) for p in range(32)}
+    radius2 = float((v * v).sum(1).max())
+    tracemalloc.start()
+    n, met = 0, np.zeros(5000, int)
+    for out in topk.routes(batch, "int8", "float32", sample.astype("float32"), np.arange(len(sample)), topk.lengthened(pivots, 1e6), reach, radius2, 20):
+        assert out.num_rows <= topk.ROUTED_ROWS
+        n += out.num_rows
+        met += np.bincount(out["row"].to_numpy() - 7, minlength=5000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 5000 * 32 * 50 and (met == 1600).all()
+    assert peak < 80e6
+
+
+def test_candidates_are_merged_before_they_pile_up(spark, monkeypatch):
+    """Equal scores everywhere, with fewer kept waiting than a query meets; the greatest id is a candidate as any other."""
+    for name, size in (("HELD", 30), ("RING_ROWS", 11), ("SCORED_ROWS", 3), ("ROUTED_ROWS", 4), ("SAMPLE_ROWS", 5), ("BLOCK_ROWS", 60), ("QUERY_ROWS", 7)):
+        monkeypatch.setattr(topk, name, size)
+    vectors = [(i, [1, 300, -2]) for i in range(200, 0, -1)] + [(2**63 - 1, [2, 300, -2]), (40, [1, 300, -2])]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    assert rows(topk.top_k(spark, df, F.col("vec_id") % 20 == 0, 20)) == brute(vectors, 20)
+    wide = [(i, [x * 70_000, 5]) for i, x in enumerate(range(-30, 30))]
+    df = spark.createDataFrame(wide, "vec_id long, v array<long>")
+    assert rows(topk.top_k(spark, df, F.col("vec_id") % 20 == 0, 20)) == brute(wide, 20)
