@@ -3,7 +3,9 @@
 Two sets with a similarity of t or more, ordered by one global order, share at least k elements among the first
 n - ceil(t n) + k of each, for every k. Each document picks its k: a longer prefix is met in more places but asks for more
 shared elements, and the one with the least estimated cost is taken. Pairs need as many shared prefix elements as the smaller of their two k. The
-order is by an estimate of frequency from a sketch of fixed size, rare first; any order gives the same result.
+order is by an estimate of frequency from a sketch of fixed size, rare first; any order gives the same result. The sketch has
+cells enough that elements of some fifty sets stand out from what else falls in their cells: else they come into prefixes, and
+all that hold one are compared as a group.
 
 Documents with one set are one class from the start. An element in the prefixes of up to SMALL classes makes pairs, at most
 SMALL / 2 a posting. Where more meet, as in large groups of near copies, no pairs are made: all that share such an element are put in blocks
@@ -25,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.llm.common import batches_of, rows_of, stored
+from fedlens.llm.common import batches_of, in_groups, rows_of, stored
 from fedlens.llm.components import components
-from fedlens.llm.shingles import WordHashes, shingle_set
+from fedlens.llm.shingles import shingle_sets
 
-SKETCH = 1 << 18
+SKETCH = 1 << 22
+#: Cells of the sketch that travel together, one byte each or as a list of those in use.
+CELLS = 4096
 LONGEST_K = 4
 VERIFY_COST = 20.0
 SMALL = 48
@@ -39,7 +43,7 @@ MARKS = 1024
 #: A token whose cell of the sketch holds more than this, or OFTEN times the usual cell, is dealt over SPREAD tasks.
 OFTEN, OFTEN_USES, SPREAD = 4, 20_000, 200
 HELD = 1 << 15
-SETS = "doc_id long, set_id long, n long, at int, uses long, marks array<long>"
+SETS = "doc_id long, set_id long, n long, at int, cells binary, marks array<long>"
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -52,29 +56,70 @@ def marks_of(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype("uint8")).view("int64")
 
 
+LISTED = np.dtype([("at", "<u2"), ("uses", "<u4")])
+
+
+def parts_of(sketch: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The sketch in parts of CELLS with a number each: a byte a cell, or where that is shorter or too small, a list."""
+    for start in range(0, len(sketch), CELLS):
+        uses = sketch[start : start + CELLS]
+        uses = np.pad(uses, (0, CELLS - len(uses)))
+        at = np.flatnonzero(uses)
+        if len(at) * LISTED.itemsize >= CELLS:
+            yield start // CELLS, np.minimum(uses, 255).astype("uint8").tobytes()
+            uses = uses - np.minimum(uses, 255)
+            at = np.flatnonzero(uses)
+        for some in np.array_split(at, 1 + len(at) * LISTED.itemsize // CELLS) if len(at) else ():
+            listed = np.zeros(len(some), LISTED)
+            listed["at"], listed["uses"] = some, uses[some]
+            yield start // CELLS, listed.tobytes()
+
+
+def added(parts: Iterator[tuple[int, bytes]]) -> dict[int, np.ndarray]:
+    """Sums of the parts by their number. A list is always shorter than CELLS bytes, and a part of bytes never is."""
+    total: dict[int, np.ndarray] = {}
+    for part, cells in parts:
+        uses = total.setdefault(part, np.zeros(CELLS, "int64"))
+        if len(cells) == CELLS:
+            uses += np.frombuffer(cells, "uint8")
+        else:
+            listed = np.frombuffer(cells, LISTED)
+            uses[listed["at"]] += listed["uses"]
+    return total
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sketch of all rows."""
+    schema = pa.schema([("at", pa.int32()), ("uses", pa.list_(pa.int64()))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, uses in added(rows_of(batches)).items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uses], schema.field(1).type)], schema=schema)
+
+    parts = rows.where(F.col("at").isNotNull()).select("at", "cells").repartition("at").mapInArrow(add, "at int, uses array<long>").toArrow()
+    sketch = np.zeros(-(-SKETCH // CELLS) * CELLS, "uint32")
+    for part, uses in zip(parts["at"].to_pylist(), parts["uses"].combine_chunks() if parts.num_rows else ()):
+        sketch[part * CELLS : (part + 1) * CELLS] = np.minimum(uses.values.to_numpy(), 0xFFFFFFFF)
+    return sketch[:SKETCH]
+
+
 def measured(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document with its set's key, size and marks, and rows ``at, uses`` that add up to the sketch."""
+    """A row per document with its set's key, size and marks, and rows ``at, cells`` that add up to the sketch."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("uses", pa.int64()), ("marks", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("cells", pa.binary()), ("marks", pa.list_(pa.int64()))]
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sketch = WordHashes(), np.zeros(SKETCH, "int64")
+        sketch = np.zeros(SKETCH, "int64")
 
         def rows() -> Iterator[tuple]:
-            held, n = [], 0
-            for doc_id, text in rows_of(batches):
-                tokens = shingle_set(text, size, known)
-                held.append(tokens)
-                n += len(tokens)
-                if n > 1 << 20:
-                    sketch[:] += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype("int64"), minlength=SKETCH)
-                    held, n = [], 0
-                yield (doc_id, set_key(tokens), len(tokens), None, None, marks_of(tokens)) if len(tokens) else (doc_id, None, 0, None, None, None)
-            if held:
-                sketch[:] += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype("int64"), minlength=SKETCH)
-            for at in np.flatnonzero(sketch):
-                yield None, None, None, int(at), int(sketch[at]), None
+            for group in in_groups(rows_of(batches)):
+                sets = shingle_sets([text for _, text in group], size)
+                np.add.at(sketch, (np.concatenate(sets) % np.uint64(SKETCH)).astype("int64"), 1)
+                for (doc_id, _), tokens in zip(group, sets):
+                    yield (doc_id, set_key(tokens), len(tokens), None, None, marks_of(tokens)) if len(tokens) else (doc_id, None, 0, None, None, None)
+            for at, cells in parts_of(sketch):
+                yield None, None, None, at, cells, None
 
         yield from batches_of(rows(), schema)
 
@@ -103,7 +148,7 @@ def postings(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
     schema = pa.schema([(x, pa.int64()) for x in ("token", "set_id", "about")])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sketch = WordHashes(), shared.value
+        sketch = shared.value
         usual = float(np.median(sketch))
         often = max(OFTEN * usual, OFTEN_USES)
         chosen, about, n = [], [], 0
@@ -115,13 +160,13 @@ def postings(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
             packed = packed + np.where(hot, 1 + key % SPREAD, 0)
             return pa.RecordBatch.from_arrays([pa.array(v) for v in (tokens.view("int64"), np.ascontiguousarray(key), packed)], schema=schema)
 
-        for _, text in rows_of(batches):
-            tokens = shingle_set(text, size, known)
-            if len(tokens):
-                first, k = prefix(tokens, sketch, usual, percent)
-                chosen.append(first)
-                about.append((set_key(tokens), len(tokens) << 16 | k << 8))
-                n += len(first)
+        for group in in_groups(rows_of(batches)):
+            for tokens in shingle_sets([text for _, text in group], size):
+                if len(tokens):
+                    first, k = prefix(tokens, sketch, usual, percent)
+                    chosen.append(first)
+                    about.append((set_key(tokens), len(tokens) << 16 | k << 8))
+                    n += len(first)
             if n >= 1 << 16:
                 yield sent()
                 chosen, about, n = [], [], 0
@@ -219,15 +264,13 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-
         def rows() -> Iterator[tuple]:
-            last, own = None, None
-            for x, y, a, b in rows_of(batches):
-                if x != last:
-                    last, own = x, shingle_set(a, size, known)
-                if similar(own, shingle_set(b, size, known), percent):
-                    yield x, y
+            for group in in_groups((x, b, y, a) for x, y, a, b in rows_of(batches)):
+                firsts = {x: a for x, _, _, a in group}
+                sets = dict(zip(firsts, shingle_sets(list(firsts.values()), size)))
+                for (x, _, y, _), other in zip(group, shingle_sets([b for _, b, _, _ in group], size)):
+                    if similar(sets[x], other, percent):
+                        yield x, y
 
         yield from batches_of(rows(), schema)
 
@@ -304,8 +347,7 @@ def block_edges(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     sent = held.select("hub", "set_id", "own", other).select("hub", "set_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = WordHashes()
-        sets = [shingle_set(t, size, known) for t in pdf["text"]]
+        sets = [s for some in in_groups(enumerate(pdf["text"])) for s in shingle_sets([t for _, t in some], size)]
         edges = forest(pdf["set_id"].to_numpy(), sets, (pdf["own"] == pdf["i"]).to_numpy(), percent)
         return pd.DataFrame(edges, columns=["x", "y"], dtype="int64")
 
@@ -317,13 +359,11 @@ def holding(texts: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("set_id", pa.int64()), ("text", pa.string())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-
         def rows() -> Iterator[tuple]:
-            for set_id, text in rows_of(batches):
-                tokens = shingle_set(text, size, known)
-                if len(tokens) and set_key(tokens) == set_id:
-                    yield set_id, text
+            for group in in_groups(rows_of(batches)):
+                for (set_id, text), tokens in zip(group, shingle_sets([text for _, text in group], size)):
+                    if len(tokens) and set_key(tokens) == set_id:
+                        yield set_id, text
 
         yield from batches_of(rows(), schema, weight=lambda r: len(r[1]))
 
@@ -339,10 +379,7 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     read. Sets are compared by 64-bit hashes of shingles.
     """
     rows = stored(spark, measured(docs, size), "shingle-sets")
-    uses = rows.where(F.col("at").isNotNull()).groupBy("at").agg(F.sum("uses").alias("uses")).toArrow()
-    sketch = np.zeros(SKETCH)
-    sketch[uses["at"].to_numpy()] = uses["uses"].to_numpy()
-    shared = spark.sparkContext.broadcast(sketch)
+    shared = spark.sparkContext.broadcast(summed(rows))
     sets = rows.where(F.col("at").isNull()).select("doc_id", "set_id", "n")
     named = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = named.groupBy("set_id", "n").agg(F.min("doc_id").alias("node"), F.first("marks").alias("marks"))

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from conftest import rows
 from fedlens.llm import components, jaccard_join, queries
+from fedlens.llm.shingles import shingle_sets
 
 
 def shingles(text, size=3):
@@ -154,3 +155,40 @@ def test_texts_with_a_passage_in_common_are_not_compared(spark, monkeypatch):
     found = rows(jaccard_join.linked(spark, frame(spark, texts), 3, 90), "doc_id", "component_id")
     assert found == [(i, i % 100) for i, _ in texts]
     assert compared == [5]
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.none() | st.text("aAbÉ\x00 \n\t\x0b\x1c\xa0", max_size=40) | st.integers(6, 200).map(lambda n: "a b " + "x" * n + " " + "X" * (n + 1)), max_size=6), st.integers(1, 5))
+def test_sets_of_many_texts_at_once(texts, size):
+    found = shingle_sets(texts, size)
+    assert [len(s) for s in found] == [len(shingles(t, size)) for t in texts]
+    assert all((np.diff(s.astype(object)) > 0).all() for s in found)
+    for a, x in zip(texts, found):
+        for b, y in zip(texts, found):
+            assert len(np.intersect1d(x, y)) == len(shingles(a, size) & shingles(b, size))
+
+
+@settings(deadline=None, max_examples=50)
+@given(st.lists(st.dictionaries(st.integers(0, 9999), st.integers(1, 70_000), max_size=30), max_size=4), st.integers(0, 300))
+def test_parts_of_the_sketch_add_up(tasks, base):
+    sketches = [np.full(10_000, base * i, "int64") for i in range(len(tasks))]
+    for sketch, cells in zip(sketches, tasks):
+        for cell, uses in cells.items():
+            sketch[cell] += uses
+    total = jaccard_join.added(x for sketch in sketches for x in jaccard_join.parts_of(sketch))
+    whole = np.concatenate([total.get(i, np.zeros(jaccard_join.CELLS, int)) for i in range(3)])
+    assert (whole[:10_000] == sum(sketches, np.zeros(10_000, int))).all() and not whole[10_000:].any()
+
+
+def test_elements_of_fifty_sets_stand_out_in_a_large_corpus():
+    """With so many other elements in the sketch as six GB of text have, what fifty sets share stays out of their prefixes."""
+    rng = np.random.default_rng(0)
+    sketch = rng.poisson(1.5e9 / jaccard_join.SKETCH, jaccard_join.SKETCH)
+    usual, met = float(np.median(sketch)), 0
+    shared = rng.integers(0, 1 << 63, 2000, "uint64") * np.uint64(2)
+    np.add.at(sketch, (shared % np.uint64(jaccard_join.SKETCH)).astype(int), 60)
+    for some in shared.reshape(100, 20):
+        own = rng.integers(0, 1 << 63, 430, "uint64")
+        first, _ = jaccard_join.prefix(np.sort(np.append(own, some)), sketch, usual, 90)
+        met += len(np.intersect1d(first, some))
+    assert met <= 4
