@@ -8,8 +8,9 @@ cells enough that elements of some fifty sets stand out from what else falls in
 all that hold one are compared as a group.
 
 Documents with one set are one class from the start. An element in the prefixes of up to SMALL classes makes pairs, at most
-SMALL / 2 a posting. Where more meet, as in large groups of near copies, no pairs are made: all that share such an element are put in blocks
-around one of them, pairs of blocks are compared in a task each, and only edges of a spanning forest come out.
+SMALL / 2 a posting. Where more meet, as in large groups of near copies, no pairs are made: all that share such an element are
+compared with one of them. Where that leaves more than one component, those whose marks come near to one of another component
+are put in blocks, pairs of blocks are compared in a task each, and only edges of a spanning forest come out.
 
 Two sets of known sizes that are linked share more of their prefixes than the least k that holds for all sizes, and their
 marks (the parity of the number of elements in each of MARKS cells) differ in no more cells than the sets do in elements. Both are asked of a
@@ -38,6 +39,8 @@ LONGEST_K = 4
 VERIFY_COST = 20.0
 SMALL = 48
 BLOCK = 512
+#: The same where marks are compared and no texts.
+MARKED_BLOCK = 2048
 RARE = 24
 MARKS = 1024
 #: A token whose cell of the sketch holds more than this, or OFTEN times the usual cell, is dealt over SPREAD tasks.
@@ -246,8 +249,13 @@ def gathered(found: DataFrame) -> DataFrame:
 def candidate_pairs(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets that share as many elements of their prefixes as is asked, and whose marks differ in few enough cells."""
     pairs = found.where("asked > 0").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"))
+    return alike(pairs.where("shared >= asked").select("x", "y"), classes, percent)
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those whose marks differ in too many cells."""
     of = lambda side: classes.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("marks").alias(f"marks_{side}"))
-    marked = pairs.where("shared >= asked").select("x", "y").join(of("x"), "x").join(of("y"), "y")
+    marked = pairs.join(of("x"), "x").join(of("y"), "y")
     differ = F.zip_with("marks_x", "marks_y", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     total = F.col("n_x") + F.col("n_y")
     least = F.expr(f"((n_x + n_y) * {percent} + {99 + percent}) div {100 + percent}")
@@ -327,10 +335,11 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between two blocks (``first`` marks one), or within one."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent: int, component: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links of different components between two blocks (``first`` marks one), or within one."""
     both, lengths = intersections(sets), np.array([len(s) for s in sets])
     linked = 100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)
+    linked &= component[:, None] != component[None, :]
     if not first.all():
         linked &= first[:, None] != first[None, :]
     i, j = np.nonzero(np.triu(linked, 1))
@@ -338,20 +347,55 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, percent:
     return [(int(ids[a]), int(ids[b])) for a, b in kept]
 
 
-def block_edges(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges within large groups; ``members`` has ``hub, set_id``. A group is cut in blocks of about BLOCK."""
+def tiles(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (``hub, set_id`` and more) once for each two blocks ``i, j`` of their group that ``own``, theirs, is one of."""
     sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("total"))
-    held = members.join(sizes, "hub").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    held = members.join(sizes, "hub").withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
     held = held.withColumn("own", F.pmod(F.xxhash64("set_id", "hub"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = held.select("hub", "set_id", "own", other).select("hub", "set_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return held.select(*members.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def reaching(n: np.ndarray, marks: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may be linked to one of another component, as far as sizes and marks tell."""
+    found = np.zeros(len(n), bool)
+    for at in range(0, len(n), 64):
+        some = slice(at, at + 64)
+        differ = np.bitwise_count(marks[some, None] ^ marks[None]).sum(2, dtype="int64")
+        total = n[some, None] + n[None]
+        found[some] = ((differ <= total - 2 * common(total, percent)) & (component[some, None] != component[None])).any(1)
+    return found
+
+
+def unsettled(members: DataFrame, classes: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
+    """``hub, set_id, component`` of the members that may be linked to a member of their group in another component.
+
+    ``reached`` has the components so far by set. A group that is one component is settled; in the others marks are compared,
+    without a text, two blocks at a time.
+    """
+    whole = members.join(reached.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
+    whole = whole.withColumn("component", F.coalesce("component", "set_id"))
+    several = whole.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub")
+    marked = whole.join(several, "hub").join(classes.select("set_id", "n", "marks"), "set_id")
+
+    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
+        marks = np.stack(pdf["marks"].to_list()).astype("int64").view("uint64")
+        return pdf.loc[reaching(pdf["n"].to_numpy(), marks, pdf["component"].to_numpy(), percent), ["hub", "set_id", "component"]]
+
+    near = tiles(marked.select("hub", "set_id", "component", "n", "marks"), MARKED_BLOCK).groupBy("hub", "i", "j")
+    return near.applyInPandas(reach, "hub long, set_id long, component long").distinct()
+
+
+def block_edges(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges between components within large groups; ``members`` has ``hub, set_id, component``. A group is cut in blocks of about BLOCK."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [s for some in in_groups(enumerate(pdf["text"])) for s in shingle_sets([t for _, t in some], size)]
-        edges = forest(pdf["set_id"].to_numpy(), sets, (pdf["own"] == pdf["i"]).to_numpy(), percent)
+        first = (pdf["own"] == pdf["i"]).to_numpy()
+        edges = forest(pdf["set_id"].to_numpy(), sets, first, percent, pdf["component"].to_numpy())
         return pd.DataFrame(edges, columns=["x", "y"], dtype="int64")
 
-    return sent.join(texts, "set_id").groupBy("hub", "i", "j").applyInPandas(compare, "x long, y long")
+    return tiles(members, BLOCK).join(texts, "set_id").groupBy("hub", "i", "j").applyInPandas(compare, "x long, y long")
 
 
 def holding(texts: DataFrame, size: int) -> DataFrame:
@@ -387,8 +431,9 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
 
     posted = postings(docs.where(F.col("doc_id").isNotNull()), shared, size, percent)
     found = stored(spark, met(posted, percent), "meeting")
-    pairs = stored(spark, candidate_pairs(found, classes, percent), "pairs")
     members = stored(spark, gathered(found), "members")
+    stars = alike(members.where("hub <> set_id").select(F.col("hub").alias("x"), F.col("set_id").alias("y")), classes, percent)
+    pairs = stored(spark, candidate_pairs(found, classes, percent).union(stars).distinct(), "pairs")
 
     wanted = members.select("set_id").union(pairs.select("x")).union(pairs.select("y")).distinct()
     holders = wanted.join(classes, "set_id").select("set_id", F.col("node").alias("doc_id"))
@@ -397,7 +442,10 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     texts = holding(texts, size).dropDuplicates(["set_id"])
     texts = stored(spark, texts, "candidate-texts")
 
-    edges = verified(pairs, texts, size, percent).union(block_edges(members, texts, size, percent))
+    linked_pairs = stored(spark, verified(pairs, texts, size, percent), "linked-pairs")
+    reached = components(spark, linked_pairs.toDF("u", "v"))
+    open_members = stored(spark, unsettled(members, classes, reached, percent), "unsettled")
+    edges = linked_pairs.union(block_edges(open_members, texts, size, percent))
     nodes = classes.select("set_id", "node")
     edges = edges.join(nodes.select(F.col("set_id").alias("x"), F.col("node").alias("u")), "x")
     edges = edges.join(nodes.select(F.col("set_id").alias("y"), F.col("node").alias("v")), "y").select("u", "v")

@@ -192,3 +192,30 @@ def test_elements_of_fifty_sets_stand_out_in_a_large_corpus():
         first, _ = jaccard_join.prefix(np.sort(np.append(own, some)), sketch, usual, 90)
         met += len(np.intersect1d(first, some))
     assert met <= 4
+
+
+def test_a_group_that_is_one_component_is_not_compared_in_blocks(spark, monkeypatch):
+    """All are near the one that they meet around; members of other components whose marks differ are left out too."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 6)
+    monkeypatch.setattr(jaccard_join, "OFTEN_USES", 5)
+    sent = []
+    block_edges = jaccard_join.block_edges
+    monkeypatch.setattr(jaccard_join, "block_edges", lambda members, *rest: sent.append(members.count()) or block_edges(members, *rest))
+    base = [f"w{k}" for k in range(400)]
+    texts = [(i, " ".join(base[: 9 * i] + ["e"] + base[9 * i + 1 :])) for i in range(40)]
+    found = rows(jaccard_join.linked(spark, frame(spark, texts), 3, 90), "doc_id", "component_id")
+    assert found == [(i, 0) for i, _ in texts]
+    texts += [(100 + i, " ".join(base[:40] + [f"own{i}n{k}" for k in range(60)])) for i in range(30)]
+    assert rows(jaccard_join.linked(spark, frame(spark, texts), 3, 90), "doc_id", "component_id") == found + [(i, i) for i, _ in texts[40:]]
+    assert sent == [0, 0]
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=1, max_size=90), st.lists(st.integers(0, 3), min_size=90, max_size=90), st.integers(50, 100))
+def test_linked_sets_of_other_components_reach_each_other(sets, component, percent):
+    tokens = [np.array(sorted(s), "uint64") * np.uint64(0x9E3779B97F4A7C15) for s in sets]
+    marks = np.stack([jaccard_join.marks_of(t) for t in tokens]).view("uint64")
+    found = jaccard_join.reaching(np.array([len(s) for s in sets]), marks, np.array(component[: len(sets)]), percent)
+    for i, x in enumerate(sets):
+        near = [j for j, y in enumerate(sets) if component[i] != component[j] and 100 * len(x & y) >= percent * len(x | y)]
+        assert found[i] or not near
