@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 from conftest import rows
+from fedlens.llm import quality
 from llm.test_ids import check_packing
 from llm.test_jaccard import brute as near_groups
 
@@ -52,3 +53,24 @@ def test_hard_rows(spark, hard, nothing):
                 assert found.columns == docs.columns
             ids = collections.Counter(r.doc_id for r in found.select("doc_id").distinct().collect())
             assert set(ids) <= {r.doc_id for r in docs.collect()}
+
+
+def test_the_first_stage_sends_no_rows_through_the_driver(spark, monkeypatch):
+    """With Spark's own limit for broadcasts, the rows that estimates are made of are the smaller side as files, but not in memory."""
+    plans, kept = [], quality.stored
+
+    def seen(spark, df, purpose):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(spark, df, purpose)
+
+    monkeypatch.setattr(quality, "stored", seen)
+    text = "a few words that are long enough to be counted " * 9
+    docs = spark.createDataFrame([(i, f"{text} {i}" if i % 9 else "short", "en", f"s{i % 3}") for i in range(300)], "doc_id long, text string, lang string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        stage = dict(corpus_pipeline.STAGES)["quality rules"]
+        assert {r.doc_id % 9 for r in stage(spark, docs, "").collect()} <= set(range(1, 9))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for p in plans for line in p.split("\n") if re.search(r"Join \[group", line)]
+    assert len(joins) >= 4 and not any("BuildLeft" in line for line in joins)
