@@ -32,7 +32,7 @@ from fedlens.llm.common import batches_of, in_groups, rows_of, stored
 from fedlens.llm.components import components
 from fedlens.llm.shingles import shingle_sets
 
-SKETCH = 1 << 22
+SKETCH = 1 << 21
 #: Cells of the sketch that travel together, one byte each or as a list of those in use.
 CELLS = 4096
 LONGEST_K = 4
@@ -92,18 +92,21 @@ def added(parts: Iterator[tuple[int, bytes]]) -> dict[int, np.ndarray]:
 
 
 def summed(rows: DataFrame) -> np.ndarray:
-    """The sketch of all rows."""
-    schema = pa.schema([("at", pa.int32()), ("uses", pa.list_(pa.int64()))])
+    """The sketch of all rows, in two bytes a cell as long as cells that are used often can be told by them, else in four."""
+    schema = pa.schema([("at", pa.int32()), ("cells", pa.binary())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, uses in added(rows_of(batches)).items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uses], schema.field(1).type)], schema=schema)
+            kind = "<u2" if uses.max() < 1 << 16 else "<u4"
+            cells = np.minimum(uses, (1 << 32) - 1).astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([cells])], schema=schema)
 
-    parts = rows.where(F.col("at").isNotNull()).select("at", "cells").repartition("at").mapInArrow(add, "at int, uses array<long>").toArrow()
+    parts = rows.where(F.col("at").isNotNull()).select("at", "cells").repartition("at").mapInArrow(add, "at int, cells binary").toArrow()
     sketch = np.zeros(-(-SKETCH // CELLS) * CELLS, "uint32")
-    for part, uses in zip(parts["at"].to_pylist(), parts["uses"].combine_chunks() if parts.num_rows else ()):
-        sketch[part * CELLS : (part + 1) * CELLS] = np.minimum(uses.values.to_numpy(), 0xFFFFFFFF)
-    return sketch[:SKETCH]
+    for part, cells in zip(*(c.to_pylist() for c in parts.columns)):
+        sketch[part * CELLS : (part + 1) * CELLS] = np.frombuffer(cells, f"<u{len(cells) // CELLS}")
+    most = max(OFTEN * float(np.median(sketch)), OFTEN_USES)
+    return (np.minimum(sketch, (1 << 16) - 1).astype("uint16") if most < (1 << 16) - 1 else sketch)[:SKETCH]
 
 
 def measured(docs: DataFrame, size: int) -> DataFrame:
@@ -367,14 +370,14 @@ def reaching(n: np.ndarray, marks: np.ndarray, component: np.ndarray, percent: i
     return found
 
 
-def unsettled(members: DataFrame, classes: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
+def unsettled(members: DataFrame, classes: DataFrame, linked_pairs: DataFrame, percent: int) -> DataFrame:
     """``hub, set_id, component`` of the members that may be linked to a member of their group in another component.
 
-    ``reached`` has the components so far by set. A group that is one component is settled; in the others marks are compared,
-    without a text, two blocks at a time.
+    All that are linked to the hub are one component, and the others are one each. A group that is one component is settled;
+    in the others marks are compared, without a text, two blocks at a time.
     """
-    whole = members.join(reached.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
-    whole = whole.withColumn("component", F.coalesce("component", "set_id"))
+    near_hub = linked_pairs.select(F.col("x").alias("hub"), F.col("y").alias("set_id"), F.col("x").alias("component"))
+    whole = members.join(near_hub, ["hub", "set_id"], "left").withColumn("component", F.coalesce("component", "set_id"))
     several = whole.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub")
     marked = whole.join(several, "hub").join(classes.select("set_id", "n", "marks"), "set_id")
 
@@ -443,8 +446,7 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> Dat
     texts = stored(spark, texts, "candidate-texts")
 
     linked_pairs = stored(spark, verified(pairs, texts, size, percent), "linked-pairs")
-    reached = components(spark, linked_pairs.toDF("u", "v"))
-    open_members = stored(spark, unsettled(members, classes, reached, percent), "unsettled")
+    open_members = stored(spark, unsettled(members, classes, linked_pairs, percent), "unsettled")
     edges = linked_pairs.union(block_edges(open_members, texts, size, percent))
     nodes = classes.select("set_id", "node")
     edges = edges.join(nodes.select(F.col("set_id").alias("x"), F.col("node").alias("u")), "x")
