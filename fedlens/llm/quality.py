@@ -152,18 +152,21 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["group", "start", "logdet", *PARAMS])
 
 
-def beside(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def beside(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     """``rows``, each with what ``groups`` has of its group; every group is there.
 
     Columns of few values are small as files and large in memory, so Spark would take all rows for the smaller side and send
-    them through the driver. The left side of an outer join is never sent.
+    them through the driver. The left side of an outer join is never sent. A ``few`` groups are, whatever their files come
+    to: else rows are shuffled, and all rows are one of the groups.
     """
-    return rows.join(groups, "group", "left")
+    return rows.join(F.broadcast(groups) if few else groups, "group", "left")
 
 
-def starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def starts(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, bool]:
     """Three starts a group, all around the median: spread alone, correlation of squashed values, correlation of signs.
 
+    With them comes whether there are few groups, so that what belongs to one can be sent to all tasks.
+
     Medians and quartiles come from counts by grid value, of which there are few.
     """
     grid = rows.select("group", F.posexplode("x").alias("dim", "v")).groupBy("group", "dim", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -174,6 +177,7 @@ def starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("dim", F.col("q")[1].alias("mid"), spread.alias("spread")))).alias("centre")
     )
     centres = stored(spark, centres, "quality-centres")  # its size is that of its groups, not an estimate from that of the rows
+    few = centres.count() <= SENT_GROUPS
     z = [(F.col("x")[i] - F.col("centre")[i]["mid"]) / F.col("centre")[i]["spread"] for i in range(DIMS)]
     length = F.sqrt(sum(v * v for v in z))
     both = F.array(
@@ -183,7 +187,7 @@ def starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
             *(F.when(length > 0, F.round(1024 * v / length)).otherwise(0).cast("long").alias(f"v{i}") for i, v in enumerate(z)),
         ),
     )
-    kinds = beside(rows, centres).select("group", "centre", F.explode(both).alias("v"))
+    kinds = beside(rows, centres, few).select("group", "centre", F.explode(both).alias("v"))
     sums = kinds.groupBy("group", F.col("v.start").alias("start")).agg(
         F.first("centre").alias("centre"), *_moments([F.col(f"v.v{i}") for i in range(DIMS)])
     )
@@ -200,7 +204,7 @@ def starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
             found.append(_params(total["group"], int(total["start"]), mid, correlation * np.outer(spread, spread)))
         return _frame(found)
 
-    return sums.groupBy("group").applyInPandas(make, MODEL)
+    return sums.groupBy("group").applyInPandas(make, MODEL), few
 
 
 def distance() -> Column:
@@ -212,9 +216,9 @@ def distance_bin() -> Column:
     return F.floor(16 * F.log2(distance() + 2.0**-8)).cast("int")
 
 
-def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+def concentrated(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
     """One concentration step of every group and start."""
-    binned = beside(rows, model).withColumn("bin", distance_bin())
+    binned = beside(rows, model, few).withColumn("bin", distance_bin())
     sums = binned.groupBy("group", "start", "bin").agg(*_moments([F.col("x")[i] for i in range(DIMS)]))
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -231,11 +235,12 @@ def estimate(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     ``rows`` has ``group`` and ``x``, a stored table. Tables between steps have a few rows a group.
     """
-    model = stored(spark, starts(spark, rows), "quality-start")
+    first, few = starts(spark, rows)
+    model = stored(spark, first, "quality-start")
     for _ in range(STEPS):
-        model = stored(spark, concentrated(rows, model), "quality-step")
+        model = stored(spark, concentrated(rows, model, few), "quality-step")
     best = model.groupBy("group").agg(F.min_by(F.struct("start", *PARAMS), F.struct("logdet", "start")).alias("b")).select("group", "b.*")
-    bins = beside(rows, best).groupBy("group", distance_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = beside(rows, best, few).groupBy("group", distance_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     middle = bins.groupBy("group").agg(F.expr("percentile(bin + 0.5D, 0.5D, n)").alias("mid"))
     unit = F.greatest((F.pow(F.lit(2.0), F.col("mid") / 16) - 2.0**-8) / CHI_MEDIAN, F.lit(1.0))
     return stored(spark, best.join(middle, "group").select("group", *PARAMS, unit.alias("unit")), "quality-model")
